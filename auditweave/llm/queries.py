@@ -7,18 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, sharding, simhash
+from . import decontaminate, exact_dedup, packing, quality, rans, sharding, simhash, substring
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is on this machine; its package is at the same place on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, distance=4)
 
 
+def op3_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels"), cut=0.3))
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), "words", capacity=2048, end=0)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"), window=35)
+
+
+def op7_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), "spaced", end=0)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
@@ -32,7 +56,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_simhash_near_dedup,
+        op3_quality_ranker,
         op4_jump_sharding,
+        op5_best_fit_packing,
+        op6_substring_dedup,
+        op7_rans_tokens,
         op9_benchmark_decontamination,
         op10_exact_dedup,
     )
