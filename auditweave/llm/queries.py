@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, quality, rans, sharding, simhash, substring
+from . import decontaminate, exact_dedup, html_extract, packing, pii, quality, rans, sharding, simhash, substring
 from .common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, distance=4)
 
@@ -43,6 +47,13 @@ def op7_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), "spaced", end=0)
 
 
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a secret of whoever runs it: spark.auditweave.pii.key, or one for tests where it is unset."""
+    key = spark.conf.get("spark.auditweave.pii.key", "key for tests")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.mask(docs, key.encode())
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
@@ -55,12 +66,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
         op2_simhash_near_dedup,
         op3_quality_ranker,
         op4_jump_sharding,
         op5_best_fit_packing,
         op6_substring_dedup,
         op7_rans_tokens,
+        op8_pii_pseudonyms,
         op9_benchmark_decontamination,
         op10_exact_dedup,
     )
