@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 #: Rows and bytes of one Arrow batch handed to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -101,3 +102,11 @@ def longs(column: pa.Array) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def only_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs with a key in rows (doc: the id, the smallest long for null; row: xxhash64 of the text), one for each key."""
+    own = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = own.join(rows.select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct(), ["__doc", "__row"])
+    once = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__doc", "__row").orderBy(F.lit(0))))
+    return once.filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

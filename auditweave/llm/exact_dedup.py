@@ -84,7 +84,6 @@ def first_rows(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of docs that stay, one for each text, with the columns of docs.
 
     Rows that repeat both id and text count as one."""
-    spark = docs.sparkSession
     kept = exact_dedup(docs, index).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
     hashed = docs.withColumn("__key", digest(F.col("text"))).withColumn("__doc", F.col("doc_id").cast("long"))
     joined = hashed.join(kept, (F.col("__key") == F.col("__digest")) & F.col("__doc").eqNullSafe(F.col("__id")))

@@ -3,7 +3,7 @@
 A fingerprint has 64 bits; two documents are linked if their fingerprints differ in at most
 `distance` bits. The bits are cut into segments with a radius each, such that the radii plus one sum to
 distance + 1 at least: by the pigeonhole principle linked fingerprints lie within the radius in some
-segment. Every distinct fingerprint is entered once in the table of each segment; for the search,
+segment. Every distinct fingerprint is entered once in the table of each segment with a small Hamming ball around it; for the search,
 the small Hamming ball around each segment's value is enumerated, table matches are fetched by
 equi-join and their complete distance is verified inside the join. A pair is emitted at the first
 segment that finds it only, so every link comes out once.
@@ -25,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, chunks, id_and_text, materialize
+from .common import arrow_limits, chunks, id_and_text, materialize, only_rows, signed
 from .components import components
+from .wordhash import BLANK_SEPARATED, LOWER, run_hash, run_sums, word_hashes, words
 
 BITS = 64
 LANES = np.uint64(0x0101010101010101)
@@ -77,23 +78,22 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def segments(distance: int, n: int) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of each segment, for n fingerprints: the plan with the fewest probes and chance matches."""
+def ball_size(width: int, radius: int) -> int:
+    out, term = 1, 1
+    for i in range(1, radius + 1):
+        term = term * (width - i + 1) // i
+        out += term
+    return out
 
-    def ball(width: int, radius: int) -> int:
-        out, term = 1, 1
-        for i in range(1, radius + 1):
-            term = term * (width - i + 1) // i
-            out += term
-        return out
 
+def segments(distance: int, n: int) -> list[tuple[int, int, int]]:
+    """(shift, width, radius) of each segment, for n fingerprints: the plan with the least rows and chance matches."""
     best = None
     for m in range(1, distance + 2):
         widths = [BITS // m + (i < BITS % m) for i in range(m)]
-        radii = [distance // m] * m
-        spare = sum(r + 1 for r in radii) - distance - 1
-        radii = [r - (i >= m - spare) for i, r in enumerate(radii)]
-        cost = sum(ball(w, r) * (3 + n / 2**w) for w, r in zip(widths, radii, strict=True) if r >= 0)
+        radii = [distance // m - (i > distance % m) for i in range(m)]  # the radii plus one sum to distance + 1
+        balls = [(ball_size(w, r - r // 2), ball_size(w, r // 2), w) for w, r in zip(widths, radii, strict=True) if r >= 0]
+        cost = sum(10 * (q + e) + q * e * n / 2**w for q, e, w in balls)
         if best is None or cost < best[0]:
             best = cost, [(sum(widths[:i]), w, r) for i, (w, r) in enumerate(zip(widths, radii, strict=True)) if r >= 0]
     return best[1]
@@ -110,28 +110,35 @@ def masks(width: int, radius: int) -> list[int]:
 
 
 def part(fp: F.Column, shift: int, width: int) -> F.Column:
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1))
 
 
 def ball(segment: int, value: F.Column, flips: list[int]) -> F.Column:
-    """The values around `value` that the flips reach, as an array of (segment, value)."""
-    return F.transform(F.array(*map(F.lit, flips)), lambda m: F.struct(F.lit(segment).alias("segment"), value.bitwiseXOR(m.cast("long")).alias("value")))
+    """The values around `value` that the flips reach, as an array of (segment, value, flip)."""
+    return F.transform(F.array(*[F.lit(m).cast("long") for m in flips]), lambda m: F.struct(F.lit(segment).alias("segment"), value.bitwiseXOR(m).alias("value"), m.alias("flip")))
 
 
 def links(nodes: DataFrame, distance: int, n: int) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints `fp` of nodes within `distance`; n: their number."""
+    """Pairs (a, b), a < b, of nodes (node, fp) with fingerprints within `distance`; n: the number of nodes.
+
+    The ball of radius r around a segment's value is enumerated from both ends: the table holds the ball of
+    radius r // 2 around its values, the search that of the rest. Of the ways to meet only one counts: the search flips the
+    lowest of the bits that differ, as many as it may, and the table the others.
+    """
     plan = segments(distance, n)
     value = [part(F.col("fp"), s, w) for s, w, _ in plan]
-    balls = F.concat(*[ball(i, v, masks(w, r)) for i, (v, (_, w, r)) in enumerate(zip(value, plan, strict=True))])
-    tables = F.array(*[F.struct(F.lit(i).alias("segment"), v.alias("value")) for i, v in enumerate(value)])
-    probe = nodes.select(F.col("fp").alias("a"), F.inline(balls))
-    entry = nodes.select(F.col("fp").alias("b"), F.inline(tables))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.lit(len(plan))
+    search = F.concat(*[ball(i, v, masks(w, r - r // 2)) for i, (v, (_, w, r)) in enumerate(zip(value, plan, strict=True))])
+    table = F.concat(*[ball(i, v, masks(w, r // 2)) for i, (v, (_, w, r)) in enumerate(zip(value, plan, strict=True))])
+    q = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.inline(search)).alias("q")
+    e = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.inline(table)).alias("e")
+    differ = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+    first, most = F.lit(len(plan)), F.lit(0)
     for i, (s, w, r) in reversed(list(enumerate(plan))):
         first = F.when(F.bit_count(part(differ, s, w)) <= r, F.lit(i)).otherwise(first)
-    p, e = probe.alias("p"), entry.alias("e")
-    found = p.join(e, (F.col("p.segment") == F.col("e.segment")) & (F.col("p.value") == F.col("e.value")) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & (first == F.col("p.segment")))
+        most = F.when(F.col("q.segment") == i, F.lit(r - r // 2)).otherwise(most)
+    flip, rest = F.col("q.flip"), F.col("e.flip")
+    lowest = (rest == 0) | ((F.bit_count(flip) == most) & (flip < rest.bitwiseAND(-rest)))
+    found = q.join(e, (F.col("q.segment") == F.col("e.segment")) & (F.col("q.value") == F.col("e.value")) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & lowest & (first == F.col("q.segment")))
     return found.select("a", "b")
 
 
@@ -139,8 +146,82 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFr
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     prints = materialize(fingerprints(docs, size), "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
-    groups = components(links(nodes.select("fp"), distance, nodes.count())).withColumnRenamed("node", "fp").withColumnRenamed("component", "group")
+    groups = components(links(nodes.select(F.col("fp").alias("node"), "fp"), distance, nodes.count())).withColumnRenamed("node", "fp").withColumnRenamed("component", "group")
     named = materialize(nodes.join(groups, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), "least"), "grouped")
     ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
     by_fp = materialize(named.select("fp", "group").join(ids, "group").select("fp", "component_id"), "components")
     return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near duplicates by word shingles: fingerprints find candidates, the share of common shingles decides.
+
+#: Fingerprints for candidates are of pairs of words: an edit changes fewer of them than of longer shingles, so copies stay close.
+CANDIDATE_SHINGLE, CANDIDATE_DISTANCE = 2, 10
+ROW = ["doc", "row"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return id_and_text(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("row"), "text")
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): the distinct hashes of a text's shingles, in order."""
+
+    def run(batches):
+        for rows, raw, offs in chunks(batches):
+            raw = LOWER[raw]
+            starts, ends, first = words(raw, offs, BLANK_SEPARATED)
+            sums = run_sums(word_hashes(raw, starts, ends), 1)
+            out = []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                at = np.arange(a, max(b - size, a) + 1) if b > a else np.zeros(0, np.int64)
+                out.append(np.unique(signed(run_hash(sums, at, np.minimum(at + size, b), 1))))
+            yield pa.record_batch([rows.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def _similar(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, x, y) whose sorted shingle sets x, y have a Jaccard similarity of `least` or more."""
+
+    def run(batches):
+        for rows in batches:
+            good = []
+            for x, y in zip(rows.column("x"), rows.column("y"), strict=True):
+                x, y = (np.asarray(v.values) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= least * (len(x) + len(y) - common))
+            yield pa.record_batch([rows.column("a").filter(pa.array(good, pa.bool_())), rows.column("b").filter(pa.array(good, pa.bool_()))], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = CANDIDATE_DISTANCE) -> DataFrame:
+    """The rows of docs less near duplicates: of every group one row stays, that with the smallest doc_id.
+
+    Groups are connected by pairs whose sets of `size`-word shingles have a Jaccard similarity of
+    `similarity` or more, among pairs with fingerprints of CANDIDATE_SHINGLE words within `distance` bits. Texts with equal
+    words in equal order are one node, whatever their case and white space.
+    """
+    arrow_limits(docs.sparkSession)
+    texts = _keyed(docs)
+
+    def run(batches):
+        for rows, raw, offs in chunks(batches):
+            raw = LOWER[raw]
+            data, at = raw.tobytes(), offs.tolist()
+            starts, ends, first = words(raw, offs, BLANK_SEPARATED)
+            nodes = run_hash(run_sums(word_hashes(raw, starts, ends), 2), first[:-1], first[1:], 2)
+            out = b"".join([simhash(data[a:b], CANDIDATE_SHINGLE) for a, b in zip(at, at[1:])])  # noqa: B905
+            yield pa.record_batch([rows.column("doc"), rows.column("row"), pa.array(signed(nodes)), pa.array(np.frombuffer(out, ">i8").astype(np.int64))], names=["doc", "row", "node", "fp"])
+
+    prints = materialize(texts.mapInArrow(run, "doc long, row long, node long, fp long"), "prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(*ROW)).alias("rep")), "nodes")
+    pairs = materialize(links(nodes.select("node", "fp"), distance, nodes.count()), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = texts.join(nodes.join(ends, "node").select("node", "rep.*"), ROW).dropDuplicates(["node"])
+    sets = materialize(_sets(known, size), "sets")
+    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    groups = components(materialize(_similar(full.select("a", "b", "x", "y"), similarity), "similar"))
+    stays = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("rep").alias("rep"))
+    return only_rows(docs, stays.select("rep.*"))
