@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer: str, cut: str, capacity: int, end: int =
     def run(batches):
         own = encoder(tokenizer, cut, end)
         for rows, raw, offs in chunks(batches):
-            ids, at = own.encode(raw.tobytes(), offs.tolist())
+            ids, at = own.encode(raw, offs)
             n = -(-np.diff(at) // capacity)
             doc = np.repeat(np.arange(len(n)), n)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)

@@ -146,7 +146,7 @@ def token_rows(docs: DataFrame, tokenizer: str, cut: str, end: int | None) -> Da
     def run(batches):
         own = encoder(tokenizer, cut, end)
         for rows, raw, offs in chunks(batches):
-            ids, at = own.encode(raw.tobytes(), offs.tolist())
+            ids, at = own.encode(raw, offs)
             data = ids.astype(width).tobytes()
             size = np.dtype(width).itemsize
             yield pa.record_batch([rows.column("doc_id"), pa.array(np.diff(at)), pa.array([data[a * size : b * size] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "n", "ids"])
@@ -170,10 +170,7 @@ def count_ids(tokens: DataFrame, size: int, width: str) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            for ids in b.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(ids, width), minlength=size) if len(ids) > 4 * size else 0
-                if len(ids) <= 4 * size:
-                    np.add.at(total, np.frombuffer(ids, width), 1)
+            total += np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), width), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"])
 

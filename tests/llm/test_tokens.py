@@ -25,16 +25,22 @@ def ids_of(kind, text):
 @given(st.lists(st.text(alphabet="aB'sd 1\t\n\r\x0b\x1c\x85\xa0 　é́Σ🙂.,<|", max_size=25), min_size=1, max_size=6), st.sampled_from(sorted(KINDS)))
 def test_pieces_give_the_ids_of_whole_texts(texts, kind):
     data = [t.encode() for t in texts]
-    offs = np.cumsum([0, *map(len, data)]).tolist()
-    ids, at = tokens.encoder(PATHS[kind], kind, 0).encode(b"".join(data), offs)
+    offs = np.cumsum([0, *map(len, data)])
+    ids, at = tokens.encoder(PATHS[kind], kind, 0).encode(np.frombuffer(b"".join(data), np.uint8), offs)
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [ids_of(kind, t) for t in texts]
 
 
+def test_special_tokens_in_text():
+    text = "a  <|endoftext|> b<|endoftext|>c <| d"
+    for kind in KINDS:
+        assert tokens.encoder(PATHS[kind], kind, 0).encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0].tolist() == ids_of(kind, text)
+
+
 def test_a_full_cache_starts_afresh(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED", 3)
     own = tokens.Encoder(PATHS["words"], "words", 0)
     for text in ("one two three four five", "six seven", "one two six"):
-        assert own.encode(text.encode(), [0, len(text)])[0].tolist() == ids_of("words", text)
+        assert own.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0].tolist() == ids_of("words", text)
 
 
 @settings(deadline=None, max_examples=40)
