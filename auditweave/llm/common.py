@@ -83,7 +83,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices batches to about `most` bytes of text (one row at least): (rows, bytes, offsets)."""
     for batch in batches:
         raw, offs = text_bytes(batch.column(column))

@@ -43,6 +43,20 @@ def _kinds() -> np.ndarray:
 KINDS = _kinds()
 
 
+#: One run of letters, digits or signs, with the space before it.
+PRETOKEN = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+
+
+def byte_letters() -> dict[int, int]:
+    """How byte-level models spell bytes: visible Latin-1 characters as themselves, the others from U+0100 on in order."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class Places:
     """Open addressing from pairs of 64-bit hashes to numbers, for arrays of keys."""
 
@@ -119,6 +133,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.end = Tokenizer.from_file(path), cut == "spaced", end
+        self.model = self.tokenizer.model
+        # words, numbers and signs alone are what the pre-tokenizer gives the model, unless text is normalised first
+        self.direct = self.spaced and self.tokenizer.normalizer is None
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
@@ -129,7 +146,13 @@ class Encoder:
 
     def learn(self, new: list[bytes]) -> np.ndarray:
         """Numbers of new pieces; at[i] : at[i + 1] is where the ids of piece i are."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
+        words = [i for i, p in enumerate(new) if PRETOKEN.fullmatch(p)] if self.direct else []
+        rest = sorted(set(range(len(new))).difference(words)) if words else range(len(new))
+        found: list = [None] * len(new)
+        for i in words:
+            found[i] = [t.id for t in self.model.tokenize(new[i].decode("latin-1").translate(BYTE_LETTERS))]
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([new[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            found[i] = x.ids
         numbers = np.arange(self.known, self.known + len(new))
         self.known += len(new)
         if self.known + 1 > len(self.at):

@@ -31,7 +31,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64, for i below n."""
     known = _powers.get(base)
     if known is None or len(known[0]) < n:
-        size = max(n, 1 << 16, 2 * len(known[0]) if known else 0)
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         b, out = BASES[base], []
         for x in (b, np.uint64(pow(int(b), -1, 1 << 64))):
             p = np.full(size, x, np.uint64)
