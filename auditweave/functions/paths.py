@@ -19,7 +19,7 @@ def safe_member_name(path: Column) -> Column:
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(F.rtrim(F.lit("/"), path), "/", -1), -1)
+    return F.element_at(F.split(F.rtrim(path, F.lit("/")), "/", -1), -1)
 
 
 def skip_reason(path: Column) -> Column:

@@ -11,9 +11,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..storage import materialize
+from .order import numbered
 
 
 def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -92,6 +92,6 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 def groups(links: DataFrame) -> DataFrame:
     """(node, component, group_id): components of two nodes at least, numbered by their smallest node."""
-    found = components(links)
-    numbers = found.select("component").distinct().withColumn("number", F.dense_rank().over(Window.orderBy("component")) - 1)
+    found = materialize(components(links), "components")
+    numbers = numbered(found.select("component").distinct(), "component", "number")
     return found.join(numbers, "component").select("node", "component", F.format_string("g%04d", "number").alias("group_id"))

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 
 from .. import model as M
 from ..functions import paths as P
+from ..operators.order import numbered
 
 
 class IngestError(ValueError):
@@ -90,8 +91,7 @@ def folder_entries(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
     below = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("^" + "/" + base.lstrip("/") + "/"), F.lit(""))
-    number = F.row_number().over(Window.orderBy("below")) - 1
-    rows = files.select("path", "length", "content", below.alias("below")).withColumn("number", number.cast("bigint"))
+    rows = files.select("length", "content", below.alias("below")).join(numbered(files.select(below.alias("below")), "below", "number"), "below")
     kept = rows.filter(P.skip_reason(F.col("below")).isNull() & P.allowed_extension(F.col("below")))
     place = P.classify_path(F.col("below"))
     return kept.select(F.lit(root).alias("archive"), F.col("number").alias("position"), F.col("below").alias("path"), "content", F.col("length").alias("size"), "number", P.internal_id(F.col("number")).alias("sample_id"), place["split"].alias("split"), place["label"].alias("label"), F.when(place.isNull(), "Could not infer split/class from folder structure").alias("reject_reason"))

@@ -6,10 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import images as I
 from ..functions import paths as P
+from ..operators.order import numbered
 
 
 def decoded(spark: SparkSession, root: str) -> DataFrame:
@@ -34,9 +34,9 @@ def samples(spark: SparkSession, root: str, files: DataFrame, embeddings: bool =
     form = P.sniff_format(F.col("content"))
     error = F.when(form.isNull(), "not a recognised image").when(form == "WEBP", "unsupported format WEBP").when(F.coalesce(F.col("image.height"), F.lit(-1)) <= 0, "cannot be decoded").when(truncated(F.col("content")), "image file is truncated")
     made = rows.withColumn("error", error).withColumn("good", F.when(F.col("error").isNull(), F.col("image")))
-    number = F.row_number().over(Window.orderBy("sample_id")) - 1
+    made = made.join(numbered(files.select("sample_id"), "sample_id", "idx"), "sample_id")
     return made.select(
-        number.cast("bigint").alias("idx"), "sample_id", "split", "label", F.col("path").alias("rel_path"), F.sha2("content", 256).alias("sha256"),
+        "idx", "sample_id", "split", "label", F.col("path").alias("rel_path"), F.sha2("content", 256).alias("sha256"),
         F.when(F.col("error").isNull(), I.phash(F.col("image"))).alias("phash"), F.col("good.width").cast("bigint").alias("width"), F.col("good.height").cast("bigint").alias("height"),
         F.col("size").cast("bigint").alias("bytes"), form.alias("img_format"), F.col("error").isNotNull().alias("corrupt"), F.substring("error", 1, 160).alias("error"),
         (F.when(F.col("error").isNull(), I.embedding(F.col("image"))) if embeddings else F.lit(None).cast("array<float>")).alias("embedding"),
