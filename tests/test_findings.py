@@ -66,6 +66,17 @@ def test_neighbours_in_one_block_and_in_many(spark):
     assert C.neighbours(s.limit(0), 4, 0.3).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_by_rounds_and_by_one_forest(spark, monkeypatch, few):
+    monkeypatch.setattr(G, "FEW", few)
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)] + [(500, 500 + i) for i in range(1, 50)]
+    want = G.forest(p for p in links if p[0] != p[1])
+    got = {r.node: r.component for r in G.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+    assert got == want
+    assert G.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_components_and_groups(spark):
     links = spark.createDataFrame([(0, 1), (1, 2), (4, 5)], "a long, b long")
     assert sorted((r.node, r.component, r.group_id) for r in G.groups(links).collect()) == [(0, 0, "g0000"), (1, 0, "g0000"), (2, 0, "g0000"), (4, 4, "g0001"), (5, 4, "g0001")]
