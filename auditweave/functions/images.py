@@ -94,3 +94,16 @@ def embedding(image: Column) -> Column:
         return pd.Series([np.zeros(512, np.float32) if p is None else descriptor(p) for p in found])
 
     return F.pandas_udf(run, "array<float>")(image)
+
+
+#: What computes a vector for an image struct, by name: a function of a column, or None for no vectors.
+PROVIDERS = {"classical": embedding, "off": None}
+
+
+def provider(name: str = "auto"):
+    """(name, function) of the vectoriser to use: `auto` takes a registered learned one, else the classical descriptor.
+
+    A learned one is registered in PROVIDERS under "learned"; asked for by name and missing, there are no vectors."""
+    if name == "auto":
+        name = "learned" if "learned" in PROVIDERS else "classical"
+    return (name, PROVIDERS[name]) if name in PROVIDERS else ("none", None)

@@ -26,8 +26,9 @@ def normal_path(path: F.Column) -> F.Column:
     return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
 
 
-def samples(spark: SparkSession, root: str, files: DataFrame, embeddings: bool = True) -> DataFrame:
-    """files: accepted entries of folder_entries(root). One row each, numbered in their order."""
+def samples(spark: SparkSession, root: str, files: DataFrame, vectors: str = "auto") -> DataFrame:
+    """files: accepted entries of folder_entries(root). One row each, numbered in their order. vectors: a provider's name."""
+    _, vectorise = I.provider(vectors)
     base = "/" + root.rstrip("/").removeprefix("file://").removeprefix("file:").lstrip("/") + "/"
     pictures = decoded(spark, root).select(F.substr(normal_path(F.col("origin")), F.lit(len(base) + 1)).alias("path"), "image")
     rows = files.join(pictures, "path", "left")
@@ -39,7 +40,7 @@ def samples(spark: SparkSession, root: str, files: DataFrame, embeddings: bool =
         "idx", "sample_id", "split", "label", F.col("path").alias("rel_path"), F.sha2("content", 256).alias("sha256"),
         F.when(F.col("error").isNull(), I.phash(F.col("image"))).alias("phash"), F.col("good.width").cast("bigint").alias("width"), F.col("good.height").cast("bigint").alias("height"),
         F.col("size").cast("bigint").alias("bytes"), form.alias("img_format"), F.col("error").isNotNull().alias("corrupt"), F.substring("error", 1, 160).alias("error"),
-        (F.when(F.col("error").isNull(), I.embedding(F.col("image"))) if embeddings else F.lit(None).cast("array<float>")).alias("embedding"),
+        (F.when(F.col("error").isNull(), vectorise(F.col("image"))) if vectorise else F.lit(None).cast("array<float>")).alias("embedding"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +71,7 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Stored audits: each table is partitioned by job_id, so a job's rows are replaced or dropped as a folder.
 
-TABLES = ("samples", "findings", "issues", "reviews", "repair_entries")
+TABLES = ("samples", "findings", "issues", "reviews", "repair_entries", "results")
 
 
 def store(rows: DataFrame, root: str, name: str, job_id: str) -> None:
@@ -87,3 +89,17 @@ def store(rows: DataFrame, root: str, name: str, job_id: str) -> None:
 
 def stored(spark: SparkSession, root: str, name: str, job_id: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}").filter(F.col("job_id") == job_id).drop("job_id")
+
+
+def drop(spark: SparkSession, root: str, job_id: str) -> int:
+    """Removes a job from every table; how many tables had it."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    for name in TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/job_id={job_id}")
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
+def result_row(spark: SparkSession, job_id: str, **parts: dict) -> DataFrame:
+    """One row with the parts of a job's result (summary, evaluation, repair ...) as JSON text."""
+    return spark.createDataFrame([(k, json.dumps(v, default=str)) for k, v in parts.items()], "part string, body string").withColumn("job", F.lit(job_id))

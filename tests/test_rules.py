@@ -206,6 +206,23 @@ def test_stored_tables_replace_one_job(spark, tmp_path):
     assert T.stored(spark, root, "issues", "a").count() == 1 and T.stored(spark, root, "issues", "b").count() == 2
     with pytest.raises(ValueError):
         T.store(spark.range(1), root, "nothing", "a")
+    T.store(T.result_row(spark, "a", summary={"score": 3}), root, "results", "a")
+    (r,) = T.stored(spark, root, "results", "a").collect()
+    assert json.loads(r.body) == {"score": 3}
+    assert T.drop(spark, root, "a") == 2 and T.stored(spark, root, "issues", "a").count() == 0 and T.stored(spark, root, "issues", "b").count() == 2
+
+
+def test_json_text(spark):
+    from pyspark.sql import functions as F
+
+    from pyspark.sql.types import StructType as T_
+
+    from auditweave.functions import blobs
+
+    rows = spark.createDataFrame([('{"a": 1, "b": {"c": "x"}}',), ("{broken",), (None,), ("{}",)], "t string")
+    got = [r[0] for r in rows.select(blobs.load(F.col("t"), T_.fromDDL("a int, b struct<c:string>"))).collect()]
+    assert got[0].a == 1 and got[0].b.c == "x" and got[1] is None and got[2] is None and got[3].a is None
+    assert [r[0] for r in rows.select(F.from_json(blobs.dump(F.struct("t")), "t string")["t"]).collect()] == [r.t for r in rows.collect()]
 
 
 def test_reviews_change_the_plan_but_not_the_evidence(spark):

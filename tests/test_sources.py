@@ -87,6 +87,12 @@ def test_image_functions():
     assert FI.pixels(-1, -1, -1, b"") is None
 
 
+def test_providers(monkeypatch):
+    assert FI.provider() == ("classical", FI.embedding) and FI.provider("off") == ("off", None) and FI.provider("learned") == ("none", None)
+    monkeypatch.setitem(FI.PROVIDERS, "learned", len)
+    assert FI.provider() == ("learned", len)
+
+
 @pytest.fixture(scope="module")
 def planted(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("demo"))
