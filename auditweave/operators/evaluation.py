@@ -14,6 +14,17 @@ from .. import model as M
 from ..functions.vectors import is_zero
 from ..storage import materialize
 
+# The reasons and notes are part of the results.
+NO_TRAIN = "No training split was found."
+NO_TEST = "No test split was found."
+NO_LABELS = "The dataset has no class labels (images sit directly in split folders), so a classification experiment cannot be trained. Leakage detection is unaffected."
+FEW_CLASSES = "Need at least {} classes present in both train and test; found %d."
+THIN_CLASSES = "Classes with fewer than {} training samples: "
+FEW_TEST = "Test split has %d samples; at least {} are required."
+ELIGIBLE = "Dataset is eligible for the diagnostic experiment."
+FEW_EMBEDDED = "Too few embeddable training samples after filtering."
+NONE_IMPLICATED = "No test samples were implicated in strong cross-split leakage, so the cleaned evaluation is identical to the original."
+NEARLY_ALL = "Nearly the entire test split is implicated in leakage; a cleaned evaluation would be meaningless."
 #: Test rows up to which the bootstrap draws the reference sequence in one task; above, Poisson weights by row.
 SEQUENTIAL_ROWS = 100_000
 
@@ -29,13 +40,12 @@ def eligibility(samples: DataFrame, config: M.AuditConfig) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list(F.when(shared & (F.col("train") < config.min_per_class), F.col("label")))), ", ").alias("thin"),
     )
     reason = (
-        F.when(F.col("train") == 0, "No training split was found.").when(F.col("test") == 0, "No test split was found.")
-        .when(F.col("labels") == 0, "The dataset has no class labels (images sit directly in split folders), so a classification experiment cannot be trained. Leakage detection is unaffected.")
-        .when(F.col("shared") < config.min_classes, F.format_string(f"Need at least {config.min_classes} classes present in both train and test; found %d.", "shared"))
-        .when(F.col("thin") != "", F.concat(F.lit(f"Classes with fewer than {config.min_per_class} training samples: "), "thin", F.lit(".")))
-        .when(F.col("test") < config.min_test, F.format_string(f"Test split has %d samples; at least {config.min_test} are required.", "test"))
+        F.when(F.col("train") == 0, NO_TRAIN).when(F.col("test") == 0, NO_TEST).when(F.col("labels") == 0, NO_LABELS)
+        .when(F.col("shared") < config.min_classes, F.format_string(FEW_CLASSES.format(config.min_classes), "shared"))
+        .when(F.col("thin") != "", F.concat(F.lit(THIN_CLASSES.format(config.min_per_class)), "thin", F.lit(".")))
+        .when(F.col("test") < config.min_test, F.format_string(FEW_TEST.format(config.min_test), "test"))
     )
-    return one.select(reason.isNull().alias("eligible"), F.coalesce(reason, F.lit("Dataset is eligible for the diagnostic experiment.")).alias("reason"))
+    return one.select(reason.isNull().alias("eligible"), F.coalesce(reason, F.lit(ELIGIBLE)).alias("reason"))
 
 
 def quarantine(findings: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -116,7 +126,7 @@ def gap(samples: DataFrame, findings: DataFrame, reviews: DataFrame, config: M.A
         return spark.createDataFrame([(False, may.reason, *[None] * 14)], columns)
     n_train = embedded(samples).filter("split = 'train'").count()
     if n_train < config.min_classes * config.min_per_class:
-        return spark.createDataFrame([(False, "Too few embeddable training samples after filtering.", *[None] * 14)], columns)
+        return spark.createDataFrame([(False, FEW_EMBEDDED, *[None] * 14)], columns)
     test = predict(samples)
     clean = test.join(quarantine(findings, reviews), "idx", "left_anti")
 
@@ -129,8 +139,8 @@ def gap(samples: DataFrame, findings: DataFrame, reviews: DataFrame, config: M.A
     show = lambda m: (m[0], round(m[1], 4), round(m[2], 4), *m[3:])
     head = (True, may.reason, n_train, *show(before), removed)
     if removed == 0:
-        return spark.createDataFrame([(*head, *[None] * 6, "No test samples were implicated in strong cross-split leakage, so the cleaned evaluation is identical to the original.")], columns)
+        return spark.createDataFrame([(*head, *[None] * 6, NONE_IMPLICATED)], columns)
     if left < 2:
-        return spark.createDataFrame([(*head, *[None] * 6, "Nearly the entire test split is implicated in leakage; a cleaned evaluation would be meaningless.")], columns)
+        return spark.createDataFrame([(*head, *[None] * 6, NEARLY_ALL)], columns)
     after = measured(clean, config.seed + 1)
     return spark.createDataFrame([(*head, *show(after), round(before[1] - after[1], 4), None)], columns)

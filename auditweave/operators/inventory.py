@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 
+# Titles of issues.
+CORRUPT_TITLE = " corrupt or unreadable image(s)"
+IMBALANCE_TITLE = "Class imbalance ratio %.1fx (largest class / smallest class)"
+NO_TEST_TITLE = "No test split detected"
+TEST_TITLE = "Test split is %.1f%% of the dataset"
+MISSING_TITLE = " class/split combination(s) empty"
+
 
 def split_class(samples: DataFrame) -> DataFrame:
     """Valid samples by split, by label and by both in one pass; null stands for all."""
@@ -76,11 +83,11 @@ def issues(samples: DataFrame) -> DataFrame:
     t = totals(samples).crossJoin(F.broadcast(missing))  # one row each
     ratio, fraction = F.col("class_imbalance_ratio"), F.col("test_fraction")
     rows = [
-        (F.col("corrupt") > 0, "issue_corrupt", M.CORRUPT, F.lit("medium"), F.concat(F.col("corrupt").cast("string"), F.lit(" corrupt or unreadable image(s)"))),
-        (ratio > M.IMBALANCE_OK, "issue_class_imbalance", M.CLASS_IMBALANCE, F.when(ratio >= 5, "medium").otherwise("low"), F.format_string("Class imbalance ratio %.1fx (largest class / smallest class)", ratio)),
-        (F.col("test") == 0, "issue_no_test_split", M.SPLIT_IMBALANCE, F.lit("medium"), F.lit("No test split detected")),
-        ((F.col("test") > 0) & ((fraction < M.TEST_MIN) | (fraction > M.TEST_HIGH)), "issue_split_imbalance", M.SPLIT_IMBALANCE, F.lit("low"), F.format_string("Test split is %.1f%% of the dataset", fraction * 100)),
-        (F.col("missing") > 0, "issue_missing_classes", M.CLASS_IMBALANCE, F.lit("low"), F.concat(F.col("missing").cast("string"), F.lit(" class/split combination(s) empty"))),
+        (F.col("corrupt") > 0, "issue_corrupt", M.CORRUPT, F.lit("medium"), F.concat(F.col("corrupt").cast("string"), F.lit(CORRUPT_TITLE))),
+        (ratio > M.IMBALANCE_OK, "issue_class_imbalance", M.CLASS_IMBALANCE, F.when(ratio >= 5, "medium").otherwise("low"), F.format_string(IMBALANCE_TITLE, ratio)),
+        (F.col("test") == 0, "issue_no_test_split", M.SPLIT_IMBALANCE, F.lit("medium"), F.lit(NO_TEST_TITLE)),
+        ((F.col("test") > 0) & ((fraction < M.TEST_MIN) | (fraction > M.TEST_HIGH)), "issue_split_imbalance", M.SPLIT_IMBALANCE, F.lit("low"), F.format_string(TEST_TITLE, fraction * 100)),
+        (F.col("missing") > 0, "issue_missing_classes", M.CLASS_IMBALANCE, F.lit("low"), F.concat(F.col("missing").cast("string"), F.lit(MISSING_TITLE))),
     ]
     made = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(i).alias("issue_id"), F.lit(k).alias("kind"), s.alias("severity"), t_.alias("title"))) for c, i, k, s, t_ in rows])
     return t.select(F.inline(F.filter(made, lambda x: x.isNotNull())))

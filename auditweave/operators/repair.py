@@ -16,6 +16,9 @@ WHY_TEST = "Group is majority-test; moving the minority out of train/val sacrifi
 WHY_TRAIN = "Cross-split duplicate group consolidated into train to keep the test set free of samples the model may have memorised."
 WHY_AMBIGUOUS = "Member of a conflicting-label duplicate group; label is ambiguous."
 WHY_IN_PLACE = "Duplicate-group member already in the target split."
+WHY_CORRUPT = "Corrupt or unreadable image ("
+LOST = "Class '%s' would lose %d of %d test samples; consider sourcing fresh test data."
+NOT_GROUPED = "%d unreviewed possible-overlap finding(s) were NOT grouped. Enable 'include uncertain matches' or review them to include."
 WHY_ALONE = "No duplicate relationship detected."
 
 
@@ -60,7 +63,7 @@ def manifest(samples: DataFrame, tied: DataFrame, plans: DataFrame) -> DataFrame
     return s.select(
         "idx", "sample_id", "rel_path", F.col("split").alias("original_split"), F.when(corrupt, "excluded").when(alone, F.col("split")).otherwise(F.col("target")).alias("proposed_split"), "label",
         F.when(~corrupt, F.col("group_id")).alias("group_id"), F.when(corrupt, "exclude").when(alone, "keep").when(excluded, "exclude").when(stays, "keep").otherwise("move").alias("action"),
-        F.when(corrupt, F.concat(F.lit("Corrupt or unreadable image ("), F.coalesce(F.nullif("error", F.lit("")), F.lit("decode failure")), F.lit(").")))
+        F.when(corrupt, F.concat(F.lit(WHY_CORRUPT), F.coalesce(F.nullif("error", F.lit("")), F.lit("decode failure")), F.lit(").")))
         .when(alone, WHY_ALONE).when(excluded, WHY_AMBIGUOUS).when(stays, WHY_IN_PLACE).otherwise(F.col("why")).alias("reason"),
     )
 
@@ -85,6 +88,6 @@ def warnings(samples: DataFrame, findings: DataFrame, reviews: DataFrame, entrie
     before = samples.filter("split = 'test'").groupBy("label").agg(F.count("*").alias("n"))
     after = entries.filter("proposed_split = 'test'").groupBy("label").agg(F.count("*").alias("m"))
     lost = before.join(after, "label", "left").na.fill(0).filter("n >= 3 and m < n * 0.5")
-    text = F.format_string("Class '%s' would lose %d of %d test samples; consider sourcing fresh test data.", "label", F.col("n") - F.col("m"), "n")
+    text = F.format_string(LOST, "label", F.col("n") - F.col("m"), "n")
     open_ = findings.filter(F.col("kind") == M.SEMANTIC).join(reviews, "finding_id", "left_anti").agg(F.count("*").alias("n")).filter((F.col("n") > 0) & F.lit(not include_semantic))
-    return lost.select(text.alias("warning")).unionByName(open_.select(F.format_string("%d unreviewed possible-overlap finding(s) were NOT grouped. Enable 'include uncertain matches' or review them to include.", "n").alias("warning")))
+    return lost.select(text.alias("warning")).unionByName(open_.select(F.format_string(NOT_GROUPED, "n").alias("warning")))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import zipfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,22 @@ from ..functions import paths as P
 from ..operators.order import numbered
 
 
+# The reasons and messages are part of the results.
+UNSAFE = "Unsafe path (traversal or absolute path)"
+NON_REGULAR = "Non-regular file (symlink or special)"
+BAD_EXTENSION = "Unsupported extension '"
+TOO_LARGE = "File exceeds per-file size limit"
+BAD_RATIO = "Suspicious compression ratio (%.0fx)"
+NO_SPLIT = "Could not determine split/class"
+NO_SPLIT_IN_ARCHIVE = "Could not determine split/class from folder layout"
+NO_IMAGE = "Content is not a recognised JPEG/PNG/WebP image"
+BROKEN = "Could not extract (BadZipFile)"
+NO_ZIP = "File is not a valid ZIP archive."
+TOO_MANY = "Archive contains {} entries, exceeding the limit of {}."
+TOO_MUCH = "Archive exceeds the maximum uncompressed size of {} MiB."
+NOTHING_LEFT = "No supported images (JPG/JPEG/PNG/WebP) were found in the archive. Expected a train/<class>/image.jpg folder layout."
+
+
 class IngestError(ValueError):
     """The upload as a whole is refused; the message can be shown."""
 
@@ -35,8 +53,8 @@ def archive_entries(spark: SparkSession, path: str, limits: M.Limits = M.Limits(
                         for i, info in enumerate(z.infolist()):
                             body = None
                             if content and not info.is_dir() and info.file_size <= limits.member_bytes and info.file_size <= limits.compression_ratio * max(info.compress_size, 1) and i < limits.files:
-                                with z.open(info) as f:  # what a member declares isn't trusted
-                                    body = f.read(limits.member_bytes + 1)
+                                with contextlib.suppress(zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError), z.open(info) as f:
+                                    body = f.read(limits.member_bytes + 1)  # what a member declares isn't trusted
                             rows.append((name, i, info.filename, info.external_attr >> 16, info.file_size, info.compress_size, body, False))
                 except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError):
                     rows = [(name, -1, "", 0, 0, 0, None, True)]
@@ -54,35 +72,37 @@ def reject_reason(limits: M.Limits) -> F.Column:
     path, ext, kind = F.col("path"), P.extension(F.col("path")), F.shiftright(F.col("mode"), 12).bitwiseAND(F.lit(15))
     ratio = F.try_divide(F.col("size").cast("double"), F.nullif(F.col("packed"), F.lit(0)).cast("double"))
     return (
-        F.when(~P.safe_member_name(path), "Unsafe path (traversal or absolute path)")
-        .when((F.col("mode") != 0) & ~kind.isin(0, 8), "Non-regular file (symlink or special)")
-        .when(~P.allowed_extension(path), F.concat(F.lit("Unsupported extension '"), F.when(ext == "", "(none)").otherwise(ext), F.lit("'")))
-        .when(F.col("size") > limits.member_bytes, "File exceeds per-file size limit")
-        .when(ratio > limits.compression_ratio, F.format_string("Suspicious compression ratio (%.0fx)", ratio))
+        F.when(~P.safe_member_name(path), UNSAFE)
+        .when((F.col("mode") != 0) & ~kind.isin(0, 8), NON_REGULAR)
+        .when(~P.allowed_extension(path), F.concat(F.lit(BAD_EXTENSION), F.when(ext == "", "(none)").otherwise(ext), F.lit("'")))
+        .when(F.col("size") > limits.member_bytes, TOO_LARGE)
+        .when(ratio > limits.compression_ratio, F.format_string(BAD_RATIO, ratio))
     )
 
 
 def scan(entries: DataFrame, limits: M.Limits = M.Limits(), sniff: bool = True) -> DataFrame:
-    """Entries of interest in order with idx, sample_id, split, label and reject_reason. Skipped entries have no number; rejected ones have.
+    """Entries of interest in order with idx, sample_id, split, label and reject_reason. Entries that the directory already rules out have no number.
 
     Raises IngestError for what isn't an archive, for too many entries, too much content, or if nothing is left."""
     facts = entries.agg(F.coalesce(F.bool_or("broken"), F.lit(False)).alias("broken"), F.count("*").alias("n")).first()
     if facts.broken:
-        raise IngestError("File is not a valid ZIP archive.")
+        raise IngestError(NO_ZIP)
     if facts.n > limits.files:
-        raise IngestError(f"Archive contains {facts.n} entries, exceeding the limit of {limits.files}.")
+        raise IngestError(TOO_MANY.format(facts.n, limits.files))
     rows = entries.filter(P.skip_reason(F.col("path")).isNull()).withColumn("reject_reason", reject_reason(limits))
     sums = rows.filter("reject_reason is null").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
     if sums.size > limits.uncompressed_bytes:
-        raise IngestError(f"Archive exceeds the maximum uncompressed size of {limits.uncompressed_bytes >> 20} MiB.")
+        raise IngestError(TOO_MUCH.format(limits.uncompressed_bytes >> 20))
     if not sums.n:
-        raise IngestError("No supported images (JPG/JPEG/PNG/WebP) were found in the archive. Expected a train/<class>/image.jpg folder layout.")
+        raise IngestError(NOTHING_LEFT)
     place = P.classify_path(F.col("path"))
-    late = F.when(place.isNull(), "Could not infer split/class from folder structure").when(F.lit(sniff) & F.col("content").isNotNull() & P.sniff_format(F.col("content")).isNull(), "File content is not a recognised image")
-    rows = rows.withColumn("reject_reason", F.coalesce("reject_reason", late))
-    number = F.row_number().over(Window.orderBy("archive", "position")) - 1  # `files` entries at most
+    late = F.when(place.isNull(), NO_SPLIT_IN_ARCHIVE).when(F.lit(sniff) & (F.octet_length("content") > limits.member_bytes), TOO_LARGE).when(F.lit(sniff) & F.col("content").isNull(), BROKEN).when(F.lit(sniff) & P.sniff_format(F.col("content")).isNull(), NO_IMAGE)
+    # the number counts what the directory let pass, whether or not its content does; `files` entries at most
+    passed = F.col("reject_reason").isNull()
+    number = F.when(passed, F.count_if(passed).over(Window.orderBy("archive", "position")) - 1)
+    rows = rows.withColumn("number", number.cast("bigint")).withColumn("reject_reason", F.coalesce("reject_reason", late))
     return rows.select(
-        "archive", "position", "path", "content", "size", number.cast("bigint").alias("number"), P.internal_id(number).alias("sample_id"), place["split"].alias("split"), place["label"].alias("label"), "reject_reason",
+        "archive", "position", "path", "content", "size", "number", F.when(F.col("number").isNotNull(), P.internal_id(F.col("number"))).alias("sample_id"), place["split"].alias("split"), place["label"].alias("label"), "reject_reason",
     )
 
 
@@ -92,9 +112,11 @@ def folder_entries(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
     below = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("^" + "/" + base.lstrip("/") + "/"), F.lit(""))
     rows = files.select("length", "content", below.alias("below")).join(numbered(files.select(below.alias("below")), "below", "number"), "below")
-    kept = rows.filter(P.skip_reason(F.col("below")).isNull() & P.allowed_extension(F.col("below")))
+    kept = rows.filter(P.skip_reason(F.col("below")).isNull())
     place = P.classify_path(F.col("below"))
-    return kept.select(F.lit(root).alias("archive"), F.col("number").alias("position"), F.col("below").alias("path"), "content", F.col("length").alias("size"), "number", P.internal_id(F.col("number")).alias("sample_id"), place["split"].alias("split"), place["label"].alias("label"), F.when(place.isNull(), "Could not infer split/class from folder structure").alias("reject_reason"))
+    suffix = F.regexp_extract(P.file_name(F.col("below")), r"[^.](\.[^.]+)$", 1)
+    reason = F.when(~P.allowed_extension(F.col("below")), F.concat(F.lit(BAD_EXTENSION), suffix, F.lit("'"))).when(place.isNull(), NO_SPLIT)
+    return kept.select(F.lit(root).alias("archive"), F.col("number").alias("position"), F.col("below").alias("path"), "content", F.col("length").alias("size"), "number", P.internal_id(F.col("number")).alias("sample_id"), place["split"].alias("split"), place["label"].alias("label"), reason.alias("reject_reason"))
 
 
 def rejected(scanned: DataFrame) -> DataFrame:

@@ -41,7 +41,8 @@ def test_archive(spark, tmp_path):
     assert got["Test/b/c/2.PNG"][:3] == (None, "test", "b/c") and got["val/3.png"][:3] == (None, "val", M.UNLABELED)
     reasons = {k: v[0] for k, v in got.items() if v[0]}
     assert reasons["../evil.png"].startswith("Unsafe path") and reasons["train/a/link.png"].startswith("Non-regular") and reasons["notes.txt"] == "Unsupported extension '.txt'"
-    assert reasons["train/a/fake.png"].startswith("File content") and reasons["train/a/bomb.png"].startswith("Suspicious compression") and reasons["loose.png"].startswith("Could not infer")
+    assert reasons["train/a/fake.png"].startswith("Content is not") and reasons["train/a/bomb.png"].startswith("Suspicious compression") and reasons["loose.png"].startswith("Could not determine")
+    assert got["../evil.png"][3] is None and got["train/a/fake.png"][3] == "s0000001" and got["Test/b/c/2.PNG"][3] == "s0000003"
     assert not {"train/a/", "__MACOSX/x.png", "train/a/.hidden"} & set(got)
     entries = A.scan(A.archive_entries(spark, path))
     assert A.rejected(entries).count() == 6 and A.accepted(entries).count() == 3
