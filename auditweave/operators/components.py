@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import mark, materialize, release
 from .order import numbered
 
 
@@ -80,18 +80,21 @@ def _mark(links: DataFrame) -> tuple:
 
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component): for each node of links (a, b), the smallest node it reaches."""
+    spark, since = links.sparkSession, mark()
     links = materialize(local_forests(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")), "links")
     before = _mark(links)
     if before[0] <= FEW:
         links, max_rounds = materialize(local_forests(links.coalesce(1)), "links"), 0
     for _ in range(max_rounds if before[0] else 0):
         links = _star(_star(links, small=False), small=True)
+        release(spark, since)
         if (now := _mark(links)) == before:
             break
         before = now
     else:
         if before[0] and max_rounds:
             raise RuntimeError("links didn't settle")
+    release(spark, since)
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/auditweave/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that this thread has written and not released, in order.
+_own = threading.local()
+
+
+def _written() -> list[str]:
+    if not hasattr(_own, "paths"):
+        _own.paths = []
+    return _own.paths
+
+
+def mark() -> int:
+    """What release() takes to leave alone all that this thread wrote before."""
+    return len(_written())
+
+
+def release(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Deletes the tables written since mark(), but for the last `keep`: call it when only those are still read."""
+    paths = _written()
+    gone = paths[since : len(paths) - keep]
+    del paths[since : len(paths) - keep]
+    for path in gone:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
@@ -44,4 +70,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
+    _written().append(path)
     return spark.read.schema(nullable(df.schema)).parquet(path)
