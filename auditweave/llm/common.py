@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,27 +9,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
-#: Rows and bytes of one Arrow batch handed to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only in local mode where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="auditweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..storage import fresh_path, mark, materialize, release, shared_dir
 
+__all__ = ["fresh_path", "mark", "materialize", "release", "shared_dir"]
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/auditweave/{name}-{uuid.uuid4().hex}"
+#: Rows and bytes of one Arrow batch handed to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:
@@ -40,26 +25,6 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: lineage ends there, and lost
-    executors cost no more than the tasks they ran. The shuffle files behind the write are freed."""
-    spark = df.sparkSession
-    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(nullable(df.schema)).parquet(path)
-
-
-def nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

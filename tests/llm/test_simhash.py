@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from auditweave.llm import simhash as S
-from auditweave.llm.components import components
+from auditweave.operators.components import components
 
 from .helpers import frame, rows
 
@@ -65,6 +66,23 @@ def test_all_links_of_clustered_fingerprints(spark):
             assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(3)
+    for j in (0.5, 0.8, 0.95):
+        n = 1000
+        common = int(2 * n * j / (1 + j))
+        a = rng.integers(-(2**63), 2**63, 2 * n)
+        x, y = np.unique(a[:n]), np.unique(a[n - common : 2 * n - common])
+        apart = int(np.bitwise_count((S.sketch(x) ^ S.sketch(y)).view(np.uint64)).sum())
+        assert abs(apart / S.SKETCH_BITS - (1 - j) / 2) < 0.045
+
+
+def test_nodes_with_neighbours(spark):
+    prints = [0, 1, 3 << 40, (3 << 40) + (1 << 60), 0x5555555555555555]
+    nodes = spark.createDataFrame([(i, x) for i, x in enumerate(prints)], "node long, fp long")
+    assert sorted(r.node for r in S.with_neighbours(nodes, 1, 5).collect()) == [0, 1, 2, 3]
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)] + [(500, 500 + i) for i in range(1, 50)]
