@@ -80,6 +80,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS t FROM d, unnest(range(1, greatest(len(w) - 34, 0) + 1)) u(i)),
+        again AS (SELECT t FROM windows GROUP BY t HAVING count(*) > 1),
+        hit AS (SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + 35)) AS j FROM windows SEMI JOIN again USING (t))),
+        kept AS (SELECT d.r, string_agg(w[j], ' ' ORDER BY j) AS t FROM d, unnest(range(1, len(w) + 1)) u(j) WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.r = d.r AND hit.j = u.j) GROUP BY d.r)
+        SELECT doc_id, len(w) AS n_words, (SELECT count(*) FROM hit WHERE hit.r = d.r) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+    """,
+    "op9_benchmark_decontamination": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        items AS (SELECT DISTINCT item, m, array_to_string(w[i : i + m - 1], ' ') AS t FROM (SELECT item, w, least(10, len(w)) AS m FROM b), unnest(range(1, len(w) - m + 2)) u(i) WHERE m > 0),
+        found AS (SELECT DISTINCT r, p, items.m, item FROM (SELECT r, p, m, array_to_string(w[p : p + m - 1], ' ') AS t FROM d, (SELECT DISTINCT m FROM items) k, unnest(range(1, greatest(len(w) - m + 1, 0) + 1)) u(p)) x JOIN items ON items.m = x.m AND items.t = x.t),
+        hit AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(p, p + m)) AS j FROM found) GROUP BY r),
+        named AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items, sha256(coalesce(named.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import arrow_limits, chunks, fresh_path, id_and_text, materialize
+from .common import arrow_limits, chunks, fresh_path, id_and_text, mark, materialize, release
 from .tokens import encoder
 
 MAGIC = int.from_bytes(b"RNB1", "little")
@@ -185,7 +185,7 @@ BLOCKS = "part int, start long, n_tokens long, doc_ids array<long>, lengths arra
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, cut: str = "spaced", end: int | None = 0, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS) -> None:
     """Writes the ids of all documents in ascending doc_id order."""
-    spark, width = docs.sparkSession, id_width(tokenizer)
+    spark, width, since = docs.sparkSession, id_width(tokenizer), mark()
     tokens = materialize(token_rows(docs, tokenizer, cut, end), "tokens")
     counts = count_ids(tokens, vocabulary(tokenizer), width)
     table = Table.of_counts(counts)
@@ -215,6 +215,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, cut: str = "spaced"
 
     ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
+    release(spark, since, keep=0)
 
 
 def read_table(spark: SparkSession, path: str) -> Table:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, chunks, id_and_text, materialize, signed
+from .common import arrow_limits, chunks, id_and_text, mark, materialize, release, signed
 from .wordhash import BLANK_SEPARATED, mix, run_hash, run_sums, sliding_min, word_hashes, words
 
 #: Words in an anchor; shorter ones are fewer, but more of them are chance repeats.
@@ -139,8 +139,9 @@ def covered(begin: list[int], count: list[int], n: int, window: int) -> np.ndarr
 def deduplicate(docs: DataFrame, window: int = 35, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with_text the kept words, joined by a space, and the spans removed."""
     arrow_limits(docs.sparkSession)
-    texts = keyed(docs)
-    runs = factors(texts, window).groupBy(*ROW).agg(F.collect_list("begin").alias("begin"), F.collect_list("windows").alias("windows"))
+    texts, since = keyed(docs), mark()
+    runs = materialize(factors(texts, window).groupBy(*ROW).agg(F.collect_list("begin").alias("begin"), F.collect_list("windows").alias("windows")), "runs")
+    release(docs.sparkSession, since)
 
     def run(batches):
         for rows, raw, offs in chunks(batches):
