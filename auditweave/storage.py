@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import uuid
@@ -17,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only in local mode where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="auditweave-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -64,7 +65,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
