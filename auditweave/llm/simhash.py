@@ -19,6 +19,8 @@ their own unless an equal or linked fingerprint has an id; extra columns are ign
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -172,10 +174,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFr
     return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates by word shingles: fingerprints find candidates, the share of common shingles decides.
+# Near duplicates by word shingles: rare shingles find candidates, the share of common shingles decides.
 
-#: Fingerprints for candidates are of pairs of words: an edit changes fewer of them than of longer shingles, so copies stay close.
-CANDIDATE_SHINGLE, CANDIDATE_DISTANCE = 2, 10
 ROW = ["doc", "row"]
 
 
@@ -200,25 +200,87 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+
+#: Bits of a set's parities: bit i is the number of its hashes that fall on i, modulo 2. A hash in one of two sets alone changes one
+#: bit, so two sets' parities never differ in more bits than the sets do in hashes.
+PARITY_BITS = 1024
+PARITY = [f"s{i}" for i in range(PARITY_BITS // 64)]
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits of a set of shingle hashes, as longs."""
+    counts = np.bincount((mix(shingles.view(np.uint64)) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def _shingles(raw: np.ndarray, offs: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct hashes of each text's shingles in order, and a hash of each text's words."""
+    raw = LOWER[raw]
+    starts, ends, first = words(raw, offs, BLANK_SEPARATED)
+    hashes = word_hashes(raw, starts, ends)
+    sums = run_sums(hashes, 1)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        at = np.arange(a, max(b - size, a) + 1) if b > a else np.zeros(0, np.int64)
+        out.append(np.unique(signed(run_hash(sums, at, np.minimum(at + size, b), 1))))
+    return out, run_hash(run_sums(hashes, 2), first[:-1], first[1:], 2)
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """(node, shingles, s0, s1 ...): the distinct hashes of a text's shingles in order, and their sketch."""
+    """(node, shingles): the distinct hashes of a text's shingles in order."""
+
+    def run(batches):
+        for rows, raw, offs in chunks(batches):
+            yield pa.record_batch([rows.column("node"), pa.array(_shingles(raw, offs, size)[0], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+#: Shingles that stand OFTEN times or more in one of SAMPLE texts come last in the order of shingles, by their counts; MOST_FREQUENT of
+#: them at most. Any order finds all pairs: this one only keeps lines that many texts share from making candidates.
+SAMPLE, OFTEN, MOST_FREQUENT = 32, 3, 1 << 16
+
+
+def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles' hashes in order, and their counts."""
+
+    def run(batches):
+        for _, raw, offs in chunks(batches):
+            out, _ = _shingles(raw, offs, size)
+            yield pa.record_batch([pa.array(np.concatenate(out))], names=["shingle"])
+
+    counts = texts.filter(F.pmod("row", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    found = sorted((r.shingle, r.n) for r in counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect())
+    return np.array([x for x, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first of a set's hashes by (count, hash): so many that a set with a Jaccard similarity of `least` has one of them among its own first."""
+    n = len(shingles)
+    if counts.any():
+        shingles = shingles[np.lexsort((shingles, counts))]
+    return shingles[: n - math.ceil(least * n - 1e-6) + 1] if n else shingles
+
+
+def _prints(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """(doc, row, node, n, tokens, s0, s1 ...): the number of a text's shingles, their prefix and parities."""
+    frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, size))
 
     def run(batches):
+        known, often = frequent.value
         for rows, raw, offs in chunks(batches):
-            raw = LOWER[raw]
-            starts, ends, first = words(raw, offs, BLANK_SEPARATED)
-            sums = run_sums(word_hashes(raw, starts, ends), 1)
-            out = []
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                at = np.arange(a, max(b - size, a) + 1) if b > a else np.zeros(0, np.int64)
-                out.append(np.unique(signed(run_hash(sums, at, np.minimum(at + size, b), 1))))
-            sketches = np.array([sketch(x) for x in out]).reshape(len(out), -1)
-            yield pa.record_batch([rows.column("node"), pa.array(out, pa.list_(pa.int64())), *[pa.array(sketches[:, i]) for i in range(len(SKETCH))]], names=["node", "shingles", *SKETCH])
+            out, nodes = _shingles(raw, offs, size)
+            n = np.array([len(x) for x in out], np.int64)
+            counts = np.zeros(n.sum(), np.int64)
+            if len(known):
+                flat = np.concatenate(out)
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                counts = np.where(known[at] == flat, often[at], 0)
+            tokens = [prefix(x, c, least) for x, c in zip(out, np.split(counts, np.cumsum(n)[:-1]), strict=True)]
+            bits = np.array([parities(x) for x in out]).reshape(len(out), -1)
+            yield pa.record_batch([rows.column("doc"), rows.column("row"), pa.array(signed(nodes)), pa.array(n), pa.array(tokens, pa.list_(pa.int64())), *[pa.array(bits[:, i]) for i in range(len(PARITY))]], names=["doc", "row", "node", "n", "tokens", *PARITY])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
+    return texts.mapInArrow(run, "doc long, row long, node long, n long, tokens array<long>, " + ", ".join(f"{c} long" for c in PARITY))
 
 
 def _similar(pairs: DataFrame, least: float) -> DataFrame:
@@ -236,67 +298,84 @@ def _similar(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-#: Rounds of comparing with a few members of each bucket before pairs are searched, and how many those are after the first round.
-STAR_ROUNDS, PICKS = 4, 6
+def _may_be(x: str, y: str, least: float) -> F.Column:
+    """Whether rows x and y of a token can be of sets with a similarity of `least`, if the token is their first common one: none
+    before it is common, so of n shingles n - at are left at most."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at")) >= (n + m) * (least / (1 + least)) - 1e-6
+
+
+def _near_bits(x: str, y: str, least: float) -> F.Column:
+    """Whether by their parities the sets of rows x and y can have a similarity of `least`: exact, as no bit stands for less than a hash."""
+    apart = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in PARITY), F.lit(0))
+    return apart <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - least) / (1 + least)) + 1e-6
+
 
+def _with_another(entries: DataFrame, least: float, bits: bool) -> DataFrame:
+    """The entries that may have a similar one of another node with the same token: a semi-join, which stops at the first one it meets."""
+    x, y = entries.alias("x"), entries.alias("y")
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _may_be("x", "y", least)
+    return x.join(y, met & _near_bits("x", "y", least) if bits else met, "left_semi")
 
-def _stars(groups: DataFrame, distance: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of each node and a few of every bucket it is in, if they are of different groups and within
-    `distance`: PICKS for an entry at most, however dense a bucket is.
 
-    In the first turn buckets are values of two quarters of the fingerprint, and compared with is one node that has the
-    bucket's most frequent fingerprint: copies with few edits share that of their source. Later buckets are values of one
-    quarter, and PICKS of its nodes are drawn by a hash, others in each turn."""
-    quarters = [part(F.col("fp"), 16 * i, 16) for i in range(4)]
-    keys = [(4 * i + j, quarters[i] * 65536 + quarters[j]) for i in range(4) for j in range(i)] if turn == 0 else list(enumerate(quarters))
-    entries = groups.select("node", "fp", "group", F.inline(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in keys])))
-    if turn == 0:
-        one = F.min(F.struct(F.col("node").alias("to"), F.col("fp").alias("to_fp"), F.col("group").alias("to_group"))).alias("one")
-        sized = entries.groupBy("key", "value", "fp").agg(F.count("*").alias("n"), one)
-        picked = sized.groupBy("key", "value").agg(F.sum("n").alias("n"), F.array(F.max_by("one", F.struct("n", "fp"))).alias("picks"))
-    else:
-        draw = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(turn * PICKS + i)).alias("h"), F.col("node").alias("to"), F.col("fp").alias("to_fp"), F.col("group").alias("to_group")))
-        drawn = entries.groupBy("key", "value").agg(F.count("*").alias("n"), *[draw(i).alias(f"d{i}") for i in range(PICKS)])
-        picked = drawn.select("key", "value", "n", F.array_distinct(F.array(*[F.struct(f"d{i}.to", f"d{i}.to_fp", f"d{i}.to_group") for i in range(PICKS)])).alias("picks"))
-    chosen = materialize(picked.filter("n > 1").select("key", "value", F.inline("picks")), "chosen")
-    met = entries.join(chosen, ["key", "value"]).filter((F.col("group") != F.col("to_group")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("to_fp"))) <= distance))
-    return met.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+#: Rounds of comparing with one member of each bucket before pairs are searched.
+STAR_ROUNDS = 4
+
+
+def _stars(entries: DataFrame, groups: DataFrame, turn: int, least: float) -> DataFrame:
+    """Pairs (a, b) of each node and one of every bucket (the nodes with a token) it is in, if they are of different groups.
+
+    In the first turn that is the node whose buckets are largest: copies with few edits share them with their source. Later ones are
+    drawn by a hash, others in each turn."""
+    e = entries.join(groups, "node")
+    rank = F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    one = F.max_by(F.struct("node", "n", "at", "group", *PARITY), F.struct(rank, "node"))
+    picked = e.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most"), one.alias("one")).filter("least != most").select("token", "one.*")
+    x, y = e.alias("x"), picked.alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") != F.col("y.group")) & _may_be("x", "y", least) & _near_bits("x", "y", least))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _pairs(entries: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of nodes of different groups with a common token that can be similar by sizes, places and parities."""
+    e = entries.join(groups.select("node", "group"), "node")
+    mixed = e.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x != y").select("token")
+    e = materialize(e.join(mixed, "token", "left_semi"), "mixed")
+    x, y = e.alias("x"), e.alias("y")
+    own = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.group") != F.col("y.group"))
+    return x.join(y, own & _may_be("x", "y", least) & _near_bits("x", "y", least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def _merged(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """groups (node, fp, group) after the pairs (a, b) in `found` are tied."""
+    """groups (node, weight, group) after the pairs (a, b) in `found` are tied."""
     of = lambda x: groups.select(F.col("node").alias(x), F.col("group").alias(f"g{x}"))
     tied = found.join(of("a"), "a").join(of("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     to = materialize(components(tied), "tied").select(F.col("node").alias("group"), "component")
-    return materialize(groups.join(to, "group", "left").select("node", "fp", F.coalesce("component", "group").alias("group")), "groups")
+    return materialize(groups.join(to, "group", "left").select("node", "weight", F.coalesce("component", "group").alias("group")), "groups")
 
 
-def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = CANDIDATE_DISTANCE) -> DataFrame:
+def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs less near duplicates: of every group one row stays, that with the smallest doc_id.
 
-    Groups are connected by pairs whose sets of `size`-word shingles have a Jaccard similarity of
-    `similarity` or more, among pairs with fingerprints of CANDIDATE_SHINGLE words within `distance` bits. Texts with equal
-    words in equal order are one node, whatever their case and white space.
+    Groups are connected by all pairs whose sets of `size`-word shingles have a Jaccard similarity of
+    `similarity` or more. Texts with equal words in equal order are one node, whatever their case and white space.
 
-    Dense groups are tied first, by comparing nodes with one member of each bucket they share; then pairs
-    of different groups are searched, and those that by their sketches aren't alike are left out within the search.
+    Candidates are pairs with a common shingle in their prefixes: with all sets in one order, rare shingles first, similar sets have
+    one there. Dense groups are tied first, by comparing nodes with one member of each bucket they share; then all pairs
+    of different groups are searched, less those that by exact bounds can't be alike.
     """
     since = mark()
     arrow_limits(docs.sparkSession)
     texts = _keyed(docs)
-
-    def run(batches):
-        for rows, raw, offs in chunks(batches):
-            raw = LOWER[raw]
-            data, at = raw.tobytes(), offs.tolist()
-            starts, ends, first = words(raw, offs, BLANK_SEPARATED)
-            nodes = run_hash(run_sums(word_hashes(raw, starts, ends), 2), first[:-1], first[1:], 2)
-            out = b"".join([simhash(data[a:b], CANDIDATE_SHINGLE) for a, b in zip(at, at[1:])])  # noqa: B905
-            yield pa.record_batch([rows.column("doc"), rows.column("row"), pa.array(signed(nodes)), pa.array(np.frombuffer(out, ">i8").astype(np.int64))], names=["doc", "row", "node", "fp"])
-
-    prints = materialize(texts.mapInArrow(run, "doc long, row long, node long, fp long"), "prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(*ROW)).alias("rep")), "nodes")
-    near = materialize(with_neighbours(nodes.select("node", "fp"), distance, nodes.count()), "near")
+    prints = materialize(_prints(texts, size, similarity), "prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min(F.struct(*ROW)).alias("rep")), "nodes")
+    tokens = prints.select("node", "n", F.posexplode("tokens").alias("at", "token"))
+    shared = materialize(tokens.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("token"), "shared")
+    placed = materialize(_with_another(materialize(tokens.join(shared, "token", "left_semi").distinct(), "tokens"), similarity, False), "placed")
+    bits = prints.select("node", *PARITY).join(placed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    entries = materialize(_with_another(materialize(placed.join(bits, "node"), "bits"), similarity, True), "entries")
+    sizes = entries.groupBy("token").agg(F.count("*").alias("nodes"))
+    near = materialize(entries.select("token", "node").join(sizes, "token").groupBy("node").agg(F.sum("nodes").alias("weight")), "near")
     own = texts.join(nodes.join(near.select("node"), "node").select("node", "rep.*"), ROW).dropDuplicates(["node"])
     sets = materialize(_sets(own, size), "sets")
 
@@ -304,13 +383,13 @@ def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8, d
         x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
         return materialize(_similar(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y"), similarity), "similar")
 
-    groups = near.select("node", "fp", F.col("node").alias("group"))
+    groups = near.select("node", "weight", F.col("node").alias("group"))
     for turn in range(STAR_ROUNDS):
-        pairs = materialize(_stars(groups, distance, turn), "stars")
-        if not pairs.isEmpty():
-            groups = _merged(groups, alike(pairs))
-    sketched = groups.join(sets.select("node", *SKETCH), "node")
-    pairs = materialize(links(sketched, distance, near.count()), "pairs")
+        pairs = materialize(_stars(entries, groups, turn, similarity), "stars")
+        if pairs.isEmpty():
+            break
+        groups = _merged(groups, alike(pairs))
+    pairs = materialize(_pairs(entries, groups, similarity), "pairs")
     groups = _merged(groups, alike(pairs))
     named = nodes.join(groups.select("node", "group"), "node", "left")
     stays = named.groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("rep").alias("rep"))

@@ -132,3 +132,36 @@ def test_one_of_each_group_stays(spark):
     assert set(groups) <= set(kept)  # the first of each group stays
     assert len(kept) - len(groups) <= 1  # candidates may miss one in thirty at a similarity of just 0.8
     assert S.one_of_each_group(frame(spark, [])).count() == 0
+
+
+def shingle_set(text, size=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([b" ".join(w)] * bool(w))
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def test_contiguous_edits_are_all_found(spark):
+    """Truncated, extended and partly replaced copies from a similarity of 0.8 to 0.9: all are found, none below 0.8 is taken."""
+    rng = random.Random(11)
+    words = [f"k{i}" for i in range(20000)]
+    data, want = [], set()
+    for g in range(240):
+        base = rng.choices(words, k=rng.choice([60, 100, 300, 500]))
+        n = len(base)
+        least = 0.79 + 0.11 * rng.random()
+        if g % 3 == 0:
+            own = base[: round(n * least) + 1]
+        elif g % 3 == 1:
+            own = base + rng.choices(words, k=round(n / least) - n)
+        else:
+            k = max(1, round(n * (1 - least) / (1 + least)) - 2)
+            at = rng.randrange(n - k)
+            own = [*base[:at], *rng.choices(words, k=k), *base[at + k :]]
+        data += [(2 * g, " ".join(base), "en", "s", 1), (2 * g + 1, " ".join(own), "en", "s", 1)]
+        want |= {2 * g} if jaccard(data[-2][1], data[-1][1]) >= 0.8 else {2 * g, 2 * g + 1}
+    assert 300 > len(want) > 240
+    assert {r.doc_id for r in S.one_of_each_group(frame(spark, data)).collect()} == want
