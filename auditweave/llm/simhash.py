@@ -214,16 +214,15 @@ def parities(shingles: np.ndarray) -> np.ndarray:
 
 
 def _shingles(raw: np.ndarray, offs: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct hashes of each text's shingles in order, and a hash of each text's words."""
+    """The distinct hashes of each text's shingles in order, and a hash of each such set."""
     raw = LOWER[raw]
     starts, ends, first = words(raw, offs, BLANK_SEPARATED)
-    hashes = word_hashes(raw, starts, ends)
-    sums = run_sums(hashes, 1)
+    sums = run_sums(word_hashes(raw, starts, ends), 1)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         at = np.arange(a, max(b - size, a) + 1) if b > a else np.zeros(0, np.int64)
         out.append(np.unique(signed(run_hash(sums, at, np.minimum(at + size, b), 1))))
-    return out, run_hash(run_sums(hashes, 2), first[:-1], first[1:], 2)
+    return out, np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in out], np.uint64)
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -358,7 +357,8 @@ def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -
     """The rows of docs less near duplicates: of every group one row stays, that with the smallest doc_id.
 
     Groups are connected by all pairs whose sets of `size`-word shingles have a Jaccard similarity of
-    `similarity` or more. Texts with equal words in equal order are one node, whatever their case and white space.
+    `similarity` or more. Texts with equal sets are one node, whatever their case and white space and
+    however often a passage repeats.
 
     Candidates are pairs with a common shingle in their prefixes: with all sets in one order, rare shingles first, similar sets have
     one there. Dense groups are tied first, by comparing nodes with one member of each bucket they share; then all pairs

@@ -165,3 +165,23 @@ def test_contiguous_edits_are_all_found(spark):
         want |= {2 * g} if jaccard(data[-2][1], data[-1][1]) >= 0.8 else {2 * g, 2 * g + 1}
     assert 300 > len(want) > 240
     assert {r.doc_id for r in S.one_of_each_group(frame(spark, data)).collect()} == want
+
+
+def raw_of(texts):
+    """The bytes of texts and their offsets."""
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_texts_of_equal_shingles_are_one_whatever_repeats(spark):
+    rng = random.Random(12)
+    words, data, want = [f"k{i}" for i in range(5000)], [], set()
+    for g in range(30):
+        head, passage = (" ".join(rng.choices(words, k=k)) for k in (100, 20))
+        own = [" ".join([head, *[passage] * k]) for k in (2, 12, 40)]
+        assert jaccard(own[0], own[1]) == jaccard(own[0], own[2]) == 1
+        data += [(3 * g + i, t, "en", "s", 1) for i, t in enumerate(own)]
+        want.add(3 * g)
+    assert {r.doc_id for r in S.one_of_each_group(frame(spark, data)).collect()} == want
+    _, nodes = S._shingles(*raw_of([r[1] for r in data]), 5)
+    assert len(set(nodes.tolist())) == len(want)
