@@ -185,3 +185,26 @@ def test_texts_of_equal_shingles_are_one_whatever_repeats(spark):
     assert {r.doc_id for r in S.one_of_each_group(frame(spark, data)).collect()} == want
     _, nodes = S._shingles(*raw_of([r[1] for r in data]), 5)
     assert len(set(nodes.tolist())) == len(want)
+
+
+def test_a_similar_pair_stays_whose_sketches_are_far_apart(spark):
+    """One pair in some hundred at 0.8 differs in more than 131 of the sketch's 1024 bits."""
+    for seed in range(5000):
+        rng = random.Random(seed)
+        base = [f"k{rng.randrange(10**6)}" for _ in range(44)]
+        texts = [" ".join(base), " ".join(base[:36])]  # 32 of 40 shingles
+        x, y = S._shingles(*raw_of(texts), 5)[0]
+        if int(np.bitwise_count((S.sketch(x) ^ S.sketch(y)).view(np.uint64)).sum()) > 131:
+            break
+    assert jaccard(*texts) == 0.8 and seed < 4999
+    data = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    assert [r.doc_id for r in S.one_of_each_group(frame(spark, data)).collect()] == [0]
+
+
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(5)
+    for n, k in ((10, 0), (300, 3), (300, 60), (5000, 900)):
+        a = np.unique(rng.integers(-(2**63), 2**63, n + k))
+        x, y = a[:n], a[k:]
+        apart = int(np.bitwise_count((S.parities(x) ^ S.parities(y)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(x, y)) and (k > 0) == (apart > 0)
