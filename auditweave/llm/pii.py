@@ -11,7 +11,8 @@ groups), ip (four octets of up to 255; reserved first octets 0, 127 and 255 are
 email (letters and digits of the local part), secret (hexadecimal strings of 32 or more that a key or token name precedes).
 
 Defined results: null texts stay null, with nothing found; where findings overlap the first in the text wins, of those
-that begin together the kind named first above; digits inside words or longer numbers are left; rows that repeat are each mapped;
+that begin together the kind named first above (of cards the longest), and what isn't valid hides no other. Where numbers adjoin
+the text alone may not map back: a pseudonym and what follows can pass as a card by chance, `found` tells the places; digits inside words or longer numbers are left; rows that repeat are each mapped;
 an empty table gives no rows; other columns stay as they are.
 """
 
@@ -218,14 +219,16 @@ def secret(text, cipher, back):
 
 
 KINDS = {"card": card, "iban": iban, "phone": phone, "ssn": ssn, "ip": ip, "date": date, "email": email, "secret": secret}
-#: Formats that begin with a digit, a plus or a parenthesis.
-NUMBERS = re.compile(
-    r"(?<![\w.,+-])(?:(?P<card>\d(?:[ -]?\d){12,18}(?![\w-]))"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\w-])|\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
-    r"|(?P<date>(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-])))"
-)
+#: Where formats that begin with a digit, a plus or a parenthesis may start, and what each looks like there.
+START = re.compile(r"(?<![\w.,+-])(?:\d|\+\d|\(\d)")
+CARD = re.compile(r"\d(?:[ -]?\d){12,18}")
+NUMBERS = {
+    "phone": re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\w-])|\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
+    "ssn": re.compile(r"\d{3}-\d{2}-\d{4}(?![\w-])"),
+    "ip": re.compile(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"),
+    "date": re.compile(r"(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-])"),
+}
+MORE = re.compile(r"[\w-]")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 LOCAL, HOST = re.compile(r"[A-Za-z0-9._%+'À-ɏ-]+\Z"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?!\w)")
 SECRET = re.compile(r"(?i:key|token|secret|password|passwd|pwd)\w*[\"']?\s*[:=]\s*[\"']?(?P<secret>[0-9a-fA-F]{32,})(?!\w)")
@@ -242,8 +245,16 @@ def candidates(text: str):
                 yield local.start(), host.end(), "email"
             at = text.find("@", at + 1)
     if DIGIT.search(text):
-        for m in NUMBERS.finditer(text):
-            yield m.start(), m.end(), m.lastgroup
+        for start in START.finditer(text):  # all kinds from every start: what isn't valid hides nothing
+            at = start.start()
+            if m := CARD.match(text, at):
+                ends = [at + i + 1 for i, c in enumerate(m[0]) if c.isdigit()]
+                for end in reversed(ends[12:]):  # the longest first
+                    if not MORE.match(text, end):
+                        yield at, end, "card"
+            for kind, look in NUMBERS.items():
+                if m := look.match(text, at):
+                    yield at, m.end(), kind
         if CAPITALS.search(text):
             for m in IBAN.finditer(text):
                 yield m.start(), m.end(), "iban"

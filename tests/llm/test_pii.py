@@ -71,3 +71,11 @@ def test_frame(spark):
     back = {r.doc_id: r.text for r in P.mask(got, b"k", back=True).collect()}
     assert back[901] == data[-1][1]
     assert P.mask(frame(spark, []), b"k").count() == 0
+
+
+def test_a_rejected_card_hides_nothing():
+    for text, want in (
+        ("123-45-6789 219-09-9999", ["ssn", "ssn"]), ("078-05-1120 1985-03-14", ["ssn", "date"]), ("415-555-2671 2024-01-15", ["phone", "date"]),
+        ("1985-03-14 2024-01-15", ["date", "date"]), ("paid 2024-01-15 4111 1111 1111 1111", ["date", "card"]), ("4111 1111 1111 1111 123", ["card"]),
+    ):
+        assert kinds(text) == want, text
