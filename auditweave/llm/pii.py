@@ -133,12 +133,14 @@ def iban(text, cipher, back):
     return "".join(c if c == " " else next(it) for c in text)
 
 
+#: Country codes of compact numbers: one digit, two, or else three.
+COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+
+
 def phone(text, cipher, back):
     own = text
     if text.startswith("+"):
-        code = re.match(r"\+\d{1,3}(?=\D)", text)
-        if not code:
-            return None
+        code = re.match(r"\+\d{1,3}(?=\D)", text) or COUNTRY.match(text)
         own = text[code.end() :]
     d = only_digits(own)
     if not 7 <= len(d) <= 12:
@@ -223,7 +225,7 @@ KINDS = {"card": card, "iban": iban, "phone": phone, "ssn": ssn, "ip": ip, "date
 START = re.compile(r"(?<![\w.,+-])(?:\d|\+\d|\(\d)")
 CARD = re.compile(r"\d(?:[ -]?\d){12,18}")
 NUMBERS = {
-    "phone": re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\w-])|\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
+    "phone": re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\w-])|\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"),
     "ssn": re.compile(r"\d{3}-\d{2}-\d{4}(?![\w-])"),
     "ip": re.compile(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"),
     "date": re.compile(r"(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-])"),

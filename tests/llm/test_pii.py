@@ -79,3 +79,10 @@ def test_a_rejected_card_hides_nothing():
         ("1985-03-14 2024-01-15", ["date", "date"]), ("paid 2024-01-15 4111 1111 1111 1111", ["date", "card"]), ("4111 1111 1111 1111 123", ["card"]),
     ):
         assert kinds(text) == want, text
+
+
+def test_compact_and_spaced_phones():
+    for value, code in (("+14155552671", "+1"), ("+442079460958", "+44"), ("+353861234567", "+353"), ("415 555 2671", "")):
+        new, found = P.pseudonymise(f"call {value} now", KEY)
+        assert [f["kind"] for f in found] == ["phone"] and value not in new and found[0]["pseudonym"].startswith(code), value
+        assert P.pseudonymise(new, KEY, back=True)[0] == f"call {value} now"
