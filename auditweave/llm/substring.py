@@ -12,9 +12,11 @@ phrase is a run of windows with the same anchor. Equal windows have equal anchor
 3. Factor boundaries: where phrases of one anchor differ, a factor ends inside the phrase. There the windows are checked one by
    one: (anchor, window hash) is counted over all documents, and windows that occur again are factors too.
 
-Words covered by a factor are duplicate spans. Every count is pre-aggregated before its shuffle, and counts go back to
-places by joins of plain exchanges, which adaptive execution can split, so a passage that a third of all documents share
-is no hot task. Hash equality is on 64 bits of the anchor and 64 more of the phrase or window.
+Words covered by a factor are duplicate spans. Windows to check and windows found are bits, 64 to a number and row, united
+by bit_or: what a row needs is linear in its words however often the row itself is repeated. Every count is pre-aggregated
+before its shuffle, and counts go back to places by joins of plain exchanges, which adaptive execution can split, so a
+passage that a third of all documents share is no hot task. A text beyond PART_BYTES is worked on in parts that
+overlap by a window less one word. Hash equality is on 128 bits for phrases (anchor and phrase), on 96 for windows.
 
 Defined results: a null or empty text has no words; texts shorter than a window stay whole; all copies
 of a passage are removed, the first as well; repeats within a document and repeated rows count; rows of one
@@ -25,6 +27,7 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,43 @@ from .wordhash import BLANK_SEPARATED, mix, run_hash, run_sums, sliding_min, wor
 
 #: Words in an anchor; shorter ones are fewer, but more of them are chance repeats.
 ANCHOR = 12
-PLACE_BITS = 24
+#: Bytes of text worked on at once; what a task holds is some 70 times as much.
+PART_BYTES = 1 << 20
+PLACE_BITS = 24  # a part has fewer words than 2**24
+
+
+def parts(batches: Iterator[pa.RecordBatch], window: int, most: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(rows, bytes, offsets, first, last): whole texts, each with first = 0, or a part of one text beyond `most` bytes.
+
+    Parts overlap by window - 1 words, so that each window stands in one; first is the number of the part's first word, last tells
+    a text's last part."""
+    for rows, raw, offs in chunks(batches, most=most):
+        if len(raw) <= most:
+            yield rows, raw, offs, np.zeros(rows.num_rows, np.int64), True
+            continue
+        at = first = 0
+        size = most
+        while True:
+            to = at + size
+            while to < len(raw):  # a part ends at a blank
+                blank = np.flatnonzero(BLANK_SEPARATED[raw[to : to + most]] == 0)
+                if len(blank):
+                    to += int(blank[0])
+                    break
+                to += most
+            to = min(to, len(raw))
+            starts, _, _ = words(raw[at:to], np.array([0, to - at]), BLANK_SEPARATED)
+            if to < len(raw) and len(starts) < 2 * window:  # huge words: longer parts
+                size *= 2
+                continue
+            yield rows, raw[at:to], np.array([0, to - at]), np.array([first]), to == len(raw)
+            if to == len(raw):
+                break
+            new, size = len(starts) - (window - 1), most
+            first += new
+            at = at + int(starts[new]) if new < len(starts) else to
+
+
 
 
 class Parse:
@@ -84,87 +123,156 @@ def keyed(docs: DataFrame) -> DataFrame:
 PHRASES = "doc long, row long, begin int, windows int, anchor long, phrase long"
 
 
-def phrases(texts: DataFrame, window: int) -> DataFrame:
+def phrases(texts: DataFrame, window: int, most: int = PART_BYTES) -> DataFrame:
     def run(batches):
-        for rows, raw, offs in chunks(batches):
+        for rows, raw, offs, before, _ in parts(batches, window, most):
             p = Parse(raw, offs, window)
             own = pa.array(p.text)
-            yield pa.record_batch([*[rows.column(c).take(own) for c in ROW], pa.array(p.begin, pa.int32()), pa.array(p.windows, pa.int32()), pa.array(signed(p.anchor)), pa.array(signed(p.phrase))], names=[*ROW, "begin", "windows", "anchor", "phrase"])
+            columns = [
+                *[rows.column(c).take(own) for c in ROW],
+                pa.array(p.begin + before[p.text], pa.int32()), pa.array(p.windows, pa.int32()),
+                pa.array(signed(p.anchor)), pa.array(signed(p.phrase)),
+            ]
+            yield pa.record_batch(columns, names=[*ROW, "begin", "windows", "anchor", "phrase"])
 
     return texts.select(*ROW, "text").mapInArrow(run, PHRASES)
 
 
-def _boundary_windows(texts: DataFrame, open_phrases: DataFrame, window: int) -> DataFrame:
-    """(doc, row, at, anchor, hash) for every window of the open phrases."""
-    by_row = open_phrases.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("begin", "windows", "anchor"))).alias("open"))
+def in_blocks(runs: DataFrame, *more: str) -> DataFrame:
+    """(doc, row, block, bits and the columns in more) of runs (doc, row, begin, windows): bit i of a block is window 64 * block + i."""
+    end = F.col("begin") + F.col("windows") - 1
+    spread = runs.select(*ROW, *more, "begin", end.alias("end"), F.explode(F.sequence(F.shiftright("begin", 6), F.shiftright(end, 6))).alias("block"))
+    low, high = F.greatest(F.col("begin") - F.col("block") * 64, F.lit(0)), F.least(F.col("end") - F.col("block") * 64, F.lit(63))
+    bits = F.expr("shiftleft(shiftrightunsigned(-1L, 63 - (high - low)), low)")
+    return spread.select("*", low.alias("low"), high.alias("high")).select(*ROW, *more, "block", bits.alias("bits"))
+
+
+def bits_at(lists: pa.ListArray, column: str, first: np.ndarray, n: np.ndarray, reach: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(text, window) of the bits that are set in lists of (block, bits), a list for each text, less those that neither are in
+    first ... first + n of their text nor stand up to `reach` before."""
+    flat = lists.flatten()
+    block, bits = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("block", column))
+    text = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    block = block.astype(np.int64) * 64
+    use = (block + 63 >= first[text] - reach) & (block < first[text] + n[text])
+    text, block, bits = text[use], block[use], bits[use].astype(np.int64)
+    i, bit = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    at, text = block[i] + bit, text[i]
+    use = (at >= first[text] - reach) & (at < first[text] + n[text])
+    return text[use], at[use]
+
+
+def _boundary_windows(texts: DataFrame, lists: DataFrame, window: int, most: int) -> DataFrame:
+    """(doc, row, at, hash, more) for every open window."""
 
     def run(batches):
-        for rows, raw, offs in chunks(batches):
+        for rows, raw, offs, before, _ in parts(batches, window, most):
             starts, ends, first = words(raw, offs, BLANK_SEPARATED)
-            sums = run_sums(word_hashes(raw, starts, ends), 1)
-            lists = rows.column("open")
-            flat = lists.flatten()
-            begin, windows = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("begin", "windows"))
-            text = np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            phrase = np.repeat(np.arange(len(begin)), windows)
-            at = begin[phrase] + np.arange(len(phrase)) - np.repeat(np.cumsum(windows) - windows, windows)
-            word = at + first[text[phrase]]
-            own = pa.array(text[phrase])
-            yield pa.record_batch([*[rows.column(c).take(own) for c in ROW], pa.array(at, pa.int32()), flat.field("anchor").take(pa.array(phrase)), pa.array(signed(run_hash(sums, word, word + window, 1)))], names=[*ROW, "at", "anchor", "hash"])
-
-    return texts.select(*ROW, "text").join(by_row, ROW).mapInArrow(run, "doc long, row long, at int, anchor long, hash long")
-
-
-def factors(texts: DataFrame, window: int) -> DataFrame:
-    """Duplicate runs of windows: doc, row, begin, windows."""
-    found = phrases(texts, window)
-    index = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("phrase").alias("least"), F.max("phrase").alias("most")).filter("n > 1")
-    index = materialize(index.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "index")
-    known = materialize(found.join(index.hint("merge"), "anchor").select(*ROW, "begin", "windows", "anchor", "mixed"), "factors")
-    checked = materialize(_boundary_windows(texts, known.filter("mixed"), window), "windows")
-    again = materialize(checked.groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "hash"), "again")
-    edges = checked.join(again.hint("merge"), ["anchor", "hash"]).select(*ROW, F.col("at").alias("begin"), F.lit(1).alias("windows"))
-    return known.filter("not mixed").select(*ROW, "begin", "windows").unionByName(edges)
-
+            hashes = word_hashes(raw, starts, ends)
+            text, at = bits_at(rows.column("open"), "open", before, np.maximum(np.diff(first) - window + 1, 0))
+            word = first[text] + at - before[text]
+            one, two = (run_hash(run_sums(hashes, base), word, word + window, base) for base in (1, 2))
+            own = pa.array(text)
+            more = pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            columns = [*[rows.column(c).take(own) for c in ROW], pa.array(at, pa.int32()), pa.array(signed(one)), more]
+            yield pa.record_batch(columns, names=[*ROW, "at", "hash", "more"])
 
-def covered(begin: list[int], count: list[int], n: int, window: int) -> np.ndarray:
-    """Which of n words are in some duplicate window."""
-    edge = np.zeros(n + 1, np.int64)
-    b = np.asarray(begin, np.int64)
-    np.add.at(edge, b, 1)
-    np.add.at(edge, b + np.asarray(count, np.int64) + window - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return texts.select(*ROW, "text").join(lists, ROW).mapInArrow(run, "doc long, row long, at int, hash long, more int")
 
 
-def deduplicate(docs: DataFrame, window: int = 35, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, and with_text the kept words, joined by a space, and the spans removed."""
+def factors(texts: DataFrame, window: int, most: int = PART_BYTES) -> DataFrame:
+    """Duplicate windows: doc, row, block, bits."""
+    found = phrases(texts, window, most)
+    index = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("phrase").alias("least"), F.max("phrase").alias("most")).filter("n > 1")
+    index = materialize(index.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "index")
+    known = in_blocks(found.join(index.hint("merge"), "anchor"), "mixed")
+    of = lambda mixed: F.bit_or(F.when(F.col("mixed") == F.lit(mixed), F.col("bits")).otherwise(F.lit(0).cast("long")))
+    blocks = materialize(known.groupBy(*ROW, "block").agg(of(False).alias("bits"), of(True).alias("open")), "blocks")
+    lists = blocks.filter("open <> 0").groupBy(*ROW).agg(F.collect_list(F.struct("block", "open")).alias("open"))
+    checked = materialize(_boundary_windows(texts, lists, window, most), "windows")
+    again = materialize(checked.groupBy("hash", "more").agg(F.count("*").alias("n")).filter("n > 1").select("hash", "more"), "again")
+    edges = in_blocks(checked.join(again.hint("merge"), ["hash", "more"], "left_semi").select(*ROW, F.col("at").alias("begin"), F.lit(1).alias("windows")))
+    edges = edges.groupBy(*ROW, "block").agg(F.bit_or("bits").alias("bits"))
+    return blocks.filter("bits <> 0").select(*ROW, "block", "bits").unionByName(edges)
+
+
+def kept_words(raw: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keep: np.ndarray) -> list[bytes]:
+    """The words of each text that `keep` marks, joined by one space."""
+    n = len(offs) - 1
+    apart = np.full(len(raw) + n, 32, np.uint8)  # a blank behind each text
+    apart[np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(offs))] = raw
+    text = np.repeat(np.arange(n), np.diff(first))[keep]
+    a, b = starts[keep] + text, ends[keep] + text
+    edge = np.zeros(len(apart) + 1, np.int8)
+    edge[a] += 1
+    edge[b + 1] -= 1
+    apart[b] = 32
+    out = apart[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)].tobytes()
+    to = np.cumsum(np.bincount(text, b + 1 - a, n)).astype(np.int64).tolist()
+    return [out[p : max(q - 1, p)] for p, q in zip([0, *to[:-1]], to, strict=True)]
+
+
+def spans(hit: np.ndarray, before: int) -> list[dict]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return [{"first": int(a) + before, "words": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
+
+
+class Row:
+    """The result of one document, from its parts in order."""
+
+    def __init__(self):
+        self.digest, self.n_words, self.n_removed, self.texts, self.spans = hashlib.sha256(), 0, 0, [], []
+
+    def add(self, kept: bytes, n_words: int, n_removed: int, spans: list[dict]) -> None:
+        if n_words > n_removed:
+            if self.n_words > self.n_removed:
+                self.digest.update(b" ")
+            self.digest.update(kept)
+        self.n_words += n_words
+        self.n_removed += n_removed
+        if spans and self.spans and (last := self.spans[-1])["first"] + last["words"] == spans[0]["first"]:
+            last["words"] += spans[0]["words"]
+            spans = spans[1:]
+        self.spans += spans
+
+
+def deduplicate(docs: DataFrame, window: int = 35, with_text: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, and with_text the kept words, joined by a space, and the spans removed.
+
+    part_bytes: longer texts are worked on in parts; the result is the same."""
     arrow_limits(docs.sparkSession)
     texts, since = keyed(docs), mark()
-    runs = materialize(factors(texts, window).groupBy(*ROW).agg(F.collect_list("begin").alias("begin"), F.collect_list("windows").alias("windows")), "runs")
+    found = materialize(factors(texts, window, part_bytes).groupBy(*ROW).agg(F.collect_list(F.struct("block", "bits")).alias("found")), "found")
     release(docs.sparkSession, since)
 
     def run(batches):
-        for rows, raw, offs in chunks(batches):
-            data, at = raw.tobytes(), offs.tolist()
-            n_words, n_removed, digests, texts_kept, spans = [], [], [], [], []
-            for i, (begin, windows) in enumerate(zip(rows.column("begin").to_pylist(), rows.column("windows").to_pylist(), strict=True)):
-                own = data[at[i] : at[i + 1]].split()
-                gone, left = 0, own
-                cuts = []
-                if begin:
-                    hit = covered(begin, windows, len(own), window)
-                    gone, left = int(hit.sum()), [own[j] for j in np.flatnonzero(~hit)]
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    cuts = [{"first": int(a), "words": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                text = b" ".join(left)
-                n_words.append(len(own))
-                n_removed.append(gone)
-                digests.append(hashlib.sha256(text).hexdigest())
+        whole = Row()
+        for rows, raw, offs, before, last in parts(batches, 1, part_bytes):
+            starts, ends, first = words(raw, offs, BLANK_SEPARATED)
+            many = np.diff(first)
+            text, at = bits_at(rows.column("found"), "bits", before, many, window - 1)
+            at -= before[text]
+            begin, end = first[text] + np.maximum(at, 0), first[text] + np.minimum(at + window, many[text])
+            hit = np.cumsum(np.bincount(begin, minlength=len(starts) + 1) - np.bincount(end, minlength=len(starts) + 1))[:-1] > 0
+            gone = np.concatenate([[0], np.cumsum(hit)])
+            results = []
+            for i, kept in enumerate(kept_words(raw, offs, starts, ends, first, ~hit)):
+                a, b = first[i], first[i + 1]
+                whole.add(kept, int(b - a), int(gone[b] - gone[a]), spans(hit[a:b], int(before[i])) if with_text and gone[b] > gone[a] else [])
+                if with_text and b - a > gone[b] - gone[a]:
+                    whole.texts.append(kept.decode())
+                if last:
+                    results.append(whole)
+                    whole = Row()
+            if last:
+                columns = [pa.array([r.n_words for r in results], pa.int64()), pa.array([r.n_removed for r in results], pa.int64()), pa.array([r.digest.hexdigest() for r in results])]
                 if with_text:
-                    texts_kept.append(text.decode())
-                    spans.append(cuts)
-            extra = [pa.array(texts_kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])))] if with_text else []
-            yield pa.record_batch([rows.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), *extra], names=["doc_id", "n_words", "n_removed", "kept_sha256", *(["text", "removed"] if with_text else [])])
+                    columns += [pa.array([" ".join(r.texts) for r in results], pa.string()), pa.array([r.spans for r in results], SPANS)]
+                names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text", "removed"]
+                yield pa.record_batch([rows.column("doc_id"), *columns], names=names[: len(columns) + 1])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string, removed array<struct<first:long, words:long>>" * with_text
-    return texts.join(runs, ROW, "left").select("doc_id", "text", "begin", "windows").mapInArrow(run, schema)
+    return texts.join(found, ROW, "left").select("doc_id", "text", "found").mapInArrow(run, schema)

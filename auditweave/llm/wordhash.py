@@ -9,7 +9,9 @@ from __future__ import annotations
 import numpy as np
 
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
+#: Powers of the bases; tables of up to KEPT_POWERS numbers are kept by a worker.
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+KEPT_POWERS = 1 << 21
 
 
 def byte_class(excluded: list[tuple[int, int]]) -> np.ndarray:
@@ -37,7 +39,9 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, x, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        known = _powers[base] = (out[0], out[1])
+        known = out[0], out[1]
+        if size <= KEPT_POWERS:
+            _powers[base] = known
     return known
 
 

@@ -1,11 +1,15 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from auditweave.llm.substring import deduplicate
+from auditweave.llm.substring import Parse, deduplicate, factors, keyed, parts
 
 from .helpers import frame, rows
 
@@ -49,6 +53,44 @@ def test_matches_brute_force(spark, window):
     assert sum(r[2] for r in want) > 500
 
 
+@pytest.mark.parametrize("part_bytes", [1, 90, 700])
+def test_texts_in_parts_give_the_same(spark, part_bytes):
+    data = rows() + passages(3) + [(5000, "same " * 200, "en", "s", 1), (5002, "é" * 300 + " " + "x y " * 60, "en", "s", 1)]
+    got = sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.text) for r in deduplicate(frame(spark, data), 6, True, part_bytes).collect()], key=repr)
+    assert got == brute(data, 6)
+    for r in deduplicate(frame(spark, passages(3)), 35, True, part_bytes).collect():
+        assert sum(s.words for s in r.removed) == r.n_removed and all(s.words >= 35 for s in r.removed)
+
+
+def test_repeated_rows_cost_no_more_than_each_a_list(spark):
+    """1000 equal rows without an id, one of their passages with another ending elsewhere: the windows to check are those of a row for each."""
+    text = " ".join(f"w{i}" for i in range(200))
+    data = [(None, text, "en", "s", 1)] * 1000 + [(1, " ".join(f"w{i}" for i in range(150)) + " other end", "en", "s", 1)]
+    texts = keyed(frame(spark, data))
+    lists = factors(texts, 35).groupBy("doc", "row").agg(F.count("*").alias("n")).collect()
+    assert len(lists) == 2 and max(r.n for r in lists) <= 2 * 4
+    got = {(r.doc_id, r.n_words, r.n_removed) for r in deduplicate(frame(spark, data)).collect()}
+    assert got == {(None, 200, 200), (1, 152, 150)}
+
+
+def test_text_of_megabytes_in_bounded_memory(spark):
+    """Two texts of 20 MB that share 2 MB; a process of its own tells the memory that one of them takes."""
+    rng = random.Random(3)
+    tail = " ".join(f"s{rng.randrange(10**9)}" for _ in range(200_000))
+    one, two = (" ".join(f"{c}{rng.randrange(10**9)}" for _ in range(1_900_000)) for c in "ab")
+    data = [(1, one + " " + tail, "en", "s", 1), (2, two + "\n" + tail + " .", "en", "s", 1)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in deduplicate(frame(spark, data)).collect()}
+    assert got == {1: (2_100_000, 200_000), 2: (2_100_001, 200_000)}
+    tracemalloc.start()
+    raw = np.frombuffer(data[0][1].encode(), np.uint8)
+    batch = pa.record_batch([pa.array([data[0][1]])], names=["text"])
+    for _, part, offs, _, _ in parts(iter([batch]), 35):
+        Parse(part, offs, 35)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(raw) > 20_000_000 and peak < 200_000_000
+
+
 def test_spans_name_the_removed_words(spark):
     for r in deduplicate(frame(spark, passages(2)), with_text=True).collect():
         assert sum(s.words for s in r.removed) == r.n_removed and all(s.words >= 35 for s in r.removed)
