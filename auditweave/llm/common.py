@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..storage import fresh_path, mark, materialize, release, shared_dir
+from .wordhash import BLANK_SEPARATED, words
 
 __all__ = ["fresh_path", "mark", "materialize", "release", "shared_dir"]
 
@@ -25,6 +27,23 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session (dots as two underscores) for as long as the block lasts."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,6 +79,42 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
+#: Bytes of text worked on at once; what a task holds is some 70 times as much.
+PART_BYTES = 1 << 20
+
+
+def parts(batches: Iterator[pa.RecordBatch], window: int, most: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(rows, bytes, offsets, first, last): whole texts, each with first = 0, or a part of one text beyond `most` bytes.
+
+    Parts overlap by window - 1 words, so that each window stands in one; first is the number of the part's first word, last tells
+    a text's last part."""
+    for rows, raw, offs in chunks(batches, most=most):
+        if len(raw) <= most:
+            yield rows, raw, offs, np.zeros(rows.num_rows, np.int64), True
+            continue
+        at = first = 0
+        size = most
+        while True:
+            to = at + size
+            while to < len(raw):  # a part ends at a blank
+                blank = np.flatnonzero(BLANK_SEPARATED[raw[to : to + most]] == 0)
+                if len(blank):
+                    to += int(blank[0])
+                    break
+                to += most
+            to = min(to, len(raw))
+            starts, _, _ = words(raw[at:to], np.array([0, to - at]), BLANK_SEPARATED)
+            if to < len(raw) and len(starts) < 2 * window:  # huge words: longer parts
+                size *= 2
+                continue
+            yield rows, raw[at:to], np.array([0, to - at]), np.array([first]), to == len(raw)
+            if to == len(raw):
+                break
+            new, size = len(starts) - (window - 1), most
+            first += new
+            at = at + int(starts[new]) if new < len(starts) else to
+
+
 def longs(column: pa.Array) -> np.ndarray:
     """A long column as int64; nulls read as the smallest value (use is_null for them)."""
     return pc.fill_null(column, -(1 << 63)).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -69,9 +124,40 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+#: What tells a row from others: its id (the smallest long for null) and a hash of its text. Rows that repeat have the same.
+KEY = ["doc", "row"]
+
+
+def with_key(docs: DataFrame, names: list[str] = KEY) -> DataFrame:
+    """docs with the columns of KEY, under other names if need be."""
+    doc, row = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.withColumns(dict(zip(names, (doc, row), strict=True)))
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, longer by underscores where docs has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def columns(docs: DataFrame) -> list[F.Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs whose key isn't in rows (doc, row)."""
+    own = unused(docs, *KEY)
+    return with_key(docs, own).join(rows.select(*[F.col(k).alias(c) for k, c in zip(KEY, own, strict=True)]), own, "left_anti").select(*columns(docs))
+
+
 def only_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of docs with a key in rows (doc: the id, the smallest long for null; row: xxhash64 of the text), one for each key."""
-    own = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = own.join(rows.select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct(), ["__doc", "__row"])
-    once = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__doc", "__row").orderBy(F.lit(0))))
-    return once.filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs with a key in rows (doc, row), one for each key."""
+    *own, place = unused(docs, *KEY, "place")
+    joined = with_key(docs, own).join(rows.select(*[F.col(k).alias(c) for k, c in zip(KEY, own, strict=True)]).distinct(), own)
+    once = joined.withColumn(place, F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0))))
+    return once.filter(F.col(place) == 1).select(*columns(docs))

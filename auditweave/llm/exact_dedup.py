@@ -1,8 +1,9 @@
 """Exact dedup against a persistent digest index, bucketed and sorted by hash.
 
-The index is a table bucketed and sorted by the SHA-256 of the text, so the anti-join of a
-new batch against it is a sort-merge join that neither shuffles nor sorts the index. Texts
-never move: only digests and ids are shuffled.
+The index is a table bucketed and sorted by the SHA-256 of the text; a new batch is deduplicated by a sort-merge
+anti-join against it and what is new is appended. The index is never shuffled. A bucket of one file, as a new or compacted index
+has it, isn't sorted either; after an append a bucket has several files and is sorted by its task, until MOST_APPENDS
+of them are compacted to one. Texts never move: only digests and ids are shuffled.
 
 Defined results: a null text counts as empty; equal texts are byte-identical. Of equal texts
 in a batch the largest doc_id stays, null ids lose against any other id, and where all ids
@@ -13,14 +14,20 @@ whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import fresh_path, materialize
+from .common import columns, fresh_path, mark, materialize, release, settings, unused
 
 SALTS = 64
+#: Appends after which the buckets' files are merged.
+MOST_APPENDS = 8
 SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("keep_id", T.LongType()), T.StructField("n_rows", T.LongType())])
 
 
@@ -29,28 +36,103 @@ def digest(text: F.Column) -> F.Column:
 
 
 class DigestIndex:
-    """A table (digest, keep_id, n_rows) at `path`, bucketed and sorted by digest.
+    """A table (digest, keep_id, n_rows) in the folder `path`, bucketed and sorted by digest.
+
+    The folder has a file `index.json` (number of buckets, the folder of the table, appends to it), which is replaced
+    when all else is written; whoever opens the path again, in this session or another, finds the same index.
 
     buckets: fixed when the index is made. A bucket is read by one task: take as many as give
     some 100 MB each (16 serve 30 million texts; 100 TB of text want some 16,000).
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = "digest_index_" + path.rstrip("/").rpartition("/")[2].replace("-", "_")
-        if not spark.catalog.tableExists(self.name):
-            fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SCHEMA.fields)
-            spark.sql(f"CREATE TABLE {self.name} ({fields}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
+        self.spark, jvm, conf = spark, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = jvm.org.apache.hadoop.fs.Path
+        given = self._path(path)
+        self._files = given.getFileSystem(conf)
+        self.path = self._files.makeQualified(given).toString().rstrip("/")
+        self.state = self._read()
+        if self.state is None:
+            self._write({"buckets": buckets, "table": "t" + uuid.uuid4().hex, "appends": 0})
+        self._register()
+
+    def _read(self) -> dict | None:
+        at = self._path(f"{self.path}/index.json")
+        if not self._files.exists(at):
+            return None
+        stream = self._files.open(at)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _write(self, state: dict) -> None:
+        """The new state, put in place by renaming."""
+        old, new = self._path(f"{self.path}/index.json"), self._path(f"{self.path}/index.{uuid.uuid4().hex}")
+        stream = self._files.create(new, True)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        self._files.delete(old, False)
+        if not self._files.rename(new, old):
+            raise OSError(f"{new} can't be renamed")
+        self.state = state
+
+    @property
+    def buckets(self) -> int:
+        return self.state["buckets"]
+
+    @property
+    def location(self) -> str:
+        return f"{self.path}/{self.state['table']}"
+
+    @property
+    def name(self) -> str:
+        """The table's name in the catalogue: as the whole path says, not its last folder."""
+        return "digest_index_" + hashlib.sha256(self.location.encode()).hexdigest()[:32]
+
+    def _register(self) -> None:
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SCHEMA.fields)
+        quoted = self.location.replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({fields}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{quoted}'")
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def _append(self, rows: DataFrame) -> None:
+        writer = rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append")
+        writer.option("path", self.location).saveAsTable(self.name)
+
+    def missing(self, groups: DataFrame) -> DataFrame:
+        """The groups whose digest the index lacks: a sort-merge anti-join to which the index comes as it lies."""
+        return groups.repartition(self.buckets, "digest").join(self.rows().select("digest").hint("merge"), "digest", "left_anti").select("digest", "keep_id", "n_rows")
+
     def add(self, groups: DataFrame) -> None:
         """Appends the groups whose digest the index lacks."""
-        known = self.rows().select("digest")
-        new = groups.repartition(self.buckets, "digest").join(known.hint("merge"), "digest", "left_anti")
-        new = materialize(new.select("digest", "keep_id", "n_rows"), "digests-new")  # the table isn't read while it is written
-        new.repartition(self.buckets, "digest").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").option("path", self.path).saveAsTable(self.name)
+        since = mark()
+        with settings(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
+            new = materialize(self.missing(groups), "digests-new")  # the table isn't read while it is written
+        self._append(new.repartition(self.buckets, "digest"))
+        release(self.spark, since, keep=0)
+        self._write(self.state | {"appends": self.state["appends"] + 1})
+        if self.state["appends"] > MOST_APPENDS:
+            self.compact()
+
+    def compact(self) -> None:
+        """Writes the index anew with one sorted file for each bucket, without a shuffle, and drops the old files."""
+        old_name, old = self.name, self.location
+        rows = self.rows()
+        self.state = self.state | {"table": "t" + uuid.uuid4().hex, "appends": 1}
+        self._register()
+        with settings(self.spark, spark__sql__sources__bucketing__autoBucketedScan__enabled="false"):
+            self._append(rows)
+        self._write(self.state)
+        self.spark.sql(f"DROP TABLE {old_name}")
+        self._files.delete(self._path(old), True)
+
+    def drop(self) -> None:
+        """Deletes the index."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self._files.delete(self._path(self.path), True)
 
     def deduplicate(self, docs: DataFrame) -> DataFrame:
         """Adds the batch to the index; a row per document: doc_id, digest, keep_id, group_size, kept.
@@ -59,6 +141,7 @@ class DigestIndex:
         A hot digest is cut into SALTS parts by id: counts and largest ids are taken per part,
         then per digest, and go back to the parts, so no join key has more than 1/SALTS of a group.
         """
+        since = mark()
         marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"))
         marked = materialize(marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "digests")
         parts = marked.groupBy("digest", "salt").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n_rows"))
@@ -67,25 +150,32 @@ class DigestIndex:
         self.add(groups)
         stays = self.rows().select("digest", "keep_id")
         sized = groups.select("digest", F.col("n_rows").alias("group_size")).join(stays.hint("merge"), "digest")
-        by_part = parts.select("digest", "salt").join(sized, "digest")
-        return (
-            marked.join(by_part.hint("merge"), ["digest", "salt"])
-            .select("doc_id", "digest", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"))
-        )
+        by_part = materialize(parts.select("digest", "salt").join(sized, "digest"), "digest-parts")
+        kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept")
+        out = materialize(marked.join(by_part.hint("merge"), ["digest", "salt"]).select("doc_id", "digest", "keep_id", "group_size", kept), "decisions")
+        release(self.spark, since)
+        return out
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """Decisions for every row of docs, against `index` or against a new one."""
-    spark = docs.sparkSession
-    return (index or DigestIndex(spark, fresh_path(spark, "index"))).deduplicate(docs)
+    """Decisions for every row of docs, against `index` or against a new one, which goes afterwards."""
+    if index:
+        return index.deduplicate(docs)
+    index = DigestIndex(docs.sparkSession, fresh_path(docs.sparkSession, "index"))
+    try:
+        return index.deduplicate(docs)
+    finally:
+        index.drop()
 
 
 def first_rows(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of docs that stay, one for each text, with the columns of docs.
 
     Rows that repeat both id and text count as one."""
-    kept = exact_dedup(docs, index).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    hashed = docs.withColumn("__key", digest(F.col("text"))).withColumn("__doc", F.col("doc_id").cast("long"))
-    joined = hashed.join(kept, (F.col("__key") == F.col("__digest")) & F.col("__doc").eqNullSafe(F.col("__id")))
-    once = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__key", "__doc").orderBy(F.lit(0))))
-    return once.filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, place = unused(docs, "digest", "doc"), unused(docs, "place")[0]
+    least = F.lit(-(1 << 63))
+    keys = (digest(F.col("text")), F.coalesce(F.col("doc_id").cast("long"), least))
+    kept = exact_dedup(docs, index).filter("kept").select(F.col("digest").alias(own[0]), F.coalesce("doc_id", least).alias(own[1])).distinct()
+    joined = docs.withColumns(dict(zip(own, keys, strict=True))).join(kept, own)
+    once = joined.withColumn(place, F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0))))
+    return once.filter(F.col(place) == 1).select(*columns(docs))

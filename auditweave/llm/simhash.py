@@ -8,8 +8,9 @@ the small Hamming ball around each segment's value is enumerated, table matches
 equi-join and their complete distance is verified inside the join. A pair is emitted at the first
 segment that finds it only, so every link comes out once.
 
-Documents with equal fingerprints are one node. Links stream from the join into a spanning forest
-within the same task, so that a dense group of near copies is neither shuffled nor stored pair by pair.
+Documents with equal fingerprints are one node. Buckets that hold many more nodes than chance gives are dense groups of near
+copies: these are tied first, by comparing nodes with one member of each bucket, and the tied members of a bucket's largest group then
+meet the others only, so that work and links stay linear in the group. Links stream from the join into a spanning forest within the same task.
 
 Defined results: null and empty texts have no shingles and fingerprint zero, which links as any other; a
 text of fewer words than a shingle is one shingle of all its words; repeated shingles
@@ -19,38 +20,37 @@ their own unless an equal or linked fingerprint has an id; extra columns are ign
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, chunks, id_and_text, mark, materialize, only_rows, release, signed
 from ..operators.components import components
-from .wordhash import BLANK_SEPARATED, LOWER, mix, run_hash, run_sums, word_hashes, words
+from .common import PART_BYTES, arrow_limits, id_and_text, mark, materialize, parts, release
 
 BITS = 64
 LANES = np.uint64(0x0101010101010101)
 BLOCK = 4080
 
 
-def majority(digests: bytes) -> bytes:
-    """8 bytes: bit set where more than half of the 8-byte digests have it set."""
-    n = len(digests) // 8
-    if not n:
-        return bytes(8)
+def bit_counts(digests: bytes) -> np.ndarray:
+    """How many of the 8-byte digests have each bit set."""
+    counts = np.zeros((8, 8), np.int64)  # [bit of byte, byte]
     h = np.frombuffer(digests, np.uint64)
-    counts = np.empty((8, 8), np.int64)  # [bit of byte, byte]
-    for j in range(8):
-        lanes = np.add.reduceat((h >> np.uint64(j)) & LANES, np.arange(0, n, 255))  # a byte lane holds up to 255
+    for j in range(8 if len(h) else 0):
+        lanes = np.add.reduceat((h >> np.uint64(j)) & LANES, np.arange(0, len(h), 255))  # a byte lane holds up to 255
         counts[7 - j] = lanes.view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
-    return np.packbits(counts.T.reshape(64) * 2 > n).tobytes()
+    return counts.T.reshape(64)
+
+
+def majority(counts: np.ndarray, n: int) -> bytes:
+    """8 bytes: bit set where more than half of n digests have it set."""
+    return np.packbits(counts * 2 > n).tobytes()
 
 
-def shingle_digests(text: bytes, size: int) -> bytes:
-    """The XXH64 digests (seed 42) of all word shingles of a text, in order."""
+def shingle_digests(text: bytes, size: int, short: bool = True) -> bytes:
+    """The XXH64 digests (seed 42) of all word shingles of a text, in order; short: of fewer words those of the whole sequence."""
     norm = b" ".join(text.lower().split())
     if not norm:
         return b""
@@ -59,22 +59,32 @@ def shingle_digests(text: bytes, size: int) -> bytes:
     ends = [*gaps.tolist(), len(norm)]
     digest = xxhash.xxh64_digest
     if len(starts) < size:
-        return digest(norm, 42)
+        return digest(norm, 42) if short else b""
     return b"".join([digest(norm[a:b], 42) for a, b in zip(starts, ends[size - 1 :])])  # noqa: B905
 
 
 def simhash(text: bytes, size: int) -> bytes:
-    return majority(shingle_digests(text, size))
+    digests = shingle_digests(text, size)
+    return majority(bit_counts(digests), len(digests) // 8)
 
 
-def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id and fp, the fingerprint as a long of the same bits."""
+def fingerprints(docs: DataFrame, size: int = 4, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id and fp, the fingerprint as a long of the same bits. Longer texts than part_bytes are counted in parts."""
     arrow_limits(docs.sparkSession)
 
     def run(batches):
-        for rows, raw, offs in chunks(batches):
+        counts, n = np.zeros(64, np.int64), 0
+        for rows, raw, offs, before, last in parts(batches, size, part_bytes):
             data = raw.tobytes()
-            out = b"".join([simhash(data[a:b], size) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
+            if n or not last:
+                digests = shingle_digests(data, size, False)
+                counts, n = counts + bit_counts(digests), n + len(digests) // 8
+                if not last:
+                    continue
+                out = majority(counts, n)
+                counts, n = np.zeros(64, np.int64), 0
+            else:
+                out = b"".join([simhash(data[a:b], size) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
             yield pa.record_batch([rows.column("doc_id"), pa.array(np.frombuffer(out, ">i8").astype(np.int64))], names=["doc_id", "fp"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
@@ -120,18 +130,34 @@ def ball(segment: int, value: F.Column, flips: list[int]) -> F.Column:
     return F.transform(F.array(*[F.lit(m).cast("long") for m in flips]), lambda m: F.struct(F.lit(segment).alias("segment"), value.bitwiseXOR(m).alias("value"), m.alias("flip")))
 
 
-def links(nodes: DataFrame, distance: int, n: int) -> DataFrame:
+def _entries(nodes: DataFrame, plan: list[tuple[int, int, int]], search: bool) -> DataFrame:
+    """The nodes with (segment, value, flip) for every value in the balls of the search or of the table."""
+    radius = lambda r: r - r // 2 if search else r // 2
+    balls = [ball(i, part(F.col("fp"), s, w), masks(w, radius(r))) for i, (s, w, r) in enumerate(plan)]
+    return nodes.select("*", F.inline(F.concat(*balls)))
+
+
+def links(nodes: DataFrame, distance: int, n: int, tied: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of nodes (node, fp) with fingerprints within `distance`; n: the number of nodes.
     The ball of radius r around a segment's value is enumerated from both ends: the table holds the ball of
     radius r // 2 around its values, the search that of the rest. Of the ways to meet only one counts: the search flips the
     lowest of the bits that differ, as many as it may, and the table the others.
+
+    tied: (node, group) of nodes whose links are known to connect them, and (segment, value, main) of buckets and a group that
+    is large there: members of `main` don't meet each other in the bucket.
     """
     plan = segments(distance, n)
-    value = [part(F.col("fp"), s, w) for s, w, _ in plan]
-    search = F.concat(*[ball(i, v, masks(w, r - r // 2)) for i, (v, (_, w, r)) in enumerate(zip(value, plan, strict=True))])
-    table = F.concat(*[ball(i, v, masks(w, r // 2)) for i, (v, (_, w, r)) in enumerate(zip(value, plan, strict=True))])
-    q = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.inline(search)).alias("q")
-    e = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.inline(table)).alias("e")
+    q, e = _entries(nodes, plan, True), _entries(nodes, plan, False)
+    if tied:
+        groups, main = tied
+        q, e = (x.join(groups, "node", "left").join(main, ["segment", "value"], "left") for x in (q, e))
+        own = F.coalesce(F.col("group") == F.col("main"), F.lit(False))
+        q = q.withColumn("side", F.explode(F.when(F.col("main").isNull() | own, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))))
+        e = e.withColumn("side", F.when(own, 0).otherwise(1))
+    else:
+        q, e = (x.withColumn("side", F.lit(1)) for x in (q, e))
+    q = q.select(F.col("node").alias("a"), F.col("fp").alias("fp_a"), "segment", "value", "flip", "side").alias("q")
+    e = e.select(F.col("node").alias("b"), F.col("fp").alias("fp_b"), "segment", "value", "flip", "side").alias("e")
     differ = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
     first, most = F.lit(len(plan)), F.lit(0)
     for i, (s, w, r) in reversed(list(enumerate(plan))):
@@ -139,252 +165,71 @@ def links(nodes: DataFrame, distance: int, n: int) -> DataFrame:
         most = F.when(F.col("q.segment") == i, F.lit(r - r // 2)).otherwise(most)
     flip, rest = F.col("q.flip"), F.col("e.flip")
     lowest = (rest == 0) | ((F.bit_count(flip) == most) & (flip < rest.bitwiseAND(-rest)))
-    found = q.join(e, (F.col("q.segment") == F.col("e.segment")) & (F.col("q.value") == F.col("e.value")) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & lowest & (first == F.col("q.segment")))
-    return found.select("a", "b")
+    met = (F.col("q.segment") == F.col("e.segment")) & (F.col("q.value") == F.col("e.value"))
+    if tied:
+        met &= F.col("q.side") == F.col("e.side")
+    return q.join(e, met & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & lowest & (first == F.col("q.segment"))).select("a", "b")
+
+
+#: A bucket is dense with DENSE entries and EXCESS times as many as chance gives. Turns of stars go on while the search would look at
+#: WORK pairs for each entry of dense buckets and one in FEW_TIED nodes was tied. All bear on the work alone.
+DENSE, EXCESS, WORK, FEW_TIED = 64, 8, 32, 100
 
 
-def with_neighbours(nodes: DataFrame, distance: int, n: int) -> DataFrame:
-    """The nodes (node, fp) that have another within `distance`: a semi-join, which stops at the first one it meets."""
+def stars(nodes: DataFrame, distance: int, n: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Ties in dense buckets: pairs (a, b) within `distance`, linear in the entries; what links() takes as `tied`. None without dense buckets.
+
+    In each turn every node meets one member of each bucket it is in, drawn by a hash; what is within the distance is tied."""
     plan = segments(distance, n)
-    value = [part(F.col("fp"), s, w) for s, w, _ in plan]
-    search = F.concat(*[ball(i, v, masks(w, r - r // 2)) for i, (v, (_, w, r)) in enumerate(zip(value, plan, strict=True))])
-    table = F.concat(*[ball(i, v, masks(w, r // 2)) for i, (v, (_, w, r)) in enumerate(zip(value, plan, strict=True))])
-    q = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.inline(search)).alias("q")
-    e = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.inline(table)).alias("e")
-    near = (F.col("q.segment") == F.col("e.segment")) & (F.col("q.value") == F.col("e.value")) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance)
-    return nodes.join(q.join(e, near, "left_semi").select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    table = _entries(nodes, plan, False).select("node", "fp", "segment", "value")
+    chance = max(n * ball_size(w, r // 2) / 2**w for _, w, r in plan)
+    dense = materialize(table.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") > max(DENSE, EXCESS * chance)), "dense")
+    if dense.isEmpty():
+        return None
+    entries = materialize(table.join(dense.select("segment", "value"), ["segment", "value"], "left_semi"), "entries")
+    groups = materialize(entries.select("node").distinct().select("node", F.col("node").alias("group")), "groups")
+    many, found, turn = entries.count(), None, 0
+    while True:
+        e = entries.join(groups, "node")
+        one = F.max_by(F.struct("node", "fp", "group"), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
+        picked = e.groupBy("segment", "value").agg(F.min("group").alias("least"), F.max("group").alias("most"), one.alias("one"))
+        picked = materialize(picked.filter("least != most").select("segment", "value", "one.*"), "picked")
+        x, y = e.alias("x"), picked.alias("y").hint("merge")
+        met = (F.col("x.segment") == F.col("y.segment")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.group") != F.col("y.group"))
+        near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance
+        pairs = x.join(y, met & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        pairs = materialize(pairs, "ties")
+        found = pairs if found is None else found.unionByName(pairs)
+        to = materialize(components(found), "tied")
+        before = groups
+        groups = materialize(before.select("node").join(to, "node", "left").select("node", F.coalesce("component", "node").alias("group")), "groups")
+        sizes = entries.join(groups, "node").groupBy("segment", "value", "group").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("segment", "value").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+        main = materialize(main, "main")
+        work = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0]
+        turn += 1
+        if work <= WORK * many or pairs.count() * FEW_TIED < groups.count():
+            return found, groups, main.select("segment", "value", "main")
+
+
+def connected(nodes: DataFrame, distance: int, n: int) -> DataFrame:
+    """(node, component) by the links of nodes (node, fp) within `distance`."""
+    ties = stars(nodes, distance, n)
+    if ties is None:
+        return components(links(nodes, distance, n))
+    found, groups, main = ties
+    return components(links(nodes, distance, n, (groups, main)).unionByName(found))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+    since = mark()
     prints = materialize(fingerprints(docs, size), "prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
-    groups = components(links(nodes.select(F.col("fp").alias("node"), "fp"), distance, nodes.count())).withColumnRenamed("node", "fp").withColumnRenamed("component", "group")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    groups = connected(nodes.select(F.col("fp").alias("node"), "fp"), distance, nodes.count()).withColumnRenamed("node", "fp").withColumnRenamed("component", "group")
     named = materialize(nodes.join(groups, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), "least"), "grouped")
     ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    by_fp = materialize(named.select("fp", "group").join(ids, "group").select("fp", "component_id"), "components")
-    return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# Near duplicates by word shingles: rare shingles find candidates, the share of common shingles decides.
-
-ROW = ["doc", "row"]
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return id_and_text(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("row"), "text")
-
-
-#: Bits of a sketch: each is one bit of the smallest of a shingle set's hashes under a hash function of its own. Of two sets
-#: with similarity J, (1 - J) / 2 of the bits differ. An estimate: no pair is left out by it.
-SKETCH_BITS = 1024
-MULTIPLIERS = mix(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS bits of a set of shingle hashes, as longs."""
-    bits = np.zeros(SKETCH_BITS, np.uint8)
-    if len(shingles):
-        hashes = mix(shingles.view(np.uint64))
-        step = max(1, (1 << 18) // len(hashes))  # products held at once
-        for i in range(0, SKETCH_BITS, step):
-            bits[i : i + step] = (np.multiply.outer(MULTIPLIERS[i : i + step], hashes).min(1) >> np.uint64(17)) & np.uint64(1)
-    return np.packbits(bits).view(np.int64)
-
-
-
-#: Bits of a set's parities: bit i is the number of its hashes that fall on i, modulo 2. A hash in one of two sets alone changes one
-#: bit, so two sets' parities never differ in more bits than the sets do in hashes.
-PARITY_BITS = 1024
-PARITY = [f"s{i}" for i in range(PARITY_BITS // 64)]
-
-
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """PARITY_BITS bits of a set of shingle hashes, as longs."""
-    counts = np.bincount((mix(shingles.view(np.uint64)) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
-
-
-def _shingles(raw: np.ndarray, offs: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct hashes of each text's shingles in order, and a hash of each such set."""
-    raw = LOWER[raw]
-    starts, ends, first = words(raw, offs, BLANK_SEPARATED)
-    sums = run_sums(word_hashes(raw, starts, ends), 1)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        at = np.arange(a, max(b - size, a) + 1) if b > a else np.zeros(0, np.int64)
-        out.append(np.unique(signed(run_hash(sums, at, np.minimum(at + size, b), 1))))
-    return out, np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in out], np.uint64)
-
-
-def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """(node, shingles): the distinct hashes of a text's shingles in order."""
-
-    def run(batches):
-        for rows, raw, offs in chunks(batches):
-            yield pa.record_batch([rows.column("node"), pa.array(_shingles(raw, offs, size)[0], pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
-
-
-#: Shingles that stand OFTEN times or more in one of SAMPLE texts come last in the order of shingles, by their counts; MOST_FREQUENT of
-#: them at most. Any order finds all pairs: this one only keeps lines that many texts share from making candidates.
-SAMPLE, OFTEN, MOST_FREQUENT = 32, 3, 1 << 16
-
-
-def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles' hashes in order, and their counts."""
-
-    def run(batches):
-        for _, raw, offs in chunks(batches):
-            out, _ = _shingles(raw, offs, size)
-            yield pa.record_batch([pa.array(np.concatenate(out))], names=["shingle"])
-
-    counts = texts.filter(F.pmod("row", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
-    found = sorted((r.shingle, r.n) for r in counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect())
-    return np.array([x for x, _ in found], np.int64), np.array([n for _, n in found], np.int64)
-
-
-def prefix(shingles: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The first of a set's hashes by (count, hash): so many that a set with a Jaccard similarity of `least` has one of them among its own first."""
-    n = len(shingles)
-    if counts.any():
-        shingles = shingles[np.lexsort((shingles, counts))]
-    return shingles[: n - math.ceil(least * n - 1e-6) + 1] if n else shingles
-
-
-def _prints(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """(doc, row, node, n, tokens, s0, s1 ...): the number of a text's shingles, their prefix and parities."""
-    frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, size))
-
-    def run(batches):
-        known, often = frequent.value
-        for rows, raw, offs in chunks(batches):
-            out, nodes = _shingles(raw, offs, size)
-            n = np.array([len(x) for x in out], np.int64)
-            counts = np.zeros(n.sum(), np.int64)
-            if len(known):
-                flat = np.concatenate(out)
-                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                counts = np.where(known[at] == flat, often[at], 0)
-            tokens = [prefix(x, c, least) for x, c in zip(out, np.split(counts, np.cumsum(n)[:-1]), strict=True)]
-            bits = np.array([parities(x) for x in out]).reshape(len(out), -1)
-            yield pa.record_batch([rows.column("doc"), rows.column("row"), pa.array(signed(nodes)), pa.array(n), pa.array(tokens, pa.list_(pa.int64())), *[pa.array(bits[:, i]) for i in range(len(PARITY))]], names=["doc", "row", "node", "n", "tokens", *PARITY])
-
-    return texts.mapInArrow(run, "doc long, row long, node long, n long, tokens array<long>, " + ", ".join(f"{c} long" for c in PARITY))
-
-
-def _similar(pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b, x, y) whose sorted shingle sets x, y have a Jaccard similarity of `least` or more."""
-
-    def run(batches):
-        for rows in batches:
-            good = []
-            for x, y in zip(rows.column("x"), rows.column("y"), strict=True):
-                x, y = (np.asarray(v.values) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(common >= least * (len(x) + len(y) - common))
-            yield pa.record_batch([rows.column("a").filter(pa.array(good, pa.bool_())), rows.column("b").filter(pa.array(good, pa.bool_()))], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def _may_be(x: str, y: str, least: float) -> F.Column:
-    """Whether rows x and y of a token can be of sets with a similarity of `least`, if the token is their first common one: none
-    before it is common, so of n shingles n - at are left at most."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at")) >= (n + m) * (least / (1 + least)) - 1e-6
-
-
-def _near_bits(x: str, y: str, least: float) -> F.Column:
-    """Whether by their parities the sets of rows x and y can have a similarity of `least`: exact, as no bit stands for less than a hash."""
-    apart = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in PARITY), F.lit(0))
-    return apart <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - least) / (1 + least)) + 1e-6
-
-
-def _with_another(entries: DataFrame, least: float, bits: bool) -> DataFrame:
-    """The entries that may have a similar one of another node with the same token: a semi-join, which stops at the first one it meets."""
-    x, y = entries.alias("x"), entries.alias("y")
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _may_be("x", "y", least)
-    return x.join(y, met & _near_bits("x", "y", least) if bits else met, "left_semi")
-
-
-#: Rounds of comparing with one member of each bucket before pairs are searched.
-STAR_ROUNDS = 4
-
-
-def _stars(entries: DataFrame, groups: DataFrame, turn: int, least: float) -> DataFrame:
-    """Pairs (a, b) of each node and one of every bucket (the nodes with a token) it is in, if they are of different groups.
-
-    In the first turn that is the node whose buckets are largest: copies with few edits share them with their source. Later ones are
-    drawn by a hash, others in each turn."""
-    e = entries.join(groups, "node")
-    rank = F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    one = F.max_by(F.struct("node", "n", "at", "group", *PARITY), F.struct(rank, "node"))
-    picked = e.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most"), one.alias("one")).filter("least != most").select("token", "one.*")
-    x, y = e.alias("x"), picked.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") != F.col("y.group")) & _may_be("x", "y", least) & _near_bits("x", "y", least))
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-
-def _pairs(entries: DataFrame, groups: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) of nodes of different groups with a common token that can be similar by sizes, places and parities."""
-    e = entries.join(groups.select("node", "group"), "node")
-    mixed = e.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x != y").select("token")
-    e = materialize(e.join(mixed, "token", "left_semi"), "mixed")
-    x, y = e.alias("x"), e.alias("y")
-    own = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.group") != F.col("y.group"))
-    return x.join(y, own & _may_be("x", "y", least) & _near_bits("x", "y", least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-
-def _merged(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """groups (node, weight, group) after the pairs (a, b) in `found` are tied."""
-    of = lambda x: groups.select(F.col("node").alias(x), F.col("group").alias(f"g{x}"))
-    tied = found.join(of("a"), "a").join(of("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
-    to = materialize(components(tied), "tied").select(F.col("node").alias("group"), "component")
-    return materialize(groups.join(to, "group", "left").select("node", "weight", F.coalesce("component", "group").alias("group")), "groups")
-
-
-def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs less near duplicates: of every group one row stays, that with the smallest doc_id.
-
-    Groups are connected by all pairs whose sets of `size`-word shingles have a Jaccard similarity of
-    `similarity` or more. Texts with equal sets are one node, whatever their case and white space and
-    however often a passage repeats.
-
-    Candidates are pairs with a common shingle in their prefixes: with all sets in one order, rare shingles first, similar sets have
-    one there. Dense groups are tied first, by comparing nodes with one member of each bucket they share; then all pairs
-    of different groups are searched, less those that by exact bounds can't be alike.
-    """
-    since = mark()
-    arrow_limits(docs.sparkSession)
-    texts = _keyed(docs)
-    prints = materialize(_prints(texts, size, similarity), "prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min(F.struct(*ROW)).alias("rep")), "nodes")
-    tokens = prints.select("node", "n", F.posexplode("tokens").alias("at", "token"))
-    shared = materialize(tokens.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("token"), "shared")
-    placed = materialize(_with_another(materialize(tokens.join(shared, "token", "left_semi").distinct(), "tokens"), similarity, False), "placed")
-    bits = prints.select("node", *PARITY).join(placed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    entries = materialize(_with_another(materialize(placed.join(bits, "node"), "bits"), similarity, True), "entries")
-    sizes = entries.groupBy("token").agg(F.count("*").alias("nodes"))
-    near = materialize(entries.select("token", "node").join(sizes, "token").groupBy("node").agg(F.sum("nodes").alias("weight")), "near")
-    own = texts.join(nodes.join(near.select("node"), "node").select("node", "rep.*"), ROW).dropDuplicates(["node"])
-    sets = materialize(_sets(own, size), "sets")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
-        return materialize(_similar(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y"), similarity), "similar")
-
-    groups = near.select("node", "weight", F.col("node").alias("group"))
-    for turn in range(STAR_ROUNDS):
-        pairs = materialize(_stars(entries, groups, turn, similarity), "stars")
-        if pairs.isEmpty():
-            break
-        groups = _merged(groups, alike(pairs))
-    pairs = materialize(_pairs(entries, groups, similarity), "pairs")
-    groups = _merged(groups, alike(pairs))
-    named = nodes.join(groups.select("node", "group"), "node", "left")
-    stays = named.groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("rep").alias("rep"))
-    stays = materialize(stays.select("rep.*"), "stays")
+    by_fp = named.select("fp", "group").join(ids, "group").select("fp", "component_id")
+    out = materialize(prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "components")
     release(docs.sparkSession, since)
-    return only_rows(docs, stays)
+    return out

@@ -27,57 +27,20 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, chunks, id_and_text, mark, materialize, release, signed
+from .common import KEY, PART_BYTES, arrow_limits, id_and_text, mark, materialize, parts, release, signed, with_key
 from .wordhash import BLANK_SEPARATED, mix, run_hash, run_sums, sliding_min, word_hashes, words
 
 #: Words in an anchor; shorter ones are fewer, but more of them are chance repeats.
 ANCHOR = 12
-#: Bytes of text worked on at once; what a task holds is some 70 times as much.
-PART_BYTES = 1 << 20
 PLACE_BITS = 24  # a part has fewer words than 2**24
 
 
-def parts(batches: Iterator[pa.RecordBatch], window: int, most: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """(rows, bytes, offsets, first, last): whole texts, each with first = 0, or a part of one text beyond `most` bytes.
-
-    Parts overlap by window - 1 words, so that each window stands in one; first is the number of the part's first word, last tells
-    a text's last part."""
-    for rows, raw, offs in chunks(batches, most=most):
-        if len(raw) <= most:
-            yield rows, raw, offs, np.zeros(rows.num_rows, np.int64), True
-            continue
-        at = first = 0
-        size = most
-        while True:
-            to = at + size
-            while to < len(raw):  # a part ends at a blank
-                blank = np.flatnonzero(BLANK_SEPARATED[raw[to : to + most]] == 0)
-                if len(blank):
-                    to += int(blank[0])
-                    break
-                to += most
-            to = min(to, len(raw))
-            starts, _, _ = words(raw[at:to], np.array([0, to - at]), BLANK_SEPARATED)
-            if to < len(raw) and len(starts) < 2 * window:  # huge words: longer parts
-                size *= 2
-                continue
-            yield rows, raw[at:to], np.array([0, to - at]), np.array([first]), to == len(raw)
-            if to == len(raw):
-                break
-            new, size = len(starts) - (window - 1), most
-            first += new
-            at = at + int(starts[new]) if new < len(starts) else to
-
-
-
-
 class Parse:
     """Phrases of the texts in a buffer: text, first window (in words of the text), windows, anchor and phrase hash."""
 
@@ -111,15 +74,6 @@ class Parse:
         self.phrase = run_hash(self.sums, self.at, self.at + self.windows + window - 1, 1)
 
 
-#: What tells a row apart: its id (a fixed number for null) and a hash of its text. Rows that repeat share both, and each
-#: stands for the other: what repeats in one repeats in all.
-ROW = ["doc", "row"]
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    return id_and_text(docs).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("row", F.xxhash64("text"))
-
-
 PHRASES = "doc long, row long, begin int, windows int, anchor long, phrase long"
 
 
@@ -129,22 +83,22 @@ def phrases(texts: DataFrame, window: int, most: int = PART_BYTES) -> DataFrame:
             p = Parse(raw, offs, window)
             own = pa.array(p.text)
             columns = [
-                *[rows.column(c).take(own) for c in ROW],
+                *[rows.column(c).take(own) for c in KEY],
                 pa.array(p.begin + before[p.text], pa.int32()), pa.array(p.windows, pa.int32()),
                 pa.array(signed(p.anchor)), pa.array(signed(p.phrase)),
             ]
-            yield pa.record_batch(columns, names=[*ROW, "begin", "windows", "anchor", "phrase"])
+            yield pa.record_batch(columns, names=[*KEY, "begin", "windows", "anchor", "phrase"])
 
-    return texts.select(*ROW, "text").mapInArrow(run, PHRASES)
+    return texts.select(*KEY, "text").mapInArrow(run, PHRASES)
 
 
 def in_blocks(runs: DataFrame, *more: str) -> DataFrame:
     """(doc, row, block, bits and the columns in more) of runs (doc, row, begin, windows): bit i of a block is window 64 * block + i."""
     end = F.col("begin") + F.col("windows") - 1
-    spread = runs.select(*ROW, *more, "begin", end.alias("end"), F.explode(F.sequence(F.shiftright("begin", 6), F.shiftright(end, 6))).alias("block"))
+    spread = runs.select(*KEY, *more, "begin", end.alias("end"), F.explode(F.sequence(F.shiftright("begin", 6), F.shiftright(end, 6))).alias("block"))
     low, high = F.greatest(F.col("begin") - F.col("block") * 64, F.lit(0)), F.least(F.col("end") - F.col("block") * 64, F.lit(63))
     bits = F.expr("shiftleft(shiftrightunsigned(-1L, 63 - (high - low)), low)")
-    return spread.select("*", low.alias("low"), high.alias("high")).select(*ROW, *more, "block", bits.alias("bits"))
+    return spread.select("*", low.alias("low"), high.alias("high")).select(*KEY, *more, "block", bits.alias("bits"))
 
 
 def bits_at(lists: pa.ListArray, column: str, first: np.ndarray, n: np.ndarray, reach: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -174,10 +128,10 @@ def _boundary_windows(texts: DataFrame, lists: DataFrame, window: int, most: int
             one, two = (run_hash(run_sums(hashes, base), word, word + window, base) for base in (1, 2))
             own = pa.array(text)
             more = pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            columns = [*[rows.column(c).take(own) for c in ROW], pa.array(at, pa.int32()), pa.array(signed(one)), more]
-            yield pa.record_batch(columns, names=[*ROW, "at", "hash", "more"])
+            columns = [*[rows.column(c).take(own) for c in KEY], pa.array(at, pa.int32()), pa.array(signed(one)), more]
+            yield pa.record_batch(columns, names=[*KEY, "at", "hash", "more"])
 
-    return texts.select(*ROW, "text").join(lists, ROW).mapInArrow(run, "doc long, row long, at int, hash long, more int")
+    return texts.select(*KEY, "text").join(lists, KEY).mapInArrow(run, "doc long, row long, at int, hash long, more int")
 
 
 def factors(texts: DataFrame, window: int, most: int = PART_BYTES) -> DataFrame:
@@ -187,13 +141,13 @@ def factors(texts: DataFrame, window: int, most: int = PART_BYTES) -> DataFrame:
     index = materialize(index.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "index")
     known = in_blocks(found.join(index.hint("merge"), "anchor"), "mixed")
     of = lambda mixed: F.bit_or(F.when(F.col("mixed") == F.lit(mixed), F.col("bits")).otherwise(F.lit(0).cast("long")))
-    blocks = materialize(known.groupBy(*ROW, "block").agg(of(False).alias("bits"), of(True).alias("open")), "blocks")
-    lists = blocks.filter("open <> 0").groupBy(*ROW).agg(F.collect_list(F.struct("block", "open")).alias("open"))
+    blocks = materialize(known.groupBy(*KEY, "block").agg(of(False).alias("bits"), of(True).alias("open")), "blocks")
+    lists = blocks.filter("open <> 0").groupBy(*KEY).agg(F.collect_list(F.struct("block", "open")).alias("open"))
     checked = materialize(_boundary_windows(texts, lists, window, most), "windows")
     again = materialize(checked.groupBy("hash", "more").agg(F.count("*").alias("n")).filter("n > 1").select("hash", "more"), "again")
-    edges = in_blocks(checked.join(again.hint("merge"), ["hash", "more"], "left_semi").select(*ROW, F.col("at").alias("begin"), F.lit(1).alias("windows")))
-    edges = edges.groupBy(*ROW, "block").agg(F.bit_or("bits").alias("bits"))
-    return blocks.filter("bits <> 0").select(*ROW, "block", "bits").unionByName(edges)
+    edges = in_blocks(checked.join(again.hint("merge"), ["hash", "more"], "left_semi").select(*KEY, F.col("at").alias("begin"), F.lit(1).alias("windows")))
+    edges = edges.groupBy(*KEY, "block").agg(F.bit_or("bits").alias("bits"))
+    return blocks.filter("bits <> 0").select(*KEY, "block", "bits").unionByName(edges)
 
 
 def kept_words(raw: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keep: np.ndarray) -> list[bytes]:
@@ -244,8 +198,8 @@ def deduplicate(docs: DataFrame, window: int = 35, with_text: bool = False, part
 
     part_bytes: longer texts are worked on in parts; the result is the same."""
     arrow_limits(docs.sparkSession)
-    texts, since = keyed(docs), mark()
-    found = materialize(factors(texts, window, part_bytes).groupBy(*ROW).agg(F.collect_list(F.struct("block", "bits")).alias("found")), "found")
+    texts, since = with_key(id_and_text(docs)), mark()
+    found = materialize(factors(texts, window, part_bytes).groupBy(*KEY).agg(F.collect_list(F.struct("block", "bits")).alias("found")), "found")
     release(docs.sparkSession, since)
 
     def run(batches):
@@ -275,4 +229,4 @@ def deduplicate(docs: DataFrame, window: int = 35, with_text: bool = False, part
                 yield pa.record_batch([rows.column("doc_id"), *columns], names=names[: len(columns) + 1])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string, removed array<struct<first:long, words:long>>" * with_text
-    return texts.join(found, ROW, "left").select("doc_id", "text", "found").mapInArrow(run, schema)
+    return texts.join(found, KEY, "left").select("doc_id", "text", "found").mapInArrow(run, schema)

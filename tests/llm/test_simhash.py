@@ -66,21 +66,45 @@ def test_all_links_of_clustered_fingerprints(spark):
             assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_sketches_estimate_similarity():
-    rng = np.random.default_rng(3)
-    for j in (0.5, 0.8, 0.95):
-        n = 1000
-        common = int(2 * n * j / (1 + j))
-        a = rng.integers(-(2**63), 2**63, 2 * n)
-        x, y = np.unique(a[:n]), np.unique(a[n - common : 2 * n - common])
-        apart = int(np.bitwise_count((S.sketch(x) ^ S.sketch(y)).view(np.uint64)).sum())
-        assert abs(apart / S.SKETCH_BITS - (1 - j) / 2) < 0.045
-
-
-def test_nodes_with_neighbours(spark):
-    prints = [0, 1, 3 << 40, (3 << 40) + (1 << 60), 0x5555555555555555]
-    nodes = spark.createDataFrame([(i, x) for i, x in enumerate(prints)], "node long, fp long")
-    assert sorted(r.node for r in S.with_neighbours(nodes, 1, 5).collect()) == [0, 1, 2, 3]
+def test_long_texts_in_parts(spark):
+    rng = random.Random(9)
+    data = [(i, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(n)), "en", "s", 1) for i, n in enumerate((0, 1, 3, 4, 5, 40, 400, 3000))]
+    for most in (1, 50, 1000):
+        got = {r.doc_id: r.fp for r in S.fingerprints(frame(spark, data), 4, most).collect()}
+        assert got == {r[0]: (x := brute_print(r[1], 4)) - (x >> 63 << 64) for r in data}
+
+
+def test_thousands_of_near_copies(spark):
+    """5000 fingerprints within a few bits of three sources and of each other, chains that only two steps connect, and chance ones."""
+    rng = random.Random(10)
+    flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
+    base = [rng.getrandbits(64) for _ in range(3)]
+    prints = {flip(rng.choice(base), rng.randrange(1, 5)) for _ in range(5000)} | {rng.getrandbits(64) for _ in range(300)}
+    chain = flip(base[0], 4)
+    for _ in range(40):
+        chain = flip(chain, 4)
+        prints.add(chain)
+    signed = sorted(x - (x >> 63 << 64) for x in prints)
+    nodes = spark.createDataFrame([(x, x) for x in signed], "node long, fp long")
+    ties, groups, main = S.stars(nodes, 4, len(signed))
+    assert ties.count() < 10 * len(signed) and not main.isEmpty()
+    more = S.links(nodes, 4, len(signed), (groups, main)).count()
+    array = np.array(signed, np.int64)
+    near = [np.flatnonzero(np.bitwise_count((array ^ x).view(np.uint64)) <= 4) for x in array]
+    assert sum(map(len, near)) > 16 * more and more < 16 * len(signed)  # of half a million links few are looked up
+    want, seen = {}, set()
+    for i in range(len(signed)):
+        if i not in seen:
+            todo, own = [i], {i}
+            while todo:
+                for j in near[todo.pop()].tolist():
+                    if j not in own:
+                        own.add(j)
+                        todo.append(j)
+            seen |= own
+            want |= {signed[j]: signed[min(own)] for j in own}
+    got = {r.node: r.component for r in S.connected(nodes, 4, len(signed)).collect()}
+    assert {x: got.get(x, x) for x in signed} == want
 
 
 def test_components(spark):
@@ -103,108 +127,3 @@ def test_documents(spark):
         if r.doc_id is not None:
             assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", want[r.doc_id])
     assert S.near_duplicates(frame(spark, [])).count() == 0
-
-
-def test_one_of_each_group_stays(spark):
-    rng = random.Random(6)
-    words = [f"k{i}" for i in range(5000)]
-    data = []
-    for g in range(25):
-        base = rng.choices(words, k=rng.choice([30, 120, 400]))
-        for c in range(rng.randrange(1, 5)):
-            own = list(base)
-            for _ in range(rng.choice([0, 1, 2, 5, 40])):
-                own[rng.randrange(len(own))] = rng.choice(words)
-            data.append((10 * g + c, rng.choice([" ", "  "]).join(own).upper() if c % 2 else " ".join(own), "en", "s", 1))
-    data += [(i, r[1], *r[2:]) for i, r in enumerate(rows(20), 1000)]
-
-    def shingles(text):
-        w = (text or "").encode().lower().split()
-        return frozenset(b" ".join(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([b" ".join(w)] * bool(w))
-
-    sets = {r[0]: shingles(r[1]) for r in data}
-    want = brute_components(sorted(sets), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0)
-    docs = frame(spark, data, clashing=True)
-    got = S.one_of_each_group(docs)
-    assert got.columns == docs.columns
-    kept = sorted(r.doc_id for r in got.collect())
-    groups = sorted(set(want.values()))
-    assert set(groups) <= set(kept)  # the first of each group stays
-    assert len(kept) - len(groups) <= 1  # candidates may miss one in thirty at a similarity of just 0.8
-    assert S.one_of_each_group(frame(spark, [])).count() == 0
-
-
-def shingle_set(text, size=5):
-    w = (text or "").encode().lower().split()
-    return frozenset(b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([b" ".join(w)] * bool(w))
-
-
-def jaccard(a, b):
-    a, b = shingle_set(a), shingle_set(b)
-    return len(a & b) / len(a | b)
-
-
-def test_contiguous_edits_are_all_found(spark):
-    """Truncated, extended and partly replaced copies from a similarity of 0.8 to 0.9: all are found, none below 0.8 is taken."""
-    rng = random.Random(11)
-    words = [f"k{i}" for i in range(20000)]
-    data, want = [], set()
-    for g in range(240):
-        base = rng.choices(words, k=rng.choice([60, 100, 300, 500]))
-        n = len(base)
-        least = 0.79 + 0.11 * rng.random()
-        if g % 3 == 0:
-            own = base[: round(n * least) + 1]
-        elif g % 3 == 1:
-            own = base + rng.choices(words, k=round(n / least) - n)
-        else:
-            k = max(1, round(n * (1 - least) / (1 + least)) - 2)
-            at = rng.randrange(n - k)
-            own = [*base[:at], *rng.choices(words, k=k), *base[at + k :]]
-        data += [(2 * g, " ".join(base), "en", "s", 1), (2 * g + 1, " ".join(own), "en", "s", 1)]
-        want |= {2 * g} if jaccard(data[-2][1], data[-1][1]) >= 0.8 else {2 * g, 2 * g + 1}
-    assert 300 > len(want) > 240
-    assert {r.doc_id for r in S.one_of_each_group(frame(spark, data)).collect()} == want
-
-
-def raw_of(texts):
-    """The bytes of texts and their offsets."""
-    raw = [t.encode() for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
-
-
-def test_texts_of_equal_shingles_are_one_whatever_repeats(spark):
-    rng = random.Random(12)
-    words, data, want = [f"k{i}" for i in range(5000)], [], set()
-    for g in range(30):
-        head, passage = (" ".join(rng.choices(words, k=k)) for k in (100, 20))
-        own = [" ".join([head, *[passage] * k]) for k in (2, 12, 40)]
-        assert jaccard(own[0], own[1]) == jaccard(own[0], own[2]) == 1
-        data += [(3 * g + i, t, "en", "s", 1) for i, t in enumerate(own)]
-        want.add(3 * g)
-    assert {r.doc_id for r in S.one_of_each_group(frame(spark, data)).collect()} == want
-    _, nodes = S._shingles(*raw_of([r[1] for r in data]), 5)
-    assert len(set(nodes.tolist())) == len(want)
-
-
-def test_a_similar_pair_stays_whose_sketches_are_far_apart(spark):
-    """One pair in some hundred at 0.8 differs in more than 131 of the sketch's 1024 bits."""
-    for seed in range(5000):
-        rng = random.Random(seed)
-        base = [f"k{rng.randrange(10**6)}" for _ in range(44)]
-        texts = [" ".join(base), " ".join(base[:36])]  # 32 of 40 shingles
-        x, y = S._shingles(*raw_of(texts), 5)[0]
-        if int(np.bitwise_count((S.sketch(x) ^ S.sketch(y)).view(np.uint64)).sum()) > 131:
-            break
-    assert jaccard(*texts) == 0.8 and seed < 4999
-    data = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
-    assert [r.doc_id for r in S.one_of_each_group(frame(spark, data)).collect()] == [0]
-
-
-def test_parities_never_differ_more_than_sets():
-    rng = np.random.default_rng(5)
-    for n, k in ((10, 0), (300, 3), (300, 60), (5000, 900)):
-        a = np.unique(rng.integers(-(2**63), 2**63, n + k))
-        x, y = a[:n], a[k:]
-        apart = int(np.bitwise_count((S.parities(x) ^ S.parities(y)).view(np.uint64)).sum())
-        assert apart <= len(np.setxor1d(x, y)) and (k > 0) == (apart > 0)

@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from auditweave.llm.substring import Parse, deduplicate, factors, keyed, parts
+from auditweave.llm.common import id_and_text, parts, with_key
+from auditweave.llm.substring import Parse, deduplicate, factors
 
 from .helpers import frame, rows
 
@@ -66,7 +67,7 @@ def test_repeated_rows_cost_no_more_than_each_a_list(spark):
     """1000 equal rows without an id, one of their passages with another ending elsewhere: the windows to check are those of a row for each."""
     text = " ".join(f"w{i}" for i in range(200))
     data = [(None, text, "en", "s", 1)] * 1000 + [(1, " ".join(f"w{i}" for i in range(150)) + " other end", "en", "s", 1)]
-    texts = keyed(frame(spark, data))
+    texts = with_key(id_and_text(frame(spark, data)))
     lists = factors(texts, 35).groupBy("doc", "row").agg(F.count("*").alias("n")).collect()
     assert len(lists) == 2 and max(r.n for r in lists) <= 2 * 4
     got = {(r.doc_id, r.n_words, r.n_removed) for r in deduplicate(frame(spark, data)).collect()}
