@@ -67,7 +67,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+#: Bytes of text worked on at once; what a task holds for it is some 70 times as much.
+PART_BYTES = 1 << 18
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices batches to about `most` bytes of text (one row at least): (rows, bytes, offsets)."""
     for batch in batches:
         raw, offs = text_bytes(batch.column(column))
@@ -79,15 +83,14 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
-#: Bytes of text worked on at once; what a task holds is some 70 times as much.
-PART_BYTES = 1 << 20
+Part = tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, bool]
 
 
-def parts(batches: Iterator[pa.RecordBatch], window: int, most: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, bool]]:
+def parts(batches: Iterator[pa.RecordBatch], window: int, most: int = PART_BYTES, kind: np.ndarray = BLANK_SEPARATED) -> Iterator[Part]:
     """(rows, bytes, offsets, first, last): whole texts, each with first = 0, or a part of one text beyond `most` bytes.
 
-    Parts overlap by window - 1 words, so that each window stands in one; first is the number of the part's first word, last tells
-    a text's last part."""
+    Parts overlap by window - 1 words (of the given kind), so that each window stands in one; first is the number of the part's
+    first word, last tells a text's last part."""
     for rows, raw, offs in chunks(batches, most=most):
         if len(raw) <= most:
             yield rows, raw, offs, np.zeros(rows.num_rows, np.int64), True
@@ -96,14 +99,14 @@ def parts(batches: Iterator[pa.RecordBatch], window: int, most: int = PART_BYTES
         size = most
         while True:
             to = at + size
-            while to < len(raw):  # a part ends at a blank
-                blank = np.flatnonzero(BLANK_SEPARATED[raw[to : to + most]] == 0)
+            while to < len(raw):  # a part ends where no word is
+                blank = np.flatnonzero(kind[raw[to : to + most]] == 0)
                 if len(blank):
                     to += int(blank[0])
                     break
                 to += most
             to = min(to, len(raw))
-            starts, _, _ = words(raw[at:to], np.array([0, to - at]), BLANK_SEPARATED)
+            starts, _, _ = words(raw[at:to], np.array([0, to - at]), kind)
             if to < len(raw) and len(starts) < 2 * window:  # huge words: longer parts
                 size *= 2
                 continue

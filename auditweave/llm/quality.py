@@ -7,14 +7,16 @@ of the labelled scores at the share of bad labels. Scores are mapped to (0, 1) s
 Labels are a bounded sample: at most MOST_LABELS rows of the training fold, those of smallest id hash; everything
 else covers all documents. Only weights are broadcast.
 
-Defined results: null and empty texts get the score of empty features; labels that are null are not learned from; an id with many
-labels counts with each; rows that repeat are scored each; without labels of both kinds every score is 0.5; an
+Defined results: null and empty texts get the score of empty features; labels that are null are not learned from; an id labelled
+good and bad counts with both, equal labels of an id count once; of documents with one id and different texts that with the smallest hash is
+learned from; rows that repeat are scored each; without labels of both kinds every score is 0.5; an
 empty table gives no rows; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, chunks, id_and_text
+from .common import PART_BYTES, arrow_limits, id_and_text, parts
 from .wordhash import BLANK_SEPARATED, byte_class, word_hashes, words
 
 MOST_LABELS = 20_000
@@ -34,56 +36,105 @@ BASE = ["log_bytes", "log_words", "mean_word", "sd_word", "blank", "upper", "low
 NAMES = [*BASE, *[f"has_{chr(c)}" for c in SYMBOLS]]
 
 
-def features(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A row of features for each text in the buffer."""
+@dataclass
+class Counts:
+    """What the features of texts are made of: sums over bytes and words, and the distinct word hashes of each text."""
+
+    sums: np.ndarray
+    distinct: list[np.ndarray]
+    ends: np.ndarray  # hashes of each text's first and last word, 0 without words
+
+    def __add__(self, more: Counts) -> Counts:
+        """Of one text, the parts one after another."""
+        sums = self.sums + more.sums
+        both = self.ends[0, 1] and self.ends[0, 1] == more.ends[0, 0]
+        sums[0, SUMS.index("again")] += bool(both)
+        ends = np.array([[self.ends[0, 0] or more.ends[0, 0], more.ends[0, 1] or self.ends[0, 1]]])
+        return Counts(sums, [np.union1d(self.distinct[0], more.distinct[0])], ends)
+
+
+#: Sums of a text, in order; the counts of each symbol follow.
+SUMS = ["bytes", "words", "length", "squares", "blank", "upper", "lower", "digit", "wide", "symbol", "lines", "capitalised", "shouted", "symbol_end", "again", "one_byte", "long_word", "stop_end"]
+
+
+def counts(raw: np.ndarray, offs: np.ndarray) -> Counts:
+    """Of each text in the buffer."""
     n = len(offs) - 1
-    size = np.diff(offs).astype(np.float64)
-    some = np.maximum(size, 1)
 
-    def per_byte(flag: np.ndarray) -> np.ndarray:
+    def by_byte(flag: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
-        return (total[offs[1:]] - total[offs[:-1]]) / some
+        return total[offs[1:]] - total[offs[:-1]]
 
     starts, ends, first = words(raw, offs, BLANK_SEPARATED)
-    many = np.diff(first).astype(np.float64)
-    each = np.maximum(many, 1)
 
-    def per_word(values: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-        return (total[first[1:]] - total[first[:-1]]) / each
+    def by_word(values: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        return total[first[1:]] - total[first[:-1]]
 
     upper, lower = byte_class([(0, 64), (91, 255)])[raw], byte_class([(0, 96), (123, 255)])[raw]
     digit, wide = byte_class([(0, 47), (58, 255)])[raw], byte_class([(0, 127)])[raw]
     table = np.zeros(256, np.uint8)
     table[list(SYMBOLS)] = 1
     symbol = table[raw]
-    length = (ends - starts).astype(np.float64)
+    length = ends - starts
     text = np.repeat(np.arange(n), np.diff(first))
-    hashes = word_hashes(raw, starts, ends)
-    order = np.lexsort((hashes, text))
-    sorted_hash, sorted_text = hashes[order], text[order]
-    fresh = np.ones(len(order))
-    fresh[1:] = (sorted_hash[1:] != sorted_hash[:-1]) | (sorted_text[1:] != sorted_text[:-1])
-    distinct = np.bincount(sorted_text, fresh, n) / each
-    again = np.zeros(len(starts))
+    hashes = word_hashes(raw, starts, ends) | np.uint64(1)
+    again = np.zeros(len(starts), np.int64)
     again[1:] = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
     capital = np.concatenate([[0], np.cumsum(upper, dtype=np.int64)])
     small = np.concatenate([[0], np.cumsum(lower, dtype=np.int64)])
     shouted = (capital[ends] - capital[starts] > 1) & (small[ends] == small[starts])
-    mean = per_word(length)
     last = raw[ends - 1] if len(ends) else raw[:0]
-    out = [
-        np.log1p(size), np.log1p(many), mean, np.sqrt(np.maximum(per_word(length**2) - mean**2, 0)), per_byte(BLANK_SEPARATED[raw] == 0), per_byte(upper), per_byte(lower), per_byte(digit), per_byte(wide), per_byte(symbol),
-        per_byte(raw == 10) * some / each, per_word(upper[starts] if len(starts) else starts), per_word(shouted), per_word(table[last]), distinct, per_word(again), per_word(length == 1), per_word(length > 20), per_word(last == 46),
+    sums = [
+        np.diff(offs), np.diff(first), by_word(length), by_word(length**2), by_byte(BLANK_SEPARATED[raw] == 0), by_byte(upper), by_byte(lower), by_byte(digit),
+        by_byte(wide), by_byte(symbol), by_byte(raw == 10), by_word(upper[starts] if len(starts) else starts), by_word(shouted), by_word(table[last]), by_word(again),
+        by_word(length == 1), by_word(length > 20), by_word(last == 46),
     ]
-    counts = np.zeros((n, len(SYMBOLS)))
+    each = np.zeros((n, len(SYMBOLS)), np.int64)
     at = np.flatnonzero(symbol)
     if len(at):
         number = np.zeros(256, np.int64)
         number[list(SYMBOLS)] = np.arange(len(SYMBOLS))
         owner = np.searchsorted(offs, at, "right") - 1
-        counts += np.bincount(owner * len(SYMBOLS) + number[raw[at]], minlength=n * len(SYMBOLS)).reshape(n, -1)
-    return np.column_stack([*out, np.sqrt(counts / each[:, None])])
+        each += np.bincount(owner * len(SYMBOLS) + number[raw[at]], minlength=n * len(SYMBOLS)).reshape(n, -1)
+    order = np.lexsort((hashes, text))
+    sorted_hash, sorted_text = hashes[order], text[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (sorted_hash[1:] != sorted_hash[:-1]) | (sorted_text[1:] != sorted_text[:-1])
+    distinct = np.split(sorted_hash[fresh], np.cumsum(np.bincount(sorted_text[fresh], minlength=n))[:-1]) if n else []
+    some = np.diff(first) > 0
+    outer = np.zeros((n, 2), np.uint64)
+    outer[some] = np.column_stack([hashes[first[:-1][some]], hashes[first[1:][some] - 1]])
+    return Counts(np.column_stack([*sums, each]), distinct, outer)
+
+
+def features_of(c: Counts) -> np.ndarray:
+    """A row of features for each text."""
+    s = {name: c.sums[:, i].astype(np.float64) for i, name in enumerate(SUMS)}
+    size, each = np.maximum(s["bytes"], 1), np.maximum(s["words"], 1)
+    mean = s["length"] / each
+    out = [np.log1p(s["bytes"]), np.log1p(s["words"]), mean, np.sqrt(np.maximum(s["squares"] / each - mean**2, 0))]
+    out += [s[x] / size for x in ("blank", "upper", "lower", "digit", "wide", "symbol")]
+    out += [s[x] / each for x in ("lines", "capitalised", "shouted", "symbol_end")]
+    out += [np.array([len(x) for x in c.distinct], np.float64) / each]
+    out += [s[x] / each for x in ("again", "one_byte", "long_word", "stop_end")]
+    return np.column_stack([*out, np.sqrt(c.sums[:, len(SUMS) :] / each[:, None])])
+
+
+def features(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A row of features for each text in the buffer."""
+    return features_of(counts(raw, offs))
+
+
+def featured(batches: Iterator[pa.RecordBatch], most: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, features); a long text is counted in parts."""
+    held: Counts | None = None
+    for rows, raw, offs, _, last in parts(batches, 1, most):
+        own = counts(raw, offs)
+        own = own if held is None else held + own
+        held = None if last else own
+        if last:
+            yield rows, features_of(own)
 
 
 @dataclass
@@ -140,15 +191,16 @@ def train(docs: DataFrame, labels: DataFrame, cut: float = 0.3, most: int = MOST
     """Learns from at most `most` labels outside the held-out fold."""
     arrow_limits(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
+    sample = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
 
     def run(batches):
-        for rows, raw, offs in chunks(batches):
-            x = features(raw, offs)
-            yield pa.record_batch([rows.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
+        for rows, x in featured(batches):
+            own = [rows.column(c) for c in ("doc_id", "quality", "row")]
+            yield pa.record_batch([*own, pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "row", "x"])
 
-    picked = id_and_text(docs).join(F.broadcast(sample), "doc_id")  # `most` rows at most
-    rows = picked.select("text", "quality").mapInArrow(run, "quality int, x array<double>").limit(2 * most).toPandas()
+    picked = id_and_text(docs).join(F.broadcast(sample), "doc_id").withColumn("row", F.xxhash64("text"))  # `most` rows at most
+    found = picked.mapInArrow(run, "doc_id long, quality int, row long, x array<double>")
+    rows = found.groupBy("doc_id", "quality").agg(F.min_by("x", "row").alias("x")).toPandas()  # a row for each of the sample at most
     x = np.array(rows["x"].tolist(), np.float64).reshape(-1, len(NAMES))
     order = np.lexsort((*x.T, rows["quality"].to_numpy()))  # as the rows come in any order
     return fit(x[order], rows["quality"].to_numpy()[order] == 1, cut)
@@ -159,8 +211,8 @@ def scores(docs: DataFrame, ranker: Ranker) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(ranker)
 
     def run(batches):
-        for rows, raw, offs in chunks(batches):
-            score = held.value.score(features(raw, offs))
+        for rows, x in featured(batches):
+            score = held.value.score(x)
             out = [zlib.crc32(str(i).encode() if i is not None else b"") % FOLDS == HELD_OUT for i in rows.column("doc_id").to_pylist()]
             yield pa.record_batch([rows.column("doc_id"), pa.array(out), pa.array(score), pa.array((score >= held.value.cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -173,7 +225,7 @@ def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(ranker)
 
     def run(batches):
-        for rows, raw, offs in chunks(batches):
-            yield rows.filter(pa.array(held.value.score(features(raw, offs)) >= held.value.cut))
+        for rows, x in featured(batches):
+            yield rows.filter(pa.array(held.value.score(x) >= held.value.cut))
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,14 +15,16 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 
+from .common import PART_BYTES
 from .wordhash import run_hash, run_sums
 
-#: Pieces in a worker's table; some 60 bytes each.
-CACHED = 1_000_000
+#: Pieces in a worker's table at most, and places it begins with; some 60 bytes each.
+CACHED, FIRST_PLACES = 1_000_000, 1 << 16
 #: White space beyond ASCII, in UTF-8; next to ASCII white space it would join the same run.
 WIDE_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 WIDE_LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
@@ -140,8 +142,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        bits = max(4, (2 * CACHED).bit_length())
-        self.places, self.known = Places(bits), 0
+        self.places, self.known = Places(min(FIRST_PLACES, max(16, 2 * CACHED)).bit_length() - 1), 0
         self.ids, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
     def learn(self, new: list[bytes]) -> np.ndarray:
@@ -165,12 +166,42 @@ class Encoder:
         self.ids[a:b] = np.fromiter(chain.from_iterable(found), np.uint32, b - a)
         return numbers
 
-    def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts raw[offs[i]:offs[i + 1]] one after another, and where each text's begin."""
+    def encode(self, raw: np.ndarray, offs: np.ndarray, most: int = PART_BYTES) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts raw[offs[i]:offs[i + 1]] one after another, and where each text's begin. One text of more than
+        `most` bytes is encoded in parts, if it may be cut."""
+        if len(offs) == 2 and len(raw) > most and not self.uncut(raw.tobytes()):
+            end, self.end = self.end, None
+            try:
+                ids = [self._encode(part, np.array([0, len(part)]))[0] for part in self.parts(raw, most)]
+            finally:
+                self.end = end
+            ids = np.concatenate([*ids, np.full(int(end is not None), end or 0, np.uint32)])
+            return ids, np.array([0, len(ids)])
+        return self._encode(raw, offs)
+
+    def uncut(self, text: bytes) -> bool:
+        return any(x in text for x in self.special) or self.spaced and bool(WIDE_BLANK.search(text))
+
+    @staticmethod
+    def parts(raw: np.ndarray, most: int) -> Iterator[np.ndarray]:
+        """A text's parts, each but the first from a single space on: a piece begins there in any case."""
+        at, most = 0, max(most, 3)
+        while at < len(raw):
+            to, found = at + most, None
+            while found is None and to < len(raw) - 1:
+                blank = KINDS[raw[to - 1 : to + most]] == BLANK
+                single = np.flatnonzero((raw[to : to + len(blank) - 2] == 32) & ~blank[:-2] & ~blank[2:])
+                found = to + int(single[0]) if len(single) else None
+                to += most - 1
+            found = len(raw) if found is None else found
+            yield raw[at:found]
+            at = found
+
+    def _encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = raw.tobytes()
         whole = []
         if any(x in data for x in self.special) or self.spaced and any(x in data for x in WIDE_LEADS):
-            whole = [i for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)) if any(x in data[a:b] for x in self.special) or self.spaced and WIDE_BLANK.search(data, a, b)]
+            whole = [i for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)) if self.uncut(data[a:b])]
         starts, ends = cut_places(raw, offs, self.spaced, whole) if len(raw) else (np.zeros(0, np.int64),) * 2
         values = raw.astype(np.uint64) + np.uint64(1)
         h, g = (run_hash(run_sums(values, base), starts, ends, base) | np.uint64(1) for base in (0, 2))
@@ -180,7 +211,7 @@ class Encoder:
         while len(missing := np.flatnonzero(numbers < 0)):
             first = missing[np.unique(h[missing], return_index=True)[1]]
             room = (len(self.places.key) * 3) // 4 - self.known
-            if room <= 0:  # more new pieces in one buffer than a table holds
+            if room <= 0:
                 self.places = grown(self.places)
                 continue
             first = first[:room]

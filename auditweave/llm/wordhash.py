@@ -25,6 +25,7 @@ def byte_class(excluded: list[tuple[int, int]]) -> np.ndarray:
 #: Words of non-blank characters, and words of letters, digits and characters beyond ASCII in lower case.
 BLANK_SEPARATED = byte_class([(0x09, 0x0D), (0x20, 0x20)])
 ALPHANUMERIC = byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
+ANY_CASE = byte_class([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])  # the same words before A-Z are in lower case
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 

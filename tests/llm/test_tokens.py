@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -141,3 +142,26 @@ def test_packing(spark, part_rows):
     least = packing.lower_bound(np.array([r.length for r in got]), 50)
     assert len(bins) <= least + 1 + (part_rows < 100) * 2
     assert packing.pack_documents(frame(spark, []), PATHS["words"]).count() == 0
+
+
+@settings(deadline=None, max_examples=120)
+@given(st.lists(st.text(alphabet="aB'sd 1\t\n\x1c\xa0é́Σ🙂.,<|", max_size=12), min_size=1, max_size=12), st.sampled_from([" ", "  ", "\n", " x "]), st.sampled_from(sorted(KINDS)), st.sampled_from([1, 2, 5, 17]))
+def test_long_texts_in_parts_have_the_ids_of_whole_texts(words, between, kind, most):
+    text = between.join(words)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ids, at = tokens.encoder(PATHS[kind], kind, 0).encode(raw, np.array([0, len(raw)]), most)
+    assert ids.tolist() == ids_of(kind, text) and at.tolist() == [0, len(ids)]
+
+
+def test_text_of_megabytes_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 10**5, 2_000_000).tolist())
+    raw = np.frombuffer(text.encode(), np.uint8)
+    for kind in KINDS:
+        own = tokens.Encoder(PATHS[kind], kind, 0)
+        tracemalloc.start()
+        ids, _ = own.encode(raw, np.array([0, len(raw)]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(raw) > 13_000_000 and peak < 160_000_000
+        assert ids[:2000].tolist() == ids_of(kind, text[:20_000])[:2000]
