@@ -153,14 +153,16 @@ def columns(docs: DataFrame) -> list[F.Column]:
 
 
 def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of docs whose key isn't in rows (doc, row)."""
+    """The rows of docs whose key isn't in rows (doc, row), which grow with docs and so are never broadcast."""
     own = unused(docs, *KEY)
-    return with_key(docs, own).join(rows.select(*[F.col(k).alias(c) for k, c in zip(KEY, own, strict=True)]), own, "left_anti").select(*columns(docs))
+    rows = rows.select(*[F.col(k).alias(c) for k, c in zip(KEY, own, strict=True)])
+    return with_key(docs, own).join(rows.hint("merge"), own, "left_anti").select(*columns(docs))
 
 
 def only_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of docs with a key in rows (doc, row), one for each key."""
     *own, place = unused(docs, *KEY, "place")
-    joined = with_key(docs, own).join(rows.select(*[F.col(k).alias(c) for k, c in zip(KEY, own, strict=True)]).distinct(), own)
+    rows = rows.select(*[F.col(k).alias(c) for k, c in zip(KEY, own, strict=True)]).distinct()
+    joined = with_key(docs, own).join(rows.hint("merge"), own)
     once = joined.withColumn(place, F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0))))
     return once.filter(F.col(place) == 1).select(*columns(docs))
