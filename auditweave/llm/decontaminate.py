@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import PART_BYTES, arrow_limits, columns, id_and_text, mark, materialize, parts, release, text_bytes, unused
+from .common import PART_BYTES, arrow_limits, columns, id_and_text, map_rows, mark, materialize, parts, release, text_bytes, unused
 from .wordhash import ALPHANUMERIC, ANY_CASE, LOWER, run_hash, run_sums, word_hashes, words
 
 #: Most benchmark text in one broadcast, in bytes; its windows take about 8 times as much in a worker.
@@ -158,7 +159,7 @@ def blocks(benchmark: DataFrame, n: int, most: int = BLOCK_BYTES) -> Iterator[li
     yield rows
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, results: Callable[[Iterator[Judged]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, results: Callable[[Iterator[Judged]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """The rows that `results` makes of the judged rows of docs."""
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -166,7 +167,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, re
     block, more = next(todo), next(todo, None)
     if more is None:
         held = spark.sparkContext.broadcast(WindowSet(block, n))
-        return docs.mapInArrow(lambda batches: results(held.value.judge(batches)), schema)
+        return map_rows(docs, lambda batches: results(held.value.judge(batches)), schema)
     number, spans, items = unused(docs, "row", "spans", "items")
     names_of = docs.columns
     since = mark()
@@ -200,7 +201,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, re
                 names = {d: set(x) for d, x in enumerate(rows.column(items).to_pylist()) if x}
                 yield rows.select(names_of), n_words, found, names
 
-    return judged.select(*columns(docs), number, spans, items).mapInArrow(lambda batches: results(known(batches)), schema)
+    return map_rows(judged.select(*columns(docs), number, spans, items), lambda batches: results(known(batches)), schema)
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
@@ -210,7 +211,7 @@ def items_digest(items) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+RESULT = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PART_BYTES, arrow_limits, id_and_text, parts
+from .common import PART_BYTES, arrow_limits, id_and_text, map_rows, parts
 from .wordhash import BLANK_SEPARATED, byte_class, word_hashes, words
 
 MOST_LABELS = 20_000
@@ -228,4 +228,4 @@ def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
         for rows, x in featured(batches):
             yield rows.filter(pa.array(held.value.score(x) >= held.value.cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)
