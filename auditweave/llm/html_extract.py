@@ -11,7 +11,7 @@ Character references are decoded, white space in a run becomes one space, runs a
 by newlines in page order; empty runs are left out. A line break tag is white space.
 
 Defined results: a null or empty page has an empty text; markup that is never closed ends where its parent does, an unclosed
-comment, script or tag takes the rest of the page; rows that repeat are extracted each; an empty table
+comment, script or tag takes the rest of the page; what nests deeper than DEPTH is text of the element at that depth; rows that repeat are extracted each; an empty table
 gives no rows; extra columns are ignored whatever their names.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -40,6 +41,8 @@ DROPPED = frozenset("script style head noscript template iframe svg math object
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template")}
 #: A start tag of the key closes these if they are open and nothing in STOPS is between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
+#: Elements open at once; what begins deeper is text of the deepest one.
+DEPTH = 512
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "body": set()}
 
 
@@ -75,6 +78,15 @@ def parse(source: str, page: int, out: Nodes) -> None:
     linked = links = dropped = 0
     at, end = 0, len(source)
 
+    open_tags: Counter[str] = Counter()  # in the stack
+    blocks: list[int] = []  # places of block elements in the stack
+
+    def push(tag: str, own: int):
+        if tag in BLOCKS:
+            blocks.append(len(stack))
+        open_tags[tag] += 1
+        stack.append((tag, own))
+
     def flush():
         nonlocal linked
         if pieces:
@@ -87,10 +99,14 @@ def parse(source: str, page: int, out: Nodes) -> None:
     def close(k: int):
         """Closes all open elements from the k-th on."""
         nonlocal links, dropped
-        if any(t in BLOCKS for t, _ in stack[k:]):
+        if blocks and blocks[-1] >= k:
             flush()
-        links -= sum(t == "a" for t, _ in stack[k:])
-        dropped -= sum(t in DROPPED for t, _ in stack[k:])
+            while blocks and blocks[-1] >= k:
+                blocks.pop()
+        for t, _ in stack[k:]:
+            open_tags[t] -= 1
+            links -= t == "a"
+            dropped -= t in DROPPED
         del stack[k:]
 
     while at < end:
@@ -108,10 +124,10 @@ def parse(source: str, page: int, out: Nodes) -> None:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            k = len(stack) - 1
-            while k > 0 and stack[k][0] != tag:
-                k -= 1
-            if k > 0:
+            if open_tags[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
                 close(k)
             elif tag == "p" and not dropped:
                 flush()
@@ -124,14 +140,10 @@ def parse(source: str, page: int, out: Nodes) -> None:
                 flush()
             continue
         if tag in BLOCKS:
-            for k in range(len(stack) - 1, 0, -1):  # an open paragraph ends before a block
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+            if blocks and stack[blocks[-1]][0] == "p":  # an open paragraph ends before a block
+                close(blocks[-1])
             flush()
-            if tag in CLOSES:
+            if tag in CLOSES and any(open_tags[t] for t in CLOSES[tag]):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in STOPS[tag]:
                         break
@@ -139,23 +151,21 @@ def parse(source: str, page: int, out: Nodes) -> None:
                         close(k)
             if tag == "html":
                 continue
-            own = out.add(page, stack[-1][1], (tag, attributes(m[3] or m[6] or ""))) if not dropped else stack[-1][1]
-            stack.append((tag, own))
+            if len(stack) < DEPTH:
+                push(tag, out.add(page, stack[-1][1], (tag, attributes(m[3] or m[6] or ""))) if not dropped else stack[-1][1])
             continue
         if tag == "a" and links:  # links don't nest
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "a":
                     close(k)
                     break
-        stack.append((tag, stack[-1][1]))
-        links += tag == "a"
-        if tag in DROPPED:
-            if tag in RAW:
-                stack.pop()
-                found = RAW[tag].search(source, at)
-                at = found.end() if found else end
-            else:
-                dropped += 1
+        if tag in RAW:
+            found = RAW[tag].search(source, at)
+            at = found.end() if found else end
+        elif len(stack) < DEPTH or tag in DROPPED:  # what is dropped counts at any depth
+            push(tag, stack[-1][1])
+            links += tag == "a"
+            dropped += tag in DROPPED
     flush()
 
 
@@ -169,7 +179,22 @@ def look_features(look: tuple) -> tuple[str, ...]:
     return ("tag " + tag, *sorted({"name " + w for part in named.lower().split() for w in WORD.findall(part.partition("=")[2] or part)}))
 
 
-RUN = ["run", "log_chars", "log_words", "linked", "all_linked", "stop", "comma", "short"]
+#: What short runs of boilerplate say. Common phrases of web pages.
+PHRASES = """about us|accept|advertisement|agree|all rights reserved|also like|anzeige|archives|back to|browser|buy now|by using|comments?|contact|cookies?|copyright
+derechos reservados|email|filed under|follow us|home|impressum|inc|leave a|log ?in|mentions l\u00e9gales|menu|min read|newsletter|next page|popular|posted|powered by|print
+privacy|publicidad|read more|recent|recommended|registered|related|reply|save|says|search|share|sign ?(?:in|up)|skip to|sponsored|submit|subscribe|tags|terms|trademark
+tweet|welcome|\u00a9|\\|"""
+SAYS = re.compile("|".join(rf"(?<!\w)(?:{x})(?!\w)" for x in PHRASES.replace("\n", "|").split("|") if x.strip("\\")), re.I)
+SHORT = 200
+
+
+def run_words(text: str) -> tuple[str, ...]:
+    """Names of the features of what a short run says."""
+    return tuple({"says " + x.lower() for x in SAYS.findall(text)}) if len(text) <= SHORT else ()
+
+
+RUN = ["run", "log_chars", "log_words", "linked", "all_linked", "stop", "comma", "short", "first", "last", "of_page"]
+ELEMENT = ["log_chars", "linked", "log_runs", "of_page", "mean_run", "few"]
 
 
 def run_features(text: str, linked: int) -> list[float]:
@@ -187,6 +212,27 @@ class Forest:
         self.run = np.array([not x for x in nodes.look], np.int64)
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.cumsum(np.bincount(depth)[:-1])) if len(order) else []
+        self.page = np.array(nodes.page, np.int64)
+        size = np.array([[len(t), min(k, len(t)), 1.0 if t else 0.0] for t, k in zip(nodes.text, nodes.linked, strict=True)]).reshape(-1, 3)
+        for level in self.levels[:0:-1]:
+            np.add.at(size, self.parent[level], size[level])
+        self.size = size  # characters, linked ones and runs of what is below
+
+    def features(self, nodes: Nodes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the runs, their features (RUN), and those of all nodes as elements (ELEMENT; zero for runs)."""
+        runs = np.flatnonzero(self.run)
+        root = np.flatnonzero(self.parent < 0)  # one for each page, in order
+        total = np.maximum(self.size[root[np.searchsorted(self.page[root], self.page)], 0], 1)
+        own = np.array([run_features(nodes.text[i], nodes.linked[i]) for i in runs.tolist()]).reshape(len(runs), len(RUN) - 3)
+        place = np.searchsorted(self.page[runs], self.page[runs])  # the page's first run
+        after = np.searchsorted(self.page[runs], self.page[runs], "right") - 1
+        number = np.arange(len(runs))
+        ends = [np.maximum(0, 1 - (number - place) / 3), np.maximum(0, 1 - (after - number) / 3), self.size[runs, 0] / total[runs]]
+        chars, linked, many = self.size.T
+        some = np.maximum(chars, 1)
+        elements = np.column_stack([np.log1p(chars) / 5, linked / some, np.log1p(many) / 3, chars / total, np.log1p(chars / np.maximum(many, 1)) / 5, chars < 60])
+        elements[self.run == 1] = 0
+        return runs, np.column_stack([own, *ends]), elements
 
     def sum_product(self, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Marginals (node, state) and (node, parent's state, own state); pair[run][parent][own] are log potentials."""
@@ -210,18 +256,23 @@ class Forest:
         return np.exp(total - np.logaddexp.reduce(total, axis=1)[:, None]), both
 
 
+def named_features(nodes: Nodes, i: int) -> tuple[str, ...]:
+    return look_features(nodes.look[i]) if nodes.look[i] else run_words(nodes.text[i])
+
+
 @dataclass
 class Model:
     names: dict[str, float]
     run: np.ndarray
+    element: np.ndarray
     pair: np.ndarray
 
-    def unary(self, nodes: Nodes) -> np.ndarray:
-        weight = self.names.get
-        return np.array([sum(weight(f, 0.0) for f in look_features(look)) if look else float(np.dot(self.run, run_features(text, linked))) for look, text, linked in zip(nodes.look, nodes.text, nodes.linked, strict=True)])
-
     def marginals(self, nodes: Nodes) -> np.ndarray:
-        return Forest(nodes).sum_product(self.unary(nodes), self.pair)[0][:, 1]
+        forest, weight = Forest(nodes), self.names.get
+        runs, x, elements = forest.features(nodes)
+        unary = np.array([sum(weight(f, 0.0) for f in named_features(nodes, i)) for i in range(len(nodes.page))]) + elements @ self.element
+        unary[runs] += x @ self.run
+        return forest.sum_product(unary, self.pair)[0][:, 1]
 
     def extract(self, pages: list[str]) -> list[str]:
         nodes = Nodes()
@@ -246,29 +297,30 @@ def fit(pages: list[str], steps: int = 300, l2: float = 0.02) -> Model:
             truth[i], nodes.text[i] = 1, nodes.text[i].replace(MARK, "")
         if truth[i] and nodes.parent[i] >= 0:
             truth[nodes.parent[i]] = 1
-    vocabulary = sorted({f for look in nodes.look if look for f in look_features(look)})
+    named = [named_features(nodes, i) for i in range(n)]
+    vocabulary = sorted({f for own in named for f in own})
     number = {f: i for i, f in enumerate(vocabulary)}
-    row, column = (np.array(x) for x in zip(*[(i, number[f]) for i, look in enumerate(nodes.look) if look for f in look_features(look)], strict=True))
-    runs = np.array([i for i, look in enumerate(nodes.look) if not look])
-    x = np.array([run_features(nodes.text[i], nodes.linked[i]) for i in runs])
-    forest, v, k = Forest(nodes), len(vocabulary), len(RUN)
+    row, column = (np.array(x) for x in zip(*[(i, number[f]) for i, own in enumerate(named) for f in own], strict=True))
+    forest = Forest(nodes)
+    runs, x, elements = forest.features(nodes)
+    v, k, e = len(vocabulary), len(RUN), len(ELEMENT)
     inner = np.flatnonzero(forest.parent >= 0)
     seen = np.zeros((2, 2, 2))
     np.add.at(seen, (forest.run[inner], truth[forest.parent[inner]], truth[inner]), 1)
-    w, squares, speed = np.zeros(v + k + 8), np.zeros(v + k + 8), np.zeros(v + k + 8)
+    w, squares, speed = (np.zeros(v + k + e + 8) for _ in range(3))
     for step in range(1, steps + 1):
-        unary = np.zeros(n)
-        np.add.at(unary, row, w[column])
+        unary = np.bincount(row, w[column], n) + elements @ w[v + k : v + k + e]
         unary[runs] += x @ w[v : v + k]
-        one, two = forest.sum_product(unary, w[v + k :].reshape(2, 2, 2))
+        one, two = forest.sum_product(unary, w[v + k + e :].reshape(2, 2, 2))
         left = truth - one[:, 1]
         expected = np.zeros((2, 2, 2))
         np.add.at(expected, forest.run[inner], two[inner])
-        gradient = np.concatenate([np.bincount(column, left[row], v), x.T @ left[runs], (seen - expected).ravel()]) / len(pages) - l2 * w / len(pages)
+        gradient = [np.bincount(column, left[row], v), x.T @ left[runs], elements.T @ left, (seen - expected).ravel()]
+        gradient = np.concatenate(gradient) / len(pages) - l2 * w / len(pages)
         speed = 0.9 * speed + 0.1 * gradient
         squares = 0.99 * squares + 0.01 * gradient**2
         w = w + 0.1 * (speed / (1 - 0.9**step)) / (np.sqrt(squares / (1 - 0.99**step)) + 1e-8)
-    return Model(dict(zip(vocabulary, w[:v].tolist(), strict=True)), w[v : v + k], w[v + k :].reshape(2, 2, 2))
+    return Model(dict(zip(vocabulary, w[:v].tolist(), strict=True)), w[v : v + k], w[v + k : v + k + e], w[v + k + e :].reshape(2, 2, 2))
 
 
 @lru_cache(1)

@@ -1,12 +1,14 @@
-"""Labelled pages to train the extractor on: layouts of many kinds, made from a seed.
+"""Labelled pages to train the extractor on: layouts of several families, made from a seed.
 
-Texts of the article begin with MARK; the extractor's training reads the labels from it and takes it off."""
+named: role words in class and id, semantic tags or not. hashed: class names that say nothing. bare: no class, no id, no semantic
+tags. table: nested layout tables. lists: an article mostly of lists, definitions, code and headings. thread: a first post
+with replies under it. Texts of the article begin with MARK; the extractor's training reads the labels from it and takes it off."""
 
 from __future__ import annotations
 
 import random
 
-MARK = ""
+MARK = "\ue000"  # of the private use area
 
 #: Class and id words by the role of what they name.
 ROLES = {
@@ -22,6 +24,18 @@ ROLES = {
     "form": ["search", "newsletter", "subscribe", "signup", "login", "contact-form", "form"],
     "plain": ["wrap", "container", "row", "col", "inner", "layout", "page", "grid", "outer", "block"],
 }
+#: What boilerplate says, by role; words that are made up stand for {}.
+SAYINGS = {
+    "nav": ["Home", "About us", "Contact", "Log in", "Sign up", "News", "Products", "Menu", "Next page", "Back to top"],
+    "header": ["Welcome to {}", "{} | {}", "The {} blog", "Skip to content"],
+    "footer": ["&copy; 2024 {}. All rights reserved.", "Copyright 2019-2024 {} Inc.", "Terms of service | Privacy policy", "{} is a registered trademark of {}.", "Powered by {}", "Impressum", "Mentions l&eacute;gales", "Todos los derechos reservados."],
+    "sidebar": ["Related articles", "Most popular", "You may also like", "Read more", "Recent posts", "Archives", "Recommended for you", "Tags"],
+    "ad": ["Advertisement", "Sponsored content", "Advertisement: {} {}", "Sponsored by {}", "Buy now and save 20%", "Anzeige", "Publicidad"],
+    "notice": ["We use cookies to improve your experience.", "Accept all cookies", "By using this site you agree to our privacy policy.", "Subscribe to read the full {}.", "Your browser is out of date.", "Wir verwenden Cookies.", "Utilizamos cookies."],
+    "comments": ["Comments", "3 comments", "Leave a reply", "{} says: {} {}", "Reply", "Log in to comment", "Posted by {} 2 hours ago"],
+    "share": ["Share this", "Tweet", "Share on {}", "Follow us on {}", "Posted on 2024-01-15 by {}", "Filed under {}", "Print", "5 min read"],
+    "form": ["Search", "Subscribe to our newsletter", "Your email address", "Submit", "Enter your name"],
+}
 TAGS = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "sidebar": ["aside", "div", "section"], "ad": ["div", "aside", "section"], "notice": ["div", "section", "p"], "comments": ["section", "div", "ol"], "share": ["div", "ul", "p"], "form": ["form"]}
 SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve é ü ß ción ñ ç eau".split()
 
@@ -33,7 +47,7 @@ class Maker:
     def word(self) -> str:
         return "".join(self.rng.choice(SYLLABLES) for _ in range(self.rng.choice([1, 1, 2, 2, 3, 4]))) + (self.rng.choice(["%%%", "***", "&amp;", "&eacute;", "!!"]) if self.rng.random() < self.odd else "")
 
-    odd = 0.0
+    odd, family = 0.0, "named"
 
     def sentence(self) -> str:
         rng, r = self.rng, self.rng.random()
@@ -59,7 +73,19 @@ class Maker:
             return f"<em>{text}</em> {self.sentences(1)}"
         return text
 
+    def saying(self, role: str) -> str:
+        said = self.rng.choice(SAYINGS[role])
+        while "{}" in said:
+            said = said.replace("{}", self.word(), 1)
+        return said
+
     def named(self, role: str) -> str:
+        if self.family in ("bare", "table"):
+            return ""
+        if self.family == "hashed":
+            rng = self.rng
+            name = rng.choice(["css-", "sc-", "_", "x", "jsx-"]) + "".join(rng.choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(rng.choice([5, 6, 8])))
+            return f' class="{name}"'
         r, name = self.rng.random(), self.rng.choice(ROLES[role])
         return f' class="{name}"' if r < 0.6 else f' id="{name}"' if r < 0.75 else f' class="{name} {self.rng.choice(ROLES["plain"])}"' if r < 0.85 else ""
 
@@ -68,24 +94,30 @@ class Maker:
 
     def boiler(self, role: str) -> str:
         rng = self.rng
-        tag = rng.choice(TAGS[role])
-        named = self.named(role) if tag in ("nav", "header", "footer", "aside", "form") else f' class="{rng.choice(ROLES[role])}"'
-        short = self.sentences(rng.choice([1, 1, 1, 2, 3]))
+        said = self.family not in ("named", "lists") or rng.random() < 0.4  # without names that tell, words must
+        tag = rng.choice(TAGS[role]) if self.family in ("named", "lists", "thread") or rng.random() < 0.15 and self.family == "hashed" else rng.choice(["div", "div", "ul"]) if role in ("nav", "share") else "form" if role == "form" else "div"
+        if self.family in ("named", "lists", "thread"):
+            named = self.named(role) if tag in ("nav", "header", "footer", "aside", "form") else f' class="{rng.choice(ROLES[role])}"'
+        else:
+            named = self.named(role)
+        short = self.sentences(rng.choice([1, 1, 1, 2, 3])) if not said else " ".join([self.saying(role), *([self.sentence()] if rng.random() < 0.3 else [])])
         if role == "nav":
             inner = self.links(rng.randrange(2, 9)) if tag == "ul" else f"<ul>{self.links(rng.randrange(2, 9))}</ul>"
+            if said:
+                inner = f'<li><a href="/">{self.saying("nav")}</a></li>' + inner if tag == "ul" else inner.replace("<ul>", f'<ul><li><a href="/">{self.saying("nav")}</a></li>', 1)
         elif role == "header":
             inner = rng.choice([f"<a href='/'>{self.word()}</a>", f"<h1>{self.word()} {self.word()}</h1><p>{short}</p>", f"<div>{short}</div>", f"<h2>{self.word()}</h2>" + f"<ul>{self.links(4)}</ul>"])
         elif role == "footer":
             inner = rng.choice([f"&copy; {self.word()}.example &middot; {short}", f"<p>&copy; 2024 {short}</p>", f"<ul>{self.links(4)}</ul><p>{short}</p>", f"<small>{short}</small>"])
         elif role == "sidebar":
-            inner = f"<h3>{self.word()}</h3>" + rng.choice([f"<ul>{self.links(5)}</ul>", f"<p>{short}</p>", f"<div><a href='/x'>{short}</a></div><p>{self.sentences(2)}</p>"])
+            inner = f"<h3>{self.saying(role) if said else self.word()}</h3>" + rng.choice([f"<ul>{self.links(5)}</ul>", f"<p>{short}</p>", f"<div><a href='/x'>{short}</a></div><p>{self.sentences(2)}</p>"])
         elif role == "comments":
             item = "li" if tag == "ol" else rng.choice(["div", "p", "article"])
-            inner = ("" if tag == "ol" else f"<h3>{self.word()}</h3>") + "".join(f'<{item} class="comment"><b>{self.word()}</b> {self.sentences(rng.randrange(1, 5))}</{item}>' for _ in range(rng.randrange(1, 5)))
+            inner = ("" if tag == "ol" else f"<h3>{self.saying(role) if said else self.word()}</h3>") + "".join(f'<{item} class="comment"><b>{self.word()}</b> {self.sentences(rng.randrange(1, 5))}</{item}>' for _ in range(rng.randrange(1, 5)))
         elif role == "share":
-            inner = self.links(4) if tag == "ul" else rng.choice([f"<a href='#'>{self.word()}</a> <a href='#'>{self.word()}</a>", self.word() + " " + self.word()])
+            inner = self.links(4) if tag == "ul" else short if said else rng.choice([f"<a href='#'>{self.word()}</a> <a href='#'>{self.word()}</a>", self.word() + " " + self.word()])
         elif role == "form":
-            inner = f"<label>{self.word()}</label><input name='q'><p>{short}</p><button>{self.word()}</button>"
+            inner = f"<label>{self.saying(role) if said else self.word()}</label><input name='q'><p>{short}</p><button>{self.word()}</button>"
         elif tag == "p":
             inner = rng.choice([short, f"<a href='/go'>{short}</a>"])
         else:
@@ -95,6 +127,8 @@ class Maker:
     def paragraph(self) -> str:
         rng = self.rng
         text = MARK + self.sentences(rng.choice([1, 1, 2, 3, 5, 8]))
+        if rng.random() < 0.05 and self.family in ("named", "lists", "thread"):  # articles say such things too
+            text = MARK + self.saying(rng.choice(list(SAYINGS)))
         r = rng.random()
         if r < 0.08:
             return f"<p><b>{text}<br>"
@@ -116,14 +150,23 @@ class Maker:
             lambda: f"<pre>{line()}</pre>",
         ])()
 
+    def parts(self) -> list[str]:
+        """The blocks of an article."""
+        rng = self.rng
+        out = [f"<h1>{MARK}{' '.join(self.word() for _ in range(rng.randrange(2, 10)))}</h1>"] if rng.random() < 0.85 else []
+        plain = 0.3 if self.family == "lists" else 0.85
+        for _ in range(rng.choice([1, 2, 4, 6, 9, 14]) + 3 * (self.family == "lists")):
+            out.append(self.paragraph() if rng.random() < plain else self.other())
+            if rng.random() < 0.06 and self.family not in ("bare", "table"):
+                out.append(self.boiler(rng.choice(["ad", "sidebar", "share", "notice", "form"])))
+        return out
+
     def article(self) -> str:
         rng = self.rng
-        parts = [f"<h1>{MARK}{' '.join(self.word() for _ in range(rng.randrange(2, 10)))}</h1>"] if rng.random() < 0.85 else []
-        for _ in range(rng.choice([1, 2, 4, 6, 9, 14])):
-            parts.append(self.paragraph() if rng.random() < 0.85 else self.other())
-            if rng.random() < 0.06:
-                parts.append(self.boiler(rng.choice(["ad", "sidebar", "share", "notice", "form"])))
-        inner = "".join(parts)
+        inner = "".join(self.parts())
+        if self.family in ("hashed", "bare"):
+            inner = f"<div{self.named('plain')}>{inner}</div>"
+            return f"<div{self.named('article')}>{inner}</div>" if rng.random() < 0.7 or self.family == "bare" else f"<article{self.named('article')}>{inner}</article>"
         wrapped = rng.random()
         if wrapped < 0.5:
             return f"<article{self.named('article') if rng.random() < 0.4 else ''}>{inner}</article>"
@@ -133,22 +176,42 @@ class Maker:
             return f"<main>{inner}</main>"
         return f'<div class="{rng.choice(ROLES["article"])}">{inner}</div>'
 
-    def page(self) -> str:
+    def body(self) -> str:
         rng = self.rng
-        self.odd = rng.choice([0, 0, 0, 0.5])
         before = [self.boiler(r) for r in ("notice", "header", "nav", "ad", "form") if rng.random() < 0.55]
         after = [self.boiler(r) for r in ("share", "sidebar", "comments", "ad", "nav", "form", "notice") if rng.random() < 0.4]
+        foot = self.boiler("footer") if rng.random() < 0.85 else ""
+        if self.family == "table":
+            side = "".join(self.boiler(r) for r in ("nav", "sidebar", "ad") if rng.random() < 0.6)
+            cells = [f"<td width=150>{side}</td>" if side else "", f"<td>{''.join(self.parts())}</td>", f"<td>{''.join(after)}</td>" if after and rng.random() < 0.5 else ""]
+            if rng.random() < 0.3:
+                cells = cells[::-1]
+            head = f"<tr><td colspan=3>{''.join(before)}</td></tr>" if before else ""
+            return f"<table width=100%>{head}<tr valign=top>{''.join(cells)}</tr>" + (f"<tr><td colspan=3>{foot}</td></tr>" if foot else "") + "</table>"
+        if self.family == "thread":
+            replies = "".join(f'<div class="{rng.choice(["reply", "comment", "response"])}"><b>{self.word()}</b> <p>{self.sentences(rng.randrange(1, 6))}</p></div>' for _ in range(rng.randrange(1, 8)))
+            first = f'<div class="{rng.choice(["post", "question", "article"])}">{"".join(self.parts())}</div>'
+            return f'{"".join(before)}<div>{first}<div class="{rng.choice(["replies", "comments", "responses"])}">{replies}</div></div>{foot}'
         if rng.random() < 0.3:
             before.append(self.boiler("sidebar"))
         middle = self.article()
         if rng.random() < 0.35:
             middle = f"<div{self.named('plain')}>{middle}{''.join(after)}</div>"
             after = []
-        foot = self.boiler("footer") if rng.random() < 0.85 else ""
-        head = f"<head><title>{self.word()}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-        return f"<!DOCTYPE html><html>{head}<body>{''.join(before)}<!-- x -->{middle}{''.join(after)}{foot}" + ("</body></html>" if rng.random() < 0.9 else "")
+        return f"{''.join(before)}<!-- x -->{middle}{''.join(after)}{foot}"
+
+    def page(self, family: str = "named") -> str:
+        rng = self.rng
+        self.family, self.odd = family, rng.choice([0, 0, 0, 0.5])
+        inline = rng.choice(["<style>p{margin:0}</style>", "", "<style>.a{color:red}</style>", '<link rel="stylesheet" href="/s.css">'])
+        script = rng.choice(["<script>var t='</p>';</script>", "", '<script src="/a.js"></script>', "<script>if (a<b) { track(1); }</script>"])
+        return f"<!DOCTYPE html><html><head><title>{self.word()}</title>{inline}{script}</head><body>{self.body()}" + ("</body></html>" if rng.random() < 0.9 else "")
+
+
+#: Families of layouts and how many pages of each are trained on.
+FAMILIES = {"named": 300, "hashed": 80, "bare": 80, "table": 80, "lists": 50, "thread": 50}
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
+def labelled_pages(pages: dict[str, int] | None = None, seed: int = 11) -> list[str]:
     make = Maker(random.Random(seed))
-    return [make.page() for _ in range(n)]
+    return [make.page(family) for family, n in (FAMILIES if pages is None else pages).items() for _ in range(n)]
