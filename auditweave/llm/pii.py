@@ -5,7 +5,7 @@ Feistel network over the value's index in the format's domain, walked on until i
 pseudonym looks like what it stands for, passes the same validation, and equal values get equal pseudonyms in every
 document, without a table; who has the key can map back. Punctuation and spacing stay as they are.
 
-Kinds: card (13 to 19 digits that pass the Luhn check; the first digit stays, the check digit is computed anew), iban (mod 97; country and
+Kinds: card (13 to 19 digits that begin as an issuer's do and pass the Luhn check; the first digit stays, the check digit is computed anew), iban (mod 97; country and
 letters' places stay), phone (international or North American layout; the country code stays), ssn (valid areas and
 groups), ip (four octets of up to 255; reserved first octets 0, 127 and 255 are left), date (day-month-year or ISO dates from 1900 to 2099 that exist),
 email (letters and digits of the local part), secret (hexadecimal strings of 32 or more that a key or token name precedes).
@@ -13,7 +13,7 @@ email (letters and digits of the local part), secret (hexadecimal strings of 32
 Defined results: null texts stay null, with nothing found; where findings overlap the first in the text wins, of those
 that begin together the kind named first above (of cards the longest), and what isn't valid hides no other. Where numbers adjoin
 the text alone may not map back: a pseudonym and what follows can pass as a card by chance, `found` tells the places; digits inside words or longer numbers are left; rows that repeat are each mapped;
-an empty table gives no rows; other columns stay as they are.
+an empty table gives no rows; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from .common import arrow_limits
+from .common import arrow_limits, map_rows, unused
 
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -112,12 +113,29 @@ def domain(sizes: list[int]) -> int:
 # Each kind has a function (text, cipher, back) -> pseudonym, or None if the text isn't valid.
 
 
+#: Leading digits of card numbers and the lengths of such numbers. Public issuer ranges.
+ISSUERS = [
+    ("4", (13, 16, 19)), ("51-55", (16,)), ("2221-2720", (16,)), ("34", (15,)), ("37", (15,)), ("36", range(14, 20)), ("38-39", range(14, 20)), ("300-305", range(14, 20)),
+    ("3528-3589", range(16, 20)), ("6011", range(16, 20)), ("62", range(16, 20)), ("644-649", range(16, 20)), ("65", range(16, 20)),
+    ("5018", range(13, 20)), ("5020", range(13, 20)), ("5038", range(13, 20)), ("5893", range(13, 20)), ("6304", range(13, 20)), ("6759", range(13, 20)), ("6761-6763", range(13, 20)),
+]
+
+
+def issued(digits: str) -> bool:
+    """Whether a card number of this length may begin so."""
+    for span, lengths in ISSUERS:
+        low, _, high = span.partition("-")
+        if len(digits) in lengths and low <= digits[: len(low)] <= (high or low):
+            return True
+    return False
+
+
 def card(text, cipher, back):
     d = only_digits(text)
-    if not 13 <= len(d) <= 19 or luhn_sum(d[:-1]) % 10 != -int(d[-1]) % 10 or len(set(d)) == 1:
+    if not 13 <= len(d) <= 19 or luhn_sum(d[:-1]) % 10 != -int(d[-1]) % 10 or not issued(d):
         return None
     size = len(d) - 2
-    same = lambda x: len(set(p := d[0] + f"{x:0{size}d}") | {check_digit(p)}) > 1
+    same = lambda x: issued(d[0] + f"{x:0{size}d}0")
     payload = d[0] + f"{cipher.permute(f'card{d[0]}', int(d[1:-1]), 10**size, same, back):0{size}d}"
     return refill(text, payload + check_digit(payload))
 
@@ -289,10 +307,9 @@ FOUND = "array<struct<kind:string, first:long, length:long, pseudonym:string>>"
 
 
 def mask(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
-    """docs with pseudonyms in text; two columns follow: n_found and found. Columns of docs with those names give way."""
+    """docs with pseudonyms in text; two columns follow: n_found and found, with underscores where docs has columns of these names."""
     arrow_limits(docs.sparkSession)
-    docs = docs.drop("n_found", "found")
-    names = docs.columns
+    names, more = docs.columns, unused(docs, "n_found", "found")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int64()), ("length", pa.int64()), ("pseudonym", pa.string())]))
 
     def run(batches):
@@ -304,7 +321,20 @@ def mask(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
                 texts.append(t)
                 found.append(f)
             b = b.set_column(names.index("text"), "text", pa.array(texts, b.column("text").type))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(f) for f in found], pa.int64()), pa.array(found, kind)], names=[*names, "n_found", "found"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(f) for f in found], pa.int64()), pa.array(found, kind)], names=[*names, *more])
+
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(f"`{more[0]}` long, `{more[1]}` {FOUND}").fields])
+    return map_rows(docs, run, schema)
+
+
+#: The session's setting that holds the key, a secret of whoever runs it.
+KEY_SETTING = "spark.auditweave.pii.key"
+
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, f"{fields}, n_found long, found {FOUND}")
+def session_key(spark: SparkSession) -> bytes:
+    """The session's key. Where none is set a random one is drawn and set: values are linked within the session, and no one can map back later."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()

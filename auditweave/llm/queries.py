@@ -48,10 +48,7 @@ def op7_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key is a secret of whoever runs it: spark.auditweave.pii.key, or one for tests where it is unset."""
-    key = spark.conf.get("spark.auditweave.pii.key", "key for tests")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.mask(docs, key.encode())
+    return pii.mask(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
