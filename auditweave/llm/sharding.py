@@ -1,28 +1,28 @@
 """Sharding by jump consistent hashing: a stable key goes to a shard without a ring table, and
 appending a shard moves rows only into the new one, 1/(n+1) of them.
 
-Rows also get a slot: their place in the shard, gapless from 0. Shards are cut into sub-buckets by
-another part of the key's hash, so that slots are numbered by shards x sub_buckets tasks rather than by
-one task for each shard; the sub-buckets' counts (that many rows at most, a fixed bound) are broadcast.
+Rows also get a slot: their place in the shard by (doc_id, size, text_crc32), gapless from 0. Rows are put in that order over
+all by ranges; a task numbers the rows of each shard in its range as they come, and the ranges' counts (ranges x
+shards rows at most, a fixed bound) are broadcast. Rows that are equal in all three are dealt out by their place in the
+input, so that no id, null included, is a hot task.
 
-Defined results: a null text has no bytes; a null doc_id is a key of its own; rows that repeat get
-slots of their own; an empty table gives no rows; extra columns are ignored whatever their names.
+Defined results: a null text has no bytes; a null doc_id is a key of its own and comes first; rows that repeat get
+slots of their own; an empty table gives no rows; extra columns are ignored, or kept where rows are written, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import longs
+from .common import longs, map_rows, mark, materialize, release, unused
 from .wordhash import mix
 
-#: Sub-buckets of a shard; with 30 billion rows and 40 shards a task group then numbers some 12 million.
-SUB_BUCKETS = 64
 ROW_BYTES = 16
 
 
@@ -45,43 +45,64 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def assign(docs: DataFrame, shards: int, sub_buckets: int = SUB_BUCKETS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, grown_shard, sub: decided row by row, without a shuffle."""
+def assign(docs: DataFrame, shards: int) -> DataFrame:
+    """doc_id, size, text_crc32, shard, grown_shard: decided row by row, without a shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
 
     def jump(batches):
         for b in batches:
-            ids = b.column("doc_id")
-            keys = stable_keys(longs(ids))
-            sub = (mix(keys) >> np.uint64(40)) % np.uint64(sub_buckets)
-            yield pa.record_batch([ids, b.column("size"), b.column("text_crc32"), pa.array(jump_hash(keys, shards), pa.int32()), pa.array(jump_hash(keys, shards + 1), pa.int32()), pa.array(sub.astype(np.int32))], names=["doc_id", "size", "text_crc32", "shard", "grown_shard", "sub"])
+            keys = stable_keys(longs(b.column("doc_id")))
+            own = [pa.array(jump_hash(keys, n), pa.int32()) for n in (shards, shards + 1)]
+            yield pa.record_batch([*b.columns, *own], names=["doc_id", "size", "text_crc32", "shard", "grown_shard"])
 
-    return rows.mapInArrow(jump, "doc_id long, size long, text_crc32 long, shard int, grown_shard int, sub int")
+    return rows.mapInArrow(jump, "doc_id long, size long, text_crc32 long, shard int, grown_shard int")
 
 
-def shard(docs: DataFrame, shards: int, sub_buckets: int = SUB_BUCKETS) -> DataFrame:
-    """assign() with slots."""
-    rows = assign(docs, shards, sub_buckets)
-    counts = rows.groupBy("shard", "sub").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("shard", "sub").orderBy("doc_id", "size", "text_crc32"))
+ORDER = ["doc_id", "size", "text_crc32"]
+PLACED = "doc_id long, size long, text_crc32 long, shard int, grown_shard int, part int, place long"
+
+
+def shard(docs: DataFrame, shards: int, ranges: int | None = None) -> DataFrame:
+    """assign() with slots. ranges: how many tasks number rows; the shuffle partitions where none is given."""
+    spark, since = docs.sparkSession, mark()
+    rows = materialize(assign(docs, shards), "assigned").withColumn("tie", F.monotonically_increasing_id())
+
+    def number(batches):
+        part, seen = TaskContext.get().partitionId(), np.zeros(shards, np.int64)
+        for b in batches:
+            own = b.column("shard").to_numpy()
+            order = np.argsort(own, kind="stable")
+            count = np.bincount(own, minlength=shards)
+            place = np.empty(len(own), np.int64)
+            place[order] = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            place += seen[own]
+            seen += count
+            yield pa.record_batch([*[b.column(c) for c in (*ORDER, "shard", "grown_shard")], pa.array(np.full(len(own), part, np.int32)), pa.array(place)], names=[*ORDER, "shard", "grown_shard", "part", "place"])
+
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(ranges, *ORDER, "tie").sortWithinPartitions(*ORDER, "tie")
+    placed = materialize(ordered.mapInArrow(number, PLACED), "placed")
+    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "offsets")
+    release(spark, since, keep=2)
     return (
-        rows.withColumn("place", place).join(F.broadcast(offsets), ["shard", "sub"])  # shards x sub_buckets rows at most
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("place") - 1).alias("slot"), "grown_shard")
+        placed.join(F.broadcast(offsets), ["shard", "part"])  # ranges x shards rows at most
+        .select(*ORDER, F.lit("key").alias("law"), "shard", (F.col("before") + F.col("place")).alias("slot"), "grown_shard")
     )
 
 
-def write_shards(docs: DataFrame, shards: int, path: str, sub_buckets: int = SUB_BUCKETS) -> None:
-    """Writes docs under path/shard=N/, with all their columns."""
+def write_shards(docs: DataFrame, shards: int, path: str, files: int = 64) -> None:
+    """Writes docs under path/shard=N/, in up to `files` files each, with all their columns; where docs has a column `shard`, the folders' is `shard_`."""
+    name, key = unused(docs, "shard", "key")
 
-    def jump(ids):
-        import pandas as pd
-
-        for s in ids:
-            yield pd.Series(jump_hash(stable_keys(longs(pc.cast(pa.array(s), pa.int64()))), shards)).astype("int32")
+    def jump(batches):
+        for b in batches:
+            own = pa.array(jump_hash(stable_keys(longs(b.column(key))), shards), pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], own], names=[*docs_columns, name])
 
-    placed = docs.withColumn("shard", F.pandas_udf(jump, "int", F.PandasUDFType.SCALAR_ITER)(F.col("doc_id").cast("long")))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(sub_buckets))
-    placed.repartition("shard", spread).write.partitionBy("shard").mode("overwrite").parquet(path)
+    docs_columns = docs.columns
+    placed = map_rows(docs.withColumn(key, F.col("doc_id").cast("long")), jump, T.StructType([*docs.schema.fields, T.StructField(name, T.IntegerType())]))
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(files))
+    placed.repartition(F.col(name), spread).write.partitionBy(name).mode("overwrite").parquet(path)
