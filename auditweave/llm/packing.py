@@ -4,7 +4,8 @@ Pieces are dealt to partitions of about PART_ROWS by a hash. Each partition pack
 decreasing and bounds its optimum from below by dual feasible functions. A partition whose bin
 count meets the bound is certified: its bins are final but for the emptiest one. The loose bins of partitions with a gap,
 and those emptiest bins, give their pieces back; these are exchanged: dealt anew to fewer partitions and packed again,
-until one partition holds all that is left or `rounds` are over.
+until one partition holds all that is left or `rounds` are over. What came of it is told with each piece: whether the partition
+that packed its sequence was certified, and how many bins it has above its bound (the gap).
 
 Only longer documents are cut, into full sequences and one rest. Token ids never move: a row has a piece's length and checksum.
 
@@ -21,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, chunks, id_and_text, materialize
+from .common import arrow_limits, chunks, id_and_text, mark, materialize, release
 from .tokens import encoder
 
 #: Pieces that one task packs.
 PART_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long, final boolean"
+PACKED = PIECES + ", number long, sequence_id long, offset long, certified boolean, gap int, final boolean"
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,40 +112,44 @@ def packer(capacity: int, r: int, last: bool):
         lengths = group.column("length").to_numpy().astype(np.int64)
         bins, offsets, fills = best_fit_decreasing(lengths, capacity)
         kept = fills == capacity
+        gap = len(fills) - lower_bound(lengths, capacity)
         if last:
             kept[:] = True
-        elif len(fills) == lower_bound(lengths, capacity):
+        elif not gap:
             kept[:] = True
             kept[np.argmin(fills)] = False
-        ids = (r << 58) + (key[0].as_py() << 32) + bins
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        return pa.table([*[group.column(c) for c in names], pa.array(ids), pa.array(offsets), pa.array(kept[bins])], names=[*names, "sequence_id", "offset", "final"])
+        ids, n = (r << 58) + (key[0].as_py() << 32) + bins, len(bins)
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "number"]
+        told = [pa.array(np.full(n, not gap)), pa.array(np.full(n, gap, np.int32)), pa.array(kept[bins])]
+        return pa.table([*[group.column(c) for c in names], pa.array(ids), pa.array(offsets), *told], names=[*names, "sequence_id", "offset", "certified", "gap", "final"])
 
     return run
 
 
 def pack(items: DataFrame, capacity: int, part_rows: int = PART_ROWS, rounds: int = 6) -> DataFrame:
-    """Adds sequence_id and offset to rows of pieces()."""
-    spark = items.sparkSession
+    """Adds sequence_id, offset, certified and gap to rows of pieces(). Pieces are dealt by their number in the table, so no id is a hot partition."""
+    spark, since = items.sparkSession, mark()
     arrow_limits(spark)
-    left, n, done = items, items.count(), []
+    left = materialize(items.withColumn("number", F.monotonically_increasing_id()), "pieces")
+    n, done = left.count(), []
     for r in range(rounds):
         parts = -(-n // part_rows)
         last = parts <= 1 or r == rounds - 1
-
-        dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", F.lit(r)), F.lit(max(parts, 1))).cast("long"))
+        dealt = left.withColumn("part", F.pmod(F.xxhash64("number", F.lit(r)), F.lit(max(parts, 1))).cast("long"))
         packed = materialize(dealt.groupBy("part").applyInArrow(packer(capacity, r, last), PACKED), "packed")
-        done.append(packed.filter("final").drop("final"))
+        done.append(packed.filter("final").drop("final", "number"))
         if last:
             break
-        left = packed.filter("not final").select(*items.columns)
+        left = packed.filter("not final").select(*left.columns)
         if not (n := left.count()):
             break
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
+    out = materialize(out, "sequences")
+    release(spark, since)
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, cut: str = "words", capacity: int = 2048, end: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
-    return pack(materialize(pieces(docs, tokenizer, cut, capacity, end), "pieces"), capacity, part_rows)
+def pack_documents(docs: DataFrame, tokenizer: str, cut: str = "words", capacity: int = 2048, end: int = 0, part_rows: int = PART_ROWS, rounds: int = 6) -> DataFrame:
+    return pack(pieces(docs, tokenizer, cut, capacity, end), capacity, part_rows, rounds)
