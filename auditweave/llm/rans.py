@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import arrow_limits, chunks, fresh_path, id_and_text, mark, materialize, release
+from .common import arrow_limits, chunks, fresh_path, id_and_text, mark, materialize, release, remove
 from .tokens import encoder
 
 MAGIC = int.from_bytes(b"RNB1", "little")
@@ -149,7 +149,8 @@ def token_rows(docs: DataFrame, tokenizer: str, cut: str, end: int | None) -> Da
             ids, at = own.encode(raw, offs)
             data = ids.astype(width).tobytes()
             size = np.dtype(width).itemsize
-            yield pa.record_batch([rows.column("doc_id"), pa.array(np.diff(at)), pa.array([data[a * size : b * size] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "n", "ids"])
+            own_ids = [data[a * size : b * size] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.record_batch([rows.column("doc_id"), pa.array(np.diff(at)), pa.array(own_ids, pa.binary())], names=["doc_id", "n", "ids"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n long, ids binary")
 
@@ -199,7 +200,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, cut: str = "spaced"
 
         def block():
             all_ids = np.concatenate(ids)
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([start]), pa.array([size]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode_block(all_ids, own)], pa.binary())], names=["part", "start", "n_tokens", "doc_ids", "lengths", "payload"])
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (doc_ids, lengths)]
+            columns = [pa.array([part], pa.int32()), pa.array([start]), pa.array([size]), *lists, pa.array([encode_block(all_ids, own)], pa.binary())]
+            return pa.record_batch(columns, names=["part", "start", "n_tokens", "doc_ids", "lengths", "payload"])
 
         for b in batches:
             for doc, n, data in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist(), strict=True):
@@ -213,7 +216,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, cut: str = "spaced"
         if doc_ids:
             yield block()
 
-    ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    tied = tokens.withColumn("tie", F.monotonically_increasing_id())  # rows of one id may go to several parts
+    ordered = tied.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
     release(spark, since, keep=0)
 
@@ -241,7 +245,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 ends = np.cumsum(n)
                 own_ids = [data[4 * a : 4 * e] for a, e in zip((ends - n).tolist(), ends.tolist(), strict=True)]
                 columns = [pa.array(doc_ids, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(start + ends - n), pa.array(n), pa.array([zlib.crc32(x) for x in own_ids], pa.int64())]
-                yield pa.record_batch([*columns, *([pa.array(own_ids, pa.binary())] if with_ids else [])], names=["doc_id", "part", "local", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
+                columns += [pa.array(own_ids, pa.binary())] * with_ids
+                yield pa.record_batch(columns, names=["doc_id", "part", "local", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
     # A row for each part, a few million ids each; their running sum is what precedes a part.
     sizes = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -252,7 +257,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 
 def round_trip(docs: DataFrame, tokenizer: str, cut: str = "spaced", end: int | None = 0) -> DataFrame:
+    """The rows that the files give back; the files go when these are written."""
     spark = docs.sparkSession
     path = fresh_path(spark, "token-files")
     write_tokens(docs, path, tokenizer, cut, end)
-    return read_tokens(spark, path)
+    out = materialize(read_tokens(spark, path), "round-trip")
+    remove(spark, path)
+    return out

@@ -1,11 +1,18 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__
 
+from auditweave.llm import quality
 from auditweave.llm.common import materialize, table
 
-from .helpers import SCHEMA
+from .helpers import SCHEMA, frame, rows
+from .test_decontaminate import split
+from .test_near import shingle_set
+from .test_simhash import brute_components
 
 
 def corpus(spark, path):
@@ -59,3 +66,46 @@ def test_stages_take_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs_out = stage(spark, docs, str(tmp_path))
         assert docs_out.count() == 0
+
+
+def test_stages_take_nulls_ties_repeated_rows_and_clashing_names(spark, tmp_path):
+    """Each stage on rows of every kind, against brute force; the columns stay, whatever they are called."""
+    path = str(tmp_path)
+    corpus(spark, path)
+    words = " ".join(f"w{i}" for i in range(40))
+    data = [*rows(), *[(None, words, None, None, None)] * 2, (500, words + " end", "en", "s", 1), (501, words, "en", "s", 1), (501, words, "en", "s", 1), (502, " ".join(["z"] * 9), None, None, None)]
+    docs = frame(spark, data, clashing=True).withColumns({c: F.lit(c) for c in ("doc", "Place", "spans", "row_", "a.b", "c`d")})
+    bench = [r.text for r in table(spark, path, "benchmark").collect()]
+    data.append((503, "see " + bench[0], "en", "s", 1))
+    docs = docs.unionByName(frame(spark, data[-1:], clashing=True).withColumns({c: F.lit(c) for c in ("doc", "Place", "spans", "row_", "a.b", "c`d")}))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, path)
+        assert left.columns == docs.columns
+        kept[name] = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    texts = [(r[0], r[1]) for r in data]
+    ranker = quality.train(table(spark, path, "documents"), table(spark, path, "labels"), cut=0.3)
+    good = [t for t in texts if ranker.score(quality.features(np.frombuffer((t[1] or "").encode(), np.uint8), np.array([0, len((t[1] or "").encode())])))[0] >= 0.3]
+    order = lambda t: (t[0] is not None, t[0] or 0)
+    assert len(kept["quality classifier"]) > 0
+    stage = corpus_pipeline.quality_stage(spark, docs, path)
+    fresh = quality.train(docs, table(spark, path, "labels"), cut=0.3)
+    want = [t for t in texts if fresh.score(quality.features(np.frombuffer((t[1] or "").encode(), np.uint8), np.array([0, len((t[1] or "").encode())])))[0] >= 0.3]
+    assert good and sorted(((r.doc_id, r.text) for r in stage.collect()), key=repr) == sorted(want, key=repr)
+    by_text = {}
+    for t in texts:
+        if (same := by_text.get(t[1] or "")) is None or order(t) > order(same):
+            by_text[t[1] or ""] = t
+    assert [(i, t or "") for i, t in kept["exact dedup"]] == sorted(((i, t or "") for i, t in by_text.values()), key=repr)
+    sets = [shingle_set(t) for _, t in texts]
+    close = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0
+    groups = {}
+    for i, g in brute_components(range(len(texts)), close).items():
+        groups.setdefault(g, []).append(i)
+    firsts = {min((order(texts[i]) for i in own)) for own in groups.values()}
+    found = [order(t) for t in kept["simhash near-dedup"]]
+    assert len(found) == len(groups) and all(min(order(texts[i]) for i in own) in found for own in groups.values()) and set(found) == firsts
+    clean = [t for t in texts if not any(" ".join(split(b)[i : i + 10]) in " ".join(split(t[1])) for b in bench for i in range(len(split(b)) - 9))]
+    assert kept["benchmark decontamination"] == sorted(clean, key=repr) and len(clean) == len(texts) - 1
+    packed = corpus_pipeline.packing_stage(spark, docs, path).collect()
+    assert sorted({r.doc_id for r in packed}, key=repr) == sorted({t[0] for t in texts}, key=repr) and sum(r.piece == 0 for r in packed) == len(texts)

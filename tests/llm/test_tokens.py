@@ -1,3 +1,4 @@
+import random
 import tracemalloc
 import zlib
 from collections import defaultdict
@@ -144,6 +145,24 @@ def test_packing(spark, part_rows):
     assert packing.pack_documents(frame(spark, []), PATHS["words"]).count() == 0
 
 
+def test_packing_of_a_hot_id_and_its_certificate(spark):
+    """A third of all pieces have no id: they are dealt as the others, and what is told holds."""
+    rng = random.Random(3)
+    items = [(None if i % 3 == 0 else i, 0, 0, rng.randrange(1, 21), 0) for i in range(3000)]
+    frame_of = spark.createDataFrame(items, packing.PIECES)
+    got = packing.pack(frame_of, 20, part_rows=200, rounds=6).collect()
+    assert sorted((r.doc_id or -1, r.length) for r in got) == sorted((i or -1, n) for i, _, _, n, _ in items)
+    bins = defaultdict(int)
+    for r in got:
+        bins[r.sequence_id] += r.length
+        assert r.certified == (r.gap == 0) and r.gap >= 0
+    least = packing.lower_bound(np.array([n for *_, n, _ in items]), 20)
+    assert max(bins.values()) <= 20 and least <= len(bins) <= 1.02 * least
+    once = packing.pack(frame_of, 20, part_rows=200, rounds=1).collect()
+    parts = {r.sequence_id >> 32 for r in once}
+    assert len(parts) == 15 and max(sum(r.sequence_id >> 32 == p for r in once) for p in parts) < 400
+
+
 @settings(deadline=None, max_examples=120)
 @given(st.lists(st.text(alphabet="aB'sd 1\t\n\x1c\xa0é́Σ🙂.,<|", max_size=12), min_size=1, max_size=12), st.sampled_from([" ", "  ", "\n", " x "]), st.sampled_from(sorted(KINDS)), st.sampled_from([1, 2, 5, 17]))
 def test_long_texts_in_parts_have_the_ids_of_whole_texts(words, between, kind, most):
