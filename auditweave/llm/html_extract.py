@@ -186,11 +186,15 @@ privacy|publicidad|read more|recent|recommended|registered|related|reply|save|sa
 tweet|welcome|\u00a9|\\|"""
 SAYS = re.compile("|".join(rf"(?<!\w)(?:{x})(?!\w)" for x in PHRASES.replace("\n", "|").split("|") if x.strip("\\")), re.I)
 SHORT = 200
+#: Words that phrases begin with: most runs have none, which is seen at once.
+FIRST = frozenset(w for x in PHRASES.replace("\n", "|").split("|") for w in WORD.findall(x)[:1] if w not in ("log", "sign")) | {"log", "login", "sign", "comment", "cookie"}
 
 
 def run_words(text: str) -> tuple[str, ...]:
     """Names of the features of what a short run says."""
-    return tuple({"says " + x.lower() for x in SAYS.findall(text)}) if len(text) <= SHORT else ()
+    if len(text) > SHORT or FIRST.isdisjoint(WORD.findall(text.lower())) and "\u00a9" not in text and "|" not in text:
+        return ()
+    return tuple({"says " + x.lower() for x in SAYS.findall(text)})
 
 
 RUN = ["run", "log_chars", "log_words", "linked", "all_linked", "stop", "comma", "short", "first", "last", "of_page"]
