@@ -9,7 +9,7 @@ equi-join and their complete distance is verified inside the join. A pair is emi
 segment that finds it only, so every link comes out once.
 
 Documents with equal fingerprints are one node. Buckets that hold many more nodes than chance gives are dense groups of near
-copies: these are tied first, by comparing nodes with one member of each bucket, and the tied members of a bucket's largest group then
+copies: these are tied first, by comparing nodes with some members of each bucket, and the tied members of a bucket's largest group then
 meet the others only, so that work and links stay linear in the group. Links stream from the join into a spanning forest within the same task.
 
 Defined results: null and empty texts have no shingles and fingerprint zero, which links as any other; a
@@ -20,6 +20,8 @@ their own unless an equal or linked fingerprint has an id; extra columns are ign
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -171,50 +173,47 @@ def links(nodes: DataFrame, distance: int, n: int, tied: tuple[DataFrame, DataFr
     return q.join(e, met & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & lowest & (first == F.col("q.segment"))).select("a", "b")
 
 
-#: A bucket is dense with DENSE entries and EXCESS times as many as chance gives. Turns of stars go on while the search would look at
-#: WORK pairs for each entry of dense buckets and one in FEW_TIED nodes was tied. All bear on the work alone.
-DENSE, EXCESS, WORK, FEW_TIED = 64, 8, 32, 100
+#: A bucket is dense with DENSE entries and EXCESS times as many as chance gives: below, comparing all its entries costs each of them a
+#: bounded time. In a turn each node meets MEMBERS of a bucket. Turns go on while the search would look at DENSE pairs for
+#: each entry of dense buckets and a turn halves them. All bear on the work alone.
+DENSE, EXCESS, MEMBERS = 4096, 8, 4
 
 
-def stars(nodes: DataFrame, distance: int, n: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+def stars(nodes: DataFrame, distance: int, n: int, dense: int = DENSE) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """Ties in dense buckets: pairs (a, b) within `distance`, linear in the entries; what links() takes as `tied`. None without dense buckets.
 
-    In each turn every node meets one member of each bucket it is in, drawn by a hash; what is within the distance is tied."""
+    In each turn every node meets a few members of each bucket it is in, drawn by hashes; what is within the distance is tied."""
     plan = segments(distance, n)
     table = _entries(nodes, plan, False).select("node", "fp", "segment", "value")
     chance = max(n * ball_size(w, r // 2) / 2**w for _, w, r in plan)
-    dense = materialize(table.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") > max(DENSE, EXCESS * chance)), "dense")
-    if dense.isEmpty():
+    full = table.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") >= max(dense, EXCESS * chance))
+    full = materialize(full.select("segment", "value"), "dense")
+    if full.isEmpty():
         return None
-    entries = materialize(table.join(dense.select("segment", "value"), ["segment", "value"], "left_semi"), "entries")
-    groups = materialize(entries.select("node").distinct().select("node", F.col("node").alias("group")), "groups")
-    many, found, turn = entries.count(), None, 0
+    entries = materialize(table.join(full, ["segment", "value"], "left_semi"), "entries")
+    many, found, groups, turn, before = entries.count(), None, None, 0, math.inf
     while True:
-        e = entries.join(groups, "node")
-        one = F.max_by(F.struct("node", "fp", "group"), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
-        picked = e.groupBy("segment", "value").agg(F.min("group").alias("least"), F.max("group").alias("most"), one.alias("one"))
-        picked = materialize(picked.filter("least != most").select("segment", "value", "one.*"), "picked")
-        x, y = e.alias("x"), picked.alias("y").hint("merge")
-        met = (F.col("x.segment") == F.col("y.segment")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.group") != F.col("y.group"))
+        drawn = [F.max_by(F.struct("node", "fp"), F.struct(F.xxhash64("node", F.lit(MEMBERS * turn + i)), "node")) for i in range(MEMBERS)]
+        picked = entries.groupBy("segment", "value").agg(F.array_distinct(F.array(*drawn)).alias("drawn")).select("segment", "value", F.inline("drawn"))
+        x, y = entries.alias("x"), materialize(picked, "picked").alias("y").hint("merge")
+        met = (F.col("x.segment") == F.col("y.segment")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.node") != F.col("y.node"))
         near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance
         pairs = x.join(y, met & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         pairs = materialize(pairs, "ties")
         found = pairs if found is None else found.unionByName(pairs)
-        to = materialize(components(found), "tied")
-        before = groups
-        groups = materialize(before.select("node").join(to, "node", "left").select("node", F.coalesce("component", "node").alias("group")), "groups")
-        sizes = entries.join(groups, "node").groupBy("segment", "value", "group").agg(F.count("*").alias("n"))
+        groups = materialize(components(found), "tied").select("node", F.col("component").alias("group"))
+        sizes = entries.join(groups, "node", "left").groupBy("segment", "value", F.coalesce("group", "node").alias("group")).agg(F.count("*").alias("n"))
         main = sizes.groupBy("segment", "value").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
         main = materialize(main, "main")
         work = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0]
-        turn += 1
-        if work <= WORK * many or pairs.count() * FEW_TIED < groups.count():
+        if work <= dense * many or work > before / 2:
             return found, groups, main.select("segment", "value", "main")
+        turn, before = turn + 1, work
 
 
-def connected(nodes: DataFrame, distance: int, n: int) -> DataFrame:
+def connected(nodes: DataFrame, distance: int, n: int, dense: int = DENSE) -> DataFrame:
     """(node, component) by the links of nodes (node, fp) within `distance`."""
-    ties = stars(nodes, distance, n)
+    ties = stars(nodes, distance, n, dense)
     if ties is None:
         return components(links(nodes, distance, n))
     found, groups, main = ties
