@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,22 +30,30 @@ def similarity(distance: Column, bits: int = BITS) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance / bits)) if bits > 0 else F.lit(0.0)
 
 
-@lru_cache(1 << 16)
-def token_bits(token: str) -> bytes:
-    return hashlib.md5(token.encode()).digest()[:8]
+#: Tokens whose bits are laid out at once.
+TOGETHER = 1 << 17
 
 
-def _majority(tokens: list[str]) -> int | None:
-    if not len(tokens):
-        return None
-    bits = np.unpackbits(np.frombuffer(b"".join(map(token_bits, tokens)), np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int(np.frombuffer(np.packbits(2 * bits > len(tokens)).tobytes(), ">i8")[0])
+def majorities(lists: list) -> list[int | None]:
+    """For each list of tokens the 64 bits that more than half of their MD5 halves have; None without tokens."""
+    numbers: dict[str, int] = {}
+    size = np.array([len(t) for t in lists], np.int64)
+    codes = np.fromiter((numbers.setdefault(w, len(numbers)) for t in lists for w in t), np.int64, size.sum())
+    digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:8] for w in numbers), np.uint8).reshape(-1, 8)
+    some = np.flatnonzero(size)
+    counts, end = np.zeros((len(lists), BITS), np.int64), np.cumsum(size)
+    for group in np.split(some, np.flatnonzero(np.diff(end[some] // TOGETHER)) + 1) if len(some) else []:
+        first = end[group[0]] - size[group[0]]
+        bits = np.unpackbits(digests[codes[first : end[group[-1]]]], axis=1)
+        counts[group] = np.add.reduceat(bits, end[group] - size[group] - first, axis=0, dtype=np.int64)
+    packed = np.packbits(2 * counts > size[:, None], axis=1).view(">i8").ravel()
+    return [int(x) if n else None for x, n in zip(packed, size, strict=True)]
 
 
 def text_fingerprint(text: Column) -> Column:
     """64-bit SimHash of the distinct a-z tokens of lower-case text, by the first half of their MD5; null without tokens."""
 
     def run(tokens: pd.Series) -> pd.Series:
-        return pd.Series([_majority(t) for t in tokens], dtype="Int64")
+        return pd.Series(majorities(tokens.tolist()), dtype="Int64")
 
     return F.pandas_udf(run, "bigint")(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))))

@@ -67,6 +67,9 @@ class AuditConfig:
     min_test: int = 10
     bootstrap_iterations: int = 1000
     min_bootstrap: int = 20
+    #: "binomial" needs two counts, whatever the number of test rows; "sequence" draws row numbers one after another from a legacy
+    #: generator, in one task that holds all test rows, and so repeats the digits of tools that do it that way.
+    bootstrap: str = "binomial"
 
     @classmethod
     def resolve(cls, **overrides) -> AuditConfig:
@@ -74,6 +77,8 @@ class AuditConfig:
         if unknown:
             raise ValueError(f"unknown options: {sorted(unknown)}")
         c = replace(cls(), **{k: v for k, v in overrides.items() if v is not None})
+        if c.bootstrap not in ("binomial", "sequence"):
+            raise ValueError(f"unknown bootstrap: {c.bootstrap}")
         near = max(0, min(24, int(c.phash_threshold)))
         return replace(c, phash_threshold=near, phash_strong_threshold=max(0, min(near, int(c.phash_strong_threshold))), semantic_threshold=max(0.5, min(0.9999, float(c.semantic_threshold))), semantic_top_k=max(1, min(50, int(c.semantic_top_k))))
 

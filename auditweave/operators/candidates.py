@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.hashing import BITS, hamming, similarity
+from ..storage import materialize
 
 #: Rows up to which the smaller side of a search goes to every task: 16 bytes each, so 3 MB at most.
 NESTED_ROWS = 200_000
-#: Rows in a block of vectors that meets other blocks.
-BLOCK_ROWS = 2048
+#: Vectors in a block that is broadcast (32 MB of 512 numbers), and rows that meet it at once.
+BLOCK_ROWS, QUERIES = 8192, 128
 
 
 def usable(samples: DataFrame, column: str) -> DataFrame:
@@ -76,35 +77,61 @@ def hamming_pairs(samples: DataFrame, threshold: int) -> DataFrame:
     return (hamming_nested if few else hamming_banded)(samples, threshold)
 
 
+def unit_rows(vectors: pa.Array) -> np.ndarray:
+    """A list column as rows of unit norm; zero rows stay."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norms > 0, norms, 1)
+
+
+def nearest(mine: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of mine, row of others, similarity) of the k best for each of mine; ties go to the earlier of others."""
+    s = np.round(mine @ others.T, 12)
+    k = min(k, s.shape[1])
+    row, column = np.nonzero(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None])
+    value = s[row, column]
+    order = np.lexsort((column, -value, row))
+    row, column, value = row[order], column[order], value[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], column[keep], value[keep]
+
+
 def neighbours(samples: DataFrame, top_k: int, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """a, b, similarity, rank: of the k + 1 nearest rows by cosine (itself among them) those that aren't a and reach the threshold.
 
-    Exhaustive: rows are dealt to blocks, each block of queries meets every block, a task holds two blocks at a
-    time, and only the best of each meeting move on. Ties go to the smaller idx.
+    Exhaustive: a block of rows at a time is broadcast and every row meets it where it lies, so no vector is shuffled; only the
+    best of each meeting move on. Ties go to the smaller idx.
     """
+    spark = samples.sparkSession
     own = samples.filter(~F.col("corrupt") & F.col("embedding").isNotNull()).select("idx", "embedding")
     n = own.count()
-    blocks = max(1, -(-n // block_rows))
-    k = min(top_k + 1, n)
     if not n:
-        return samples.sparkSession.createDataFrame([], "a long, b long, similarity double, rank int")
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
-    each = F.sequence(F.lit(0), F.lit(blocks - 1))
-    sides = dealt.select(F.lit(0).alias("side"), "idx", "embedding", F.col("block").alias("q"), F.explode(each).alias("d")).unionByName(dealt.select(F.lit(1).alias("side"), "idx", "embedding", F.explode(each).alias("q"), F.col("block").alias("d")))
-
-    def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        side, idx = group.column("side").to_numpy(), group.column("idx").to_numpy()
-        rows = np.array(group.column("embedding").to_pylist(), np.float64).reshape(len(idx), -1)
-        norms = np.linalg.norm(rows, axis=1, keepdims=True)
-        rows = rows / np.where(norms > 0, norms, 1)
-        order = np.argsort(idx[side == 1], kind="stable")
-        names, others = idx[side == 1][order], rows[side == 1][order]
-        mine = idx[side == 0]
-        s = np.round(rows[side == 0] @ others.T, 12)
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return pa.table({"a": np.repeat(mine, best.shape[1]), "b": names[best].ravel(), "similarity": np.take_along_axis(s, best, 1).ravel()})
-
-    met = sides.groupBy("q", "d").applyInArrow(meet, "a long, b long, similarity double")
+        return spark.createDataFrame([], "a long, b long, similarity double, rank int")
+    blocks, k = -(-n // block_rows), min(top_k + 1, n)
+    if blocks > 1:
+        own = materialize(own.withColumn("block", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")), "vectors")
+    met = None
+    for block in range(blocks):
+        table = (own.filter(F.col("block") == block) if blocks > 1 else own).select("idx", "embedding").toArrow()  # some block_rows vectors
+        if not table.num_rows:
+            continue
+        table = table.sort_by("idx")
+        held = spark.sparkContext.broadcast((table.column("idx").to_numpy(), unit_rows(table.column("embedding"))))
+
+        def meet(batches, held=held):
+            names, others = held.value
+            for b in batches:
+                idx, rows = b.column("idx").to_numpy(), unit_rows(b.column("embedding"))
+                for at in range(0, len(idx), QUERIES):
+                    a, c, similarity = nearest(rows[at : at + QUERIES], others, k)
+                    yield pa.record_batch([pa.array(idx[at : at + QUERIES][a]), pa.array(names[c]), pa.array(similarity)], names=["a", "b", "similarity"])
+
+        found = own.select("idx", "embedding").mapInArrow(meet, "a long, b long, similarity double")
+        if blocks > 1:
+            found = materialize(found, "met")
+            held.destroy()
+        met = found if met is None else met.unionByName(found)
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b")))
     return ranked.filter((F.col("rank") <= k) & (F.col("a") != F.col("b")) & (F.col("similarity") >= threshold)).withColumn("similarity", F.round("similarity", 6))
 

@@ -25,8 +25,6 @@ ELIGIBLE = "Dataset is eligible for the diagnostic experiment."
 FEW_EMBEDDED = "Too few embeddable training samples after filtering."
 NONE_IMPLICATED = "No test samples were implicated in strong cross-split leakage, so the cleaned evaluation is identical to the original."
 NEARLY_ALL = "Nearly the entire test split is implicated in leakage; a cleaned evaluation would be meaningless."
-#: Test rows up to which the bootstrap draws the reference sequence in one task; above, Poisson weights by row.
-SEQUENTIAL_ROWS = 100_000
 
 
 def eligibility(samples: DataFrame, config: M.AuditConfig) -> DataFrame:
@@ -72,34 +70,29 @@ def accuracy(predictions: DataFrame) -> DataFrame:
 
 
 def bootstrap(predictions: DataFrame, config: M.AuditConfig, seed: int) -> DataFrame:
-    """low, high of the 95 % percentile bootstrap of the accuracy of columns idx, label, prediction; no row below min_bootstrap."""
-    n = predictions.count()
+    """low, high of the 95 % percentile bootstrap of the accuracy of columns idx, label, prediction; no row below min_bootstrap.
+
+    The accuracy of a resample of n rows of which k are right is binomial, k / n for each of n draws: that is what `binomial` draws."""
+    spark = predictions.sparkSession
     rows = predictions.select("idx", (F.col("label") == F.col("prediction")).cast("int").alias("right"))
+    n, k = rows.agg(F.count("*"), F.coalesce(F.sum("right"), F.lit(0))).first()
     if n < config.min_bootstrap:
-        return predictions.sparkSession.createDataFrame([], "low double, high double")
-    iterations = config.bootstrap_iterations
-    if n <= SEQUENTIAL_ROWS:  # a legacy generator's state is sequential, and so is the draw
-
-        def draw(table: pa.Table) -> pa.Table:
-            right = table.sort_by("idx").column("right").to_numpy()
-            rng = np.random.RandomState(seed)
-            stats = [right[rng.randint(0, len(right), size=len(right))].mean() for _ in range(iterations)]
-            low, high = np.percentile(stats, [2.5, 97.5])
-            return pa.table({"low": [round(float(low), 4)], "high": [round(float(high), 4)]})
-
-        return rows.groupBy().applyInArrow(draw, "low double, high double")
-
-    def weigh(batches):
-        total, hit = np.zeros(iterations), np.zeros(iterations)
-        for b in batches:
-            for i, r in zip(b.column("idx").to_pylist(), b.column("right").to_pylist(), strict=True):
-                w = np.random.default_rng((seed, i)).poisson(1.0, iterations)
-                total += w
-                hit += w * r
-        yield pa.record_batch([pa.array(range(iterations), pa.int32()), pa.array(total), pa.array(hit)], names=["i", "total", "hit"])
-
-    stats = rows.mapInArrow(weigh, "i int, total double, hit double").groupBy("i").agg((F.sum("hit") / F.sum("total")).alias("x"))
-    return stats.agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("p")).select(F.round(F.col("p")[0], 4).alias("low"), F.round(F.col("p")[1], 4).alias("high"))
+        return spark.createDataFrame([], "low double, high double")
+
+    def ends(stats) -> list[float]:
+        return [round(float(x), 4) for x in np.percentile(stats, [2.5, 97.5])]
+
+    if config.bootstrap == "binomial":
+        drawn = np.random.default_rng(seed).binomial(n, k / n, config.bootstrap_iterations) / n
+        return spark.createDataFrame([ends(drawn)], "low double, high double")
+
+    def draw(table: pa.Table) -> pa.Table:
+        right = table.sort_by("idx").column("right").to_numpy()
+        rng = np.random.RandomState(seed)
+        low, high = ends([right[rng.randint(0, len(right), size=len(right))].mean() for _ in range(config.bootstrap_iterations)])
+        return pa.table({"low": [low], "high": [high]})
+
+    return rows.groupBy().applyInArrow(draw, "low double, high double")
 
 
 def embedded(samples: DataFrame) -> DataFrame:

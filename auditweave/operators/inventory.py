@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,13 +69,17 @@ def corrupt_samples(samples: DataFrame) -> DataFrame:
 def fingerprint(samples: DataFrame) -> DataFrame:
     """SHA-256 over the sorted lines split/label/digest, each with a newline; equal lines count as often as they occur.
 
-    The digest is sequential by definition: lines are sorted by the cluster and streamed through it one partition at a time.
+    The digest is sequential by definition: one task sorts the lines, on its disk where they don't fit its memory, and holds a batch at a time.
     """
-    lines = samples.select(F.concat_ws("/", "split", "label", F.coalesce("sha256", F.lit(""))).alias("line")).orderBy("line")
-    digest = hashlib.sha256()
-    for row in lines.toLocalIterator():
-        digest.update(row.line.encode() + b"\n")
-    return samples.sparkSession.createDataFrame([(digest.hexdigest(),)], "fingerprint string")
+    lines = samples.select(F.concat_ws("/", "split", "label", F.coalesce("sha256", F.lit(""))).alias("line"))
+
+    def digest(batches):
+        h = hashlib.sha256()
+        for b in batches:
+            h.update("".join(f"{x}\n" for x in b.column("line").to_pylist()).encode())
+        yield pa.record_batch([pa.array([h.hexdigest()])], names=["fingerprint"])
+
+    return lines.repartition(1).sortWithinPartitions("line").mapInArrow(digest, "fingerprint string")
 
 
 def issues(samples: DataFrame) -> DataFrame:

@@ -2,12 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as M
 
 
+# What a caller is told.
+NOT_FOUND = "Audit not found (it may have been deleted)."
+NOT_COMPLETE = "Audit is not complete (status: %s)."
+EVENTS = "event_id long, job_id string, stage string, status string, ts timestamp_ntz"
+
+
+def status_of(stage: Column) -> Column:
+    """The status that goes with a stage: stages between the first and the last are running."""
+    return F.when(stage.isin("queued", "complete", "failed", "deleted"), stage).otherwise("running")
+
+
+def create(spark: SparkSession, path: str, at: datetime.datetime | None = None) -> str:
+    """Writes a new job's first event to the log at path; its id."""
+    job_id = uuid.uuid4().hex
+    _append(spark, path, job_id, "queued", at)
+    return job_id
+
+
+def advance(spark: SparkSession, path: str, job_id: str, stage: str, at: datetime.datetime | None = None) -> None:
+    """Writes that a job is at a stage, has failed or is deleted. KeyError for a job that isn't there."""
+    if stage not in [*(k for k, _ in M.STAGES), "failed", "deleted"]:
+        raise ValueError(f"unknown stage: {stage}")
+    found(log(spark, path), job_id)
+    _append(spark, path, job_id, stage, at)
+
+
+def _append(spark: SparkSession, path: str, job_id: str, stage: str, at: datetime.datetime | None) -> None:
+    row = spark.createDataFrame([(time.time_ns(), job_id, stage, at or datetime.datetime.now())], "event_id long, job_id string, stage string, ts timestamp_ntz")
+    row.select("event_id", "job_id", "stage", status_of(F.col("stage")).alias("status"), "ts").write.mode("append").parquet(path)
+
+
+def log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EVENTS).parquet(path)
+
+
+def found(events: DataFrame, job_id: str, complete: bool = False) -> Row:
+    """The job's last state. KeyError if it isn't there or is deleted; ValueError if it must be complete and isn't."""
+    row = latest_state(events.filter(F.col("job_id") == job_id)).withColumn("status", status_of(F.col("stage"))).first()
+    if row is None or row.status == "deleted":
+        raise KeyError(NOT_FOUND)
+    if complete and row.status != "complete":
+        raise ValueError(NOT_COMPLETE % row.status)
+    return row
+
+
 def latest_state(events: DataFrame) -> DataFrame:
     """The last event of each job_id (columns event_id, job_id, stage, ts) with its first and last time."""
     last = F.max_by(F.struct("stage", "event_id"), F.struct("ts", "event_id"))

@@ -58,7 +58,8 @@ def plan_groups(samples: DataFrame, findings: DataFrame, reviews: DataFrame, tie
 
 def manifest(samples: DataFrame, tied: DataFrame, plans: DataFrame) -> DataFrame:
     """One entry for each sample: where it is, where it goes, and why."""
-    s = samples.join(tied, "idx", "left").join(plans.select("component", "target", F.col("reason").alias("why")), "component", "left")
+    placed = tied.join(plans.select("component", "target", F.col("reason").alias("why")), "component").select("idx", "group_id", "target", "why")
+    s = samples.join(placed, "idx", "left")  # samples of no group have no key to meet on
     corrupt, alone, excluded, stays = F.col("corrupt"), F.col("target").isNull(), F.col("target") == "excluded", F.col("target") == F.col("split")
     return s.select(
         "idx", "sample_id", "rel_path", F.col("split").alias("original_split"), F.when(corrupt, "excluded").when(alone, F.col("split")).otherwise(F.col("target")).alias("proposed_split"), "label",

@@ -10,7 +10,6 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .. import model as M
 from ..functions import paths as P
@@ -33,6 +32,10 @@ TOO_MUCH = "Archive exceeds the maximum uncompressed size of {} MiB."
 NOTHING_LEFT = "No supported images (JPG/JPEG/PNG/WebP) were found in the archive. Expected a train/<class>/image.jpg folder layout."
 
 
+#: Numbers of entries that go to every task: some 100 bytes each.
+BROADCAST_ROWS = 200_000
+
+
 class IngestError(ValueError):
     """The upload as a whole is refused; the message can be shown."""
 
@@ -98,9 +101,12 @@ def scan(entries: DataFrame, limits: M.Limits = M.Limits(), sniff: bool = True)
     place = P.classify_path(F.col("path"))
     late = F.when(place.isNull(), NO_SPLIT_IN_ARCHIVE).when(F.lit(sniff) & (F.octet_length("content") > limits.member_bytes), TOO_LARGE).when(F.lit(sniff) & F.col("content").isNull(), BROKEN).when(F.lit(sniff) & P.sniff_format(F.col("content")).isNull(), NO_IMAGE)
     # the number counts what the directory let pass, whether or not its content does; `files` entries at most
-    passed = F.col("reject_reason").isNull()
-    number = F.when(passed, F.count_if(passed).over(Window.orderBy("archive", "position")) - 1)
-    rows = rows.withColumn("number", number.cast("bigint")).withColumn("reject_reason", F.coalesce("reject_reason", late))
+    key = F.struct("archive", "position")
+    numbers = numbered(rows.filter("reject_reason is null").select(key.alias("key")), "key", "number")
+    numbers = numbers.select("key.*", "number")
+    if limits.files <= BROADCAST_ROWS:
+        numbers = F.broadcast(numbers)  # no more rows than files are allowed
+    rows = rows.join(numbers, ["archive", "position"], "left").withColumn("reject_reason", F.coalesce("reject_reason", late))
     return rows.select(
         "archive", "position", "path", "content", "size", "number", F.when(F.col("number").isNotNull(), P.internal_id(F.col("number"))).alias("sample_id"), place["split"].alias("split"), place["label"].alias("label"), "reject_reason",
     )

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import model as M
 from ..functions import images as I
 from ..functions import paths as P
 from ..operators.order import numbered
@@ -22,25 +23,44 @@ def truncated(content: F.Column) -> F.Column:
     return (P.sniff_format(content) == "JPEG") & (F.hex(F.substring(content, -2, 2)) != "FFD9")
 
 
+TOO_MANY_PIXELS = "image of %d pixels exceeds the limit of %d"
+
+
+def without_pixels(image: F.Column) -> F.Column:
+    """The same size, and no data to look at."""
+    return F.when(image.isNotNull(), image.withField("data", F.lit(b"")))
+
+
 def normal_path(path: F.Column) -> F.Column:
     return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
 
 
-def samples(spark: SparkSession, root: str, files: DataFrame, vectors: str = "auto") -> DataFrame:
-    """files: accepted entries of folder_entries(root). One row each, numbered in their order. vectors: a provider's name."""
+def samples(spark: SparkSession, root: str, files: DataFrame, vectors: str = "auto", limits: M.Limits = M.Limits()) -> DataFrame:
+    """files: accepted entries of folder_entries(root). One row each, numbered in their order. vectors: a provider's name.
+
+    What is told of a picture and of a file is computed where each is read; only that is joined, neither pixels nor contents.
+    A picture of more than limits.image_pixels is not looked at: it counts as corrupt."""
     _, vectorise = I.provider(vectors)
     base = "/" + root.rstrip("/").removeprefix("file://").removeprefix("file:").lstrip("/") + "/"
-    pictures = decoded(spark, root).select(F.substr(normal_path(F.col("origin")), F.lit(len(base) + 1)).alias("path"), "image")
-    rows = files.join(pictures, "path", "left")
+    width, height = F.col("image.width").cast("bigint"), F.col("image.height").cast("bigint")
+    told = [
+        width.alias("width"), height.alias("height"), I.phash(F.col("image")).alias("phash"),
+        (vectorise(F.col("image")) if vectorise else F.lit(None).cast("array<float>")).alias("embedding"),
+    ]
+    path = F.substr(normal_path(F.col("origin")), F.lit(len(base) + 1)).alias("path")
+    pictures = decoded(spark, root).withColumn("image", F.when(width * height <= limits.image_pixels, F.col("image")).otherwise(without_pixels(F.col("image")))).select(path, *told)
     form = P.sniff_format(F.col("content"))
-    error = F.when(form.isNull(), "not a recognised image").when(form == "WEBP", "unsupported format WEBP").when(F.coalesce(F.col("image.height"), F.lit(-1)) <= 0, "cannot be decoded").when(truncated(F.col("content")), "image file is truncated")
-    made = rows.withColumn("error", error).withColumn("good", F.when(F.col("error").isNull(), F.col("image")))
-    made = made.join(numbered(files.select("sample_id"), "sample_id", "idx"), "sample_id")
+    own = files.select("sample_id", "split", "label", "path", "size", F.sha2("content", 256).alias("sha256"), form.alias("img_format"), truncated(F.col("content")).alias("cut"))
+    large = F.col("width") * F.col("height") > limits.image_pixels
+    error = (
+        F.when(F.col("img_format").isNull(), "not a recognised image").when(F.col("img_format") == "WEBP", "unsupported format WEBP").when(F.coalesce("height", F.lit(-1)) <= 0, "cannot be decoded")
+        .when(large, F.format_string(TOO_MANY_PIXELS, F.col("width") * F.col("height"), F.lit(limits.image_pixels))).when(F.col("cut"), "image file is truncated")
+    )
+    made = own.join(pictures, "path", "left").withColumn("error", error).join(numbered(files.select("sample_id"), "sample_id", "idx"), "sample_id")
+    good = lambda c: F.when(F.col("error").isNull(), F.col(c)).alias(c)
     return made.select(
-        "idx", "sample_id", "split", "label", F.col("path").alias("rel_path"), F.sha2("content", 256).alias("sha256"),
-        F.when(F.col("error").isNull(), I.phash(F.col("image"))).alias("phash"), F.col("good.width").cast("bigint").alias("width"), F.col("good.height").cast("bigint").alias("height"),
-        F.col("size").cast("bigint").alias("bytes"), form.alias("img_format"), F.col("error").isNotNull().alias("corrupt"), F.substring("error", 1, 160).alias("error"),
-        (F.when(F.col("error").isNull(), vectorise(F.col("image"))) if vectorise else F.lit(None).cast("array<float>")).alias("embedding"),
+        "idx", "sample_id", "split", "label", F.col("path").alias("rel_path"), "sha256", good("phash"), good("width"), good("height"),
+        F.col("size").cast("bigint").alias("bytes"), "img_format", F.col("error").isNotNull().alias("corrupt"), F.substring("error", 1, 160).alias("error"), good("embedding"),
     )
 
 

@@ -1,6 +1,7 @@
 import datetime
 import json
 
+import numpy as np
 import pytest
 
 from auditweave import model as M
@@ -162,15 +163,39 @@ def test_accuracy_and_macro_f1(spark):
     assert r.test_samples == 5 and r.accuracy == pytest.approx(3 / 5) and r.macro_f1 == pytest.approx((2 / 3 + 4 / 6 + 0) / 3)
 
 
-def test_bootstraps_agree(spark, monkeypatch):
+def test_bootstraps_agree(spark):
     p = spark.createDataFrame([(i, 1.0, float(i % 4 > 0)) for i in range(400)], "idx long, label double, prediction double")
-    one = E.bootstrap(p, M.AuditConfig(), 5).first()
-    monkeypatch.setattr(E, "SEQUENTIAL_ROWS", 10)
+    one = E.bootstrap(p, M.AuditConfig(bootstrap="sequence"), 5).first()
+    right, rng = np.array([int(i % 4 > 0) for i in range(400)]) == 1, np.random.RandomState(5)
+    stats = [right[rng.randint(0, 400, size=400)].mean() for _ in range(1000)]
+    assert (one.low, one.high) == tuple(round(float(x), 4) for x in np.percentile(stats, [2.5, 97.5]))
     other = E.bootstrap(p, M.AuditConfig(), 5).first()
+    assert tuple(other) == tuple(E.bootstrap(p.repartition(5), M.AuditConfig(), 5).first())
+    with pytest.raises(ValueError, match="bootstrap"):
+        M.AuditConfig.resolve(bootstrap="poisson")
     assert abs(one.low - other.low) < 0.02 and abs(one.high - other.high) < 0.02
     assert E.bootstrap(p.limit(5), M.AuditConfig(), 5).count() == 0
 
 
+def test_jobs_are_written_and_guarded(spark, tmp_path):
+    path = str(tmp_path / "log")
+    job = J.create(spark, path)
+    with pytest.raises(ValueError, match="not complete .status: queued"):
+        J.found(J.log(spark, path), job, complete=True)
+    J.advance(spark, path, job, "indexing")
+    assert J.found(J.log(spark, path), job).status == "running"
+    J.advance(spark, path, job, "complete")
+    assert J.found(J.log(spark, path), job, complete=True).n_events == 3
+    with pytest.raises(ValueError, match="unknown stage"):
+        J.advance(spark, path, job, "resting")
+    J.advance(spark, path, job, "deleted")
+    for missing in (job, "nobody"):
+        with pytest.raises(KeyError, match="not found"):
+            J.found(J.log(spark, path), missing)
+        with pytest.raises(KeyError, match="not found"):
+            J.advance(spark, path, missing, "scoring")
+
+
 def test_job_lifecycle(spark):
     t = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
     log = spark.createDataFrame([(1, 7, "queued", t(0)), (2, 7, "indexing", t(1)), (3, 8, "complete", t(30))], "event_id long, job_id long, stage string, ts timestamp_ntz")
@@ -196,7 +221,19 @@ def test_exports(spark, tmp_path):
     parts = RP.report(a, "<demo>", "2024-01-01", evaluation=True)
     assert json.loads(RP.to_json(parts))["findings_total"] == 4 and parts["evaluation"]["eligible"] is False
     page = RP.to_html(parts)
-    assert "&lt;demo&gt;" in page and "<demo>" not in page
+    assert "&lt;demo&gt;" in page and "<demo>" not in page and parts["generated_at"] and parts["findings"][0]["review"] == {"decision": "unreviewed", "note": None}
+
+
+def test_report_has_all_findings(spark, tmp_path):
+    """401 pairs of equal samples: the JSON has all, the page the first 400 and the number of all."""
+    rows = [(i, f"s{i:07d}", "train" if i % 2 else "test", "c", f"{i}", f"{i // 2}", None, 1, 1, 1, "png", False, None, None) for i in range(802)]
+    a = Audit(spark.createDataFrame(rows, M.SAMPLES), M.AuditConfig(enable_perceptual=False, enable_semantic=False))
+    parts = RP.report(a, "many", "2024-01-01", evaluation=False, job_id="j1")
+    assert len(json.loads(RP.to_json(parts))["findings"]) == 401 == parts["findings_total"] and parts["audit"]["job_id"] == "j1"
+    page = RP.to_html(parts)
+    assert "first 400 of 401" in page
+    written = RP.report(a, "many", "2024-01-01", evaluation=False, findings_path=str(tmp_path / "f"))
+    assert spark.read.json(written["findings_path"]).count() == 401 and [f["id"] for f in written["findings"]] == [f["id"] for f in parts["findings"][:400]]
 
 
 def test_stored_tables_replace_one_job(spark, tmp_path):

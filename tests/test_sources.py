@@ -133,6 +133,17 @@ def test_truncated_jpeg_is_corrupt(spark):
     assert [r[0] for r in df.select(images.truncated(F.col("c"))).collect()] == [False, True, False]
 
 
+def test_pictures_beyond_the_pixel_limit_are_not_looked_at(spark, tmp_path):
+    (tmp_path / "train" / "c").mkdir(parents=True)
+    for name, shape in (("a", (5, 7, 3)), ("b", (60, 70, 3))):
+        (tmp_path / "train" / "c" / f"{name}.png").write_bytes(demo.png(np.zeros(shape, np.uint8)))
+    files = A.accepted(A.folder_entries(spark, str(tmp_path)))
+    got = {r.rel_path[-5:]: r for r in images.samples(spark, str(tmp_path), files, limits=M.Limits(image_pixels=1000)).collect()}
+    assert not got["a.png"].corrupt and got["a.png"].width == 7 and got["a.png"].phash is not None
+    big = got["b.png"]
+    assert big.corrupt and big.error == "image of 4200 pixels exceeds the limit of 1000" and big.phash is None and big.embedding is None and big.sha256
+
+
 def test_png_has_its_size(spark, tmp_path):
     (tmp_path / "train").mkdir()
     (tmp_path / "train" / "é x.png").write_bytes(demo.png(np.zeros((5, 7, 3), np.uint8)))
