@@ -19,8 +19,11 @@ from .operators import repair as R
 from .operators import reviews as RV
 from .operators import score as S
 from .plans.audit import Audit
+from .plans import report as RP
 from .plans.findings_query import FindingsQuery
+from .sources import archives as A
 from .sources import tables as T
+from .storage import fresh_path
 
 NEAR, STRONG, TOP_K, COSINE = 8, 4, 10, 0.35
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +172,58 @@ def sniff_pages(spark, sf_dir):
     return p.select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), F.when(F.lower(F.substring("html", 1, 14)) == "<!doctype html", "HTML").alias("format"), F.octet_length("html").cast("bigint").alias("bytes"), F.sha2("html", 256).alias("sha256"))
 
 
+def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as the directory of an archive: paths of every kind, sizes, packed sizes and file modes by doc_id."""
+    i, name, source = F.col("doc_id"), F.col("doc_id").cast("string"), F.col("source")
+    said = [
+        F.concat(F.lit("train/"), source, F.lit("/"), name, F.lit(".jpg")), F.concat(F.lit("Data\\Training\\"), source, F.lit("\\"), name, F.lit(".PNG")),
+        F.concat(F.lit("images/val/"), source, F.lit("/"), name, F.lit(".webp")), F.concat(F.lit("dev/x/"), source, F.lit("/"), name, F.lit(".jpeg")),
+        F.concat(F.lit("../train/"), source, F.lit("/"), name, F.lit(".jpg")), F.concat(F.lit("test/c/._"), name, F.lit(".jpg")), F.concat(F.lit("test/c/"), name, F.lit(".txt")),
+        F.concat(F.lit("__MACOSX/test/"), name, F.lit(".png")), F.concat(F.lit("misc/"), name, F.lit(".png")),
+    ]
+    size = F.octet_length("text").cast("bigint")
+    packed = F.greatest(F.lit(1), F.floor(size / (1 + i % 300)))
+    mode = F.when(i % 11 == 0, 0o120777).otherwise(0o100644).cast("bigint")
+    return T.read(spark, sf_dir, "documents").select("doc_id", F.get(F.array(*said), (i % 9).cast("int")).alias("path"), mode.alias("mode"), size.alias("size"), packed.alias("packed"))
+
+
+MEMBER_BYTES = 4000
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, doc_id % 9 AS k, source, CAST(strlen(text) AS BIGINT) AS size, CASE WHEN doc_id % 11 = 0 THEN {0o120777} ELSE {0o100644} END AS mode FROM documents),
+e AS (SELECT *, greatest(1, size // (1 + doc_id % 300)) AS packed,
+  CASE k WHEN 0 THEN 'train/' || source || '/' || doc_id || '.jpg' WHEN 1 THEN 'Data' || chr(92) || 'Training' || chr(92) || source || chr(92) || doc_id || '.PNG'
+    WHEN 2 THEN 'images/val/' || source || '/' || doc_id || '.webp' WHEN 3 THEN 'dev/x/' || source || '/' || doc_id || '.jpeg'
+    WHEN 4 THEN '../train/' || source || '/' || doc_id || '.jpg' WHEN 5 THEN 'test/c/._' || doc_id || '.jpg'
+    WHEN 6 THEN 'test/c/' || doc_id || '.txt' WHEN 7 THEN '__MACOSX/test/' || doc_id || '.png' ELSE 'misc/' || doc_id || '.png' END AS path FROM d),
+f AS (SELECT *, string_split(path, '/')[-1] AS base, list_filter(string_split(replace(path, chr(92), '/'), '/'), lambda p: p <> '' AND p <> '.') AS parts, size / packed AS ratio FROM e),
+g AS (SELECT *, lower(regexp_extract(base, '[^.](\\.[^.]+)$', 1)) AS ext,
+  list_transform(parts[1:len(parts)-1], lambda x: CASE WHEN lower(x) IN ('train','training') THEN 'train' WHEN lower(x) IN ('val','valid','validation','dev') THEN 'val'
+    WHEN lower(x) IN ('test','testing','eval') THEN 'test' ELSE '' END) AS named FROM f),
+h AS (SELECT *, (list_filter(range(1, len(named) + 1), lambda i: named[i] <> ''))[1] AS pos FROM g)
+SELECT doc_id, path, CASE WHEN starts_with(base, '._') THEN 'macOS resource fork' WHEN contains(path, '__MACOSX/') THEN 'macOS metadata' END AS skip_reason,
+  CASE WHEN list_contains(string_split(path, '/'), '..') THEN '{A.UNSAFE}' WHEN (mode >> 12) & 15 NOT IN (0, 8) THEN '{A.NON_REGULAR}'
+    WHEN ext NOT IN ('.jpg', '.jpeg', '.png', '.webp') THEN 'Unsupported extension ' || chr(39) || ext || chr(39)
+    WHEN size > {MEMBER_BYTES} THEN '{A.TOO_LARGE}' WHEN ratio > 200 THEN printf('Suspicious compression ratio (%.0fx)', ratio) END AS reject_reason,
+  CASE WHEN pos IS NOT NULL THEN named[pos] END AS split,
+  CASE WHEN pos IS NULL THEN NULL WHEN pos = len(named) THEN '{M.UNLABELED}' ELSE array_to_string(parts[pos+1:len(parts)-1], '/') END AS label FROM h""")
+def ingest_guards(spark, sf_dir):
+    place = paths.classify_path(F.col("path"))
+    reject = A.reject_reason(M.Limits(member_bytes=MEMBER_BYTES))
+    return document_entries(spark, sf_dir).select("doc_id", "path", paths.skip_reason(F.col("path")).alias("skip_reason"), reject.alias("reject_reason"), place["split"].alias("split"), place["label"].alias("label"))
+
+
+@query(over(SAMPLES, "SELECT * FROM samples"))
+def stored_samples(spark, sf_dir):
+    """Samples stored for two jobs, one of them twice: what one job reads back."""
+    root = fresh_path(spark, "stored-audit")
+    own = T.document_samples(spark, sf_dir, fingerprints=False).select("idx", "sample_id", "split", "label", "sha256", "bytes", "width", "height", "img_format", "corrupt")
+    for job, rows in (("a", own.filter("corrupt")), ("b", own.filter("not corrupt")), ("a", own)):
+        T.store(rows, root, "samples", job)
+    return T.stored(spark, root, "samples", "a")
+
+
 # ---- candidates ----
 
 
@@ -254,6 +309,13 @@ def findings_corroboration(spark, sf_dir):
     return audit(spark, sf_dir).findings.select("finding_id", F.array_join(d["methods"], ",").alias("methods"), d["corroborated_by_multiple_methods"].alias("corroborated"))
 
 
+@query(over(ALL + "," + reach("SELECT a_idx AS a, b_idx AS b FROM findings"), """SELECT finding_id, kind, severity, confidence_label, method, sample_a, sample_b, split_a, split_b, class_a, class_b, distance, similarity,
+  cross_split, conflicting_label, group_id, coalesce(decision, 'unreviewed') AS review_decision, '' AS review_note FROM findings JOIN grouped ON node = a_idx LEFT JOIN reviews USING (finding_id)"""))
+def findings_csv(spark, sf_dir):
+    a = audit(spark, sf_dir)
+    return RP.findings_table(a.findings, a.decisions)
+
+
 @query(over(ALL + "," + reach("SELECT a_idx AS a, b_idx AS b FROM findings"), "SELECT finding_id, group_id FROM findings JOIN grouped ON node = a_idx"))
 def findings_grouped(spark, sf_dir):
     return audit(spark, sf_dir).findings.select("finding_id", "group_id")
@@ -416,6 +478,11 @@ def repair_groups(spark, sf_dir):
     return audit(spark, sf_dir).repair().groups.select("group_id", "n", *M.SPLITS, "conflicted", "target", "reason")
 
 
+@query(over(WITH_REPAIR, "SELECT sample_id, original_split, proposed_split, label AS class, coalesce(group_id, '') AS group_id, action, reason FROM entries"))
+def repair_csv(spark, sf_dir):
+    return RP.repair_table(audit(spark, sf_dir).repair().entries)
+
+
 @query(over(WITH_REPAIR, "SELECT * FROM entries"))
 def repair_manifest(spark, sf_dir):
     return audit(spark, sf_dir).repair().entries.drop("rel_path")
@@ -468,6 +535,16 @@ def quarantine_set(spark, sf_dir):
     return E.quarantine(a.findings, a.decisions).select("idx", "finding_id", "method", "confirmed")
 
 
+@query("""
+WITH p AS (SELECT quality AS label, CAST(doc_id % 3 > 0 AS INT) AS prediction FROM labels WHERE doc_id % 10 >= 8),
+classes AS (SELECT DISTINCT label AS c FROM p UNION SELECT DISTINCT prediction FROM p),
+per AS (SELECT c, count(*) FILTER (label = c AND prediction = c) AS hit, count(*) FILTER (label = c) AS actual, count(*) FILTER (prediction = c) AS guess FROM p, classes GROUP BY c)
+SELECT (SELECT count(*) FROM p) AS test_samples, round((SELECT avg(CAST(label = prediction AS INT)) FROM p), 9) AS accuracy, round(avg(2 * hit / (actual + guess)), 9) AS macro_f1 FROM per""")
+def accuracy_f1(spark, sf_dir):
+    p = T.read(spark, sf_dir, "labels").filter("doc_id % 10 >= 8").select(F.col("quality").alias("label"), (F.col("doc_id") % 3 > 0).cast("int").alias("prediction"))
+    return E.accuracy(p).select("test_samples", F.round("accuracy", 9).alias("accuracy"), F.round("macro_f1", 9).alias("macro_f1"))
+
+
 @query()
 def eval_gap(spark, sf_dir):
     samples = T.vector_samples(spark, sf_dir)

@@ -79,7 +79,7 @@ def reject_reason(limits: M.Limits) -> F.Column:
         .when((F.col("mode") != 0) & ~kind.isin(0, 8), NON_REGULAR)
         .when(~P.allowed_extension(path), F.concat(F.lit(BAD_EXTENSION), F.when(ext == "", "(none)").otherwise(ext), F.lit("'")))
         .when(F.col("size") > limits.member_bytes, TOO_LARGE)
-        .when(ratio > limits.compression_ratio, F.format_string(BAD_RATIO, ratio))
+        .when(ratio > limits.compression_ratio, F.format_string(BAD_RATIO, F.bround(ratio, 0)))  # halves go to the even number
     )
 
 
