@@ -15,6 +15,7 @@ from ..operators import inventory as I
 from ..operators import repair as R
 from ..operators import score as S
 from ..sources import archives, images
+from ..storage import materialize
 
 
 @dataclass
@@ -102,9 +103,9 @@ class Repair:
 
 
 def audit_folder(spark: SparkSession, root: str, config: M.AuditConfig | None = None, reviews: DataFrame | None = None) -> Audit:
-    """Audits the image files below a folder that the cluster can read."""
+    """Audits the image files below a folder that the cluster can read. Pictures are decoded once, whatever is asked of the audit."""
     files = archives.accepted(archives.folder_entries(spark, root))
-    return Audit(images.samples(spark, root, files), config or M.AuditConfig(), reviews)
+    return Audit(materialize(images.samples(spark, root, files), "samples"), config or M.AuditConfig(), reviews)
 
 
 def capabilities() -> dict:
