@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from .common import columns, fresh_path, mark, materialize, release, settings, u
 SALTS = 64
 #: Appends after which the buckets' files are merged.
 MOST_APPENDS = 8
+STATE = re.compile(r"index-(\d+)\.json")
 SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("keep_id", T.LongType()), T.StructField("n_rows", T.LongType())])
 
 
@@ -38,8 +40,8 @@ def digest(text: F.Column) -> F.Column:
 class DigestIndex:
     """A table (digest, keep_id, n_rows) in the folder `path`, bucketed and sorted by digest.
 
-    The folder has a file `index.json` (number of buckets, the folder of the table, appends to it), which is replaced
-    when all else is written; whoever opens the path again, in this session or another, finds the same index.
+    The folder has a file `index-N.json` (number of buckets, the folder of the table, appends to it), of which the largest N counts; the
+    next one is written when all else is. Whoever opens the path again, in this session or another, finds the same index.
 
     buckets: fixed when the index is made. A bucket is read by one task: take as many as give
     some 100 MB each (16 serve 30 million texts; 100 TB of text want some 16,000).
@@ -56,25 +58,33 @@ class DigestIndex:
             self._write({"buckets": buckets, "table": "t" + uuid.uuid4().hex, "appends": 0})
         self._register()
 
+    def _states(self) -> list[int]:
+        """The numbers of the state files, in order."""
+        if not self._files.exists(self._path(self.path)):
+            return []
+        names = (f.getPath().getName() for f in self._files.listStatus(self._path(self.path)))
+        return sorted(int(m[1]) for m in map(STATE.fullmatch, names) if m)
+
     def _read(self) -> dict | None:
-        at = self._path(f"{self.path}/index.json")
-        if not self._files.exists(at):
+        numbers = self._states()
+        if not numbers:
             return None
-        stream = self._files.open(at)
+        stream = self._files.open(self._path(f"{self.path}/index-{numbers[-1]}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def _write(self, state: dict) -> None:
-        """The new state, put in place by renaming."""
-        old, new = self._path(f"{self.path}/index.json"), self._path(f"{self.path}/index.{uuid.uuid4().hex}")
+        """The new state under the next number: a whole file is put in place by renaming, and only then the older ones go."""
+        older, new = self._states(), self._path(f"{self.path}/writing-{uuid.uuid4().hex}")
         stream = self._files.create(new, True)
         stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
-        self._files.delete(old, False)
-        if not self._files.rename(new, old):
+        if not self._files.rename(new, self._path(f"{self.path}/index-{older[-1] + 1 if older else 0}.json")):
             raise OSError(f"{new} can't be renamed")
+        for n in older:
+            self._files.delete(self._path(f"{self.path}/index-{n}.json"), False)
         self.state = state
 
     @property
