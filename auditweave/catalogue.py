@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from .operators import jobs as J
 from .operators import repair as R
 from .operators import reviews as RV
 from .operators import score as S
+from .operators.classes import Classes
 from .plans.audit import Audit
 from .plans import report as RP
 from .plans.findings_query import FindingsQuery
@@ -25,7 +27,7 @@ from .sources import archives as A
 from .sources import tables as T
 from .storage import fresh_path
 
-NEAR, STRONG, TOP_K, COSINE = 8, 4, 10, 0.35
+NEAR, STRONG, TOP_K, COSINE, WIDE = 8, 4, 10, 0.35, 16
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,33 +137,52 @@ def over(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes} {select}"
 
 
-def audit(spark: SparkSession, sf_dir: str) -> Audit:
-    """An audit of documents by all three searches, with made reviews."""
+@functools.lru_cache(4)
+def _audit(session: str, sf_dir: str) -> Audit:
+    spark = SparkSession.getActiveSession()
     samples = T.document_samples(spark, sf_dir, embeddings=True)
     found = Audit(samples, M.AuditConfig(phash_threshold=NEAR, phash_strong_threshold=STRONG, semantic_top_k=TOP_K, semantic_threshold=COSINE))
     return found.with_reviews(T.made_reviews(found.findings.drop("group_id")))
 
 
+def audit(spark: SparkSession, sf_dir: str) -> Audit:
+    """An audit of documents by all three searches, with made reviews. One session has one for each folder: findings are searched once, whatever is asked of them."""
+    return _audit(spark._jsparkSession.sessionUUID(), sf_dir)
+
+
+def class_audit(spark: SparkSession, sf_dir: str) -> Audit:
+    """The same audit without a row for each pair: nothing but classes is searched."""
+    samples = T.document_samples(spark, sf_dir, embeddings=True)
+    return Audit(samples, M.AuditConfig(phash_threshold=NEAR, phash_strong_threshold=STRONG, semantic_top_k=TOP_K, semantic_threshold=COSINE))
+
+
 # ---- paths, predicates ----
 
+#: Paths of every kind; # is a document's number.
 PATH_CASES = [
-    "train/cat/1.jpg", "Dataset\\Training\\dog\\a b.PNG", "images/val/x.webp", "dev/x/y/z.jpeg", "a.jpg", "foo/bar/a.jpg", "./test/./q/1.png", "eval/1.png", "train/test/c/1.jpg", "../train/c/1.jpg",
-    "/etc/passwd", "c:/train/x/1.jpg", "", "train//c//1.jpg", "validation/(unlabeled)/1.png", "TESTING/A/1.JPG", "train/.hidden", "train/._x.jpg", "__MACOSX/train/a.jpg", "train/c/", "train/c/archive.tar.gz", "train/c/noext",
+    "train/cat/#.jpg", "Dataset\\Training\\dog\\a #.PNG", "images/val/x#.webp", "dev/x/y/#.jpeg", "#.jpg", "foo/bar/#.jpg", "./test/./q/#.png", "eval/#.png", "train/test/c/#.jpg", "../train/c/#.jpg",
+    "/etc/passwd#", "c:/train/x/#.jpg", "", "train//c//#.jpg", "validation/(unlabeled)/#.png", "TESTING/A/#.JPG", "train/.hidden#", "train/._#.jpg", "__MACOSX/train/#.jpg", "train/c#/",
+    "train/c/#.tar.gz", "train/c/#", "train/#/.DS_Store", "a/..#/train/b/1.png", "train/c/..", "..\\train\\c\\#.png", "\\train\\c\\#.png",
 ]
 
 
 @query(f"""
-WITH cases AS (SELECT * FROM (VALUES {", ".join("(" + str(i) + ", '" + p + "')" for i, p in enumerate(PATH_CASES))}) t(n, path)),
+WITH cases AS (SELECT doc_id AS n, replace(c, '#', CAST(doc_id AS VARCHAR)) AS path FROM documents JOIN (VALUES {", ".join(f"({i}, '{p}')" for i, p in enumerate(PATH_CASES))}) t(k, c) ON k = doc_id % {len(PATH_CASES)}),
 parts AS (SELECT n, path, list_filter(string_split(replace(path, chr(92), '/'), '/'), lambda p: p <> '' AND p <> '.') AS p FROM cases),
 folders AS (SELECT n, path, CASE WHEN len(p) > 0 THEN p[1:len(p)-1] ELSE [] END AS f FROM parts),
 named AS (SELECT n, path, f, list_transform(f, lambda x: CASE WHEN lower(x) IN ('train','training') THEN 'train' WHEN lower(x) IN ('val','valid','validation','dev') THEN 'val' WHEN lower(x) IN ('test','testing','eval') THEN 'test' ELSE '' END) AS k FROM folders),
 found AS (SELECT *, (list_filter(range(1, len(k) + 1), lambda i: k[i] <> ''))[1] AS pos FROM named)
-SELECT CAST(n AS INT) AS n, path, CASE WHEN pos IS NOT NULL THEN k[pos] END AS split, CASE WHEN pos IS NULL THEN NULL WHEN pos = len(f) THEN '{M.UNLABELED}' ELSE array_to_string(f[pos+1:], '/') END AS label,
-  path <> '' AND NOT starts_with(replace(path, chr(92), '/'), '/') AND coalesce(substr(path, 2, 1), '') <> ':' AND NOT list_contains(string_split(replace(path, chr(92), '/'), '/'), '..') AS safe FROM found""")
+SELECT n AS doc_id, path, CASE WHEN pos IS NOT NULL THEN k[pos] END AS split, CASE WHEN pos IS NULL THEN NULL WHEN pos = len(f) THEN '{M.UNLABELED}' ELSE array_to_string(f[pos+1:], '/') END AS label,
+  path <> '' AND NOT starts_with(replace(path, chr(92), '/'), '/') AND coalesce(substr(path, 2, 1), '') <> ':' AND NOT list_contains(string_split(replace(path, chr(92), '/'), '/'), '..') AS safe,
+  CASE WHEN path LIKE '%/' THEN 'directory' WHEN starts_with(string_split(path, '/')[-1], '._') OR string_split(path, '/')[-1] = '.DS_Store' THEN 'macOS resource fork'
+    WHEN contains(path, '__MACOSX/') THEN 'macOS metadata' WHEN starts_with(string_split(path, '/')[-1], '.') THEN 'hidden file' END AS skip_reason FROM found""")
 def classify_path_cases(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(PATH_CASES)), "n int, path string")
+    """Split, label and safety of a path for each document; the paths are of all kinds by turns."""
+    case = F.get(F.array(*map(F.lit, PATH_CASES)), (F.col("doc_id") % len(PATH_CASES)).cast("int"))
+    rows = T.read(spark, sf_dir, "documents").select("doc_id", F.replace(case, F.lit("#"), F.col("doc_id").cast("string")).alias("path"))
     place = paths.classify_path(F.col("path"))
-    return rows.select("n", "path", place["split"].alias("split"), place["label"].alias("label"), paths.safe_member_name(F.col("path")).alias("safe"))
+    skip = paths.skip_reason(F.col("path"))
+    return rows.select("doc_id", "path", place["split"].alias("split"), place["label"].alias("label"), paths.safe_member_name(F.col("path")).alias("safe"), skip.alias("skip_reason"))
 
 
 @query("""
@@ -172,6 +193,17 @@ def sniff_pages(spark, sf_dir):
     return p.select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), F.when(F.lower(F.substring("html", 1, 14)) == "<!doctype html", "HTML").alias("format"), F.octet_length("html").cast("bigint").alias("bytes"), F.sha2("html", 256).alias("sha256"))
 
 
+HEADS = ["FFD8FFE0", "89504E470D0A1A0A", "52494646000000005745425056503820", "524946460000000057415645", "474946383961", ""]
+
+
+@query(f"""SELECT doc_id, CASE doc_id % {len(HEADS)} WHEN 0 THEN 'JPEG' WHEN 1 THEN 'PNG' WHEN 2 THEN 'WEBP' END AS format FROM documents""")
+def sniff_documents(spark, sf_dir):
+    """The formats that leading bytes tell; every document's text has the head of one kind or another before it."""
+    head = F.get(F.array(*map(F.lit, HEADS)), (F.col("doc_id") % len(HEADS)).cast("int"))
+    content = F.concat(F.unhex(head), F.coalesce("text", F.lit("")).cast("binary"))
+    return T.read(spark, sf_dir, "documents").select("doc_id", paths.sniff_format(content).alias("format"))
+
+
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as the directory of an archive: paths of every kind, sizes, packed sizes and file modes by doc_id."""
     i, name, source = F.col("doc_id"), F.col("doc_id").cast("string"), F.col("source")
@@ -433,6 +465,13 @@ def dataset_fingerprint(spark, sf_dir):
     return I.fingerprint(T.document_samples(spark, sf_dir, fingerprints=False))
 
 
+@query(over(SAMPLES, f"""SELECT sha256(string_agg(leaf || ' ' || digest || chr(10), '' ORDER BY leaf)) AS merkle_root, count(*) AS leaves FROM (
+  SELECT left(sha256(line), {I.LEAF_DIGITS}) AS leaf, sha256(string_agg(n || ' ' || line || chr(10), '' ORDER BY line)) AS digest FROM (
+    SELECT split || '/' || label || '/' || sha256 AS line, count(*) AS n FROM samples GROUP BY line) GROUP BY leaf)"""))
+def dataset_merkle_root(spark, sf_dir):
+    return I.merkle_root(T.document_samples(spark, sf_dir, fingerprints=False))
+
+
 @query(over(SAMPLES + "," + TOTALS + ", missing AS (SELECT count(*) AS m FROM (SELECT DISTINCT split FROM samples WHERE NOT corrupt) s, (SELECT DISTINCT label FROM samples WHERE NOT corrupt) c WHERE NOT EXISTS (SELECT 1 FROM samples x WHERE NOT corrupt AND x.split = s.split AND x.label = c.label))", f"""
 SELECT 'issue_corrupt' AS issue_id, '{M.CORRUPT}' AS kind, 'medium' AS severity, CAST(corrupt AS VARCHAR) || ' corrupt or unreadable image(s)' AS title FROM totals WHERE corrupt > 0
 UNION ALL SELECT 'issue_class_imbalance', '{M.CLASS_IMBALANCE}', CASE WHEN class_imbalance_ratio >= 5 THEN 'medium' ELSE 'low' END, printf('Class imbalance ratio %.1fx (largest class / smallest class)', class_imbalance_ratio) FROM totals WHERE class_imbalance_ratio > 2
@@ -470,6 +509,49 @@ def score_without_safe(spark, sf_dir):
     return a.score_components(a.decisions.filter("decision = 'safe'").select("finding_id")).select("category", "affected_samples", "penalty")
 
 
+@query(over(ALL, "SELECT kind, severity, count(*) AS n FROM findings GROUP BY ALL"))
+def class_counts(spark, sf_dir):
+    """Findings by kind and severity, counted from classes: no pair is made."""
+    return class_audit(spark, sf_dir).classes.counts()
+
+
+@query(over(ALL + "," + TOTALS + "," + SCORE, "SELECT kind, n AS affected_samples FROM hit"))
+def class_affected(spark, sf_dir):
+    return class_audit(spark, sf_dir).classes.affected()
+
+
+@query(over(ALL + "," + TOTALS + "," + SCORE, "SELECT * FROM parts"))
+def class_score_components(spark, sf_dir):
+    return class_audit(spark, sf_dir).score_components()
+
+
+@query(over(ALL + "," + reach("SELECT a_idx AS a, b_idx AS b FROM findings"), "SELECT node, component, group_id FROM grouped"))
+def class_components(spark, sf_dir):
+    return G.groups(class_audit(spark, sf_dir).classes.edges())
+
+
+@query(over(SAMPLES, """SELECT sha256, n, CAST(n * (n - 1) // 2 AS BIGINT) AS t FROM (SELECT sha256, count(*) AS n FROM samples WHERE NOT corrupt GROUP BY sha256 HAVING count(*) > 1)"""))
+def exact_classes(spark, sf_dir):
+    """A row for each digest of several samples, with the number of its pairs."""
+    samples = T.document_samples(spark, sf_dir, fingerprints=False)
+    rows = Classes(samples, NEAR, STRONG, near=False).classes
+    return rows.join(samples.select(F.col("idx").alias("cls"), "sha256"), "cls").select("sha256", "n", "t")
+
+
+@query(over(SAMPLES + "," + EXACT, "SELECT a, b, method, distance, similarity FROM exact"))
+def exact_pairs_exported(spark, sf_dir):
+    """All exact pairs, made from classes by their ranks."""
+    return Classes(T.document_samples(spark, sf_dir, fingerprints=False), NEAR, STRONG, near=False).export()
+
+
+@query(over(",".join([SAMPLES, PRINTS]) + f""", valid_prints AS (SELECT p.* FROM prints p JOIN samples s USING (idx) WHERE NOT s.corrupt)
+SELECT a.idx AS a, b.idx AS b, 'phash' AS method, CAST(bit_count(xor(a.h, b.h)) AS DOUBLE) AS distance, round(1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE, 6) AS similarity
+  FROM valid_prints a JOIN valid_prints b ON a.idx < b.idx AND bit_count(xor(a.h, b.h)) <= {WIDE}"""))
+def hamming_pairs_wide(spark, sf_dir):
+    """Pairs at a distance where one equal band tells little: bands with distances of their own."""
+    return C.hamming_banded(T.document_samples(spark, sf_dir), WIDE)
+
+
 # ---- repair ----
 
 
@@ -478,6 +560,12 @@ def repair_groups(spark, sf_dir):
     return audit(spark, sf_dir).repair().groups.select("group_id", "n", *M.SPLITS, "conflicted", "target", "reason")
 
 
+@query(over(WITH_REPAIR, "SELECT group_id, CAST(row_number() OVER (PARTITION BY component ORDER BY idx) - 1 AS BIGINT) AS position, idx, sample_id, split, label FROM group_rows"))
+def repair_group_members(spark, sf_dir):
+    a = audit(spark, sf_dir)
+    return R.group_members(a.samples, a.repair().tied)
+
+
 @query(over(WITH_REPAIR, "SELECT sample_id, original_split, proposed_split, label AS class, coalesce(group_id, '') AS group_id, action, reason FROM entries"))
 def repair_csv(spark, sf_dir):
     return RP.repair_table(audit(spark, sf_dir).repair().entries)

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.hashing import BITS, hamming, similarity
+from ..functions.hashing import hamming, similarity
 from ..storage import materialize
+from . import bands
+from .neighbours import BLOCK_ROWS, lists
 
 #: Rows up to which the smaller side of a search goes to every task: 16 bytes each, so 3 MB at most.
 NESTED_ROWS = 200_000
-#: Vectors in a block that is broadcast (32 MB of 512 numbers), and rows that meet it at once.
-BLOCK_ROWS, QUERIES = 8192, 128
 
 
 def usable(samples: DataFrame, column: str) -> DataFrame:
@@ -46,27 +45,20 @@ def hamming_nested(samples: DataFrame, threshold: int) -> DataFrame:
     return _near(a.join(F.broadcast(b), (F.col("a") < F.col("b")) & (hamming(F.col("h"), F.col("k")) <= threshold)))
 
 
+def value_pairs(values: DataFrame, threshold: int) -> DataFrame:
+    """h, k, d: pairs of distinct hashes (column h), h < k, within the threshold, by bands that the hashes' own frequencies choose."""
+    if threshold < 1:
+        return values.select("h", F.col("h").alias("k"), F.lit(0).alias("d")).limit(0)
+    chosen, _ = bands.plan(values, threshold)
+    return bands.pairs(values, chosen, threshold)
+
+
 def hamming_banded(samples: DataFrame, threshold: int) -> DataFrame:
-    """An equi-join on threshold + 1 bands of bits: hashes within the threshold agree on one band at least.
-    A pair comes out at the first band on which it agrees. Equal hashes are one row until the end."""
-    bands = threshold + 1
-    widths = [BITS // bands + (i < BITS % bands) for i in range(bands)]
-    shifts = [sum(widths[:i]) for i in range(bands)]
-    own = usable(samples, "phash").select("idx", "phash")
-    distinct = own.select("phash").distinct()
-
-    def band(h, i):
-        return F.shiftrightunsigned(h, shifts[i]).bitwiseAND(F.lit((1 << widths[i]) - 1 if widths[i] < BITS else -1))
-
-    def entries(name):
-        return distinct.select(F.col("phash").alias(name), F.inline(F.array(*[F.struct(F.lit(i).alias("band"), band(F.col("phash"), i).alias("value")) for i in range(bands)])))
-
-    first = F.lit(bands)
-    for i in reversed(range(bands)):
-        first = F.when(band(F.col("h"), i) == band(F.col("k"), i), F.lit(i)).otherwise(first)
-    x, y = entries("h").alias("x"), entries("k").alias("y")
-    found = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("h") <= F.col("k")) & (hamming(F.col("h"), F.col("k")) <= threshold) & (first == F.col("x.band"))).select("h", "k")
-    sides = found.join(own.select(F.col("phash").alias("h"), F.col("idx").alias("i")), "h").join(own.select(F.col("phash").alias("k"), F.col("idx").alias("j")), "k")
+    """Pairs of hashes by bands, then of their samples. Equal hashes are one row until the end."""
+    own = usable(samples, "phash").select("idx", F.col("phash").alias("h"))
+    values = materialize(own.groupBy("h").agg(F.count("*").alias("n")), "hashes")
+    found = value_pairs(values.select("h"), threshold).select("h", "k").unionByName(values.filter("n > 1").select("h", F.col("h").alias("k")))
+    sides = found.join(own.withColumnRenamed("idx", "i"), "h").join(own.select(F.col("h").alias("k"), F.col("idx").alias("j")), "k")
     sides = sides.filter((F.col("h") != F.col("k")) | (F.col("i") < F.col("j")))
     return _near(sides.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "h", "k"))
 
@@ -77,63 +69,13 @@ def hamming_pairs(samples: DataFrame, threshold: int) -> DataFrame:
     return (hamming_nested if few else hamming_banded)(samples, threshold)
 
 
-def unit_rows(vectors: pa.Array) -> np.ndarray:
-    """A list column as rows of unit norm; zero rows stay."""
-    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
-    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(norms > 0, norms, 1)
-
-
-def nearest(mine: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of mine, row of others, similarity) of the k best for each of mine; ties go to the earlier of others."""
-    s = np.round(mine @ others.T, 12)
-    k = min(k, s.shape[1])
-    row, column = np.nonzero(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None])
-    value = s[row, column]
-    order = np.lexsort((column, -value, row))
-    row, column, value = row[order], column[order], value[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[keep], column[keep], value[keep]
-
-
-def neighbours(samples: DataFrame, top_k: int, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def neighbours(samples: DataFrame, top_k: int, threshold: float, visited: tuple[Accumulator, Accumulator] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """a, b, similarity, rank: of the k + 1 nearest rows by cosine (itself among them) those that aren't a and reach the threshold.
 
-    Exhaustive: a block of rows at a time is broadcast and every row meets it where it lies, so no vector is shuffled; only the
-    best of each meeting move on. Ties go to the smaller idx.
-    """
-    spark = samples.sparkSession
-    own = samples.filter(~F.col("corrupt") & F.col("embedding").isNotNull()).select("idx", "embedding")
-    n = own.count()
-    if not n:
-        return spark.createDataFrame([], "a long, b long, similarity double, rank int")
-    blocks, k = -(-n // block_rows), min(top_k + 1, n)
-    if blocks > 1:
-        own = materialize(own.withColumn("block", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")), "vectors")
-    met = None
-    for block in range(blocks):
-        table = (own.filter(F.col("block") == block) if blocks > 1 else own).select("idx", "embedding").toArrow()  # some block_rows vectors
-        if not table.num_rows:
-            continue
-        table = table.sort_by("idx")
-        held = spark.sparkContext.broadcast((table.column("idx").to_numpy(), unit_rows(table.column("embedding"))))
-
-        def meet(batches, held=held):
-            names, others = held.value
-            for b in batches:
-                idx, rows = b.column("idx").to_numpy(), unit_rows(b.column("embedding"))
-                for at in range(0, len(idx), QUERIES):
-                    a, c, similarity = nearest(rows[at : at + QUERIES], others, k)
-                    yield pa.record_batch([pa.array(idx[at : at + QUERIES][a]), pa.array(names[c]), pa.array(similarity)], names=["a", "b", "similarity"])
-
-        found = own.select("idx", "embedding").mapInArrow(meet, "a long, b long, similarity double")
-        if blocks > 1:
-            found = materialize(found, "met")
-            held.destroy()
-        met = found if met is None else met.unionByName(found)
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b")))
-    return ranked.filter((F.col("rank") <= k) & (F.col("a") != F.col("b")) & (F.col("similarity") >= threshold)).withColumn("similarity", F.round("similarity", 6))
+    Ties go to the smaller idx. Blocks of vectors that can hold no such row are not read."""
+    near = lists(samples, top_k + 1, threshold, visited, block_rows)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b")))
+    return ranked.filter(F.col("a") != F.col("b")).withColumn("similarity", F.round("similarity", 6))
 
 
 def cosine_pairs(samples: DataFrame, top_k: int, threshold: float) -> DataFrame:

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions.vectors import is_zero
 from ..storage import materialize
+from .logistic import Fitted, fit
 
 # The reasons and notes are part of the results.
 NO_TRAIN = "No training split was found."
@@ -96,31 +94,39 @@ def bootstrap(predictions: DataFrame, config: M.AuditConfig, seed: int) -> DataF
 
 
 def embedded(samples: DataFrame) -> DataFrame:
-    """Valid rows with an embedding, of classes that both train and test have."""
+    """idx, split, class, features of valid rows with an embedding, of classes that both train and test have."""
     valid = samples.filter("not corrupt")
-    shared = valid.filter("split = 'train'").select("label").distinct().intersect(valid.filter("split = 'test'").select("label").distinct())
-    return valid.filter(~is_zero(F.col("embedding")) & F.col("split").isin("train", "test")).join(shared, "label", "left_semi").select("idx", "split", F.col("label").alias("class"), array_to_vector("embedding").alias("features"))
+    both = valid.groupBy("label").agg(F.count_if(F.expr("split = 'train'")).alias("train"), F.count_if(F.expr("split = 'test'")).alias("test")).filter("train > 0 and test > 0").select("label")
+    kept = valid.filter(~is_zero(F.col("embedding")) & F.col("split").isin("train", "test")).join(both, "label", "left_semi")
+    return kept.select("idx", "split", F.col("label").alias("class"), F.col("embedding").alias("features"))
 
 
-def predict(samples: DataFrame) -> DataFrame:
-    """idx, label, prediction (class numbers) for test rows, by a logistic regression on the train rows; null if those are too few."""
-    rows = materialize(StringIndexer(inputCol="class", outputCol="label", stringOrderType="alphabetAsc").fit(data := embedded(samples)).transform(data), "embedded")
-    train = rows.filter("split = 'train'")
-    fitted = LogisticRegression(regParam=1.0 / max(1, train.count()), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-9).fit(train)
-    return materialize(fitted.transform(rows.filter("split = 'test'")).select("idx", "label", "prediction"), "predictions")
+def predict(rows: DataFrame, classes: list[str], others: list[str], c: float = 1.0) -> tuple[DataFrame, Fitted]:
+    """idx, label, prediction (class numbers) for the test rows of embedded(), and the regression on its train rows that they come from.
+
+    classes: of the train rows, in the order of their numbers; others: of test rows only, which are never predicted."""
+    number = F.array_position(F.array(*map(F.lit, [*classes, *others])), F.col("class")) - 1
+    numbered = rows.select("idx", "split", number.cast("double").alias("label"), "features")
+    train = numbered.filter("split = 'train'")
+    fitted = fit(train, len(classes), train.select(F.size("features")).first()[0], c)
+    return materialize(fitted.predict(numbered.filter("split = 'test'").select("idx", "label", "features")), "predictions"), fitted
 
 
 def gap(samples: DataFrame, findings: DataFrame, reviews: DataFrame, config: M.AuditConfig) -> DataFrame:
-    """One row: eligible, reason, train and test sizes, accuracy, macro F1 and interval before and after quarantine, and the gap."""
+    """One row: eligible, reason, train and test sizes, accuracy, macro F1 and interval before and after quarantine, the gap, and how well the fit has
+    converged: passes over the train rows, the largest entry of the gradient at the end, and whether that is small enough."""
     spark = samples.sparkSession
-    columns = "eligible boolean, reason string, train_samples long, test_samples long, accuracy double, macro_f1 double, low double, high double, quarantined long, clean_samples long, clean_accuracy double, clean_macro_f1 double, clean_low double, clean_high double, gap double, note string"
+    columns = "eligible boolean, reason string, train_samples long, test_samples long, accuracy double, macro_f1 double, low double, high double, quarantined long, clean_samples long, clean_accuracy double, clean_macro_f1 double, clean_low double, clean_high double, gap double, note string, passes long, gradient double, converged boolean"
     may = eligibility(samples, config).first()
     if not may.eligible:
-        return spark.createDataFrame([(False, may.reason, *[None] * 14)], columns)
-    n_train = embedded(samples).filter("split = 'train'").count()
-    if n_train < config.min_classes * config.min_per_class:
-        return spark.createDataFrame([(False, FEW_EMBEDDED, *[None] * 14)], columns)
-    test = predict(samples)
+        return spark.createDataFrame([(False, may.reason, *[None] * 17)], columns)
+    rows = materialize(embedded(samples), "embedded")
+    sizes = rows.groupBy("class").agg(F.count_if(F.expr("split = 'train'")).alias("n")).orderBy("class").collect()  # a row for each class
+    n_train, known, others = sum(r.n for r in sizes), [r["class"] for r in sizes if r.n], [r["class"] for r in sizes if not r.n]
+    if n_train < config.min_classes * config.min_per_class or len(known) < 2:
+        return spark.createDataFrame([(False, FEW_EMBEDDED, *[None] * 17)], columns)
+    test, fitted = predict(rows, known, others)
+    told = (fitted.passes, fitted.gradient, fitted.converged)
     clean = test.join(quarantine(findings, reviews), "idx", "left_anti")
 
     def measured(rows: DataFrame, seed: int) -> tuple:
@@ -132,8 +138,8 @@ def gap(samples: DataFrame, findings: DataFrame, reviews: DataFrame, config: M.A
     show = lambda m: (m[0], round(m[1], 4), round(m[2], 4), *m[3:])
     head = (True, may.reason, n_train, *show(before), removed)
     if removed == 0:
-        return spark.createDataFrame([(*head, *[None] * 6, NONE_IMPLICATED)], columns)
+        return spark.createDataFrame([(*head, *[None] * 6, NONE_IMPLICATED, *told)], columns)
     if left < 2:
-        return spark.createDataFrame([(*head, *[None] * 6, NEARLY_ALL)], columns)
+        return spark.createDataFrame([(*head, *[None] * 6, NEARLY_ALL, *told)], columns)
     after = measured(clean, config.seed + 1)
-    return spark.createDataFrame([(*head, *show(after), round(before[1] - after[1], 4), None)], columns)
+    return spark.createDataFrame([(*head, *show(after), round(before[1] - after[1], 4), None, *told)], columns)

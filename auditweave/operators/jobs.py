@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import json
+import os
+import re
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,36 +19,116 @@ from .. import model as M
 # What a caller is told.
 NOT_FOUND = "Audit not found (it may have been deleted)."
 NOT_COMPLETE = "Audit is not complete (status: %s)."
+NOT_AFTER = "A job can't be %s after %s."
+#: Stages that are a status of their own.
+ALONE = ("queued", "complete", "failed", "deleted")
+EVENT = re.compile(r"(\d{8})\.json")
 EVENTS = "event_id long, job_id string, stage string, status string, ts timestamp_ntz"
 
 
 def status_of(stage: Column) -> Column:
     """The status that goes with a stage: stages between the first and the last are running."""
-    return F.when(stage.isin("queued", "complete", "failed", "deleted"), stage).otherwise("running")
+    return F.when(stage.isin(*ALONE), stage).otherwise("running")
 
 
 def create(spark: SparkSession, path: str, at: datetime.datetime | None = None) -> str:
     """Writes a new job's first event to the log at path; its id."""
     job_id = uuid.uuid4().hex
-    _append(spark, path, job_id, "queued", at)
+    _put(spark, path, job_id, 0, "queued", at)
     return job_id
 
 
-def advance(spark: SparkSession, path: str, job_id: str, stage: str, at: datetime.datetime | None = None) -> None:
-    """Writes that a job is at a stage, has failed or is deleted. KeyError for a job that isn't there."""
-    if stage not in [*(k for k, _ in M.STAGES), "failed", "deleted"]:
-        raise ValueError(f"unknown stage: {stage}")
-    found(log(spark, path), job_id)
-    _append(spark, path, job_id, stage, at)
+class Conflict(RuntimeError):
+    """Another writer has put an event in the place of this one."""
+
 
+def advance(spark: SparkSession, path: str, job_id: str, stage: str, at: datetime.datetime | None = None, after: int | None = None) -> int:
+    """Writes that a job is at a stage, has failed or is deleted; the event's number.
 
-def _append(spark: SparkSession, path: str, job_id: str, stage: str, at: datetime.datetime | None) -> None:
-    row = spark.createDataFrame([(time.time_ns(), job_id, stage, at or datetime.datetime.now())], "event_id long, job_id string, stage string, ts timestamp_ntz")
-    row.select("event_id", "job_id", "stage", status_of(F.col("stage")).alias("status"), "ts").write.mode("append").parquet(path)
+    Events of a job are numbered files that are put in place only where there is none, so of two writers one wins. The other looks again, and goes on if its event may still
+    follow; with `after`, the number of the event it knows as the last, it gets Conflict. KeyError for a job that isn't there or is deleted, ValueError for an unknown stage or
+    one that can't follow: stages go forward, complete and failed jobs can only be deleted."""
+    if stage not in [*(k for k, _ in M.STAGES), "failed", "deleted"]:
+        raise ValueError(f"unknown stage: {stage}")
+    while True:
+        number, last = _last(spark, path, job_id)
+        if last is None or last == "deleted":
+            raise KeyError(NOT_FOUND)
+        if after is not None and after != number:
+            raise Conflict(f"event {number} of {job_id} has come after {after}")
+        if not may_follow(last, stage):
+            raise ValueError(NOT_AFTER % (stage, last))
+        if _put(spark, path, job_id, number + 1, stage, at):
+            return number + 1
+
+
+def may_follow(last: str, stage: str) -> bool:
+    order = [k for k, _ in M.STAGES]
+    if stage == "deleted":
+        return last != "deleted"
+    if last in ("complete", "failed", "deleted"):
+        return False
+    return stage == "failed" or order.index(stage) > order.index(last)
+
+
+def _folder(spark: SparkSession, path: str, job_id: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{job_id}")
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store, store.makeQualified(p)
+
+
+def _last(spark: SparkSession, path: str, job_id: str) -> tuple[int, str | None]:
+    """Number and stage of the job's last event, which alone is read."""
+    store, folder = _folder(spark, path, job_id)
+    if not job_id or "/" in job_id or not store.exists(folder):
+        return -1, None
+    numbers = [int(m[1]) for m in (EVENT.fullmatch(f.getPath().getName()) for f in store.listStatus(folder)) if m]
+    if not numbers:
+        return -1, None
+    stream = store.open(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{max(numbers):08d}.json"))
+    try:
+        return max(numbers), json.loads(bytes(stream.readAllBytes()).decode())["stage"]
+    finally:
+        stream.close()
+
+
+def _put(spark: SparkSession, path: str, job_id: str, number: int, stage: str, at: datetime.datetime | None) -> bool:
+    """Puts the event in place, whole, if its number is free."""
+    store, folder = _folder(spark, path, job_id)
+    jvm = spark.sparkContext._jvm
+    at = at or datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+    row = {"event_id": time.time_ns(), "job_id": job_id, "stage": stage, "status": "running" if stage not in ALONE else stage, "ts": at.isoformat(timespec="microseconds")}
+    store.mkdirs(folder)
+    draft = jvm.org.apache.hadoop.fs.Path(folder, f".{uuid.uuid4().hex}")
+    out = store.create(draft, False)
+    out.write(bytearray((json.dumps(row) + "\n").encode()))
+    out.close()
+    name = f"{number:08d}.json"
+    uri = folder.toUri()
+    try:
+        if uri.getScheme() == "file":
+            os.link(f"{uri.getPath()}/{draft.getName()}", f"{uri.getPath()}/{name}")  # whole, or not at all where there is one
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, spark.sparkContext._jsc.hadoopConfiguration())
+            options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            context.rename(draft, jvm.org.apache.hadoop.fs.Path(folder, name), options)
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        store.delete(draft, False)
+    return True
 
 
 def log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENTS).parquet(path)
+    """All events; none of a log that hasn't begun."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], EVENTS)
+    return spark.read.schema(EVENTS).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
 
 
 def found(events: DataFrame, job_id: str, complete: bool = False) -> Row:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .. import model as M
 from ..storage import materialize
@@ -39,23 +40,41 @@ def members(findings: DataFrame, reviews: DataFrame, include_semantic: bool = Fa
 
 
 def plan_groups(samples: DataFrame, findings: DataFrame, reviews: DataFrame, tied: DataFrame) -> DataFrame:
-    """group_id, members, n, splits, labels, target, resolution, reason."""
+    """group_id, n, splits, labels, target, resolution, reason: a row for each group, whose members are listed by group_members()."""
     conflicts = decided(findings, reviews).filter(F.col("kind") == M.CONFLICT).select(F.col("a_idx").alias("idx")).distinct().withColumn("conflicted", F.lit(True))
     own = tied.join(samples.select("idx", "sample_id", "split", "label"), "idx").join(conflicts, "idx", "left")
     by_split = [F.count_if(F.col("split") == s).alias(s) for s in M.SPLITS]
     g = own.groupBy("component", "group_id").agg(
         F.count("*").alias("n"), *by_split, F.coalesce(F.bool_or("conflicted"), F.lit(False)).alias("conflicted"), F.min_by("split", "idx").alias("first_split"),
-        F.count_distinct("split").alias("n_splits"), F.array_sort(F.collect_set("label")).alias("labels"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "sample_id"))), lambda x: x["sample_id"]).alias("members"),
+        F.count_distinct("split").alias("n_splits"), F.array_sort(F.collect_set("label")).alias("labels"),
     )
     single, majority = F.col("n_splits") == 1, F.col("test") > F.col("n") - F.col("test")
     target = F.when(F.col("conflicted"), "excluded").when(single, F.col("first_split")).when(majority, "test").when(F.col("train") > 0, "train").otherwise(F.col("first_split"))
     return g.withColumn("target", target).select(
-        "component", "group_id", "members", "n", *M.SPLITS, "labels", "conflicted", "target",
+        "component", "group_id", "n", *M.SPLITS, "labels", "conflicted", "target",
         F.when(F.col("conflicted"), "exclude_pending_review").when(single, "already_single_split").otherwise(F.concat(F.lit("consolidate_to_"), "target")).alias("resolution"),
         F.when(F.col("conflicted"), WHY_CONFLICT).when(single, WHY_SINGLE).when(majority, WHY_TEST).otherwise(WHY_TRAIN).alias("reason"),
     )
 
 
+def group_members(samples: DataFrame, tied: DataFrame) -> DataFrame:
+    """group_id, position (from 0, by idx), idx, sample_id, split, label: the members of all groups in order. They are numbered by ranges of (group, idx), so that a group of any size is
+    no row and no task's alone."""
+    rows = tied.select("component", "group_id", "idx").join(samples.select("idx", "sample_id", "split", "label"), "idx")
+    dealt = materialize(rows.repartitionByRange("component", "idx").withColumn("range", F.spark_partition_id()), "group-members")
+    counts = dealt.groupBy("component", "range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("component").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("component", "range", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("component", "range").orderBy("idx")) - 1
+    placed = dealt.withColumn("own", own).join(offsets, ["component", "range"])
+    return placed.select("group_id", (F.col("own") + F.col("before")).cast("long").alias("position"), "idx", "sample_id", "split", "label")
+
+
+def listed(members: DataFrame) -> DataFrame:
+    """group_id, members (sample ids in order): for an export that wants a group in one row."""
+    return members.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "sample_id"))), lambda x: x["sample_id"]).alias("members"))
+
+
 def manifest(samples: DataFrame, tied: DataFrame, plans: DataFrame) -> DataFrame:
     """One entry for each sample: where it is, where it goes, and why."""
     placed = tied.join(plans.select("component", "target", F.col("reason").alias("why")), "component").select("idx", "group_id", "target", "why")

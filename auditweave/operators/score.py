@@ -15,11 +15,16 @@ def grade(score: Column) -> Column:
 
 def components(findings: DataFrame, totals: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """category, weight, affected_samples, rate, saturation, penalty; findings whose id is in `excluded` don't count."""
-    spark = findings.sparkSession
     if excluded is not None:
         findings = findings.join(excluded, "finding_id", "left_anti")
+    return weighed(affected(findings), totals)
+
+
+def weighed(hit: DataFrame, totals: DataFrame) -> DataFrame:
+    """components() from kind and affected_samples."""
+    spark = hit.sparkSession
     order = spark.createDataFrame([(i, c, w, s) for i, (c, (w, s)) in enumerate(M.PENALTIES.items())], "position int, category string, weight double, saturation double")
-    hit = affected(findings).withColumnRenamed("kind", "category")
+    hit = hit.withColumnRenamed("kind", "category")
     rows = F.broadcast(order).join(hit, "category", "left").crossJoin(F.broadcast(totals))  # eight rows and one
     valid = F.greatest(F.lit(1), F.col("valid"))
     category = F.col("category")

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import model as M
 from ..operators import candidates as C
@@ -14,8 +15,9 @@ from ..operators import findings as F_
 from ..operators import inventory as I
 from ..operators import repair as R
 from ..operators import score as S
+from ..operators.classes import Classes
 from ..sources import archives, images
-from ..storage import materialize
+from ..storage import fresh_path, materialize
 
 
 @dataclass
@@ -41,7 +43,7 @@ class Audit:
         found = [
             *([C.exact_pairs(self.samples)] if c.enable_exact else []),
             *([C.hamming_pairs(self.samples, c.phash_threshold)] if c.enable_perceptual else []),
-            *([C.cosine_pairs(self.samples, c.semantic_top_k, c.semantic_threshold)] if c.enable_semantic else []),
+            *([self.similar] if c.enable_semantic else []),
         ]
         if not found:
             return self.spark.createDataFrame([], "a long, b long, method string, distance double, similarity double")
@@ -62,17 +64,42 @@ class Audit:
     def issues(self) -> DataFrame:
         return I.issues(self.samples)
 
+    @cached_property
+    def similar(self) -> DataFrame | None:
+        """Embedding pairs, if the configuration asks for them; written once."""
+        c = self.config
+        return materialize(C.cosine_pairs(self.samples, c.semantic_top_k, c.semantic_threshold), "similar") if c.enable_semantic else None
+
+    @cached_property
+    def classes(self) -> Classes:
+        """The findings by classes of equal content: counts, groups and score without a row for each pair."""
+        c = self.config
+        return Classes(self.samples, c.phash_threshold, c.phash_strong_threshold, self.similar, c.enable_exact, c.enable_perceptual)
+
     def score_components(self, excluded: DataFrame | None = None) -> DataFrame:
+        """From the findings where they are known or some don't count, else from classes."""
+        if excluded is None and "findings" not in self.__dict__:
+            return S.weighed(self.classes.affected(), self.totals)
         return S.components(self.findings, self.totals, excluded)
 
     def score(self, excluded: DataFrame | None = None) -> DataFrame:
         return S.integrity(self.score_components(excluded))
 
     def repair(self, include_semantic: bool = False) -> Repair:
+        """The plan; groups are tied once, whatever is asked of it."""
+        if include_semantic not in self._repairs:
+            self._repairs[include_semantic] = self._repair(include_semantic)
+        return self._repairs[include_semantic]
+
+    @cached_property
+    def _repairs(self) -> dict[bool, Repair]:
+        return {}
+
+    def _repair(self, include_semantic: bool) -> Repair:
         tied = R.members(self.findings, self.decisions, include_semantic)
         groups = R.plan_groups(self.samples, self.findings, self.decisions, tied)
         entries = R.manifest(self.samples, tied, groups)
-        return Repair(groups, entries, R.action_counts(entries), R.split_delta(self.samples, entries), R.warnings(self.samples, self.findings, self.decisions, entries, include_semantic))
+        return Repair(groups, tied, entries, R.action_counts(entries), R.split_delta(self.samples, entries), R.warnings(self.samples, self.findings, self.decisions, entries, include_semantic))
 
     def evaluation(self) -> DataFrame:
         return E.gap(self.samples, self.findings, self.decisions, self.config)
@@ -80,22 +107,27 @@ class Audit:
     def with_reviews(self, reviews: DataFrame) -> Audit:
         """The same evidence under other decisions: nothing is searched again."""
         other = Audit(self.samples, self.config, reviews)
-        other.__dict__.update({k: v for k, v in self.__dict__.items() if k in ("findings", "candidates", "totals", "issues")})
+        other.__dict__.update({k: v for k, v in self.__dict__.items() if k in ("findings", "candidates", "similar", "classes", "totals", "issues")})
         return other
 
     def summary(self) -> dict:
         """Counts, score and inventory for a page or a report."""
-        kinds = {r.kind: r.n for r in F_.counts_by(self.findings, "kind", M.PAIR_KINDS).collect()}
+        by = {"kind": dict.fromkeys(M.PAIR_KINDS, 0), "severity": dict.fromkeys(M.SEVERITIES, 0)}
+        counts = self.findings.groupBy("kind", "severity").agg(F.count("*").alias("n")) if "findings" in self.__dict__ else self.classes.counts()
+        for r in counts.collect():  # some rows of kinds and severities
+            by["kind"][r.kind] += r.n
+            by["severity"][r.severity] += r.n
         return {
-            "totals": self.totals.first().asDict(), "counts": kinds, "severity_counts": {r.severity: r.n for r in F_.counts_by(self.findings, "severity", M.SEVERITIES).collect()},
+            "totals": self.totals.first().asDict(), "counts": by["kind"], "severity_counts": by["severity"],
             "score": self.score().first().asDict(), "score_components": [r.asDict() for r in self.score_components().orderBy("position").collect()],
-            "dataset_issues": [r.asDict() for r in self.issues.collect()], "fingerprint": I.fingerprint(self.samples).first()[0],
+            "dataset_issues": [r.asDict() for r in self.issues.collect()], "fingerprint": I.fingerprint(self.samples).first()[0], "merkle_root": I.merkle_root(self.samples).first()[0],
         }
 
 
 @dataclass
 class Repair:
     groups: DataFrame
+    tied: DataFrame
     entries: DataFrame
     counts: DataFrame
     delta: DataFrame
@@ -108,6 +140,16 @@ def audit_folder(spark: SparkSession, root: str, config: M.AuditConfig | None =
     return Audit(materialize(images.samples(spark, root, files), "samples"), config or M.AuditConfig(), reviews)
 
 
+def audit_archive(spark: SparkSession, path: str, config: M.AuditConfig | None = None, reviews: DataFrame | None = None, limits: M.Limits = M.Limits()) -> tuple[Audit, DataFrame]:
+    """Audits the pictures in the archives under path; also what was rejected (path, reason). Members are read once, into the shared folder under names of our own, and decoded from there.
+
+    Raises IngestError if the upload as a whole is refused."""
+    folder = fresh_path(spark, "extracted")
+    taken = archives.extract(archives.scan(archives.archive_entries(spark, path), limits), folder)
+    samples = materialize(images.samples(spark, folder, archives.accepted(taken), limits=limits), "samples")
+    return Audit(samples, config or M.AuditConfig(), reviews), archives.rejected(taken)
+
+
 def capabilities() -> dict:
     """Limits, defaults and what searches there are."""
     limits, config = M.Limits(), M.AuditConfig()
