@@ -5,21 +5,24 @@ states, content or not; an element is content if any text below it is. Nodes hav
 their features and every child shares a pairwise potential with its parent. Sum-product message passing, upward and then downward
 over the trees of a whole batch of pages level by level, gives each node's marginal; text runs with a marginal of
 one half at least are the text. The potentials are trained by maximum likelihood, whose gradient takes the same
-marginals, on labelled pages (`labelled_pages`, a fixed number of them).
+marginals, on labelled pages (`labelled_pages`, a fixed number of them); what they came to is kept in WEIGHTS, and a test trains them again.
 
 Character references are decoded, white space in a run becomes one space, runs are trimmed and joined
 by newlines in page order; empty runs are left out. A line break tag is white space.
 
 Defined results: a null or empty page has an empty text; markup that is never closed ends where its parent does, an unclosed
-comment, script or tag takes the rest of the page; what nests deeper than DEPTH is text of the element at that depth; rows that repeat are extracted each; an empty table
+comment, script or tag takes the rest of the page; elements nest to any depth; rows that repeat are extracted each; an empty table
 gives no rows; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
 import html
+import json
+import pathlib
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -41,8 +44,6 @@ DROPPED = frozenset("script style head noscript template iframe svg math object
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template")}
 #: A start tag of the key closes these if they are open and nothing in STOPS is between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
-#: Elements open at once; what begins deeper is text of the deepest one.
-DEPTH = 512
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "body": set()}
 
 
@@ -67,6 +68,30 @@ class Nodes:
         return len(self.page) - 1
 
 
+def collapsed(nodes: Nodes, page: int) -> None:
+    """Takes out of the last page's tree each element without a name whose only child is one of the same tag, unnamed as well: it says nothing."""
+    begin = len(nodes.page)
+    while begin and nodes.page[begin - 1] == page:
+        begin -= 1
+    children = Counter(nodes.parent[begin:])
+    gone = {p for i in range(begin + 1, len(nodes.page)) if children[p := nodes.parent[i]] == 1 and p > begin and nodes.look[i] and nodes.look[i] == nodes.look[p] and not nodes.look[i][1]}
+    if not gone:
+        return
+    place, kept = {}, 0
+    for i in range(begin, len(nodes.page)):  # parents come first
+        p = nodes.parent[i]
+        up = place.get(p, p)
+        if i in gone:
+            place[i] = up
+            continue
+        to = begin + kept
+        place[i], kept = to, kept + 1
+        nodes.parent[to], nodes.depth[to] = up, nodes.depth[up] + 1 if up >= 0 else 0
+        nodes.page[to], nodes.look[to], nodes.text[to], nodes.linked[to] = page, nodes.look[i], nodes.text[i], nodes.linked[i]
+    for column in (nodes.page, nodes.parent, nodes.depth, nodes.look, nodes.text, nodes.linked):
+        del column[begin + kept :]
+
+
 def attributes(source: str) -> str:
     return " ".join(f"{m[1].lower()}={m[2] or m[3] or m[4] or ''}" for m in ATTRIBUTE.finditer(source)) if "=" in source else ""
 
@@ -78,13 +103,13 @@ def parse(source: str, page: int, out: Nodes) -> None:
     linked = links = dropped = 0
     at, end = 0, len(source)
 
-    open_tags: Counter[str] = Counter()  # in the stack
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag's elements in the stack
     blocks: list[int] = []  # places of block elements in the stack
 
     def push(tag: str, own: int):
         if tag in BLOCKS:
             blocks.append(len(stack))
-        open_tags[tag] += 1
+        places[tag].append(len(stack))
         stack.append((tag, own))
 
     def flush():
@@ -104,7 +129,7 @@ def parse(source: str, page: int, out: Nodes) -> None:
             while blocks and blocks[-1] >= k:
                 blocks.pop()
         for t, _ in stack[k:]:
-            open_tags[t] -= 1
+            places[t].pop()
             links -= t == "a"
             dropped -= t in DROPPED
         del stack[k:]
@@ -124,11 +149,8 @@ def parse(source: str, page: int, out: Nodes) -> None:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            if open_tags[tag]:
-                k = len(stack) - 1
-                while stack[k][0] != tag:
-                    k -= 1
-                close(k)
+            if places[tag]:
+                close(places[tag][-1])
             elif tag == "p" and not dropped:
                 flush()
             continue
@@ -143,30 +165,26 @@ def parse(source: str, page: int, out: Nodes) -> None:
             if blocks and stack[blocks[-1]][0] == "p":  # an open paragraph ends before a block
                 close(blocks[-1])
             flush()
-            if tag in CLOSES and any(open_tags[t] for t in CLOSES[tag]):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in STOPS[tag]:
-                        break
-                    if stack[k][0] in CLOSES[tag]:
-                        close(k)
+            if tag in CLOSES:
+                stop = max((places[t][-1] for t in STOPS[tag] if places[t]), default=0)
+                above = [places[t][bisect_right(places[t], stop)] for t in CLOSES[tag] if places[t] and places[t][-1] > stop]
+                if above:
+                    close(min(above))
             if tag == "html":
                 continue
-            if len(stack) < DEPTH:
-                push(tag, out.add(page, stack[-1][1], (tag, attributes(m[3] or m[6] or ""))) if not dropped else stack[-1][1])
+            push(tag, out.add(page, stack[-1][1], (tag, attributes(m[3] or m[6] or ""))) if not dropped else stack[-1][1])
             continue
         if tag == "a" and links:  # links don't nest
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "a":
-                    close(k)
-                    break
+            close(places["a"][-1])
         if tag in RAW:
             found = RAW[tag].search(source, at)
             at = found.end() if found else end
-        elif len(stack) < DEPTH or tag in DROPPED:  # what is dropped counts at any depth
+        else:
             push(tag, stack[-1][1])
             links += tag == "a"
             dropped += tag in DROPPED
     flush()
+    collapsed(out, page)
 
 
 WORD = re.compile(r"[a-z]+")
@@ -180,14 +198,14 @@ def look_features(look: tuple) -> tuple[str, ...]:
 
 
 #: What short runs of boilerplate say. Common phrases of web pages.
-PHRASES = """about us|accept|advertisement|agree|all rights reserved|also like|anzeige|archives|back to|browser|buy now|by using|comments?|contact|cookies?|copyright
+PHRASES = """responses?|replies|discussion|kommentare?|commentaires?|comentarios?|about us|accept|advertisement|agree|all rights reserved|also like|anzeige|archives|back to|browser|buy now|by using|comments?|contact|cookies?|copyright
 derechos reservados|email|filed under|follow us|home|impressum|inc|leave a|log ?in|mentions l\u00e9gales|menu|min read|newsletter|next page|popular|posted|powered by|print
 privacy|publicidad|read more|recent|recommended|registered|related|reply|save|says|search|share|sign ?(?:in|up)|skip to|sponsored|submit|subscribe|tags|terms|trademark
 tweet|welcome|\u00a9|\\|"""
 SAYS = re.compile("|".join(rf"(?<!\w)(?:{x})(?!\w)" for x in PHRASES.replace("\n", "|").split("|") if x.strip("\\")), re.I)
 SHORT = 200
 #: Words that phrases begin with: most runs have none, which is seen at once.
-FIRST = frozenset(w for x in PHRASES.replace("\n", "|").split("|") for w in WORD.findall(x)[:1] if w not in ("log", "sign")) | {"log", "login", "sign", "comment", "cookie"}
+FIRST = frozenset(w for x in PHRASES.replace("\n", "|").split("|") for w in WORD.findall(x)[:1] if w not in ("log", "sign")) | {"log", "login", "sign", "comment", "cookie", "response", "kommentar", "commentaire", "comentario"}
 
 
 def run_words(text: str) -> tuple[str, ...]:
@@ -260,8 +278,37 @@ class Forest:
         return np.exp(total - np.logaddexp.reduce(total, axis=1)[:, None]), both
 
 
-def named_features(nodes: Nodes, i: int) -> tuple[str, ...]:
-    return look_features(nodes.look[i]) if nodes.look[i] else run_words(nodes.text[i])
+#: Characters of a run that can be the heading of what it stands at the top of.
+HEADING = 60
+#: Headings of what readers write. Common phrases of web pages.
+READERS = re.compile(
+    r"\W*(?:\d+\s+)?(?:(?:reader|user|visitor|all|join the|leave a|post a|add a|write a|your)\s+)?"
+    r"(?:comments?|repl(?:y|ies)|responses?|discussion|kommentare?|commentaires?|comentarios?)\W*(?:\d+\W*)?", re.I)
+
+
+def names(nodes: Nodes) -> list[tuple[str, ...]]:
+    """Names of each node's features: what an element's look says and what a short run at its top, what a run says, and whether either is below a heading of READERS."""
+    n = len(nodes.page)
+    first = [-1] * n  # an element's first run
+    for i in range(n - 1, -1, -1):  # children come after their parents, in order
+        if not nodes.look[i]:
+            first[i] = i
+        if first[i] >= 0 and nodes.parent[i] >= 0:
+            first[nodes.parent[i]] = first[i]
+    out, below = [], [False] * n
+    for i in range(n):
+        if not nodes.look[i]:
+            own = run_words(nodes.text[i])
+        else:
+            own, top = look_features(nodes.look[i]), nodes.text[first[i]] if first[i] >= 0 else ""
+            if 0 < len(top) <= HEADING:
+                own += tuple({"headed" + x[4:] for x in run_words(top)})
+                if nodes.parent[i] >= 0 and READERS.fullmatch(top):
+                    own, below[i] = (*own, "headed by readers"), True
+        if nodes.parent[i] >= 0 and below[nodes.parent[i]]:
+            below[i], own = True, (*own, "below readers" if nodes.look[i] else "run below readers")
+        out.append(own)
+    return out
 
 
 @dataclass
@@ -271,10 +318,19 @@ class Model:
     element: np.ndarray
     pair: np.ndarray
 
+    def to_json(self) -> str:
+        rounded = lambda x: [round(float(v), 5) for v in x]
+        return json.dumps({"names": {k: round(v, 5) for k, v in self.names.items()}, "run": rounded(self.run), "element": rounded(self.element), "pair": rounded(self.pair.ravel())}, indent=0)
+
+    @classmethod
+    def from_json(cls, text: str) -> Model:
+        told = json.loads(text)
+        return cls(told["names"], np.array(told["run"]), np.array(told["element"]), np.array(told["pair"]).reshape(2, 2, 2))
+
     def marginals(self, nodes: Nodes) -> np.ndarray:
         forest, weight = Forest(nodes), self.names.get
         runs, x, elements = forest.features(nodes)
-        unary = np.array([sum(weight(f, 0.0) for f in named_features(nodes, i)) for i in range(len(nodes.page))]) + elements @ self.element
+        unary = np.array([sum(weight(f, 0.0) for f in own) for own in names(nodes)]) + elements @ self.element
         unary[runs] += x @ self.run
         return forest.sum_product(unary, self.pair)[0][:, 1]
 
@@ -289,7 +345,7 @@ class Model:
         return ["\n".join(x) for x in out]
 
 
-def fit(pages: list[str], steps: int = 300, l2: float = 0.02) -> Model:
+def fit(pages: list[str], steps: int = 500, l2: float = 0.06) -> Model:
     """Maximum likelihood by gradient steps with per-weight rates; MARK at the start of a run is its label."""
     nodes = Nodes()
     for i, source in enumerate(pages):
@@ -301,7 +357,7 @@ def fit(pages: list[str], steps: int = 300, l2: float = 0.02) -> Model:
             truth[i], nodes.text[i] = 1, nodes.text[i].replace(MARK, "")
         if truth[i] and nodes.parent[i] >= 0:
             truth[nodes.parent[i]] = 1
-    named = [named_features(nodes, i) for i in range(n)]
+    named = names(nodes)
     vocabulary = sorted({f for own in named for f in own})
     number = {f: i for i, f in enumerate(vocabulary)}
     row, column = (np.array(x) for x in zip(*[(i, number[f]) for i, own in enumerate(named) for f in own], strict=True))
@@ -327,9 +383,13 @@ def fit(pages: list[str], steps: int = 300, l2: float = 0.02) -> Model:
     return Model(dict(zip(vocabulary, w[:v].tolist(), strict=True)), w[v : v + k], w[v + k : v + k + e], w[v + k + e :].reshape(2, 2, 2))
 
 
+#: The trained weights; `python -m auditweave.llm.html_extract` trains and writes them.
+WEIGHTS = pathlib.Path(__file__).with_name("html_weights.json")
+
+
 @lru_cache(1)
 def trained() -> Model:
-    return fit(labelled_pages())
+    return Model.from_json(WEIGHTS.read_text())
 
 
 #: Pages whose trees are worked on together.
@@ -350,3 +410,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 yield pa.record_batch([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    WEIGHTS.write_text(fit(labelled_pages()).to_json())

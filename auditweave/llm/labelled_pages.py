@@ -2,7 +2,8 @@
 
 named: role words in class and id, semantic tags or not. hashed: class names that say nothing. bare: no class, no id, no semantic
 tags. table: nested layout tables. lists: an article mostly of lists, definitions, code and headings. thread: a first post
-with replies under it. Texts of the article begin with MARK; the extractor's training reads the labels from it and takes it off."""
+with replies under it. headed: an article and readers' comments in containers without names that tell, under a heading that does. short: a few
+paragraphs and hardly anything else. Texts of the article begin with MARK; the extractor's training reads the labels from it and takes it off."""
 
 from __future__ import annotations
 
@@ -33,6 +34,7 @@ SAYINGS = {
     "ad": ["Advertisement", "Sponsored content", "Advertisement: {} {}", "Sponsored by {}", "Buy now and save 20%", "Anzeige", "Publicidad"],
     "notice": ["We use cookies to improve your experience.", "Accept all cookies", "By using this site you agree to our privacy policy.", "Subscribe to read the full {}.", "Your browser is out of date.", "Wir verwenden Cookies.", "Utilizamos cookies."],
     "comments": ["Comments", "3 comments", "Leave a reply", "{} says: {} {}", "Reply", "Log in to comment", "Posted by {} 2 hours ago"],
+    "heading": ["Comments", "Comments", "3 comments", "Comments (12)", "27 Comments", "Reader comments", "Leave a comment", "Replies", "4 replies", "Responses", "5 responses", "Discussion", "Join the discussion", "Kommentare", "Commentaires", "Comentarios", "Leave a reply"],
     "share": ["Share this", "Tweet", "Share on {}", "Follow us on {}", "Posted on 2024-01-15 by {}", "Filed under {}", "Print", "5 min read"],
     "form": ["Search", "Subscribe to our newsletter", "Your email address", "Submit", "Enter your name"],
 }
@@ -82,7 +84,9 @@ class Maker:
     def named(self, role: str) -> str:
         if self.family in ("bare", "table"):
             return ""
-        if self.family == "hashed":
+        if self.family == "headed" and self.rng.random() < 0.4:
+            return ""
+        if self.family in ("hashed", "headed"):
             rng = self.rng
             name = rng.choice(["css-", "sc-", "_", "x", "jsx-"]) + "".join(rng.choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(rng.choice([5, 6, 8])))
             return f' class="{name}"'
@@ -95,7 +99,7 @@ class Maker:
     def boiler(self, role: str) -> str:
         rng = self.rng
         said = self.family not in ("named", "lists") or rng.random() < 0.4  # without names that tell, words must
-        tag = rng.choice(TAGS[role]) if self.family in ("named", "lists", "thread") or rng.random() < 0.15 and self.family == "hashed" else rng.choice(["div", "div", "ul"]) if role in ("nav", "share") else "form" if role == "form" else "div"
+        tag = rng.choice(TAGS[role]) if self.family in ("named", "lists", "thread") or rng.random() < 0.15 and self.family in ("hashed", "headed", "short") else rng.choice(["div", "div", "ul"]) if role in ("nav", "share") else "form" if role == "form" else "div"
         if self.family in ("named", "lists", "thread"):
             named = self.named(role) if tag in ("nav", "header", "footer", "aside", "form") else f' class="{rng.choice(ROLES[role])}"'
         else:
@@ -113,7 +117,8 @@ class Maker:
             inner = f"<h3>{self.saying(role) if said else self.word()}</h3>" + rng.choice([f"<ul>{self.links(5)}</ul>", f"<p>{short}</p>", f"<div><a href='/x'>{short}</a></div><p>{self.sentences(2)}</p>"])
         elif role == "comments":
             item = "li" if tag == "ol" else rng.choice(["div", "p", "article"])
-            inner = ("" if tag == "ol" else f"<h3>{self.saying(role) if said else self.word()}</h3>") + "".join(f'<{item} class="comment"><b>{self.word()}</b> {self.sentences(rng.randrange(1, 5))}</{item}>' for _ in range(rng.randrange(1, 5)))
+            inner = ("" if tag == "ol" else f"<h3>{self.saying(role) if said else self.word()}</h3>")
+            inner += "".join(f'<{item} class="comment"><b>{self.word()}</b> {self.sentences(rng.randrange(1, 5))}</{item}>' for _ in range(rng.randrange(1, 5)))
         elif role == "share":
             inner = self.links(4) if tag == "ul" else short if said else rng.choice([f"<a href='#'>{self.word()}</a> <a href='#'>{self.word()}</a>", self.word() + " " + self.word()])
         elif role == "form":
@@ -124,11 +129,36 @@ class Maker:
             inner = rng.choice([short, f"<p>{short}</p>", f"<a href='/go'>{short}</a>", f"<span>{short}</span> <button>{self.word()}</button>"])
         return f"<{tag}{named}>{inner}</{tag}>"
 
+    def comments(self) -> str:
+        """Readers' comments of any shape under a heading, in containers whose names tell nothing."""
+        rng = self.rng
+        name = lambda: rng.choice(["", self.named("plain")])
+        head = rng.choice(["h2", "h3", "h3", "h4", "div", "p", "b"])
+        tag, item = rng.choice([("div", "div"), ("div", "div"), ("ul", "li"), ("ol", "li"), ("div", "article"), ("section", "div"), ("div", "p")])
+        shape = rng.randrange(5)
+
+        def one() -> str:
+            who, text = f"{self.word()} {self.word()}" if rng.random() < 0.5 else self.word(), self.sentences(rng.randrange(1, 6))
+            if item == "p" or shape == 0:
+                return f"<{item}{name()}><b>{who}</b> {text}</{item}>"
+            if shape == 1:
+                return f"<{item}{name()}><div{name()}>{who}</div><p>{text}</p></{item}>"
+            if shape == 2:
+                return f"<{item}{name()}><p>{text}</p></{item}>"
+            if shape == 3:
+                return f"<{item}{name()}><span>{who}</span> <small>{rng.randrange(1, 28)} May</small><div{name()}>{text}</div><a href='#'>{self.word()}</a></{item}>"
+            return f"<{item}{name()}>{text}</{item}>"
+
+        inner = "".join(one() for _ in range(rng.randrange(1, 7)))
+        heading = f"<{head}{name()}>{self.saying('heading')}</{head}>"
+        inner = heading + (f"<{tag}>{inner}</{tag}>" if tag in ("ul", "ol") or rng.random() < 0.4 else inner)
+        return f"<{'div' if tag in ('ul', 'ol') else tag}{name()}>{inner}</{'div' if tag in ('ul', 'ol') else tag}>"
+
     def paragraph(self) -> str:
         rng = self.rng
         text = MARK + self.sentences(rng.choice([1, 1, 2, 3, 5, 8]))
         if rng.random() < 0.05 and self.family in ("named", "lists", "thread"):  # articles say such things too
-            text = MARK + self.saying(rng.choice(list(SAYINGS)))
+            text = MARK + self.saying(rng.choice([role for role in SAYINGS if role != "heading"]))
         r = rng.random()
         if r < 0.08:
             return f"<p><b>{text}<br>"
@@ -164,6 +194,9 @@ class Maker:
     def article(self) -> str:
         rng = self.rng
         inner = "".join(self.parts())
+        if self.family == "headed":
+            tag = rng.choice(["div", "div", "article", "main", "section"])
+            return f"<{tag}{self.named('article')}>{inner}</{tag}>"
         if self.family in ("hashed", "bare"):
             inner = f"<div{self.named('plain')}>{inner}</div>"
             return f"<div{self.named('article')}>{inner}</div>" if rng.random() < 0.7 or self.family == "bare" else f"<article{self.named('article')}>{inner}</article>"
@@ -188,6 +221,15 @@ class Maker:
                 cells = cells[::-1]
             head = f"<tr><td colspan=3>{''.join(before)}</td></tr>" if before else ""
             return f"<table width=100%>{head}<tr valign=top>{''.join(cells)}</tr>" + (f"<tr><td colspan=3>{foot}</td></tr>" if foot else "") + "</table>"
+        if self.family == "short":
+            inner = "".join(self.paragraph() for _ in range(rng.choice([1, 1, 1, 2, 3])))
+            head = rng.choice(["", "", f"<h1>{MARK}{self.word()} {self.word()}</h1>"])
+            return rng.choice([head + inner, f"<div>{head}{inner}</div>", f"<article>{head}{inner}</article>", f"{head}{inner}{foot}"])
+        if self.family == "headed":
+            after = [self.boiler(r) for r in ("share", "sidebar", "ad", "form") if rng.random() < 0.25]
+            both = [self.article(), *after[: len(after) // 2], self.comments(), *after[len(after) // 2 :]]
+            middle = f"<div{self.named('plain')}>{''.join(both)}</div>" if rng.random() < 0.5 else "".join(both)
+            return f"{''.join(before)}{middle}{foot}"
         if self.family == "thread":
             replies = "".join(f'<div class="{rng.choice(["reply", "comment", "response"])}"><b>{self.word()}</b> <p>{self.sentences(rng.randrange(1, 6))}</p></div>' for _ in range(rng.randrange(1, 8)))
             first = f'<div class="{rng.choice(["post", "question", "article"])}">{"".join(self.parts())}</div>'
@@ -209,7 +251,7 @@ class Maker:
 
 
 #: Families of layouts and how many pages of each are trained on.
-FAMILIES = {"named": 300, "hashed": 80, "bare": 80, "table": 80, "lists": 50, "thread": 50}
+FAMILIES = {"named": 450, "hashed": 140, "bare": 140, "table": 80, "lists": 50, "thread": 60, "headed": 140, "short": 160}
 
 
 def labelled_pages(pages: dict[str, int] | None = None, seed: int = 11) -> list[str]:
