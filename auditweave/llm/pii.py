@@ -7,7 +7,7 @@ document, without a table; who has the key can map back. Punctuation and spacing
 
 Kinds: card (13 to 19 digits that begin as an issuer's do and pass the Luhn check; the first digit stays, the check digit is computed anew), iban (mod 97; country and
 letters' places stay), phone (international or North American layout; the country code stays), ssn (valid areas and
-groups), ip (four octets of up to 255; reserved first octets 0, 127 and 255 are left), date (day-month-year or ISO dates from 1900 to 2099 that exist),
+groups), ip (four octets of up to 255; reserved first octets 0, 127 and 255 are left), date (day-month-year, or year-month-day between hyphens, slashes or dots, from 1900 to 2099, that exist),
 email (letters and digits of the local part), secret (hexadecimal strings of 32 or more that a key or token name precedes).
 
 Defined results: null texts stay null, with nothing found; where findings overlap the first in the text wins, of those
@@ -75,14 +75,18 @@ def check_digit(payload: str) -> str:
     return str(-luhn_sum(payload) % 10)
 
 
+#: Other scripts' digits aren't digits here: what was written for them couldn't be told from what they stand for.
+DIGITS = frozenset("0123456789")
+
+
 def only_digits(text: str) -> str:
-    return "".join(c for c in text if c.isdigit())
+    return "".join(c for c in text if c in DIGITS)
 
 
 def refill(text: str, digits: str) -> str:
     """text with its digits replaced one by one."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in text)
+    return "".join(next(it) if c in DIGITS else c for c in text)
 
 
 def as_number(text: str) -> tuple[int, list[int]]:
@@ -152,13 +156,13 @@ def iban(text, cipher, back):
 
 
 #: Country codes of compact numbers: one digit, two, or else three.
-COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")
 
 
 def phone(text, cipher, back):
     own = text
     if text.startswith("+"):
-        code = re.match(r"\+\d{1,3}(?=\D)", text) or COUNTRY.match(text)
+        code = re.match(r"\+[0-9]{1,3}(?=\D)", text) or COUNTRY.match(text)
         own = text[code.end() :]
     d = only_digits(own)
     if not 7 <= len(d) <= 12:
@@ -215,14 +219,22 @@ def date(text, cipher, back):
     if swapped and not same_format(x):
         return None
     new = iter(write(cipher.permute(f"date{iso}{swapped}{widths}", x, LAST_DAY - FIRST_DAY + 1, same_format, back)))
-    return re.sub(r"\d+", lambda g: f"{next(new):0{len(g[0])}d}", text)
+    return re.sub(r"[0-9]+", lambda g: f"{next(new):0{len(g[0])}d}", text)
+
+
+#: Characters of a local part that are permuted at once; longer ones, which no mail server takes, go piece by piece.
+LOCAL_PIECE = 64
 
 
 def email(text, cipher, back):
     local, _, host = text.partition("@")
-    value, sizes = as_number(local)
-    n = domain(sizes)
-    return None if n < 2 else from_number(cipher.permute(f"email{sizes}@{host.lower()}", value, n, None, back), sizes, local) + "@" + host
+    out = []
+    for at in range(0, len(local), LOCAL_PIECE):
+        piece = local[at : at + LOCAL_PIECE]
+        value, sizes = as_number(piece)
+        place = f"{at}:" if at else ""
+        out.append(from_number(cipher.permute(f"email{place}{sizes}@{host.lower()}", value, domain(sizes), None, back), sizes, piece))
+    return "".join(out) + "@" + host if domain(as_number(local[:LOCAL_PIECE])[1]) > 1 or len(local) > LOCAL_PIECE else None
 
 
 def secret(text, cipher, back):
@@ -240,35 +252,35 @@ def secret(text, cipher, back):
 
 KINDS = {"card": card, "iban": iban, "phone": phone, "ssn": ssn, "ip": ip, "date": date, "email": email, "secret": secret}
 #: Where formats that begin with a digit, a plus or a parenthesis may start, and what each looks like there.
-START = re.compile(r"(?<![\w.,+-])(?:\d|\+\d|\(\d)")
-CARD = re.compile(r"\d(?:[ -]?\d){12,18}")
+START = re.compile(r"(?<![\w.,+-])(?:[0-9]|\+[0-9]|\([0-9])")
+CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}")
 NUMBERS = {
-    "phone": re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\w-])|\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"),
-    "ssn": re.compile(r"\d{3}-\d{2}-\d{4}(?![\w-])"),
-    "ip": re.compile(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"),
-    "date": re.compile(r"(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-])"),
+    "phone": re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![\w-])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\w-])|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])"),
+    "ssn": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
+    "ip": re.compile(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\w|\.[0-9])"),
+    "date": re.compile(r"(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![\w/-])"),
 }
 MORE = re.compile(r"[\w-]")
-IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-LOCAL, HOST = re.compile(r"[A-Za-z0-9._%+'À-ɏ-]+\Z"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?!\w)")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+LOCAL, HOST = re.compile(r"[A-Za-z0-9._%+'À-ɏ-]*"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?!\w)")
 SECRET = re.compile(r"(?i:key|token|secret|password|passwd|pwd)\w*[\"']?\s*[:=]\s*[\"']?(?P<secret>[0-9a-fA-F]{32,})(?!\w)")
-DIGIT, CAPITALS = re.compile(r"\d"), re.compile(r"[A-Z]{2}\d{2}")
+DIGIT, CAPITALS = re.compile(r"[0-9]"), re.compile(r"[A-Z]{2}[0-9]{2}")
 
 
 def candidates(text: str):
     """(start, end, kind) of what has the look of a kind."""
     if "@" in text:
-        at = text.find("@")
+        past, at = 0, text.find("@")
         while at >= 0:
-            local, host = LOCAL.search(text, max(0, at - 80), at), HOST.match(text, at + 1)
+            local, host = LOCAL.match(text[past:at][::-1]).end(), HOST.match(text, at + 1)  # read backwards, as far as it goes
             if local and host:
-                yield local.start(), host.end(), "email"
-            at = text.find("@", at + 1)
+                yield at - local, host.end(), "email"
+            past, at = at + 1, text.find("@", at + 1)
     if DIGIT.search(text):
         for start in START.finditer(text):  # all kinds from every start: what isn't valid hides nothing
             at = start.start()
             if m := CARD.match(text, at):
-                ends = [at + i + 1 for i, c in enumerate(m[0]) if c.isdigit()]
+                ends = [at + i + 1 for i, c in enumerate(m[0]) if c in DIGITS]
                 for end in reversed(ends[12:]):  # the longest first
                     if not MORE.match(text, end):
                         yield at, end, "card"
@@ -327,14 +339,18 @@ def mask(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     return map_rows(docs, run, schema)
 
 
-#: The session's setting that holds the key, a secret of whoever runs it.
-KEY_SETTING = "spark.auditweave.pii.key"
+#: The setting that holds the key, a secret of whoever runs it: given when the application starts, as Spark leaves such settings out of its logs by this last
+#: word only then.
+KEY_SETTING = "spark.auditweave.pii.secret"
+#: Keys drawn for sessions that have none: they are in this process alone.
+_drawn: dict[str, str] = {}
 
 
 def session_key(spark: SparkSession) -> bytes:
-    """The session's key. Where none is set a random one is drawn and set: values are linked within the session, and no one can map back later."""
-    key = spark.conf.get(KEY_SETTING, None)
-    if not key:
-        key = secrets.token_hex(32)
-        spark.conf.set(KEY_SETTING, key)
-    return key.encode()
+    """The application's key. Where none is given a random one is drawn, and kept in this process: values are linked within the session, and no one can map back later.
+
+    Raises ValueError for a key that was set in a running session: event logs would tell it."""
+    given = spark.sparkContext.getConf().get(KEY_SETTING)
+    if spark.conf.get(KEY_SETTING, None) != given:
+        raise ValueError(f"give {KEY_SETTING} when the application starts, or the key itself to mask(): settings of a session are written to event logs")
+    return (given or _drawn.setdefault(spark._jsparkSession.sessionUUID(), secrets.token_hex(32))).encode()

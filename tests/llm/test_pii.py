@@ -1,7 +1,11 @@
 import datetime
 import hashlib
 import math
+import os
+import pathlib
 import random
+import subprocess
+import sys
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,3 +147,51 @@ def test_compact_and_spaced_phones():
         new, found = P.pseudonymise(f"call {value} now", KEY)
         assert [f["kind"] for f in found] == ["phone"] and value not in new and found[0]["pseudonym"].startswith(code), value
         assert P.pseudonymise(new, KEY, back=True)[0] == f"call {value} now"
+
+
+def test_digits_of_other_scripts_stay():
+    for text in ("１２３-45-6789", "call ４１５-555-2671", "٤١١١١١١١١١١١١١١١", "२०२४-01-15"):
+        assert P.pseudonymise(text, KEY) == (text, []), text
+
+
+def test_long_local_parts_and_all_orders_of_dates():
+    long = "a" * 100 + "9" * 100
+    for value, kind in ((f"{long}@example.org", "email"), ("1985/03/14", "date"), ("1985.3.14", "date"), ("1985-03-14", "date")):
+        text = f"see {value} now"
+        new, found = P.pseudonymise(text, KEY)
+        assert [(f["kind"], f["first"], f["length"]) for f in found] == [(kind, 4, len(value))], value
+        assert value not in new and P.pseudonymise(new, KEY, back=True)[0] == text
+    assert kinds("1985/03-14 x") == []
+    whole = P.pseudonymise(f"{long}@example.org", KEY)[0]
+    assert not any(whole[i : i + 20] == long[i : i + 20] for i in range(0, 200, 20))
+
+
+def test_the_key_is_in_no_event_log(tmp_path):
+    script = """
+import sys
+from pyspark.sql import SparkSession
+from auditweave.llm import pii
+logs, key = sys.argv[1:]
+conf = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": "file://" + logs, "spark.eventLog.compress": "false", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}
+if key:
+    conf[pii.KEY_SETTING] = key
+spark = SparkSession.builder.master("local[1]").config(map=conf).getOrCreate()
+docs = spark.createDataFrame([(1, "call +1 (212) 555-0100")], "doc_id long, text string")
+pii.mask(docs, used := pii.session_key(spark)).collect()
+print("used", used.decode())
+spark.conf.set(pii.KEY_SETTING, "another")
+try:
+    pii.session_key(spark)
+except ValueError:
+    print("refused")
+spark.stop()
+"""
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(pathlib.Path(P.__file__).parents[2]), os.environ.get("PYTHONPATH", "")])}
+    for key in ("0123456789abcdef" * 4, ""):
+        folder = tmp_path / f"logs{len(key)}"
+        folder.mkdir()
+        run = subprocess.run([sys.executable, "-c", script, str(folder), key], capture_output=True, text=True, env=env, timeout=300)
+        assert run.returncode == 0 and "refused" in run.stdout, run.stderr
+        used = run.stdout.split("used ")[1].split()[0]
+        logs = "".join(p.read_text(errors="replace") for p in folder.rglob("*") if p.is_file())
+        assert "SparkListenerSQLExecutionStart" in logs and used not in logs and (not key or used == key)
