@@ -8,17 +8,22 @@ of them are compacted to one. Texts never move: only digests and ids are shuffle
 Defined results: a null text counts as empty; equal texts are byte-identical. Of equal texts
 in a batch the largest doc_id stays, null ids lose against any other id, and where all ids
 are null all rows have a null keep_id. Rows that repeat id and text are all marked kept;
-`first_rows` then keeps one of them. An empty batch gives an empty result. Extra columns are ignored
-whatever their names.
+`first_rows` then keeps one of them. A text that the index has from an earlier batch is a duplicate whatever id it comes with, null included, but for the
+row that was kept then: its id and text may come again and are kept again, so that a batch that is given twice has the same answer. Rows
+without an id can't be told from each other, so of a batch that is given twice they are dropped the second time. An empty batch gives an empty result. Extra
+columns are ignored whatever their names. One writer at a time adds to an index: a second one gets IndexBusy.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import re
 import uuid
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +42,10 @@ def digest(text: F.Column) -> F.Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+class IndexBusy(RuntimeError):
+    """Another writer is adding to the index, or one died while it was: then unlock() it."""
+
+
 class DigestIndex:
     """A table (digest, keep_id, n_rows) in the folder `path`, bucketed and sorted by digest.
 
@@ -108,6 +117,28 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    @contextlib.contextmanager
+    def _locked(self) -> Iterator[None]:
+        """The file `lock` is made by one writer only, who then sees what others have written before."""
+        lock = self._path(f"{self.path}/lock")
+        try:
+            self._files.create(lock, False).close()
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise IndexBusy(f"{self.path} is being written") from None
+        try:
+            self.state = self._read()
+            self._register()
+            self.spark.catalog.refreshTable(self.name)
+            yield
+        finally:
+            self._files.delete(lock, False)
+
+    def unlock(self) -> None:
+        """Takes away the lock of a writer that has died."""
+        self._files.delete(self._path(f"{self.path}/lock"), False)
+
     def _append(self, rows: DataFrame) -> None:
         writer = rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append")
         writer.option("path", self.location).saveAsTable(self.name)
@@ -116,16 +147,16 @@ class DigestIndex:
         """The groups whose digest the index lacks: a sort-merge anti-join to which the index comes as it lies."""
         return groups.repartition(self.buckets, "digest").join(self.rows().select("digest").hint("merge"), "digest", "left_anti").select("digest", "keep_id", "n_rows")
 
-    def add(self, groups: DataFrame) -> None:
-        """Appends the groups whose digest the index lacks."""
-        since = mark()
-        with settings(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
-            new = materialize(self.missing(groups), "digests-new")  # the table isn't read while it is written
-        self._append(new.repartition(self.buckets, "digest"))
-        release(self.spark, since, keep=0)
-        self._write(self.state | {"appends": self.state["appends"] + 1})
-        if self.state["appends"] > MOST_APPENDS:
-            self.compact()
+    def add(self, groups: DataFrame) -> DataFrame:
+        """Appends the groups whose digest the index lacks; returns them."""
+        with self._locked():
+            with settings(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
+                new = materialize(self.missing(groups), "digests-new")  # the table isn't read while it is written
+            self._append(new.repartition(self.buckets, "digest"))
+            self._write(self.state | {"appends": self.state["appends"] + 1})
+            if self.state["appends"] > MOST_APPENDS:
+                self.compact()
+        return new
 
     def compact(self) -> None:
         """Writes the index anew with one sorted file for each bucket, without a shuffle, and drops the old files."""
@@ -147,7 +178,7 @@ class DigestIndex:
     def deduplicate(self, docs: DataFrame) -> DataFrame:
         """Adds the batch to the index; a row per document: doc_id, digest, keep_id, group_size, kept.
 
-        A document stays if its digest came with this batch and no equal text has a larger id.
+        A document stays if its digest is new with this batch and no equal text has a larger id, or if it is the row that an earlier batch kept.
         A hot digest is cut into SALTS parts by id: counts and largest ids are taken per part,
         then per digest, and go back to the parts, so no join key has more than 1/SALTS of a group.
         """
@@ -157,11 +188,11 @@ class DigestIndex:
         parts = marked.groupBy("digest", "salt").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n_rows"))
         groups = parts.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n_rows").alias("n_rows"))
         groups = materialize(groups, "digest-groups")
-        self.add(groups)
+        new = self.add(groups).select("digest", F.lit(True).alias("is_new"))
         stays = self.rows().select("digest", "keep_id")
-        sized = groups.select("digest", F.col("n_rows").alias("group_size")).join(stays.hint("merge"), "digest")
+        sized = groups.select("digest", F.col("n_rows").alias("group_size")).join(stays.hint("merge"), "digest").join(new.hint("merge"), "digest", "left")
         by_part = materialize(parts.select("digest", "salt").join(sized, "digest"), "digest-parts")
-        kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept")
+        kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull() & F.col("is_new"), F.lit(False)).alias("kept")
         out = materialize(marked.join(by_part.hint("merge"), ["digest", "salt"]).select("doc_id", "digest", "keep_id", "group_size", kept), "decisions")
         release(self.spark, since)
         return out

@@ -117,3 +117,29 @@ def test_index_is_found_again_and_compacted(spark, tmp_path):
         spark.sql(f"DROP TABLE {index.name}")  # as in another application: only the files are left
     index = DigestIndex(spark, path + "/")
     assert index.buckets == 3 and index.state["appends"] == 2 and index.rows().count() == E.MOST_APPENDS + 3
+
+
+def test_null_ids_over_batches_and_a_batch_given_twice(spark, tmp_path):
+    index = DigestIndex(spark, str(tmp_path / "index"), buckets=2)
+
+    def kept(*rows):
+        return sorted(((r.doc_id, r.keep_id, r.kept) for r in exact_dedup(frame(spark, [(i, t, "en", "s", 1) for i, t in rows]), index).collect()), key=repr)
+
+    assert kept((None, "x"), (1, "y")) == [(1, 1, True), (None, None, True)]
+    assert kept((5, "x"), (None, "x")) == [(5, None, False), (None, None, False)]  # x is in the index, under no id
+    assert kept((1, "y"), (2, "y"), (None, "y")) == [(1, 1, True), (2, 1, False), (None, 1, False)]
+    twice = [(7, "z"), (8, "z"), (None, "q")]
+    assert kept(*twice) == [(7, 8, False), (8, 8, True), (None, None, True)]
+    assert kept(*twice) == [(7, 8, False), (8, 8, True), (None, None, False)]
+
+
+def test_two_writers(spark, tmp_path):
+    one, two = (DigestIndex(spark, str(tmp_path / "index"), buckets=2) for _ in range(2))
+    with one._locked(), pytest.raises(E.IndexBusy):
+        two.deduplicate(batch(spark, "a"))
+    assert one.rows().count() == 0
+    assert [r.kept for r in two.deduplicate(batch(spark, "a")).collect()] == [True]
+    assert [r.kept for r in one.deduplicate(frame(spark, [(9, "a", "en", "s", 1)])).collect()] == [False]  # sees what two has added
+    with one._locked():
+        two.unlock()
+        assert [r.kept for r in two.deduplicate(batch(spark, "b")).collect()] == [True]
