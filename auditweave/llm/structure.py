@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_limits, materialize
 
-#: Turns that one recursive query takes.
-TURNS = 8192
+#: Turns that one recursive query takes, and turns of a conversation in a row that it takes one after another: a longer one is cut into stretches, which
+#: are walked side by side from every state and put together after that.
+TURNS, STRETCH = 8192, 256
 #: States of the grammar: nothing yet, s, up to a u, up to an a; initials; faults as the edits see them.
 START, SYSTEM, USER, ASSISTANT = range(4)
 INITIALS = {"s": 0, "u": 1, "a": 2}
@@ -75,15 +76,13 @@ def moves() -> list[tuple[int, int, int, int, str, int]]:
 CLOSING = {START: "", SYSTEM: "II", USER: "I", ASSISTANT: ""}
 
 WALK = """
-    WITH RECURSIVE walk(seg, state, i, best) USING KEY (seg, state) AS (
-        SELECT seg, state, 0::INT, {'cost': cost, 'rank': rank, 'audit': '', 'start': state} FROM starts
+    WITH RECURSIVE walk(seg, start, state, i, best) USING KEY (seg, start, state) AS (
+        SELECT seg, state, state, 0::INT, {'cost': 0::BIGINT, 'audit': ''} FROM starts
         UNION
-        SELECT walk.seg, moves.next, walk.i + 1,
-               min({'cost': walk.best.cost + moves.cost, 'rank': walk.best.rank, 'audit': walk.best.audit || moves.letters, 'start': walk.best.start})
+        SELECT walk.seg, walk.start, moves.next, walk.i + 1, min({'cost': walk.best.cost + moves.cost, 'audit': walk.best.audit || moves.letters})
         FROM walk JOIN turns ON turns.seg = walk.seg AND turns.i = walk.i JOIN moves ON moves.state = walk.state AND moves.initial = turns.initial AND moves.fault = turns.fault
-        GROUP BY walk.seg, moves.next, walk.i)
-    SELECT walk.seg, state, best.start, best.cost, best.audit FROM walk JOIN (SELECT seg, count(*) AS n FROM turns GROUP BY seg) sizes ON sizes.seg = walk.seg AND sizes.n = walk.i
-    ORDER BY walk.seg
+        GROUP BY walk.seg, walk.start, moves.next, walk.i)
+    SELECT walk.seg, state, start, best.cost, best.audit FROM walk JOIN (SELECT seg, count(*) AS n FROM turns GROUP BY seg) sizes ON sizes.seg = walk.seg AND sizes.n = walk.i
 """
 COUNTS = """
     WITH t AS (SELECT *, initial * 4 + lead(initial) OVER (PARTITION BY seg ORDER BY i) AS pair FROM turns)
@@ -135,7 +134,13 @@ class _Conversation:
         if counts["turns"]:  # turns come in order, so only the last one known can come again
             self.counts["turns"] += counts["turns"] - (self.most is not None and counts["least"] == self.most)
             self.least, self.most = counts["least"] if self.least is None else self.least, counts["most"]
-        self.states = {state: (cost, self.states[start][1] + letters) for state, start, cost, letters in ways}
+        rank = {q: i for i, q in enumerate(sorted(self.states, key=lambda q: self.states[q][1]))}  # no audit so far begins another
+        best: dict[int, tuple] = {}
+        for state, start, cost, letters in ways:
+            if start in self.states:
+                way = (self.states[start][0] + cost, rank[start], letters, start)
+                best[state] = min(best.get(state, way), way)
+        self.states = {state: (cost, self.states[start][1] + letters) for state, (cost, _, letters, start) in best.items()}
 
     def row(self) -> tuple:
         cost, audit = min((cost + 5 * len(CLOSING[state]), audit + CLOSING[state]) for state, (cost, audit) in self.states.items())
@@ -170,24 +175,31 @@ def _audits(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     for ids, own, turn in _joined(_expanded(batches, most), most):
-        done, parts = [], []
-        seg = np.empty(len(ids), np.int32)
+        done: list[_Conversation] = []
+        parts: list[_Conversation] = []  # whose each stretch is
+        seg, size = np.empty(len(ids), np.int32), 0
         for i, conv_id in enumerate(ids):
             if at is None or at.conv_id != conv_id:
                 done += [at] if at else []
                 at = _Conversation(conv_id)
-            if not parts or parts[-1] is not at:
+            if not parts or parts[-1] is not at or size == STRETCH:
                 parts.append(at)
-            seg[i] = len(parts) - 1
+                size = 0
+            seg[i], size = len(parts) - 1, size + 1
         there = own["copies"] > 0
         seg = seg[there]
         starts = np.r_[0, np.flatnonzero(np.diff(seg)) + 1] if len(seg) else np.zeros(0, np.int64)
         i = np.arange(len(seg)) - np.repeat(starts, np.diff(np.r_[starts, len(seg)]))
         kind = own["kind"][there]
         fault = np.choose(kind, [FINE, GONE, GONE, TRUNCATED])
-        turns = pa.table({"seg": seg, "i": i.astype(np.int32), "initial": own["initial"][there].astype(np.int32), "fault": fault.astype(np.int32), "kind": kind.astype(np.int32), "turn": turn.filter(pa.array(there))})
-        first = [(s, state, cost, rank) for s in np.unique(seg).tolist() for rank, (audit, state, cost) in enumerate(sorted((a, q, c) for q, (c, a) in parts[s].states.items()))]
-        starts_at = pa.table([pa.array([f[k] for f in first], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names=["seg", "state", "cost", "rank"])
+        turns = pa.table({"seg": seg, "i": i.astype(np.int32), "initial": own["initial"][there].astype(np.int32), "fault": fault.astype(np.int32),
+                          "kind": kind.astype(np.int32), "turn": turn.filter(pa.array(there))})
+        begun: set[int] = set()
+        first = []  # where a stretch may begin: a conversation's first one of the batch in the states it is in, others in any
+        for s in np.unique(seg).tolist():
+            first += [(s, q) for q in (range(4) if id(parts[s]) in begun else parts[s].states)]
+            begun.add(id(parts[s]))
+        starts_at = pa.table([pa.array([f[k] for f in first], pa.int32()) for k in range(2)], names=["seg", "state"])
         db.register("turns", turns)
         db.register("starts", starts_at)
         ways: dict[int, list] = {}
