@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -137,21 +136,21 @@ def over(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes} {select}"
 
 
-@functools.lru_cache(4)
-def _audit(session: str, sf_dir: str) -> Audit:
-    spark = SparkSession.getActiveSession()
-    samples = T.document_samples(spark, sf_dir, embeddings=True)
-    found = Audit(samples, M.AuditConfig(phash_threshold=NEAR, phash_strong_threshold=STRONG, semantic_top_k=TOP_K, semantic_threshold=COSINE))
-    return found.with_reviews(T.made_reviews(found.findings.drop("group_id")))
+#: The audits of running sessions, by session and folder.
+_audits: dict[tuple[str, str], Audit] = {}
 
 
 def audit(spark: SparkSession, sf_dir: str) -> Audit:
     """An audit of documents by all three searches, with made reviews. One session has one for each folder: findings are searched once, whatever is asked of them."""
-    return _audit(spark._jsparkSession.sessionUUID(), sf_dir)
+    key = spark._jsparkSession.sessionUUID(), sf_dir
+    if key not in _audits:
+        found = class_audit(spark, sf_dir)
+        _audits[key] = found.with_reviews(T.made_reviews(found.findings.drop("group_id")))
+    return _audits[key]
 
 
 def class_audit(spark: SparkSession, sf_dir: str) -> Audit:
-    """The same audit without a row for each pair: nothing but classes is searched."""
+    """An audit of documents before any pair has been made: what classes can tell is told by them."""
     samples = T.document_samples(spark, sf_dir, embeddings=True)
     return Audit(samples, M.AuditConfig(phash_threshold=NEAR, phash_strong_threshold=STRONG, semantic_top_k=TOP_K, semantic_threshold=COSINE))
 
@@ -544,8 +543,7 @@ def exact_pairs_exported(spark, sf_dir):
     return Classes(T.document_samples(spark, sf_dir, fingerprints=False), NEAR, STRONG, near=False).export()
 
 
-@query(over(",".join([SAMPLES, PRINTS]) + f""", valid_prints AS (SELECT p.* FROM prints p JOIN samples s USING (idx) WHERE NOT s.corrupt)
-SELECT a.idx AS a, b.idx AS b, 'phash' AS method, CAST(bit_count(xor(a.h, b.h)) AS DOUBLE) AS distance, round(1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE, 6) AS similarity
+@query(over(",".join([SAMPLES, PRINTS, "valid_prints AS (SELECT p.* FROM prints p JOIN samples s USING (idx) WHERE NOT s.corrupt)"]), f"""SELECT a.idx AS a, b.idx AS b, 'phash' AS method, CAST(bit_count(xor(a.h, b.h)) AS DOUBLE) AS distance, round(1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE, 6) AS similarity
   FROM valid_prints a JOIN valid_prints b ON a.idx < b.idx AND bit_count(xor(a.h, b.h)) <= {WIDE}"""))
 def hamming_pairs_wide(spark, sf_dir):
     """Pairs at a distance where one equal band tells little: bands with distances of their own."""
