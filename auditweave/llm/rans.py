@@ -257,10 +257,11 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 
 def round_trip(docs: DataFrame, tokenizer: str, cut: str = "spaced", end: int | None = 0) -> DataFrame:
-    """The rows that the files give back; the files go when these are written."""
+    """The rows that the files give back; the files go when these are written, or if that fails."""
     spark = docs.sparkSession
     path = fresh_path(spark, "token-files")
-    write_tokens(docs, path, tokenizer, cut, end)
-    out = materialize(read_tokens(spark, path), "round-trip")
-    remove(spark, path)
-    return out
+    try:
+        write_tokens(docs, path, tokenizer, cut, end)
+        return materialize(read_tokens(spark, path), "round-trip")
+    finally:
+        remove(spark, path)
