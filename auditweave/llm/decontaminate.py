@@ -146,16 +146,17 @@ def blocks(benchmark: DataFrame, n: int, most: int = BLOCK_BYTES) -> Iterator[li
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     for r in items.toLocalIterator(prefetchPartitions=False):
         texts = [r.t]
-        if len(r.t) > most:
+        if len(r.t.encode()) > most:
             batch = pa.record_batch([pa.array([r.t])], names=["text"])
             texts = [raw.tobytes() for _, raw, *_ in parts(iter([batch]), n, most, ANY_CASE)]
             texts = [t.decode() for i, t in enumerate(texts) if not i or len(normalised(t)) >= n]  # no shorter window at the end
         for text in texts:
-            if rows and size + len(text) > most:
+            own = len(text.encode())
+            if rows and size + own > most:
                 yield rows
                 rows, size = [], 0
             rows.append((r.i, text))
-            size += len(text)
+            size += own
     yield rows
 
 
