@@ -98,7 +98,33 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {byte}), 4294967295)"
 
 
+def wrapped(product: str) -> str:
+    """SQL for what unsigned 64-bit arithmetic leaves of a product of unsigned numbers."""
+    return f"(({product}) % 18446744073709551616::UHUGEINT)"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_jump_sharding": f"""
+        WITH RECURSIVE steps AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) AS v
+                                                                      FROM range(256) r(n))),
+        d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        sized AS (SELECT r, doc_id, strlen(x) + 16 AS size,
+                         xor(list_reduce(list_concat([4294967295], list_transform(range(1, 2 * strlen(x), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+                                         lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) AS crc FROM d, steps),
+        z0 AS (SELECT r, ((coalesce(doc_id, -9223372036854775808)::HUGEINT + 18446744073709551616 + 11400714819323198485) % 18446744073709551616)::UHUGEINT AS z FROM d),
+        z1 AS (SELECT r, {wrapped("xor(z, z >> 30) * 13787848793156543929::UHUGEINT")} AS z FROM z0),
+        z2 AS (SELECT r, {wrapped("xor(z, z >> 27) * 10723151780598845931::UHUGEINT")} AS z FROM z1),
+        jumps AS (
+            SELECT r, shards, xor(z, z >> 31) AS key, 0::BIGINT AS spot FROM z2, (VALUES (40), (41)) s(shards)
+            UNION ALL
+            SELECT r, shards, key, next FROM (
+                SELECT r, shards, key, floor((spot + 1) * (2147483648::DOUBLE / ((key >> 33)::DOUBLE + 1)))::BIGINT AS next FROM (
+                    SELECT r, shards, {wrapped("key * 2862933555777941757::UHUGEINT + 1")} AS key, spot FROM jumps)) WHERE next < shards),
+        placed AS (SELECT r, max(spot) FILTER (shards = 40) AS shard, max(spot) FILTER (shards = 41) AS grown FROM jumps GROUP BY r)
+        SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, crc) - 1 AS slot, grown::INT AS grown_shard
+        FROM sized JOIN placed USING (r)
+    """,
     "op6_substring_dedup": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         windows AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS t FROM d, unnest(range(1, greatest(len(w) - 34, 0) + 1)) u(i)),
