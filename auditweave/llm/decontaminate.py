@@ -160,7 +160,8 @@ def blocks(benchmark: DataFrame, n: int, most: int = BLOCK_BYTES) -> Iterator[li
     yield rows
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, results: Callable[[Iterator[Judged]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, results: Callable[[Iterator[Judged]], Iterator[pa.RecordBatch]],
+    schema: T.StructType) -> DataFrame:
     """The rows that `results` makes of the judged rows of docs."""
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -181,7 +182,8 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, re
             for rows, _, found, names in held.value.judge(batches):
                 at = sorted(found)
                 struct = [[{"first": a, "words": w} for a, w in found[d]] for d in at]
-                columns = [rows.column("row").take(pa.array(at, pa.int64())), pa.array(struct, SPANS), pa.array([sorted(names[d]) for d in at], pa.list_(pa.string()))]
+                columns = [rows.column("row").take(pa.array(at, pa.int64())), pa.array(struct, SPANS),
+                    pa.array([sorted(names[d]) for d in at], pa.list_(pa.string()))]
                 yield pa.record_batch(columns, names=["row", "spans", "items"])
 
         texts = numbered.select(F.col(number).alias("row"), "text")
@@ -212,7 +214,8 @@ def items_digest(items) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-RESULT = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
+RESULT = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256",
+    "string").add("contaminated", "boolean")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -241,7 +244,8 @@ def _without(text: bytes, spans: Spans) -> bytes:
     return b"".join([*keep, text[at:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents", most_hit: float = 0.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents", most_hit: float = 0.0,
+    block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with benchmark passages taken out, in the columns of docs.
 
     remove="documents" drops documents of which more than the share `most_hit` of words is hit;

@@ -145,7 +145,8 @@ class DigestIndex:
 
     def missing(self, groups: DataFrame) -> DataFrame:
         """The groups whose digest the index lacks: a sort-merge anti-join to which the index comes as it lies."""
-        return groups.repartition(self.buckets, "digest").join(self.rows().select("digest").hint("merge"), "digest", "left_anti").select("digest", "keep_id", "n_rows")
+        return groups.repartition(self.buckets, "digest").join(self.rows().select("digest").hint("merge"), "digest", "left_anti").select("digest",
+            "keep_id", "n_rows")
 
     def add(self, groups: DataFrame) -> DataFrame:
         """Appends the groups whose digest the index lacks; returns them."""

@@ -43,7 +43,8 @@ DROPPED = frozenset("script style head noscript template iframe svg math object
 #: Of these the content isn't parsed as markup.
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template")}
 #: A start tag of the key closes these if they are open and nothing in STOPS is between.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+    "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "body": set()}
 
 
@@ -74,7 +75,8 @@ def collapsed(nodes: Nodes, page: int) -> None:
     while begin and nodes.page[begin - 1] == page:
         begin -= 1
     children = Counter(nodes.parent[begin:])
-    gone = {p for i in range(begin + 1, len(nodes.page)) if children[p := nodes.parent[i]] == 1 and p > begin and nodes.look[i] and nodes.look[i] == nodes.look[p] and not nodes.look[i][1]}
+    gone = {p for i in range(begin + 1, len(nodes.page)) if children[p := nodes.parent[i]] == 1 and p > begin and nodes.look[i]
+        and nodes.look[i] == nodes.look[p] and not nodes.look[i][1]}
     if not gone:
         return
     place, kept = {}, 0
@@ -205,7 +207,8 @@ tweet|welcome|\u00a9|\\|"""
 SAYS = re.compile("|".join(rf"(?<!\w)(?:{x})(?!\w)" for x in PHRASES.replace("\n", "|").split("|") if x.strip("\\")), re.I)
 SHORT = 200
 #: Words that phrases begin with: most runs have none, which is seen at once.
-FIRST = frozenset(w for x in PHRASES.replace("\n", "|").split("|") for w in WORD.findall(x)[:1] if w not in ("log", "sign")) | {"log", "login", "sign", "comment", "cookie", "response", "kommentar", "commentaire", "comentario"}
+FIRST = frozenset(w for x in PHRASES.replace("\n", "|").split("|") for w in WORD.findall(x)[:1] if w not in ("log", "sign")) | {"log", "login", "sign",
+    "comment", "cookie", "response", "kommentar", "commentaire", "comentario"}
 
 
 def run_words(text: str) -> tuple[str, ...]:
@@ -223,7 +226,8 @@ def run_features(text: str, linked: int) -> list[float]:
     n = len(text)
     words = text.count(" ") + 1
     share = min(1.0, linked / n)
-    return [1.0, np.log1p(n) / 5, np.log1p(words) / 3, share, float(share > 0.9), float(text[-1] in ".!?:%*&$#\"'"), min(1.0, text.count(",") / words), float(words < 4)]
+    return [1.0, np.log1p(n) / 5, np.log1p(words) / 3, share, float(share > 0.9), float(text[-1] in ".!?:%*&$#\"'"), min(1.0, text.count(",") / words),
+        float(words < 4)]
 
 
 class Forest:
@@ -252,7 +256,8 @@ class Forest:
         ends = [np.maximum(0, 1 - (number - place) / 3), np.maximum(0, 1 - (after - number) / 3), self.size[runs, 0] / total[runs]]
         chars, linked, many = self.size.T
         some = np.maximum(chars, 1)
-        elements = np.column_stack([np.log1p(chars) / 5, linked / some, np.log1p(many) / 3, chars / total, np.log1p(chars / np.maximum(many, 1)) / 5, chars < 60])
+        elements = np.column_stack([np.log1p(chars) / 5, linked / some, np.log1p(many) / 3, chars / total, np.log1p(chars / np.maximum(many, 1)) / 5,
+            chars < 60])
         elements[self.run == 1] = 0
         return runs, np.column_stack([own, *ends]), elements
 
@@ -287,7 +292,8 @@ READERS = re.compile(
 
 
 def names(nodes: Nodes) -> list[tuple[str, ...]]:
-    """Names of each node's features: what an element's look says and what a short run at its top, what a run says, and whether either is below a heading of READERS."""
+    """Names of each node's features: what an element's look says and what a short run at its top, what a run says, and whether either is below a
+    heading of READERS."""
     n = len(nodes.page)
     first = [-1] * n  # an element's first run
     for i in range(n - 1, -1, -1):  # children come after their parents, in order
@@ -320,7 +326,8 @@ class Model:
 
     def to_json(self) -> str:
         rounded = lambda x: [round(float(v), 5) for v in x]
-        return json.dumps({"names": {k: round(v, 5) for k, v in self.names.items()}, "run": rounded(self.run), "element": rounded(self.element), "pair": rounded(self.pair.ravel())}, indent=0)
+        return json.dumps({"names": {k: round(v, 5) for k, v in self.names.items()}, "run": rounded(self.run), "element": rounded(self.element),
+            "pair": rounded(self.pair.ravel())}, indent=0)
 
     @classmethod
     def from_json(cls, text: str) -> Model:
@@ -407,9 +414,11 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
             for at in range(0, b.num_rows, TOGETHER):
                 rows = b.slice(at, TOGETHER)
                 texts = held.value.extract(rows.column("html").to_pylist())
-                yield pa.record_batch([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                yield pa.record_batch([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()),
+                    pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+        F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 if __name__ == "__main__":

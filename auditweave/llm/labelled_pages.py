@@ -13,7 +13,8 @@ MARK = "\ue000"  # of the private use area
 
 #: Class and id words by the role of what they name.
 ROLES = {
-    "article": ["article", "post", "entry", "content", "story", "main-content", "article-body", "post-content", "entry-content", "text", "body-text", "page-content"],
+    "article": ["article", "post", "entry", "content", "story", "main-content", "article-body", "post-content", "entry-content", "text", "body-text",
+        "page-content"],
     "nav": ["nav", "menu", "navbar", "main-nav", "navigation", "topmenu", "breadcrumb", "breadcrumbs", "pagination", "toc"],
     "header": ["header", "site-header", "masthead", "branding", "top-bar", "page-header", "logo"],
     "footer": ["footer", "site-footer", "bottom", "colophon", "copyright", "legal", "page-footer"],
@@ -29,16 +30,20 @@ ROLES = {
 SAYINGS = {
     "nav": ["Home", "About us", "Contact", "Log in", "Sign up", "News", "Products", "Menu", "Next page", "Back to top"],
     "header": ["Welcome to {}", "{} | {}", "The {} blog", "Skip to content"],
-    "footer": ["&copy; 2024 {}. All rights reserved.", "Copyright 2019-2024 {} Inc.", "Terms of service | Privacy policy", "{} is a registered trademark of {}.", "Powered by {}", "Impressum", "Mentions l&eacute;gales", "Todos los derechos reservados."],
+    "footer": ["&copy; 2024 {}. All rights reserved.", "Copyright 2019-2024 {} Inc.", "Terms of service | Privacy policy",
+        "{} is a registered trademark of {}.", "Powered by {}", "Impressum", "Mentions l&eacute;gales", "Todos los derechos reservados."],
     "sidebar": ["Related articles", "Most popular", "You may also like", "Read more", "Recent posts", "Archives", "Recommended for you", "Tags"],
     "ad": ["Advertisement", "Sponsored content", "Advertisement: {} {}", "Sponsored by {}", "Buy now and save 20%", "Anzeige", "Publicidad"],
-    "notice": ["We use cookies to improve your experience.", "Accept all cookies", "By using this site you agree to our privacy policy.", "Subscribe to read the full {}.", "Your browser is out of date.", "Wir verwenden Cookies.", "Utilizamos cookies."],
+    "notice": ["We use cookies to improve your experience.", "Accept all cookies", "By using this site you agree to our privacy policy.",
+        "Subscribe to read the full {}.", "Your browser is out of date.", "Wir verwenden Cookies.", "Utilizamos cookies."],
     "comments": ["Comments", "3 comments", "Leave a reply", "{} says: {} {}", "Reply", "Log in to comment", "Posted by {} 2 hours ago"],
-    "heading": ["Comments", "Comments", "3 comments", "Comments (12)", "27 Comments", "Reader comments", "Leave a comment", "Replies", "4 replies", "Responses", "5 responses", "Discussion", "Join the discussion", "Kommentare", "Commentaires", "Comentarios", "Leave a reply"],
+    "heading": ["Comments", "Comments", "3 comments", "Comments (12)", "27 Comments", "Reader comments", "Leave a comment", "Replies", "4 replies",
+        "Responses", "5 responses", "Discussion", "Join the discussion", "Kommentare", "Commentaires", "Comentarios", "Leave a reply"],
     "share": ["Share this", "Tweet", "Share on {}", "Follow us on {}", "Posted on 2024-01-15 by {}", "Filed under {}", "Print", "5 min read"],
     "form": ["Search", "Subscribe to our newsletter", "Your email address", "Submit", "Enter your name"],
 }
-TAGS = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "sidebar": ["aside", "div", "section"], "ad": ["div", "aside", "section"], "notice": ["div", "section", "p"], "comments": ["section", "div", "ol"], "share": ["div", "ul", "p"], "form": ["form"]}
+TAGS = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "sidebar": ["aside", "div", "section"],
+    "ad": ["div", "aside", "section"], "notice": ["div", "section", "p"], "comments": ["section", "div", "ol"], "share": ["div", "ul", "p"], "form": ["form"]}
 SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve é ü ß ción ñ ç eau".split()
 
 
@@ -47,7 +52,8 @@ class Maker:
         self.rng = rng
 
     def word(self) -> str:
-        return "".join(self.rng.choice(SYLLABLES) for _ in range(self.rng.choice([1, 1, 2, 2, 3, 4]))) + (self.rng.choice(["%%%", "***", "&amp;", "&eacute;", "!!"]) if self.rng.random() < self.odd else "")
+        return "".join(self.rng.choice(SYLLABLES) for _ in range(self.rng.choice([1, 1, 2, 2, 3, 4]))) + (self.rng.choice(["%%%", "***", "&amp;",
+            "&eacute;", "!!"]) if self.rng.random() < self.odd else "")
 
     odd, family = 0.0, "named"
 
@@ -88,7 +94,8 @@ class Maker:
             return ""
         if self.family in ("hashed", "headed"):
             rng = self.rng
-            name = rng.choice(["css-", "sc-", "_", "x", "jsx-"]) + "".join(rng.choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(rng.choice([5, 6, 8])))
+            name = rng.choice(["css-", "sc-", "_", "x", "jsx-"]) + "".join(rng.choice("abcdefghijkmnpqrstuvwxyz0123456789")
+                for _ in range(rng.choice([5, 6, 8])))
             return f' class="{name}"'
         r, name = self.rng.random(), self.rng.choice(ROLES[role])
         return f' class="{name}"' if r < 0.6 else f' id="{name}"' if r < 0.75 else f' class="{name} {self.rng.choice(ROLES["plain"])}"' if r < 0.85 else ""
@@ -99,7 +106,8 @@ class Maker:
     def boiler(self, role: str) -> str:
         rng = self.rng
         said = self.family not in ("named", "lists") or rng.random() < 0.4  # without names that tell, words must
-        tag = rng.choice(TAGS[role]) if self.family in ("named", "lists", "thread") or rng.random() < 0.15 and self.family in ("hashed", "headed", "short") else rng.choice(["div", "div", "ul"]) if role in ("nav", "share") else "form" if role == "form" else "div"
+        tag = rng.choice(TAGS[role]) if self.family in ("named", "lists", "thread") or rng.random() < 0.15 and self.family in ("hashed", "headed",
+            "short") else rng.choice(["div", "div", "ul"]) if role in ("nav", "share") else "form" if role == "form" else "div"
         if self.family in ("named", "lists", "thread"):
             named = self.named(role) if tag in ("nav", "header", "footer", "aside", "form") else f' class="{rng.choice(ROLES[role])}"'
         else:
@@ -108,19 +116,24 @@ class Maker:
         if role == "nav":
             inner = self.links(rng.randrange(2, 9)) if tag == "ul" else f"<ul>{self.links(rng.randrange(2, 9))}</ul>"
             if said:
-                inner = f'<li><a href="/">{self.saying("nav")}</a></li>' + inner if tag == "ul" else inner.replace("<ul>", f'<ul><li><a href="/">{self.saying("nav")}</a></li>', 1)
+                inner = f'<li><a href="/">{self.saying("nav")}</a></li>' + inner if tag == "ul" else inner.replace("<ul>",
+                    f'<ul><li><a href="/">{self.saying("nav")}</a></li>', 1)
         elif role == "header":
-            inner = rng.choice([f"<a href='/'>{self.word()}</a>", f"<h1>{self.word()} {self.word()}</h1><p>{short}</p>", f"<div>{short}</div>", f"<h2>{self.word()}</h2>" + f"<ul>{self.links(4)}</ul>"])
+            inner = rng.choice([f"<a href='/'>{self.word()}</a>", f"<h1>{self.word()} {self.word()}</h1><p>{short}</p>", f"<div>{short}</div>",
+                f"<h2>{self.word()}</h2>" + f"<ul>{self.links(4)}</ul>"])
         elif role == "footer":
-            inner = rng.choice([f"&copy; {self.word()}.example &middot; {short}", f"<p>&copy; 2024 {short}</p>", f"<ul>{self.links(4)}</ul><p>{short}</p>", f"<small>{short}</small>"])
+            inner = rng.choice([f"&copy; {self.word()}.example &middot; {short}", f"<p>&copy; 2024 {short}</p>", f"<ul>{self.links(4)}</ul><p>{short}</p>",
+                f"<small>{short}</small>"])
         elif role == "sidebar":
-            inner = f"<h3>{self.saying(role) if said else self.word()}</h3>" + rng.choice([f"<ul>{self.links(5)}</ul>", f"<p>{short}</p>", f"<div><a href='/x'>{short}</a></div><p>{self.sentences(2)}</p>"])
+            inner = f"<h3>{self.saying(role) if said else self.word()}</h3>" + rng.choice([f"<ul>{self.links(5)}</ul>", f"<p>{short}</p>",
+                f"<div><a href='/x'>{short}</a></div><p>{self.sentences(2)}</p>"])
         elif role == "comments":
             item = "li" if tag == "ol" else rng.choice(["div", "p", "article"])
             inner = ("" if tag == "ol" else f"<h3>{self.saying(role) if said else self.word()}</h3>")
             inner += "".join(f'<{item} class="comment"><b>{self.word()}</b> {self.sentences(rng.randrange(1, 5))}</{item}>' for _ in range(rng.randrange(1, 5)))
         elif role == "share":
-            inner = self.links(4) if tag == "ul" else short if said else rng.choice([f"<a href='#'>{self.word()}</a> <a href='#'>{self.word()}</a>", self.word() + " " + self.word()])
+            inner = self.links(4) if tag == "ul" else short if said else rng.choice([f"<a href='#'>{self.word()}</a> <a href='#'>{self.word()}</a>",
+                self.word() + " " + self.word()])
         elif role == "form":
             inner = f"<label>{self.saying(role) if said else self.word()}</label><input name='q'><p>{short}</p><button>{self.word()}</button>"
         elif tag == "p":
@@ -216,7 +229,8 @@ class Maker:
         foot = self.boiler("footer") if rng.random() < 0.85 else ""
         if self.family == "table":
             side = "".join(self.boiler(r) for r in ("nav", "sidebar", "ad") if rng.random() < 0.6)
-            cells = [f"<td width=150>{side}</td>" if side else "", f"<td>{''.join(self.parts())}</td>", f"<td>{''.join(after)}</td>" if after and rng.random() < 0.5 else ""]
+            cells = [f"<td width=150>{side}</td>" if side else "", f"<td>{''.join(self.parts())}</td>",
+                f"<td>{''.join(after)}</td>" if after and rng.random() < 0.5 else ""]
             if rng.random() < 0.3:
                 cells = cells[::-1]
             head = f"<tr><td colspan=3>{''.join(before)}</td></tr>" if before else ""
@@ -247,7 +261,8 @@ class Maker:
         self.family, self.odd = family, rng.choice([0, 0, 0, 0.5])
         inline = rng.choice(["<style>p{margin:0}</style>", "", "<style>.a{color:red}</style>", '<link rel="stylesheet" href="/s.css">'])
         script = rng.choice(["<script>var t='</p>';</script>", "", '<script src="/a.js"></script>', "<script>if (a<b) { track(1); }</script>"])
-        return f"<!DOCTYPE html><html><head><title>{self.word()}</title>{inline}{script}</head><body>{self.body()}" + ("</body></html>" if rng.random() < 0.9 else "")
+        return f"<!DOCTYPE html><html><head><title>{self.word()}</title>{inline}{script}</head><body>{self.body()}" + ("</body></html>"
+            if rng.random() < 0.9 else "")
 
 
 #: Families of layouts and how many pages of each are trained on.

@@ -1,14 +1,18 @@
 """Language identification by compression: a text's language is the one whose zstandard dictionary makes it smallest.
 
 For each language a raw-content dictionary of DICTIONARY bytes is cut from labelled documents: the first PREFIX characters of up to SAMPLE
-of them, drawn by hash (a bounded sample, the same for any partitioning), without what several of them share. A whole text, letters alone, in lower case, one space for what is between them, is compressed in
+of them, drawn by hash (a bounded sample, the same for any partitioning), without what several of them share. A whole text, letters alone, in lower
+case, one space for what is between them, is compressed in
 blocks of BLOCK bytes with every dictionary, each block on its own, so that late parts of long texts are measured against the
 languages, not against their own beginning; the sums are compared.
 
 Defined results: a null text or one without a letter is `und` with score 0; so is every text where nothing is learned. A tie goes to the language
-with more documents, then to the lesser name. score is a posterior that takes a byte saved for a bit of evidence: 1 / sum of 2 ** (smallest - size) over the languages. margin is
-what the next language needs more, by share of the smallest size (1 where there is no next one); below `margin` a prediction is `rejected`, and identify() may call
-it `und`. A null id is in no fold: it isn't held out and isn't learned from. Rows that repeat are told alike. An empty table gives no rows. Extra columns are ignored whatever their
+with more documents, then to the lesser name. score is a posterior that takes a byte saved for a bit of evidence: 1 / sum of 2 ** (smallest - size)
+over the languages. margin is
+what the next language needs more, by share of the smallest size (1 where there is no next one); below `margin` a prediction is `rejected`, and
+identify() may call
+it `und`. A null id is in no fold: it isn't held out and isn't learned from. Rows that repeat are told alike. An empty table gives no rows. Extra
+columns are ignored whatever their
 names.
 """
 
@@ -67,7 +71,8 @@ def fold(doc_id: F.Column, of: int) -> F.Column:
 
 def train(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
     """A dictionary for each non-null lang of the documents outside the fold `held_out`; ids serve only to draw the sample."""
-    learned = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
+    learned = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select(F.col("lang").cast("string").alias("lang"),
+        "doc_id", "text")
     counts = learned.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return Model((), ())
@@ -130,7 +135,8 @@ def identify(docs: DataFrame, model: Model, margin: float = MARGIN, reject: bool
             narrow = np.array(lead) < margin
             if reject:
                 lang = [UNKNOWN if n else x for n, x in zip(narrow, lang, strict=True)]
-            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64()), pa.array(narrow)],
+            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                pa.array(lead, pa.float64()), pa.array(narrow)],
                                   names=[f.split()[0] for f in PREDICTED.split(", ")])
 
     return rows.mapInArrow(told, PREDICTED)

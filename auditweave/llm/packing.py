@@ -169,7 +169,8 @@ def pieces(docs: DataFrame, tokenizer: str, cut: str, capacity: int, end: int =
             length = np.minimum(np.diff(at)[doc] - start, capacity)
             data, a = memoryview(ids.astype("<u4").tobytes()), (at[doc] + start) * 4
             crc = [zlib.crc32(data[p:q]) for p, q in zip(a.tolist(), (a + length * 4).tolist(), strict=True)]
-            yield pa.record_batch([rows.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.record_batch([rows.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
+                pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return id_and_text(docs).mapInArrow(run, PIECES)
 
@@ -194,7 +195,8 @@ def packer(capacity: int, r: int, last: bool):
         ids, n = (r << 58) + (key[0].as_py() << 32) + bins, len(bins)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "number"]
         told = [pa.array(np.full(n, not gap)), pa.array(np.full(n, gap, np.int32)), pa.array(kept[bins])]
-        return pa.table([*[group.column(c) for c in names], pa.array(ids), pa.array(offsets), *told], names=[*names, "sequence_id", "offset", "certified", "gap", "final"])
+        return pa.table([*[group.column(c) for c in names], pa.array(ids), pa.array(offsets), *told],
+            names=[*names, "sequence_id", "offset", "certified", "gap", "final"])
 
     return run
 

@@ -5,14 +5,17 @@ Feistel network over the value's index in the format's domain, walked on until i
 pseudonym looks like what it stands for, passes the same validation, and equal values get equal pseudonyms in every
 document, without a table; who has the key can map back. Punctuation and spacing stay as they are.
 
-Kinds: card (13 to 19 digits that begin as an issuer's do and pass the Luhn check; the first digit stays, the check digit is computed anew), iban (mod 97; country and
+Kinds: card (13 to 19 digits that begin as an issuer's do and pass the Luhn check; the first digit stays, the check digit is computed anew), iban (mod
+97; country and
 letters' places stay), phone (international or North American layout; the country code stays), ssn (valid areas and
-groups), ip (four octets of up to 255; reserved first octets 0, 127 and 255 are left), date (day-month-year, or year-month-day between hyphens, slashes or dots, from 1900 to 2099, that exist),
+groups), ip (four octets of up to 255; reserved first octets 0, 127 and 255 are left), date (day-month-year, or year-month-day between hyphens,
+slashes or dots, from 1900 to 2099, that exist),
 email (letters and digits of the local part), secret (hexadecimal strings of 32 or more that a key or token name precedes).
 
 Defined results: null texts stay null, with nothing found; where findings overlap the first in the text wins, of those
 that begin together the kind named first above (of cards the longest), and what isn't valid hides no other. Where numbers adjoin
-the text alone may not map back: a pseudonym and what follows can pass as a card by chance, `found` tells the places; digits inside words or longer numbers are left; rows that repeat are each mapped;
+the text alone may not map back: a pseudonym and what follows can pass as a card by chance, `found` tells the places; digits inside words or longer
+numbers are left; rows that repeat are each mapped;
 an empty table gives no rows; other columns stay as they are, whatever their names.
 """
 
@@ -119,9 +122,11 @@ def domain(sizes: list[int]) -> int:
 
 #: Leading digits of card numbers and the lengths of such numbers. Public issuer ranges.
 ISSUERS = [
-    ("4", (13, 16, 19)), ("51-55", (16,)), ("2221-2720", (16,)), ("34", (15,)), ("37", (15,)), ("36", range(14, 20)), ("38-39", range(14, 20)), ("300-305", range(14, 20)),
+    ("4", (13, 16, 19)), ("51-55", (16,)), ("2221-2720", (16,)), ("34", (15,)), ("37", (15,)), ("36", range(14, 20)), ("38-39", range(14, 20)),
+        ("300-305", range(14, 20)),
     ("3528-3589", range(16, 20)), ("6011", range(16, 20)), ("62", range(16, 20)), ("644-649", range(16, 20)), ("65", range(16, 20)),
-    ("5018", range(13, 20)), ("5020", range(13, 20)), ("5038", range(13, 20)), ("5893", range(13, 20)), ("6304", range(13, 20)), ("6759", range(13, 20)), ("6761-6763", range(13, 20)),
+    ("5018", range(13, 20)), ("5020", range(13, 20)), ("5038", range(13, 20)), ("5893", range(13, 20)), ("6304", range(13, 20)), ("6759", range(13, 20)),
+        ("6761-6763", range(13, 20)),
 ]
 
 
@@ -347,7 +352,8 @@ _drawn: dict[str, str] = {}
 
 
 def session_key(spark: SparkSession) -> bytes:
-    """The application's key. Where none is given a random one is drawn, and kept in this process: values are linked within the session, and no one can map back later.
+    """The application's key. Where none is given a random one is drawn, and kept in this process: values are linked within the session, and no one
+    can map back later.
 
     Raises ValueError for a key that was set in a running session: event logs would tell it."""
     given = spark.sparkContext.getConf().get(KEY_SETTING)

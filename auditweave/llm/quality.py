@@ -32,7 +32,8 @@ MOST_LABELS = 20_000
 PAIRS = 24
 FOLDS, HELD_OUT = 5, 0
 SYMBOLS = b".,;:!?'\"()|%&$*#@/-_<>{}[]=+\\~^"
-BASE = ["log_bytes", "log_words", "mean_word", "sd_word", "blank", "upper", "lower", "digit", "wide", "symbol", "lines_per_word", "capitalised", "shouted", "symbol_end", "distinct", "next_same", "one_byte", "long_word", "stop_end"]
+BASE = ["log_bytes", "log_words", "mean_word", "sd_word", "blank", "upper", "lower", "digit", "wide", "symbol", "lines_per_word", "capitalised", "shouted",
+    "symbol_end", "distinct", "next_same", "one_byte", "long_word", "stop_end"]
 NAMES = [*BASE, *[f"has_{chr(c)}" for c in SYMBOLS]]
 
 
@@ -54,7 +55,8 @@ class Counts:
 
 
 #: Sums of a text, in order; the counts of each symbol follow.
-SUMS = ["bytes", "words", "length", "squares", "blank", "upper", "lower", "digit", "wide", "symbol", "lines", "capitalised", "shouted", "symbol_end", "again", "one_byte", "long_word", "stop_end"]
+SUMS = ["bytes", "words", "length", "squares", "blank", "upper", "lower", "digit", "wide", "symbol", "lines", "capitalised", "shouted", "symbol_end",
+    "again", "one_byte", "long_word", "stop_end"]
 
 
 def counts(raw: np.ndarray, offs: np.ndarray) -> Counts:
@@ -87,7 +89,8 @@ def counts(raw: np.ndarray, offs: np.ndarray) -> Counts:
     last = raw[ends - 1] if len(ends) else raw[:0]
     sums = [
         np.diff(offs), np.diff(first), by_word(length), by_word(length**2), by_byte(BLANK_SEPARATED[raw] == 0), by_byte(upper), by_byte(lower), by_byte(digit),
-        by_byte(wide), by_byte(symbol), by_byte(raw == 10), by_word(upper[starts] if len(starts) else starts), by_word(shouted), by_word(table[last]), by_word(again),
+        by_byte(wide), by_byte(symbol), by_byte(raw == 10), by_word(upper[starts] if len(starts) else starts), by_word(shouted), by_word(table[last]),
+            by_word(again),
         by_word(length == 1), by_word(length > 20), by_word(last == 46),
     ]
     each = np.zeros((n, len(SYMBOLS)), np.int64)
@@ -190,7 +193,8 @@ def fold(ids: F.Column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, cut: float = 0.3, most: int = MOST_LABELS) -> Ranker:
     """Learns from at most `most` labels outside the held-out fold."""
     arrow_limits(docs.sparkSession)
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT))
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("quality").cast("int").alias("quality")).filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT))
     sample = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
 
     def run(batches):
@@ -214,7 +218,8 @@ def scores(docs: DataFrame, ranker: Ranker) -> DataFrame:
         for rows, x in featured(batches):
             score = held.value.score(x)
             out = [zlib.crc32(str(i).encode() if i is not None else b"") % FOLDS == HELD_OUT for i in rows.column("doc_id").to_pylist()]
-            yield pa.record_batch([rows.column("doc_id"), pa.array(out), pa.array(score), pa.array((score >= held.value.cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.record_batch([rows.column("doc_id"), pa.array(out), pa.array(score), pa.array((score >= held.value.cut).astype(np.int32))],
+                names=["doc_id", "held_out", "score", "predicted"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 

@@ -93,7 +93,8 @@ def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES, segment_step
         later = marks[len(marks) - 2 - i] if i + 1 < len(marks) else (steps, 0, None)
         own = ids[step * lanes : later[0] * lanes]
         at = written - after
-        parts.append(np.array([step, at, zlib.crc32(own.astype("<u4").tobytes()), zlib.crc32(words[at : written - later[1]].tobytes())], "<u4").tobytes() + states.astype("<u8").tobytes())
+        parts.append(np.array([step, at, zlib.crc32(own.astype("<u4").tobytes()), zlib.crc32(words[at : written - later[1]].tobytes())], "<u4")
+            .tobytes() + states.astype("<u8").tobytes())
     return np.array([MAGIC, table.crc, n, lanes, written, len(parts)], "<u4").tobytes() + b"".join(parts) + words.tobytes()
 
 
@@ -184,7 +185,8 @@ def count_ids(tokens: DataFrame, size: int, width: str) -> np.ndarray:
 BLOCKS = "part int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, cut: str = "spaced", end: int | None = 0, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, cut: str = "spaced", end: int | None = 0, block_tokens: int = BLOCK_TOKENS,
+    part_tokens: int = PART_TOKENS) -> None:
     """Writes the ids of all documents in ascending doc_id order."""
     spark, width, since = docs.sparkSession, id_width(tokenizer), mark()
     tokens = materialize(token_rows(docs, tokenizer, cut, end), "tokens")
@@ -239,12 +241,14 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     def run(batches: Iterator[pa.RecordBatch]):
         own = Table(held.value)
         for b in batches:
-            for part, start, doc_ids, lengths, payload in zip(*(b.column(c).to_pylist() for c in ("part", "start", "doc_ids", "lengths", "payload")), strict=True):
+            for part, start, doc_ids, lengths, payload in zip(*(b.column(c).to_pylist() for c in ("part", "start", "doc_ids", "lengths", "payload")),
+                strict=True):
                 data = decode_block(payload, own).astype("<u4").tobytes()
                 n = np.array(lengths, np.int64)
                 ends = np.cumsum(n)
                 own_ids = [data[4 * a : 4 * e] for a, e in zip((ends - n).tolist(), ends.tolist(), strict=True)]
-                columns = [pa.array(doc_ids, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(start + ends - n), pa.array(n), pa.array([zlib.crc32(x) for x in own_ids], pa.int64())]
+                columns = [pa.array(doc_ids, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(start + ends - n), pa.array(n),
+                    pa.array([zlib.crc32(x) for x in own_ids], pa.int64())]
                 columns += [pa.array(own_ids, pa.binary())] * with_ids
                 yield pa.record_batch(columns, names=["doc_id", "part", "local", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
@@ -252,8 +256,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     sizes = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("part", before.alias("before"))
-    rows = blocks.select("part", "start", "doc_ids", "lengths", "payload").mapInArrow(run, "doc_id long, part int, local long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
-    return rows.join(offsets, "part").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+    rows = blocks.select("part", "start", "doc_ids", "lengths", "payload").mapInArrow(run,
+        "doc_id long, part int, local long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.join(offsets, "part").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32",
+        *(["ids"] if with_ids else []))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, cut: str = "spaced", end: int | None = 0) -> DataFrame:

@@ -48,7 +48,8 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 def assign(docs: DataFrame, shards: int) -> DataFrame:
     """doc_id, size, text_crc32, shard, grown_shard: decided row by row, without a shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
 
     def jump(batches):
         for b in batches:
@@ -78,7 +79,8 @@ def shard(docs: DataFrame, shards: int, ranges: int | None = None) -> DataFrame:
             place[order] = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
             place += seen[own]
             seen += count
-            yield pa.record_batch([*[b.column(c) for c in (*ORDER, "shard", "grown_shard")], pa.array(np.full(len(own), part, np.int32)), pa.array(place)], names=[*ORDER, "shard", "grown_shard", "part", "place"])
+            yield pa.record_batch([*[b.column(c) for c in (*ORDER, "shard", "grown_shard")], pa.array(np.full(len(own), part, np.int32)), pa.array(place)],
+                names=[*ORDER, "shard", "grown_shard", "part", "place"])
 
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(ranges, *ORDER, "tie").sortWithinPartitions(*ORDER, "tie")

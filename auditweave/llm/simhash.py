@@ -129,7 +129,8 @@ def part(fp: F.Column, shift: int, width: int) -> F.Column:
 
 def ball(segment: int, value: F.Column, flips: list[int]) -> F.Column:
     """The values around `value` that the flips reach, as an array of (segment, value, flip)."""
-    return F.transform(F.array(*[F.lit(m).cast("long") for m in flips]), lambda m: F.struct(F.lit(segment).alias("segment"), value.bitwiseXOR(m).alias("value"), m.alias("flip")))
+    return F.transform(F.array(*[F.lit(m).cast("long") for m in flips]),
+        lambda m: F.struct(F.lit(segment).alias("segment"), value.bitwiseXOR(m).alias("value"), m.alias("flip")))
 
 
 def _entries(nodes: DataFrame, plan: list[tuple[int, int, int]], search: bool) -> DataFrame:
@@ -225,7 +226,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFr
     since = mark()
     prints = materialize(fingerprints(docs, size), "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    groups = connected(nodes.select(F.col("fp").alias("node"), "fp"), distance, nodes.count()).withColumnRenamed("node", "fp").withColumnRenamed("component", "group")
+    groups = connected(nodes.select(F.col("fp").alias("node"), "fp"), distance, nodes.count()).withColumnRenamed("node",
+        "fp").withColumnRenamed("component", "group")
     named = materialize(nodes.join(groups, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), "least"), "grouped")
     ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
     by_fp = named.select("fp", "group").join(ids, "group").select("fp", "component_id")

@@ -95,11 +95,13 @@ AUDITS = "conv_id long, gaps long, blank long, duplicate long, truncated long, i
 
 
 def damage(convs: DataFrame, one_in: int = 20) -> DataFrame:
-    """convs with planted faults by crc32 of `conv_id:turn` modulo one_in: 0 drops a row, 1 empties its text, 2 takes away its `.!?`, 3 repeats it, 4 makes its role user.
+    """convs with planted faults by crc32 of `conv_id:turn` modulo one_in: 0 drops a row, 1 empties its text, 2 takes away its `.!?`, 3 repeats it, 4
+    makes its role user.
 
     The column `copies` says how often a row is there now; 0 keeps the name of a conversation that has lost it."""
     space = F.lit(" ")
-    number = F.pmod(F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space)).cast("binary")), F.lit(one_in))
+    number = F.pmod(F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+        .cast("binary")), F.lit(one_in))
     text, role = F.coalesce("text", space), F.coalesce("role", space)
     return convs.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
@@ -112,7 +114,8 @@ def _rows(convs: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, sha, copies of any table of conversations."""
     text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
     copies = F.coalesce(F.col("copies").cast("long"), F.lit(1)) if "copies" in convs.columns else F.lit(1).cast("long")
-    rows = convs.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), copies.alias("copies"))
+    rows = convs.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"),
+        copies.alias("copies"))
     return rows.withColumn("sha", F.unhex(F.sha2("text", 256)))
 
 
@@ -159,7 +162,8 @@ def _expanded(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[li
             row = np.searchsorted(ends, place, "right")
             first = place == ends[row] - np.maximum(copies[row], 1)
             kind = np.where(first, own["kind"][row], own["again"][row])
-            yield b.column("conv_id").take(pa.array(row)).to_pylist(), {"initial": own["initial"][row], "kind": kind, "copies": copies[row]}, b.column("turn").take(pa.array(row))
+            yield b.column("conv_id").take(pa.array(row)).to_pylist(), {"initial": own["initial"][row], "kind": kind,
+                "copies": copies[row]}, b.column("turn").take(pa.array(row))
 
 
 def _audits(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -234,7 +238,8 @@ def _together(held: list) -> tuple[list, dict[str, np.ndarray], pa.Array]:
 
 
 def audits(convs: DataFrame, batch: int = TURNS) -> DataFrame:
-    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit: a row per conversation. Takes any table with conv_id, turn, role, text, and copies if there are.
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit: a row per conversation. Takes any table with conv_id, turn, role, text, and
+    copies if there are.
 
     batch: turns that one recursive query takes."""
     arrow_limits(convs.sparkSession)
@@ -249,7 +254,8 @@ def audits(convs: DataFrame, batch: int = TURNS) -> DataFrame:
     firsts = firsts.withColumnsRenamed(names).hint("merge")
     known = rows.join(firsts, reduce(and_, (F.col(c).eqNullSafe(F.col(f)) for c, f in names.items())), "left").drop(*names.values())
     again = F.when(F.col("kind") == 1, 1).otherwise(2)
-    known = known.select("conv_id", "turn", "role", "sha", "copies", code.cast("int").alias("initial"), F.when(F.col("is_first"), F.col("kind")).otherwise(again).cast("int").alias("kind"), again.cast("int").alias("again"))
+    known = known.select("conv_id", "turn", "role", "sha", "copies", code.cast("int").alias("initial"),
+        F.when(F.col("is_first"), F.col("kind")).otherwise(again).cast("int").alias("kind"), again.cast("int").alias("again"))
     dealt = known.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "sha")
     return dealt.select("conv_id", "turn", "copies", "initial", "kind", "again").mapInArrow(partial(_audits, most=batch), AUDITS)
 
@@ -282,7 +288,8 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for b in batches:
-        for own, of_rows, turn, role, text, copies in zip(*[b.column(c).to_pylist() for c in ("conv_id", "of_rows", "turn", "role", "text", "copies")], strict=True):
+        for own, of_rows, turn, role, text, copies in zip(*[b.column(c).to_pylist() for c in ("conv_id", "of_rows", "turn", "role", "text", "copies")],
+            strict=True):
             if not of_rows:
                 inserted()
                 conv, audit, j, place, state = own, text, 0, 0, START
@@ -300,12 +307,15 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repaired(convs: DataFrame, found: DataFrame) -> DataFrame:
-    """The repaired turns of convs by the audits `found` in it: conv_id, place (from 0), edit, turn, role, text. They lie by conversation and in order of place."""
+    """The repaired turns of convs by the audits `found` in it: conv_id, place (from 0), edit, turn, role, text. They lie by conversation and in order
+    of place."""
     arrow_limits(convs.sparkSession)
     rows = _rows(convs).filter("copies > 0").select("conv_id", F.lit(True).alias("of_rows"), "turn", "role", "sha", "text", "copies")
     null = lambda kind: F.lit(None).cast(kind)
-    led = found.select("conv_id", F.lit(False).alias("of_rows"), null("long").alias("turn"), null("string").alias("role"), null("binary").alias("sha"), F.col("audit").alias("text"), F.lit(0).cast("long").alias("copies"))
-    return led.unionByName(rows).repartition("conv_id").sortWithinPartitions("conv_id", "of_rows", "turn", "role", "sha").drop("sha").mapInArrow(_repaired, REPAIRED)
+    led = found.select("conv_id", F.lit(False).alias("of_rows"), null("long").alias("turn"), null("string").alias("role"), null("binary").alias("sha"),
+        F.col("audit").alias("text"), F.lit(0).cast("long").alias("copies"))
+    return led.unionByName(rows).repartition("conv_id").sortWithinPartitions("conv_id", "of_rows", "turn", "role", "sha").drop("sha").mapInArrow(_repaired,
+        REPAIRED)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

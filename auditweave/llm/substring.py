@@ -1,11 +1,14 @@
 """Substring dedup: documents are factored against a reference index of the whole corpus, in phrases that the content cuts.
 
 This is relative Lempel-Ziv parsing without its greedy part: no longest match is followed and no factor names a place in the reference. A
-greedy longest match hides windows that straddle two factors, and needs the blocks of the index one after another. Here phrases begin and end where the content says so,
-which lets one equi-join look up all blocks at once: of each window of `window` consecutive words the anchor is the run of ANCHOR words with the smallest hash, and a
+greedy longest match hides windows that straddle two factors, and needs the blocks of the index one after another. Here phrases begin and end where
+the content says so,
+which lets one equi-join look up all blocks at once: of each window of `window` consecutive words the anchor is the run of ANCHOR words with the
+smallest hash, and a
 phrase is a run of windows with the same anchor. Equal windows have equal anchors wherever they stand.
 
-1. Index: for each anchor whether its phrases are all equal, of anchors that occur again. Anchors that occur once are unique text; nothing that contains them repeats.
+1. Index: for each anchor whether its phrases are all equal, of anchors that occur again. Anchors that occur once are unique text; nothing that
+contains them repeats.
 2. Factors: phrases whose anchor has equal phrases only are factors as a whole.
 3. Factor boundaries: where phrases of one anchor differ, a factor ends inside the phrase. There the windows are checked one by
    one: (anchor, window hash) is counted over all documents, and windows that occur again are factors too.
@@ -220,7 +223,8 @@ def deduplicate(docs: DataFrame, window: int = 35, with_text: bool = False, part
                     results.append(whole)
                     whole = Row()
             if last:
-                columns = [pa.array([r.n_words for r in results], pa.int64()), pa.array([r.n_removed for r in results], pa.int64()), pa.array([r.digest.hexdigest() for r in results])]
+                columns = [pa.array([r.n_words for r in results], pa.int64()), pa.array([r.n_removed for r in results], pa.int64()),
+                    pa.array([r.digest.hexdigest() for r in results])]
                 if with_text:
                     columns += [pa.array([" ".join(r.texts) for r in results], pa.string()), pa.array([r.spans for r in results], SPANS)]
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text", "removed"]

@@ -49,7 +49,8 @@ def _root() -> F.Column:
 def turns(convs: DataFrame) -> DataFrame:
     """conv, place (from 1), content, bytes: the turns of each conversation in order. A range of rows is numbered at a time."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = convs.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.unhex(F.sha2(text, 256)).alias("sha"),
+    rows = convs.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), role.alias("role"),
+        F.unhex(F.sha2(text, 256)).alias("sha"),
                         F.octet_length(text).cast("long").alias("bytes")).filter("conv IS NOT NULL")
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("sha")]
     dealt = materialize(rows.repartitionByRange("conv", *order).withColumn("part", F.spark_partition_id()), "turns")
@@ -58,7 +59,8 @@ def turns(convs: DataFrame) -> DataFrame:
     carried = counts.select("conv", "part", before.alias("before")).filter("before > 0")  # of conversations that go over several ranges
     local = dealt.withColumn("own", F.row_number().over(Window.partitionBy("conv", "part").orderBy(*order)))
     content = F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", F.hex("sha"))
-    return local.join(carried, ["conv", "part"], "left").select("conv", (F.col("own") + F.coalesce("before", F.lit(0))).alias("place"), content.alias("content"), "bytes")
+    return local.join(carried, ["conv", "part"], "left").select("conv", (F.col("own") + F.coalesce("before", F.lit(0))).alias("place"),
+        content.alias("content"), "bytes")
 
 
 def as_they_are(convs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,10 +75,12 @@ def rebuild(convs: DataFrame, group: int = 5, most: int = 9) -> tuple[DataFrame,
     first h, where h is crc32 of the decimal id modulo `most`."""
     rows = materialize(turns(convs), "places")
     head = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(most))
-    known = materialize(rows.groupBy("conv").agg(F.max("place").alias("n")).select("conv", "n", (F.col("conv") - F.col("conv") % group).alias("base"), head.alias("h")), "conversations")
+    known = materialize(rows.groupBy("conv").agg(F.max("place").alias("n"))
+        .select("conv", "n", (F.col("conv") - F.col("conv") % group).alias("base"), head.alias("h")), "conversations")
     bases = known.filter(F.col("conv") % group == 0).select(F.col("conv").alias("base"), F.col("n").alias("base_n"))
     taken = F.least("h", F.coalesce("base_n", F.lit(0)))
-    sized = known.join(bases, "base", "left").select("conv", "base", "h", taken.alias("taken"), (taken + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("length"))
+    sized = known.join(bases, "base", "left").select("conv", "base", "h", taken.alias("taken"),
+        (taken + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("length"))
     sized = materialize(sized, "rebuilt-lengths")
     own = rows.join(sized, "conv").filter("place > h").withColumn("place", F.col("place") - F.col("h") + F.col("taken"))
     heads = rows.filter(F.col("place") < most).withColumnRenamed("conv", "base").join(sized, "base").filter("place <= taken")
@@ -92,7 +96,8 @@ def running(rows: DataFrame, key: str, place: str, sums: list[str], modulo: int
     cut = rows.withColumn("block", F.floor(F.col(place) / BLOCK))
     totals = cut.groupBy(key, "block").agg(*[rest(F.sum(s)).alias(s) for s in sums])
     before = Window.partitionBy(key).orderBy(block_order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(key, "block", F.row_number().over(Window.partitionBy(key).orderBy(block_order)).alias("nth"), *[F.sum(s).over(before).alias(f"before_{s}") for s in sums])
+    carried = totals.select(key, "block", F.row_number().over(Window.partitionBy(key).orderBy(block_order)).alias("nth"),
+        *[F.sum(s).over(before).alias(f"before_{s}") for s in sums])
     inner = Window.partitionBy(key, "block").orderBy(order)
     summed = cut.withColumns({s: F.sum(s).over(inner) for s in sums}).join(carried.filter("nth > 1").drop("nth"), [key, "block"], "left")
     return summed.withColumns({s: rest(F.col(s) + F.coalesce(f"before_{s}", F.lit(0))) for s in sums}).drop("block", *[f"before_{s}" for s in sums])
@@ -137,7 +142,8 @@ def first_owned(lengths: DataFrame, by_place: Bucketed, minima: Bucketed, longes
     """conv, first (the first depth it owns, its length + 1 if none), parent (who owns the depth before), length; not for the owner of the root.
 
     hot: up to MOST_HOT nodes of the minima. Each round halves what is left of all conversations at once."""
-    state = lengths.filter(F.col("conv") != root).select("conv", F.lit(0).cast("long").alias("lo"), (F.col("length") + 1).alias("hi"), F.lit(root).cast("long").alias("parent"), "length")
+    state = lengths.filter(F.col("conv") != root).select("conv", F.lit(0).cast("long").alias("lo"), (F.col("length") + 1).alias("hi"),
+        F.lit(root).cast("long").alias("parent"), "length")
     found = [state.filter("hi - lo <= 1")]
     for _ in range(longest.bit_length()):
         asked = state.filter("hi - lo > 1").withColumn("depth", F.floor((F.col("lo") + F.col("hi")) / 2))
@@ -145,7 +151,8 @@ def first_owned(lengths: DataFrame, by_place: Bucketed, minima: Bucketed, longes
         spread = F.when(F.col("hot_owner").isNull(), F.col("node")).otherwise(F.unhex(F.md5(F.col("conv").cast("string"))))  # answered ones are spread out
         answer = minima.find(at.withColumn("node", spread), "left").withColumn("owner", F.coalesce("hot_owner", "owner"))
         mine = F.col("owner") == F.col("conv")
-        state = answer.select("conv", F.when(mine, F.col("lo")).otherwise(F.col("depth")).alias("lo"), F.when(mine, F.col("depth")).otherwise(F.col("hi")).alias("hi"),
+        state = answer.select("conv", F.when(mine, F.col("lo")).otherwise(F.col("depth")).alias("lo"),
+            F.when(mine, F.col("depth")).otherwise(F.col("hi")).alias("hi"),
                               F.when(mine, F.col("parent")).otherwise(F.col("owner")).alias("parent"), "length")
         state = materialize(state, "search")
         found.append(state.filter("hi - lo <= 1"))
@@ -161,14 +168,17 @@ def gather(chains: DataFrame) -> DataFrame:
     In round k each chain adds its sum to the one 2^k above, so the rounds are the logarithm of the tree's levels."""
     state = chains.select("conv", F.col("parent").alias("above"), "leaves", "saved")
     while not state.filter("above IS NOT NULL").isEmpty():
-        sums = state.filter("above IS NOT NULL").groupBy("above").agg(F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"), F.count("*").alias("n"))
+        sums = state.filter("above IS NOT NULL").groupBy("above").agg(F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"),
+            F.count("*").alias("n"))
         sums = materialize(sums, "chain-sums")
         total = sums.agg(F.sum("n")).first()[0]
         ups = state.select(F.col("conv").alias("above"), F.col("above").alias("up"))
-        hot = sums.filter(F.col("n") * MOST_HOT >= total).select("above").join(ups, "above").select("above", F.col("up").alias("hot_up"), F.lit(True).alias("is_hot"))
+        hot = sums.filter(F.col("n") * MOST_HOT >= total).select("above").join(ups, "above").select("above", F.col("up").alias("hot_up"),
+            F.lit(True).alias("is_hot"))
         added = state.join(sums.select(F.col("above").alias("conv"), "more_leaves", "more_saved"), "conv", "left")
         added = added.select("conv", "above", *[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in ("leaves", "saved")])
-        marked = added.join(F.broadcast(hot), "above", "left").withColumn("asked", F.when(F.col("is_hot"), F.col("conv")).otherwise(F.coalesce("above", "conv")))
+        marked = added.join(F.broadcast(hot), "above", "left").withColumn("asked",
+            F.when(F.col("is_hot"), F.col("conv")).otherwise(F.coalesce("above", "conv")))
         looked = marked.join(ups.withColumnRenamed("above", "asked"), "asked", "left")
         up = F.when(F.col("above").isNull(), F.lit(None)).when(F.col("is_hot"), F.col("hot_up")).otherwise(F.col("up"))
         state = materialize(looked.select("conv", up.cast("long").alias("above"), "leaves", "saved"), "chains")
@@ -209,7 +219,8 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ends(rows: DataFrame) -> DataFrame:
     """node, ends_sha256, from rows (node, conv): ids are put in order by ranges, so that a node of many isn't one task's until they are strings."""
-    chunks = rows.repartitionByRange("node", "conv").sortWithinPartitions("node", "conv").mapInArrow(partial(_chunks, most=CHUNK), "node binary, first long, ids string")
+    chunks = rows.repartitionByRange("node", "conv").sortWithinPartitions("node", "conv").mapInArrow(partial(_chunks, most=CHUNK),
+        "node binary, first long, ids string")
     return chunks.repartition("node").sortWithinPartitions("node", "first").mapInArrow(_hashes, "node binary, ends_sha256 string")
 
 
@@ -225,28 +236,36 @@ def trie(rows: DataFrame, lengths: DataFrame) -> DataFrame:
         return spark.createDataFrame([], TRIE)
     paths = prefixes(rows)
     with settings(spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"), Bucketed(paths, ["conv", "depth"]) as by_place:
-        grouped = by_place.rows().groupBy("node").agg(F.min("conv").alias("owner"), F.count("*").alias("n_convs"), F.max("depth").alias("at"), F.max("bytes").alias("bytes"))
+        grouped = by_place.rows().groupBy("node").agg(F.min("conv").alias("owner"), F.count("*").alias("n_convs"), F.max("depth").alias("at"),
+            F.max("bytes").alias("bytes"))
         with Bucketed(grouped, ["node"]) as minima:
             total = by_place.rows().count()
             hot = minima.rows().filter(F.col("n_convs") * MOST_HOT >= total).select("node", F.col("owner").alias("hot_owner"))
             searched = first_owned(lengths, by_place, minima, longest, root, hot)
-            mine = lengths.filter(F.col("conv") == root).select("conv", F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("parent"), "length")
+            mine = lengths.filter(F.col("conv") == root).select("conv", F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("parent"),
+                "length")
             chains = materialize(searched.filter("first <= length").unionByName(mine), "owned")
-            root_row = spark.range(1).select(_root().alias("node"), F.lit(root).cast("long").alias("owner"), F.lit(members).cast("long").alias("n_convs"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("bytes"))
+            root_row = spark.range(1).select(_root().alias("node"), F.lit(root).cast("long").alias("owner"), F.lit(members).cast("long").alias("n_convs"),
+                F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("bytes"))
             nodes = materialize(minima.rows().unionByName(root_row).withColumn("own", (F.col("n_convs") - 1) * F.col("bytes")), "nodes")
             last = by_place.rows().filter("last").select("node", "conv").unionByName(lengths.filter("length = 0").select(_root().alias("node"), "conv"))
             ended = materialize(ends(last), "ends")
 
     hung = chains.filter("parent IS NOT NULL").select(F.col("parent").alias("owner"), (F.col("first") - 1).alias("at"), "conv")
-    childless = chains.join(hung.select(F.col("owner").alias("conv"), F.col("at").alias("length")).distinct(), ["conv", "length"], "left_anti").select("conv", F.lit(1).cast("long").alias("leaf"))
-    values = chains.select("conv", "parent").join(childless, "conv", "left").join(nodes.groupBy(F.col("owner").alias("conv")).agg(F.sum("own").alias("saved")), "conv", "left")
-    values = materialize(values.select("conv", "parent", F.coalesce("leaf", F.lit(0)).cast("long").alias("leaves"), F.coalesce("saved", F.lit(0)).cast("long").alias("saved")), "chain-values")
+    childless = chains.join(hung.select(F.col("owner").alias("conv"), F.col("at").alias("length")).distinct(), ["conv", "length"],
+        "left_anti").select("conv", F.lit(1).cast("long").alias("leaf"))
+    values = chains.select("conv", "parent").join(childless, "conv",
+        "left").join(nodes.groupBy(F.col("owner").alias("conv")).agg(F.sum("own").alias("saved")), "conv", "left")
+    values = materialize(values.select("conv", "parent", F.coalesce("leaf", F.lit(0)).cast("long").alias("leaves"),
+        F.coalesce("saved", F.lit(0)).cast("long").alias("saved")), "chain-values")
     totals = gather(values)
-    branches = hung.join(totals, "conv").groupBy("owner", "at").agg(F.count("*").alias("n_hung"), F.sum("leaves").alias("hung_leaves"), F.sum("saved").alias("hung_saved"))
+    branches = hung.join(totals, "conv").groupBy("owner", "at").agg(F.count("*").alias("n_hung"), F.sum("leaves").alias("hung_leaves"),
+        F.sum("saved").alias("hung_saved"))
     along = nodes.join(branches, ["owner", "at"], "left").join(chains.withColumnRenamed("conv", "owner"), "owner")
     count = lambda c: F.coalesce(c, F.lit(0))
     ends_here = ((F.col("at") == F.col("length")) & F.col("n_hung").isNull()).cast("long")
-    along = along.withColumns({"n_leaves": ends_here + count("hung_leaves"), "saved_tokens": F.col("own") + count("hung_saved"), "n_children": count("n_hung") + (F.col("at") < F.col("length")).cast("long")})
+    along = along.withColumns({"n_leaves": ends_here + count("hung_leaves"), "saved_tokens": F.col("own") + count("hung_saved"),
+        "n_children": count("n_hung") + (F.col("at") < F.col("length")).cast("long")})
     summed = running(along.drop("own", "bytes", "n_hung", "hung_leaves", "hung_saved"), "owner", "at", ["n_leaves", "saved_tokens"], backwards=True)
     parent = F.when(F.col("at") == 0, F.lit(None)).when(F.col("at") == F.col("first"), F.col("parent")).otherwise(F.col("owner")).cast("long")
     out = summed.join(ended, "node", "left").select(

@@ -100,5 +100,6 @@ def repair(rows, damaged=True):
         illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(own, own[1:], strict=False))
         cost, audit, _, turns[c] = all_edits(own, found)
         sha = hashlib.sha256("\n".join(f"{r}:{x}" for r, x in turns[c]).encode()).hexdigest()
-        out.append((c, max(places) - min(places) + 1 - len(set(places)) if places else 0, found.count(1), found.count(2), found.count(3), illegal, cost, audit, sha))
+        out.append((c, max(places) - min(places) + 1 - len(set(places)) if places else 0, found.count(1), found.count(2), found.count(3), illegal, cost,
+            audit, sha))
     return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0)), turns

@@ -10,7 +10,8 @@ from auditweave.llm.decontaminate import WindowSet, contamination, decontaminate
 
 from .helpers import frame, rows
 
-ITEMS = [("7", "W3 w4, w5 w6 w7 w8 w9 w10 w11 w12 w13"), ("11", "w20 w21 w22"), ("2", "beta gämma"), ("3", None), ("4", " ,; "), ("5", "w40 w41 w42 w43 w44 w45 w46 w47 w48 other"), (None, "42 42 42")]
+ITEMS = [("7", "W3 w4, w5 w6 w7 w8 w9 w10 w11 w12 w13"), ("11", "w20 w21 w22"), ("2", "beta gämma"), ("3", None), ("4", " ,; "),
+    ("5", "w40 w41 w42 w43 w44 w45 w46 w47 w48 other"), (None, "42 42 42")]
 
 
 def split(text):
@@ -48,8 +49,10 @@ def test_matches_brute_force_in_one_block_and_in_many(spark):
 def test_windows_that_overlap_are_judged_and_cut_together(spark):
     """Items in one block or in many, and items longer than a block: the same documents stay and the same words are cut."""
     words = [f"a{i}" for i in range(40)]
-    items = [("1", " ".join(words[:12])), ("2", " ".join(words[8:20])), ("3", " ".join(words[15:32])), ("4", "a35 a36"), ("5", " ".join(f"c{i}" for i in range(60)) + " !")]
-    data = [(i, "x " + " ".join(w) + ". Y", "en", "s", 1) for i, w in enumerate((words, words[5:25], words[:10], words[12:18], words[30:], [f"c{i}" for i in range(12, 50)], ["x"] * 30 + words[:11]))]
+    items = [("1", " ".join(words[:12])), ("2", " ".join(words[8:20])), ("3", " ".join(words[15:32])), ("4", "a35 a36"),
+        ("5", " ".join(f"c{i}" for i in range(60)) + " !")]
+    data = [(i, "x " + " ".join(w) + ". Y", "en", "s", 1) for i,
+        w in enumerate((words, words[5:25], words[:10], words[12:18], words[30:], [f"c{i}" for i in range(12, 50)], ["x"] * 30 + words[:11]))]
     brutes = {r[0]: brute(r[1], items, 10) for r in data}
     cut = {}
     for size in (4 << 20, 100, 1):

@@ -52,7 +52,8 @@ def exact(model, pages):
     return good / len(pages), both / sum(len(set(g.split("\n"))) for g in texts), both / sum(len(set(w)) for w in want)
 
 
-@pytest.mark.parametrize("family,least", [("named", 0.95), ("hashed", 0.8), ("bare", 0.8), ("table", 0.93), ("lists", 0.95), ("thread", 0.93), ("headed", 0.9), ("short", 0.95)])
+@pytest.mark.parametrize("family,least", [("named", 0.95), ("hashed", 0.8), ("bare", 0.8), ("table", 0.93), ("lists", 0.95), ("thread", 0.93),
+    ("headed", 0.9), ("short", 0.95)])
 def test_pages_held_out_from_training(family, least):
     """Pages of another seed; of hashed and bare layouts some runs can't be told by anyone."""
     pages, precision, recall = exact(H.trained(), L.labelled_pages({family: 100}, seed=5))
@@ -74,14 +75,16 @@ def test_comments_under_a_heading_in_containers_without_names(heading):
     """The commonest layout there is: names tell nothing, the heading does."""
     text = ["The title of it", "A first paragraph, which says what there is to be said at some length.", "And a second one, with a bit more of it all."]
     article = f"<div class='a1'><h1>{text[0]}</h1><p>{text[1]}</p><p>{text[2]}</p></div>"
-    for item in ("<div class='q'><b>Jo Doe</b> I liked it a lot, thank you.</div><div class='q'><b>Ann</b> So did I, all of it.</div>", "<ul><li><span>Jo Doe</span><p>I liked it a lot, thank you.</p></li></ul>",
+    for item in ("<div class='q'><b>Jo Doe</b> I liked it a lot, thank you.</div><div class='q'><b>Ann</b> So did I, all of it.</div>",
+        "<ul><li><span>Jo Doe</span><p>I liked it a lot, thank you.</p></li></ul>",
                  "<div><div class='w'>Jo Doe</div><p>I liked it a lot, thank you, and I have more to say than others have.</p></div>"):
         page = f"<html><body>{article}<div class='c9'><h3>{heading}</h3>{item}</div></body></html>"
         assert H.trained().extract([page]) == ["\n".join(text)], item
 
 
 def test_pages_of_one_run():
-    for page in ("<p>Only one short paragraph.</p>", "<html><body><p>Only one short paragraph.</p></body></html>", "<div><div>Only one short paragraph.</div></div>"):
+    for page in ("<p>Only one short paragraph.</p>", "<html><body><p>Only one short paragraph.</p></body></html>",
+        "<div><div>Only one short paragraph.</div></div>"):
         assert H.trained().extract([page]) == ["Only one short paragraph."]
 
 
@@ -89,7 +92,9 @@ def test_elements_nest_to_any_depth():
     page = "<article>" + "<div>" * 700 + "<p>Deep in it is a paragraph of text.</p>" + "</div>" * 700 + "<p>What follows is no deeper than that.</p></article>"
     nodes = H.Nodes()
     H.parse(page, 0, nodes)
-    assert [(nodes.depth[i], t) for i, t in enumerate(nodes.text) if t] == [(4, "Deep in it is a paragraph of text."), (3, "What follows is no deeper than that.")]  # wrappers of wrappers say nothing
+    # wrappers of wrappers say nothing
+    assert [(nodes.depth[i], t) for i, t in enumerate(nodes.text) if t] == [(4, "Deep in it is a paragraph of text."),
+        (3, "What follows is no deeper than that.")]
     assert H.trained().extract([page]) == ["Deep in it is a paragraph of text.\nWhat follows is no deeper than that."]
 
 
@@ -101,7 +106,8 @@ def test_a_family_that_was_not_trained_on():
 
 def test_hostile_markup_takes_time_in_proportion():
     began = time.process_time()
-    for source in ("<b>" * 100_000 + "</i>" * 100_000, "<div>" * 50_000 + "<td>" * 50_000, "<li><div>" * 50_000, "<b>" * 50_000 + "<div></div>" * 50_000, "<a>" * 100_000, "<li><ul>" + "<div>" * 50_000 + "<li>" * 50_000):
+    for source in ("<b>" * 100_000 + "</i>" * 100_000, "<div>" * 50_000 + "<td>" * 50_000, "<li><div>" * 50_000, "<b>" * 50_000 + "<div></div>" * 50_000,
+        "<a>" * 100_000, "<li><ul>" + "<div>" * 50_000 + "<li>" * 50_000):
         assert runs(source + "end") == ["end"]
     assert time.process_time() - began < 5
 
@@ -121,9 +127,12 @@ def test_a_page_in_another_layout():
 
 
 def test_frame(spark):
-    pages = [(1, "u", "<article><p>Some text here.</p></article><footer>end</footer>", "x"), (1, "u", "<article><p>Some text here.</p></article><footer>end</footer>", "x"), (2, None, None, "x"), (None, "v", "", "x"), (4, "w", "<article>" + "<p>A long one it is.</p>" * 5000, "x")]
+    pages = [(1, "u", "<article><p>Some text here.</p></article><footer>end</footer>", "x"),
+        (1, "u", "<article><p>Some text here.</p></article><footer>end</footer>", "x"), (2, None, None, "x"), (None, "v", "", "x"),
+        (4, "w", "<article>" + "<p>A long one it is.</p>" * 5000, "x")]
     docs = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
     got = sorted([tuple(r) for r in H.extract(docs).collect()], key=repr)
     long = "\n".join(["A long one it is."] * 5000)
-    assert got == sorted([(1, "u", "Some text here.", 15), (1, "u", "Some text here.", 15), (2, None, "", 0), (None, "v", "", 0), (4, "w", long, len(long))], key=repr)
+    assert got == sorted([(1, "u", "Some text here.", 15), (1, "u", "Some text here.", 15), (2, None, "", 0), (None, "v", "", 0),
+        (4, "w", long, len(long))], key=repr)
     assert H.extract(docs.limit(0)).count() == 0

@@ -5,7 +5,8 @@ import pytest
 
 from auditweave.llm import language
 
-WORDS = {"en": "the of and that with from have which their would", "de": "der und die nicht mit sich auch wird einer für", "fr": "les des est dans pour que une avec sont pas"}
+WORDS = {"en": "the of and that with from have which their would", "de": "der und die nicht mit sich auch wird einer für",
+    "fr": "les des est dans pour que une avec sont pas"}
 LICENCE = "this work is licensed under the public licence"
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -20,7 +21,8 @@ def docs(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, lang := rng.choice(list(WORDS)), rng.choice([3, 30, 300])), lang, "s") for i in range(400)]
     rows += [(1000 + i, LICENCE + " " + prose(rng, "de", 20), "de", "s") for i in range(30)]
-    rows += [(2000, None, "en", "s"), (2001, "", "de", "s"), (2002, "12 34 !?", "fr", "s"), (2003, "the and of that which " * 30000, None, "s"), (None, "und die nicht", "de", "s")]
+    rows += [(2000, None, "en", "s"), (2001, "", "de", "s"), (2002, "12 34 !?", "fr", "s"), (2003, "the and of that which " * 30000, None, "s"),
+        (None, "und die nicht", "de", "s")]
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
 
 

@@ -73,7 +73,8 @@ def test_stages_take_nulls_ties_repeated_rows_and_clashing_names(spark, tmp_path
     path = str(tmp_path)
     corpus(spark, path)
     words = " ".join(f"w{i}" for i in range(40))
-    data = [*rows(), *[(None, words, None, None, None)] * 2, (500, words + " end", "en", "s", 1), (501, words, "en", "s", 1), (501, words, "en", "s", 1), (502, " ".join(["z"] * 9), None, None, None)]
+    data = [*rows(), *[(None, words, None, None, None)] * 2, (500, words + " end", "en", "s", 1), (501, words, "en", "s", 1), (501, words, "en", "s", 1),
+        (502, " ".join(["z"] * 9), None, None, None)]
     docs = frame(spark, data, clashing=True).withColumns({c: F.lit(c) for c in ("doc", "Place", "spans", "row_", "a.b", "c`d")})
     bench = [r.text for r in table(spark, path, "benchmark").collect()]
     data.append((503, "see " + bench[0], "en", "s", 1))
@@ -85,12 +86,14 @@ def test_stages_take_nulls_ties_repeated_rows_and_clashing_names(spark, tmp_path
         kept[name] = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
     texts = [(r[0], r[1]) for r in data]
     ranker = quality.train(table(spark, path, "documents"), table(spark, path, "labels"), cut=0.3)
-    good = [t for t in texts if ranker.score(quality.features(np.frombuffer((t[1] or "").encode(), np.uint8), np.array([0, len((t[1] or "").encode())])))[0] >= 0.3]
+    good = [t for t in texts if ranker.score(quality.features(np.frombuffer((t[1] or "").encode(), np.uint8),
+        np.array([0, len((t[1] or "").encode())])))[0] >= 0.3]
     order = lambda t: (t[0] is not None, t[0] or 0)
     assert len(kept["quality classifier"]) > 0
     stage = corpus_pipeline.quality_stage(spark, docs, path)
     fresh = quality.train(docs, table(spark, path, "labels"), cut=0.3)
-    want = [t for t in texts if fresh.score(quality.features(np.frombuffer((t[1] or "").encode(), np.uint8), np.array([0, len((t[1] or "").encode())])))[0] >= 0.3]
+    want = [t for t in texts if fresh.score(quality.features(np.frombuffer((t[1] or "").encode(), np.uint8),
+        np.array([0, len((t[1] or "").encode())])))[0] >= 0.3]
     assert good and sorted(((r.doc_id, r.text) for r in stage.collect()), key=repr) == sorted(want, key=repr)
     by_text = {}
     for t in texts:

@@ -39,10 +39,12 @@ def brute_features(text):
     symbols = set(Q.SYMBOLS)
     shout = lambda x: sum(65 <= c <= 90 for c in x) > 1 and not any(97 <= c <= 122 for c in x)
     out = [math.log1p(len(raw)), math.log1p(len(w)), mean, math.sqrt(max(sum(n * n for n in lengths) / each - mean**2, 0))]
-    out += [of(lambda c: c in b" \t\n\x0b\x0c\r") / size, of(lambda c: 65 <= c <= 90) / size, of(lambda c: 97 <= c <= 122) / size, of(lambda c: 48 <= c <= 57) / size]
+    out += [of(lambda c: c in b" \t\n\x0b\x0c\r") / size, of(lambda c: 65 <= c <= 90) / size, of(lambda c: 97 <= c <= 122) / size,
+        of(lambda c: 48 <= c <= 57) / size]
     out += [of(lambda c: c > 127) / size, of(lambda c: c in symbols) / size, raw.count(b"\n") / each]
     out += [sum(65 <= x[0] <= 90 for x in w) / each, sum(map(shout, w)) / each, sum(x[-1] in symbols for x in w) / each, len(set(w)) / each]
-    out += [sum(a == b for a, b in zip(w, w[1:], strict=False)) / each, lengths.count(1) / each, sum(n > 20 for n in lengths) / each, sum(x.endswith(b".") for x in w) / each]
+    out += [sum(a == b for a, b in zip(w, w[1:], strict=False)) / each, lengths.count(1) / each, sum(n > 20 for n in lengths) / each,
+        sum(x.endswith(b".") for x in w) / each]
     return [*out, *[math.sqrt(raw.count(bytes([c])) / each) for c in Q.SYMBOLS]]
 
 
@@ -97,7 +99,8 @@ def made(n=800):
     out, labels = [], []
     for i in range(n):
         bad = rng.random() < 0.2
-        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) + (rng.choice(["!!", "%%"]) if bad and rng.random() < 0.5 else "") for _ in range(rng.randrange(20, 80))]
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) + (rng.choice(["!!", "%%"]) if bad and rng.random() < 0.5 else "")
+            for _ in range(rng.randrange(20, 80))]
         out.append((i, " ".join(w), "en", "s", 1))
         labels.append((i, int(not bad), 0))
     return out, labels

@@ -48,7 +48,8 @@ def passages(seed):
 @pytest.mark.parametrize("window", [35, 6])
 def test_matches_brute_force(spark, window):
     data = rows() + passages(1) + [(5000, "same " * 200, "en", "s", 1), (5001, "x y " * 90, "en", "s", 1)]
-    got = sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.text) for r in deduplicate(frame(spark, data, clashing=True), window, with_text=True).collect()], key=repr)
+    got = sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.text)
+        for r in deduplicate(frame(spark, data, clashing=True), window, with_text=True).collect()], key=repr)
     want = brute(data, window)
     assert got == want
     assert sum(r[2] for r in want) > 500

@@ -193,7 +193,8 @@ def test_packing_of_the_smallest_table_meets_its_bound(spark):
 
 
 @settings(deadline=None, max_examples=120)
-@given(st.lists(st.text(alphabet="aB'sd 1\t\n\x1c\xa0é́Σ🙂.,<|", max_size=12), min_size=1, max_size=12), st.sampled_from([" ", "  ", "\n", " x "]), st.sampled_from(sorted(KINDS)), st.sampled_from([1, 2, 5, 17]))
+@given(st.lists(st.text(alphabet="aB'sd 1\t\n\x1c\xa0é́Σ🙂.,<|", max_size=12), min_size=1, max_size=12), st.sampled_from([" ", "  ", "\n", " x "]),
+    st.sampled_from(sorted(KINDS)), st.sampled_from([1, 2, 5, 17]))
 def test_long_texts_in_parts_have_the_ids_of_whole_texts(words, between, kind, most):
     text = between.join(words)
     raw = np.frombuffer(text.encode(), np.uint8)
