@@ -141,7 +141,8 @@ _audits: dict[tuple[str, str], Audit] = {}
 
 
 def audit(spark: SparkSession, sf_dir: str) -> Audit:
-    """An audit of documents by all three searches, with made reviews. One session has one for each folder: findings are searched once, whatever is asked of them."""
+    """An audit of documents by all three searches, with made reviews. One session has one for each folder: findings are searched once, whatever is
+    asked of them."""
     key = spark._jsparkSession.sessionUUID(), sf_dir
     if key not in _audits:
         found = class_audit(spark, sf_dir)
@@ -159,8 +160,10 @@ def class_audit(spark: SparkSession, sf_dir: str) -> Audit:
 
 #: Paths of every kind; # is a document's number.
 PATH_CASES = [
-    "train/cat/#.jpg", "Dataset\\Training\\dog\\a #.PNG", "images/val/x#.webp", "dev/x/y/#.jpeg", "#.jpg", "foo/bar/#.jpg", "./test/./q/#.png", "eval/#.png", "train/test/c/#.jpg", "../train/c/#.jpg",
-    "/etc/passwd#", "c:/train/x/#.jpg", "", "train//c//#.jpg", "validation/(unlabeled)/#.png", "TESTING/A/#.JPG", "train/.hidden#", "train/._#.jpg", "__MACOSX/train/#.jpg", "train/c#/",
+    "train/cat/#.jpg", "Dataset\\Training\\dog\\a #.PNG", "images/val/x#.webp", "dev/x/y/#.jpeg", "#.jpg", "foo/bar/#.jpg", "./test/./q/#.png",
+        "eval/#.png", "train/test/c/#.jpg", "../train/c/#.jpg",
+    "/etc/passwd#", "c:/train/x/#.jpg", "", "train//c//#.jpg", "validation/(unlabeled)/#.png", "TESTING/A/#.JPG", "train/.hidden#", "train/._#.jpg",
+        "__MACOSX/train/#.jpg", "train/c#/",
     "train/c/#.tar.gz", "train/c/#", "train/#/.DS_Store", "a/..#/train/b/1.png", "train/c/..", "..\\train\\c\\#.png", "\\train\\c\\#.png",
 ]
 
@@ -181,7 +184,8 @@ def classify_path_cases(spark, sf_dir):
     rows = T.read(spark, sf_dir, "documents").select("doc_id", F.replace(case, F.lit("#"), F.col("doc_id").cast("string")).alias("path"))
     place = paths.classify_path(F.col("path"))
     skip = paths.skip_reason(F.col("path"))
-    return rows.select("doc_id", "path", place["split"].alias("split"), place["label"].alias("label"), paths.safe_member_name(F.col("path")).alias("safe"), skip.alias("skip_reason"))
+    return rows.select("doc_id", "path", place["split"].alias("split"), place["label"].alias("label"), paths.safe_member_name(F.col("path")).alias("safe"),
+        skip.alias("skip_reason"))
 
 
 @query("""
@@ -189,7 +193,9 @@ SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, CASE WHEN
   CAST(strlen(html) AS BIGINT) AS bytes, sha256(html) AS sha256 FROM pages""")
 def sniff_pages(spark, sf_dir):
     p = T.read(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), F.when(F.lower(F.substring("html", 1, 14)) == "<!doctype html", "HTML").alias("format"), F.octet_length("html").cast("bigint").alias("bytes"), F.sha2("html", 256).alias("sha256"))
+    return p.select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"),
+        F.when(F.lower(F.substring("html", 1, 14)) == "<!doctype html", "HTML").alias("format"), F.octet_length("html").cast("bigint").alias("bytes"),
+        F.sha2("html", 256).alias("sha256"))
 
 
 HEADS = ["FFD8FFE0", "89504E470D0A1A0A", "52494646000000005745425056503820", "524946460000000057415645", "474946383961", ""]
@@ -209,13 +215,15 @@ def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = [
         F.concat(F.lit("train/"), source, F.lit("/"), name, F.lit(".jpg")), F.concat(F.lit("Data\\Training\\"), source, F.lit("\\"), name, F.lit(".PNG")),
         F.concat(F.lit("images/val/"), source, F.lit("/"), name, F.lit(".webp")), F.concat(F.lit("dev/x/"), source, F.lit("/"), name, F.lit(".jpeg")),
-        F.concat(F.lit("../train/"), source, F.lit("/"), name, F.lit(".jpg")), F.concat(F.lit("test/c/._"), name, F.lit(".jpg")), F.concat(F.lit("test/c/"), name, F.lit(".txt")),
+        F.concat(F.lit("../train/"), source, F.lit("/"), name, F.lit(".jpg")), F.concat(F.lit("test/c/._"), name, F.lit(".jpg")),
+            F.concat(F.lit("test/c/"), name, F.lit(".txt")),
         F.concat(F.lit("__MACOSX/test/"), name, F.lit(".png")), F.concat(F.lit("misc/"), name, F.lit(".png")),
     ]
     size = F.octet_length("text").cast("bigint")
     packed = F.greatest(F.lit(1), F.floor(size / (1 + i % 300)))
     mode = F.when(i % 11 == 0, 0o120777).otherwise(0o100644).cast("bigint")
-    return T.read(spark, sf_dir, "documents").select("doc_id", F.get(F.array(*said), (i % 9).cast("int")).alias("path"), mode.alias("mode"), size.alias("size"), packed.alias("packed"))
+    return T.read(spark, sf_dir, "documents").select("doc_id", F.get(F.array(*said), (i % 9).cast("int")).alias("path"), mode.alias("mode"),
+        size.alias("size"), packed.alias("packed"))
 
 
 MEMBER_BYTES = 4000
@@ -242,14 +250,16 @@ SELECT doc_id, path, CASE WHEN starts_with(base, '._') THEN 'macOS resource fork
 def ingest_guards(spark, sf_dir):
     place = paths.classify_path(F.col("path"))
     reject = A.reject_reason(M.Limits(member_bytes=MEMBER_BYTES))
-    return document_entries(spark, sf_dir).select("doc_id", "path", paths.skip_reason(F.col("path")).alias("skip_reason"), reject.alias("reject_reason"), place["split"].alias("split"), place["label"].alias("label"))
+    return document_entries(spark, sf_dir).select("doc_id", "path", paths.skip_reason(F.col("path")).alias("skip_reason"), reject.alias("reject_reason"),
+        place["split"].alias("split"), place["label"].alias("label"))
 
 
 @query(over(SAMPLES, "SELECT * FROM samples"))
 def stored_samples(spark, sf_dir):
     """Samples stored for two jobs, one of them twice: what one job reads back."""
     root = fresh_path(spark, "stored-audit")
-    own = T.document_samples(spark, sf_dir, fingerprints=False).select("idx", "sample_id", "split", "label", "sha256", "bytes", "width", "height", "img_format", "corrupt")
+    own = T.document_samples(spark, sf_dir, fingerprints=False).select("idx", "sample_id", "split", "label", "sha256", "bytes", "width", "height",
+        "img_format", "corrupt")
     for job, rows in (("a", own.filter("corrupt")), ("b", own.filter("not corrupt")), ("a", own)):
         T.store(rows, root, "samples", job)
     return T.stored(spark, root, "samples", "a")
@@ -278,7 +288,8 @@ def exact_group_stats(spark, sf_dir):
 @query(over(PRINTS, "SELECT idx, lower(lpad(printf('%x', h), 16, '0')) AS fingerprint FROM prints"))
 def simhash64(spark, sf_dir):
     d = T.read(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("idx"), hashing.text_fingerprint(F.col("text")).alias("h")).filter("h is not null").select("idx", hashing.to_hex(F.col("h")).alias("fingerprint"))
+    return d.select(F.col("doc_id").alias("idx"), hashing.text_fingerprint(F.col("text")).alias("h")).filter("h is not null").select("idx",
+        hashing.to_hex(F.col("h")).alias("fingerprint"))
 
 
 @query(over(",".join([SAMPLES, PRINTS, NEARS]), "SELECT * FROM near"))
@@ -321,7 +332,8 @@ def component_sizes(spark, sf_dir):
 
 # ---- findings ----
 
-FLAT = ["finding_id", "kind", "severity", "confidence_label", "method", "a_idx", "b_idx", "sample_a", "sample_b", "split_a", "split_b", "class_a", "class_b", "distance", "similarity", "cross_split", "conflicting_label"]
+FLAT = ["finding_id", "kind", "severity", "confidence_label", "method", "a_idx", "b_idx", "sample_a", "sample_b", "split_a", "split_b", "class_a",
+    "class_b", "distance", "similarity", "cross_split", "conflicting_label"]
 
 
 @query(over(ALL, f"SELECT {', '.join(FLAT)} FROM findings"))
@@ -337,7 +349,8 @@ def findings_merged(spark, sf_dir):
 @query(over(ALL, "SELECT finding_id, array_to_string(methods, ',') AS methods, len(methods) > 1 AS corroborated FROM findings"))
 def findings_corroboration(spark, sf_dir):
     d = F.col("detail")
-    return audit(spark, sf_dir).findings.select("finding_id", F.array_join(d["methods"], ",").alias("methods"), d["corroborated_by_multiple_methods"].alias("corroborated"))
+    return audit(spark, sf_dir).findings.select("finding_id", F.array_join(d["methods"], ",").alias("methods"),
+        d["corroborated_by_multiple_methods"].alias("corroborated"))
 
 
 @query(over(ALL + "," + reach("SELECT a_idx AS a, b_idx AS b FROM findings"), """SELECT finding_id, kind, severity, confidence_label, method, sample_a, sample_b, split_a, split_b, class_a, class_b, distance, similarity,
@@ -378,7 +391,8 @@ REVIEWED = "SELECT f.*, coalesce(r.decision, 'unreviewed') AS review_decision FR
 @query(over(ALL, f"SELECT finding_id, severity, review_decision FROM ({REVIEWED}) WHERE least(split_a, split_b) = 'test' AND greatest(split_a, split_b) = 'train' AND (class_a = 'src0' OR class_b = 'src0' OR severity = 'high') AND severity = 'high' AND review_decision = 'unreviewed'"))
 def findings_filtered(spark, sf_dir):
     a = audit(spark, sf_dir)
-    return FindingsQuery(severity="high", split_pair="train-test", review="unreviewed").filtered(a.findings, a.decisions).select("finding_id", "severity", "review_decision")
+    return FindingsQuery(severity="high", split_pair="train-test", review="unreviewed").filtered(a.findings, a.decisions).select("finding_id", "severity",
+        "review_decision")
 
 
 @query(over(ALL, f"SELECT finding_id, severity, similarity, review_decision FROM ({REVIEWED}) ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, similarity DESC, a_idx, b_idx LIMIT 24 OFFSET 24"))
@@ -391,7 +405,8 @@ def findings_page(spark, sf_dir):
 def findings_page_samples(spark, sf_dir):
     a = audit(spark, sf_dir)
     page = FindingsQuery(sort="similarity").with_samples(a.findings, a.decisions, a.samples)
-    return page.select("finding_id", "review_decision", F.col("side_a.bytes").alias("bytes_a"), F.col("side_b.bytes").alias("bytes_b"), F.col("side_a.corrupt").alias("corrupt_a"))
+    return page.select("finding_id", "review_decision", F.col("side_a.bytes").alias("bytes_a"), F.col("side_b.bytes").alias("bytes_b"),
+        F.col("side_a.corrupt").alias("corrupt_a"))
 
 
 @query(over(ALL, f"SELECT finding_id, kind, review_decision FROM ({REVIEWED})"))
@@ -411,8 +426,10 @@ LOG = "SELECT user_id AS finding_id, CASE event_type WHEN 'view' THEN 'unreviewe
 @query(f"WITH log AS ({LOG}) SELECT CAST(finding_id AS VARCHAR) AS finding_id, decision FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY updated_at DESC) AS n FROM log) WHERE n = 1 AND decision <> 'unreviewed'")
 def latest_reviews(spark, sf_dir):
     e = T.read(spark, sf_dir, "events")
-    decision = F.when(F.col("event_type") == "view", "unreviewed").when(F.col("event_type") == "click", "confirmed").when(F.col("event_type") == "signup", "safe").otherwise("uncertain")
-    return RV.current(e.select(F.col("user_id").cast("string").alias("finding_id"), decision.alias("decision"), F.col("ts").alias("updated_at"))).select("finding_id", "decision")
+    decision = F.when(F.col("event_type") == "view", "unreviewed").when(F.col("event_type") == "click", "confirmed").when(F.col("event_type") == "signup",
+        "safe").otherwise("uncertain")
+    return RV.current(e.select(F.col("user_id").cast("string").alias("finding_id"), decision.alias("decision"),
+        F.col("ts").alias("updated_at"))).select("finding_id", "decision")
 
 
 # ---- inventory, issues, score ----
@@ -502,7 +519,8 @@ def integrity_score(spark, sf_dir):
     return audit(spark, sf_dir).score()
 
 
-@query(over(ALL.replace("findings AS (SELECT", "all_findings AS (SELECT").replace("FROM findings", "FROM all_findings") + ", findings AS (SELECT * FROM all_findings WHERE finding_id NOT IN (SELECT finding_id FROM reviews WHERE decision = 'safe'))," + TOTALS + "," + SCORE, "SELECT category, affected_samples, penalty FROM parts"))
+@query(over(ALL.replace("findings AS (SELECT", "all_findings AS (SELECT")
+    .replace("FROM findings", "FROM all_findings") + ", findings AS (SELECT * FROM all_findings WHERE finding_id NOT IN (SELECT finding_id FROM reviews WHERE decision = 'safe'))," + TOTALS + "," + SCORE, "SELECT category, affected_samples, penalty FROM parts"))
 def score_without_safe(spark, sf_dir):
     a = audit(spark, sf_dir)
     return a.score_components(a.decisions.filter("decision = 'safe'").select("finding_id")).select("category", "affected_samples", "penalty")
@@ -627,7 +645,8 @@ classes AS (SELECT DISTINCT label AS c FROM p UNION SELECT DISTINCT prediction F
 per AS (SELECT c, count(*) FILTER (label = c AND prediction = c) AS hit, count(*) FILTER (label = c) AS actual, count(*) FILTER (prediction = c) AS guess FROM p, classes GROUP BY c)
 SELECT (SELECT count(*) FROM p) AS test_samples, round((SELECT avg(CAST(label = prediction AS INT)) FROM p), 9) AS accuracy, round(avg(2 * hit / (actual + guess)), 9) AS macro_f1 FROM per""")
 def accuracy_f1(spark, sf_dir):
-    p = T.read(spark, sf_dir, "labels").filter("doc_id % 10 >= 8").select(F.col("quality").alias("label"), (F.col("doc_id") % 3 > 0).cast("int").alias("prediction"))
+    p = T.read(spark, sf_dir, "labels").filter("doc_id % 10 >= 8").select(F.col("quality").alias("label"),
+        (F.col("doc_id") % 3 > 0).cast("int").alias("prediction"))
     return E.accuracy(p).select("test_samples", F.round("accuracy", 9).alias("accuracy"), F.round("macro_f1", 9).alias("macro_f1"))
 
 
@@ -639,7 +658,8 @@ def eval_gap(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    p = T.read(spark, sf_dir, "labels").filter("doc_id % 10 >= 8").select(F.col("doc_id").alias("idx"), F.col("quality").alias("label"), F.lit(1).alias("prediction"))
+    p = T.read(spark, sf_dir, "labels").filter("doc_id % 10 >= 8").select(F.col("doc_id").alias("idx"), F.col("quality").alias("label"),
+        F.lit(1).alias("prediction"))
     return E.bootstrap(p, M.AuditConfig(), 1337)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray | None:
@@ -96,6 +99,29 @@ def embedding(image: Column) -> Column:
     return F.pandas_udf(run, "array<float>")(image)
 
 
+def tensor(image: Column, side: int) -> Column:
+    """side x side RGB values in 0..1, row by row, as a flat array; zeros where the image can't be read."""
+
+    def run(image: pd.DataFrame) -> pd.Series:
+        found = (pixels(*x) for x in image[["height", "width", "nChannels", "data"]].itertuples(index=False))
+        return pd.Series([np.zeros(side * side * 3, np.float32) if p is None else (resize(p, side, side) / 255).astype(np.float32).ravel() for p in found])
+
+    return F.pandas_udf(run, "array<float>")(image)
+
+
+def learned(make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]], side: int = 224, batch: int = 32) -> Callable[[Column], Column]:
+    """A vectoriser for PROVIDERS from a model of one's own: make_predict loads it, once in each worker, and returns a function from images (n, side,
+    side, 3) to vectors (n, width).
+
+    A file that can't be read has no vector: it is corrupt, whatever the model makes of zeros."""
+
+    def vectors(image: Column) -> Column:
+        model = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=[[side, side, 3]])
+        return model(tensor(image, side))
+
+    return vectors
+
+
 #: What computes a vector for an image struct, by name: a function of a column, or None for no vectors.
 PROVIDERS = {"classical": embedding, "off": None}
 

@@ -15,7 +15,8 @@ def slashed(path: Column) -> Column:
 def safe_member_name(path: Column) -> Column:
     """False for empty names, NUL, absolute paths, drive letters and parent components."""
     p = slashed(path)
-    return F.coalesce((path != "") & ~F.contains(path, F.lit("\0")) & ~p.startswith("/") & (F.substring(p, 2, 1) != ":") & ~F.array_contains(F.split(p, "/", -1), ".."), F.lit(False))
+    return F.coalesce((path != "") & ~F.contains(path, F.lit("\0")) & ~p.startswith("/") & (F.substring(p, 2, 1) != ":")
+        & ~F.array_contains(F.split(p, "/", -1), ".."), F.lit(False))
 
 
 def file_name(path: Column) -> Column:
@@ -56,7 +57,8 @@ def classify_path(path: Column) -> Column:
 def sniff_format(content: Column) -> Column:
     """JPEG, PNG or WEBP by the leading bytes, else null."""
     head = F.hex(F.substring(content, 1, 12))
-    return F.when(head.startswith("FFD8FF"), "JPEG").when(head.startswith("89504E470D0A1A0A"), "PNG").when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "WEBP")
+    return F.when(head.startswith("FFD8FF"), "JPEG").when(head.startswith("89504E470D0A1A0A"),
+        "PNG").when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "WEBP")
 
 
 def media_type(path: Column) -> Column:

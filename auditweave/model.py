@@ -32,10 +32,12 @@ STAGES = (
     ("report_generation", "Report generation"), ("complete", "Complete"),
 )
 UNLABELED = "(unlabeled)"
-SPLIT_ALIASES = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "dev": "val", "test": "test", "testing": "test", "eval": "test"}
+SPLIT_ALIASES = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "dev": "val", "test": "test", "testing": "test",
+    "eval": "test"}
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp")
 #: category: (weight, share of samples at which the whole weight applies)
-PENALTIES = {EXACT_CROSS: (35.0, 0.05), CONFLICT: (25.0, 0.03), NEAR_CROSS: (20.0, 0.10), SEMANTIC: (8.0, 0.25), REDUNDANT: (5.0, 0.30), CORRUPT: (6.0, 0.10), CLASS_IMBALANCE: (3.0, 10.0), SPLIT_IMBALANCE: (3.0, None)}
+PENALTIES = {EXACT_CROSS: (35.0, 0.05), CONFLICT: (25.0, 0.03), NEAR_CROSS: (20.0, 0.10), SEMANTIC: (8.0, 0.25), REDUNDANT: (5.0, 0.30),
+    CORRUPT: (6.0, 0.10), CLASS_IMBALANCE: (3.0, 10.0), SPLIT_IMBALANCE: (3.0, None)}
 IMBALANCE_OK, IMBALANCE_FULL = 2.0, 10.0
 TEST_MIN, TEST_LOW, TEST_HIGH, TEST_SPAN = 0.05, 0.10, 0.40, 0.3
 
@@ -46,7 +48,8 @@ SAMPLES = T.StructType([
     T.StructField("bytes", T.LongType()), T.StructField("img_format", T.StringType()), T.StructField("corrupt", T.BooleanType()),
     T.StructField("error", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
-REVIEWS = T.StructType([T.StructField("finding_id", T.StringType()), T.StructField("decision", T.StringType()), T.StructField("note", T.StringType()), T.StructField("updated_at", T.TimestampType())])
+REVIEWS = T.StructType([T.StructField("finding_id", T.StringType()), T.StructField("decision", T.StringType()), T.StructField("note", T.StringType()),
+    T.StructField("updated_at", T.TimestampType())])
 
 
 @dataclass(frozen=True)
@@ -80,7 +83,8 @@ class AuditConfig:
         if c.bootstrap not in ("binomial", "sequence"):
             raise ValueError(f"unknown bootstrap: {c.bootstrap}")
         near = max(0, min(24, int(c.phash_threshold)))
-        return replace(c, phash_threshold=near, phash_strong_threshold=max(0, min(near, int(c.phash_strong_threshold))), semantic_threshold=max(0.5, min(0.9999, float(c.semantic_threshold))), semantic_top_k=max(1, min(50, int(c.semantic_top_k))))
+        return replace(c, phash_threshold=near, phash_strong_threshold=max(0, min(near, int(c.phash_strong_threshold))),
+            semantic_threshold=max(0.5, min(0.9999, float(c.semantic_threshold))), semantic_top_k=max(1, min(50, int(c.semantic_top_k))))
 
 
 @dataclass(frozen=True)

@@ -44,7 +44,8 @@ def layout(count: int) -> list[tuple[int, int]]:
 
 
 def meetings(frequency: np.ndarray, farthest: int) -> np.ndarray:
-    """How many ordered pairs of rows differ by exactly 0, 1 ... farthest bits, for the counts of each value: their autocorrelation by a Walsh-Hadamard transform."""
+    """How many ordered pairs of rows differ by exactly 0, 1 ... farthest bits, for the counts of each value: their autocorrelation by a
+    Walsh-Hadamard transform."""
     a, n = frequency.astype(np.float64), len(frequency)
     step = 1
     while step < n:
@@ -108,10 +109,12 @@ def pairs(values: DataFrame, bands: list[Band], threshold: int) -> DataFrame:
     def near(x: Column, y: Column, b: Band) -> Column:
         return F.bit_count(b.of(x.bitwiseXOR(y))) <= b.distance
 
-    own = distinct.select(F.col("h").alias("x"), F.inline(F.array(*[F.struct(F.lit(i).alias("band"), b.of(F.col("h")).alias("value")) for i, b in enumerate(bands)])))
+    own = distinct.select(F.col("h").alias("x"), F.inline(F.array(
+        *[F.struct(F.lit(i).alias("band"), b.of(F.col("h")).alias("value")) for i, b in enumerate(bands)])))
     def ball(i: int, b: Band) -> Column:
         """Band i's values within its distance."""
-        return F.transform(F.array(*map(F.lit, b.masks())), lambda m: F.struct(F.lit(i).alias("band"), b.of(F.col("h")).bitwiseXOR(m.cast("long")).alias("value")))
+        return F.transform(F.array(*map(F.lit, b.masks())), lambda m: F.struct(F.lit(i).alias("band"),
+            b.of(F.col("h")).bitwiseXOR(m.cast("long")).alias("value")))
 
     balls = F.concat(*[ball(i, b) for i, b in enumerate(bands)])
     other = distinct.select(F.col("h").alias("y"), F.inline(balls))

@@ -69,7 +69,8 @@ def hamming_pairs(samples: DataFrame, threshold: int) -> DataFrame:
     return (hamming_nested if few else hamming_banded)(samples, threshold)
 
 
-def neighbours(samples: DataFrame, top_k: int, threshold: float, visited: tuple[Accumulator, Accumulator] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def neighbours(samples: DataFrame, top_k: int, threshold: float, visited: tuple[Accumulator, Accumulator] | None = None,
+    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """a, b, similarity, rank: of the k + 1 nearest rows by cosine (itself among them) those that aren't a and reach the threshold.
 
     Ties go to the smaller idx. Blocks of vectors that can hold no such row are not read."""

@@ -5,7 +5,8 @@ values within the threshold are near (but for those of one class), so a row per
 findings there are of a kind, which samples they touch, the score and the groups follow from counts by class, split and label; pairs are made only for
 the ranks that are asked for. Embedding pairs depend on ranks among neighbours and stay pairs, top_k for each sample at most.
 
-What is counted for a set of pairs: all (t), those across splits (x), those with two labels (c), and those with both (xc). Equal content has equal hashes; samples without a
+What is counted for a set of pairs: all (t), those across splits (x), those with two labels (c), and those with both (xc). Equal content has equal
+hashes; samples without a
 digest are classes of their own, a sample without a hash has no near pairs. Samples that are corrupt are in no class. An empty table has no rows.
 """
 
@@ -96,7 +97,8 @@ def by_kind(rows: DataFrame, method: str, strong: Column) -> DataFrame:
     exact = method == "sha256"
     made = F.array(
         F.struct(F.lit(M.CONFLICT).alias("kind"), F.lit("critical" if exact else "high").alias("severity"), F.when(strong, c).otherwise(0).alias("n")),
-        F.struct(F.lit(M.EXACT_CROSS if exact else M.NEAR_CROSS).alias("kind"), (F.lit("critical") if exact else F.when(strong, "high").otherwise("medium")).alias("severity"), F.when(strong, clean).otherwise(x).alias("n")),
+        F.struct(F.lit(M.EXACT_CROSS if exact else M.NEAR_CROSS).alias("kind"),
+            (F.lit("critical") if exact else F.when(strong, "high").otherwise("medium")).alias("severity"), F.when(strong, clean).otherwise(x).alias("n")),
         F.struct(F.lit(M.REDUNDANT).alias("kind"), F.lit("low").alias("severity"), (t - F.when(strong, c + clean).otherwise(x)).alias("n")),
     )
     return rows.select(F.inline(made)).filter("n > 0").groupBy("kind", "severity").agg(F.sum("n").alias("n"))
@@ -131,13 +133,15 @@ class Classes:
 
     @cached_property
     def values(self) -> DataFrame:
-        """u, v, d, t, x, c, xc: a row for each pair of hashes within the threshold, and for each hash of several classes (u = v), whose pairs of samples of different classes are near."""
+        """u, v, d, t, x, c, xc: a row for each pair of hashes within the threshold, and for each hash of several classes (u = v), whose pairs of
+        samples of different classes are near."""
         hashed = self.cells.filter("h is not null")
         own = Counts.of(hashed, "h")
         less = self.classes if self.exact else self.classes.limit(0)
         less = less.filter("h is not null").groupBy("h").agg(*[F.sum(k).alias(f"{k}_own") for k in ("t", "x", "c", "xc")])
         same = own.within("h").join(less, "h", "left").na.fill(0)
-        same = same.select(F.col("h").alias("u"), F.col("h").alias("v"), F.lit(0).alias("d"), *[(F.col(k) - F.col(f"{k}_own")).alias(k) for k in ("t", "x", "c", "xc")]).filter("t > 0")
+        same = same.select(F.col("h").alias("u"), F.col("h").alias("v"), F.lit(0).alias("d"),
+            *[(F.col(k) - F.col(f"{k}_own")).alias(k) for k in ("t", "x", "c", "xc")]).filter("t > 0")
         pairs = materialize(value_pairs(hashed.select("h").distinct(), self.threshold).select(F.col("h").alias("u"), F.col("k").alias("v"), "d"), "value-pairs")
         return materialize(same.unionByName(own.between(pairs, "h")), "values")
 
@@ -158,7 +162,8 @@ class Classes:
 
     def counts(self) -> DataFrame:
         """kind, severity, n: findings, as many as there are pairs."""
-        parts = [self.left.select(F.lit(M.SEMANTIC).alias("kind"), F.when(F.col("split_a") != F.col("split_b"), "medium").otherwise("low").alias("severity")).groupBy("kind", "severity").agg(F.count("*").alias("n"))]
+        parts = [self.left.select(F.lit(M.SEMANTIC).alias("kind"),
+            F.when(F.col("split_a") != F.col("split_b"), "medium").otherwise("low").alias("severity")).groupBy("kind", "severity").agg(F.count("*").alias("n"))]
         parts += [by_kind(self.classes, "sha256", F.lit(True))] if self.exact else []
         parts += [by_kind(self.values, "phash", F.col("d") <= self.strong)] if self.near else []
         out = parts[0]
@@ -193,14 +198,16 @@ class Classes:
         conflict = named & strong & (F.col("l_all") > F.col("n_l"))
         apart = F.when(named & strong, F.col("n_l") - F.col("n_sl") + free - free_s).otherwise(F.col("n_all") - F.col("n_s")) > 0
         together = F.when(named & strong, F.col("n_sl") + free_s).otherwise(F.col("n_s")) > 0
-        kinds = F.filter(F.array(F.when(conflict, M.CONFLICT), F.when(apart, M.EXACT_CROSS if exact else M.NEAR_CROSS), F.when(together, M.REDUNDANT)), lambda k: k.isNotNull())
+        kinds = F.filter(F.array(F.when(conflict, M.CONFLICT), F.when(apart, M.EXACT_CROSS if exact else M.NEAR_CROSS), F.when(together, M.REDUNDANT)),
+            lambda k: k.isNotNull())
         return met.select("cls", "h", "split", "label", "n", F.explode(kinds).alias("kind"))
 
     def _touched_exact(self) -> DataFrame:
         own = Counts.of(self.cells, "cls")
         met = self._partners(self.cells.join(self.classes.select("cls"), "cls", "left_semi"), own, "cls", "cls")
         one, named = F.lit(1), (F.col("label") != M.UNLABELED).cast("int")  # a sample is no partner of its own
-        met = met.withColumns({"n_all": F.col("n_all") - one, "n_s": F.col("n_s") - one, "l_all": F.col("l_all") - named, "l_s": F.col("l_s") - named, "n_l": F.col("n_l") - named, "n_sl": F.col("n_sl") - named})
+        met = met.withColumns({"n_all": F.col("n_all") - one, "n_s": F.col("n_s") - one, "l_all": F.col("l_all") - named, "l_s": F.col("l_s") - named,
+            "n_l": F.col("n_l") - named, "n_sl": F.col("n_sl") - named})
         return self._kinds(met, True, F.lit(True))
 
     def _touched_near(self) -> DataFrame:
@@ -213,7 +220,8 @@ class Classes:
         names = ["n_all", "l_all", "n_s", "l_s", "n_l", "n_sl"]
         same = self._partners(hashed.join(self.values.filter("u = v").select(F.col("u").alias("h")), "h", "left_semi"), own, "h", "h")
         if self.exact:  # without those of its own class
-            same = self._partners(same.withColumnsRenamed({c: f"h_{c}" for c in names}), inner, "cls", "cls").withColumns({c: F.col(f"h_{c}") - F.col(c) for c in names})
+            same = self._partners(same.withColumnsRenamed({c: f"h_{c}" for c in names}), inner, "cls",
+                "cls").withColumns({c: F.col(f"h_{c}") - F.col(c) for c in names})
         else:
             one, named = F.lit(1), (F.col("label") != M.UNLABELED).cast("int")
             same = same.withColumns({c: F.col(c) - (one if c in ("n_all", "n_s") else named) for c in names})
@@ -226,13 +234,15 @@ class Classes:
             out = out.unionByName(self.members.filter("idx <> cls").select(F.col("cls").alias("a"), F.col("idx").alias("b")))
         if self.near:
             first = self.members.filter("h is not null").groupBy("h").agg(F.min("idx").alias("first"))
-            reps = self.values.filter("u <> v").join(first.select(F.col("h").alias("u"), F.col("first").alias("i")), "u").join(first.select(F.col("h").alias("v"), F.col("first").alias("j")), "v")
+            reps = self.values.filter("u <> v").join(first.select(F.col("h").alias("u"), F.col("first").alias("i")),
+                "u").join(first.select(F.col("h").alias("v"), F.col("first").alias("j")), "v")
             star = self.members.join(first, "h").filter("idx <> first").select(F.col("first").alias("a"), F.col("idx").alias("b"))
             out = out.unionByName(reps.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))).unionByName(star)
         return out
 
     def expand(self, first: int, n: int) -> DataFrame:
-        """rank, a, b: the exact pairs of ranks first to first + n - 1, classes in order and in each the pairs (i, j), i < j, by j, then i. Only those pairs are made."""
+        """rank, a, b: the exact pairs of ranks first to first + n - 1, classes in order and in each the pairs (i, j), i < j, by j, then i. Only those
+        pairs are made."""
         numbered = F.sum("t").over(Window.orderBy("cls").rowsBetween(Window.unboundedPreceding, -1))
         ranked = self._offsets() if self.classes.count() > MOST_LISTED else self.classes.select("cls", "n", "t", F.coalesce(numbered, F.lit(0)).alias("before"))
         hit = ranked.filter((F.col("before") < first + n) & (F.col("before") + F.col("t") > first))
@@ -254,9 +264,11 @@ class Classes:
         rows = self.members.join(self.classes.select("cls"), "cls", "left_semi").select("cls", "idx")
         dealt = materialize(rows.repartitionByRange("cls", "idx").withColumn("part", F.spark_partition_id()), "member-ranges")
         counts = dealt.groupBy("cls", "part").agg(F.count("*").alias("n"))
-        before = counts.select("cls", "part", F.coalesce(F.sum("n").over(Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        before = counts.select("cls", "part", F.coalesce(F.sum("n")
+            .over(Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
         own = F.row_number().over(Window.partitionBy("cls", "part").orderBy("idx")) - 1
-        return materialize(dealt.withColumn("own", own).join(before, ["cls", "part"]).select("cls", (F.col("own") + F.col("before")).alias("number"), "idx"), "numbered-members")
+        return materialize(dealt.withColumn("own", own).join(before, ["cls", "part"])
+            .select("cls", (F.col("own") + F.col("before")).alias("number"), "idx"), "numbered-members")
 
     def _unranked(self, ranks: DataFrame) -> DataFrame:
         """Pairs of members by rank r = j (j - 1) / 2 + i."""
@@ -271,14 +283,17 @@ class Classes:
     def export(self, chunk: int = 1 << 16) -> DataFrame:
         """a, b, method, distance, similarity of all exact pairs, for a write: ranks are dealt in chunks, so that no class is one task's."""
         chunks = self.classes.select("cls", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("t") - 1) / chunk))).alias("nth"))
-        dealt = chunks.repartition("cls", "nth").select("cls", F.lit(0).cast("long").alias("before"), F.explode(F.sequence(F.col("nth") * chunk, F.least((F.col("nth") + 1) * chunk, "t") - 1)).alias("rank"))
+        dealt = chunks.repartition("cls", "nth").select("cls", F.lit(0).cast("long").alias("before"),
+            F.explode(F.sequence(F.col("nth") * chunk, F.least((F.col("nth") + 1) * chunk, "t") - 1)).alias("rank"))
         return self._unranked(dealt).select("a", "b", F.lit("sha256").alias("method"), F.lit(0.0).alias("distance"), F.lit(1.0).alias("similarity"))
 
     def relation(self) -> DataFrame:
         """method, u, v, distance, similarity, t, x, c, xc: all rows that stand for pairs, classes by their smallest idx and values by hash."""
         d = F.col("d").cast("double")
-        exact = self.classes.select(F.lit("sha256").alias("method"), F.col("cls").alias("u"), F.col("cls").alias("v"), F.lit(0.0).alias("distance"), F.lit(1.0).alias("similarity"), "t", "x", "c", "xc")
-        near = self.values.select(F.lit("phash").alias("method"), "u", "v", d.alias("distance"), F.round(similarity(F.col("d")), 6).alias("similarity"), "t", "x", "c", "xc")
+        exact = self.classes.select(F.lit("sha256").alias("method"), F.col("cls").alias("u"), F.col("cls").alias("v"), F.lit(0.0).alias("distance"),
+            F.lit(1.0).alias("similarity"), "t", "x", "c", "xc")
+        near = self.values.select(F.lit("phash").alias("method"), "u", "v", d.alias("distance"), F.round(similarity(F.col("d")), 6).alias("similarity"),
+            "t", "x", "c", "xc")
         return exact.unionByName(near)
 
 

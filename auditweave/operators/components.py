@@ -95,7 +95,9 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         if before[0] and max_rounds:
             raise RuntimeError("links didn't settle")
     release(spark, since)
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    return links.select(F.col("a").alias("node"), F.col("b")
+        .alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component")
+        .alias("component"))
 
 
 def groups(links: DataFrame) -> DataFrame:

@@ -32,7 +32,8 @@ def eligibility(samples: DataFrame, config: M.AuditConfig) -> DataFrame:
     labelled = F.col("label") != M.UNLABELED
     shared = labelled & (F.col("train") > 0) & (F.col("test") > 0)
     one = by_label.agg(
-        F.coalesce(F.sum("train"), F.lit(0)).alias("train"), F.coalesce(F.sum("test"), F.lit(0)).alias("test"), F.count_if(labelled).alias("labels"), F.count_if(shared).alias("shared"),
+        F.coalesce(F.sum("train"), F.lit(0)).alias("train"), F.coalesce(F.sum("test"), F.lit(0)).alias("test"), F.count_if(labelled).alias("labels"),
+            F.count_if(shared).alias("shared"),
         F.array_join(F.array_sort(F.collect_list(F.when(shared & (F.col("train") < config.min_per_class), F.col("label")))), ", ").alias("thin"),
     )
     reason = (
@@ -50,7 +51,8 @@ def quarantine(findings: DataFrame, reviews: DataFrame) -> DataFrame:
     confirmed = F.coalesce(F.col("decision") == "confirmed", F.lit(False))
     strong = (F.col("method") == "sha256") | ((F.col("method") == "phash") & (F.col("kind") == M.NEAR_CROSS) & F.col("severity").isin("critical", "high"))
     ends = own.filter(strong | confirmed).select(
-        F.inline(F.array(F.struct(F.col("a_idx").alias("idx"), F.col("split_a").alias("split")), F.struct(F.col("b_idx").alias("idx"), F.col("split_b").alias("split")))),
+        F.inline(F.array(F.struct(F.col("a_idx").alias("idx"), F.col("split_a").alias("split")),
+            F.struct(F.col("b_idx").alias("idx"), F.col("split_b").alias("split")))),
         "finding_id", "kind", "method", "similarity", confirmed.alias("confirmed"), "severity", "a_idx", "b_idx",
     ).filter("split = 'test'")
     rank = F.array_position(F.array(*map(F.lit, M.SEVERITIES)), F.col("severity"))
@@ -61,9 +63,13 @@ def quarantine(findings: DataFrame, reviews: DataFrame) -> DataFrame:
 def accuracy(predictions: DataFrame) -> DataFrame:
     """test_samples, accuracy and macro F1 (unweighted over labels seen or predicted) of columns label, prediction."""
     cells = predictions.groupBy("label", "prediction").agg(F.count("*").alias("n"))
-    per = cells.select("n", F.explode(F.array(F.struct(F.col("label").alias("c"), F.lit(1).alias("actual"), F.lit(0).alias("guess")), F.struct(F.col("prediction").alias("c"), F.lit(0).alias("actual"), F.lit(1).alias("guess")))).alias("x"), (F.col("label") == F.col("prediction")).alias("right"))
-    by_class = per.groupBy("x.c").agg(F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("twice_right"), F.sum("n").alias("seen"), F.sum(F.when(F.col("x.actual") == 1, F.col("n")).otherwise(0)).alias("actual"))
-    f1 = by_class.agg(F.avg(F.col("twice_right") / F.col("seen")).alias("macro_f1"), F.sum("actual").alias("test_samples"), (F.sum("twice_right") / 2 / F.sum("actual")).alias("accuracy"))
+    per = cells.select("n", F.explode(F.array(F.struct(F.col("label").alias("c"), F.lit(1).alias("actual"), F.lit(0).alias("guess")),
+        F.struct(F.col("prediction").alias("c"), F.lit(0).alias("actual"), F.lit(1).alias("guess")))).alias("x"),
+        (F.col("label") == F.col("prediction")).alias("right"))
+    by_class = per.groupBy("x.c").agg(F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("twice_right"), F.sum("n").alias("seen"),
+        F.sum(F.when(F.col("x.actual") == 1, F.col("n")).otherwise(0)).alias("actual"))
+    f1 = by_class.agg(F.avg(F.col("twice_right") / F.col("seen")).alias("macro_f1"), F.sum("actual").alias("test_samples"),
+        (F.sum("twice_right") / 2 / F.sum("actual")).alias("accuracy"))
     return f1.select("test_samples", "accuracy", "macro_f1")
 
 
@@ -96,7 +102,8 @@ def bootstrap(predictions: DataFrame, config: M.AuditConfig, seed: int) -> DataF
 def embedded(samples: DataFrame) -> DataFrame:
     """idx, split, class, features of valid rows with an embedding, of classes that both train and test have."""
     valid = samples.filter("not corrupt")
-    both = valid.groupBy("label").agg(F.count_if(F.expr("split = 'train'")).alias("train"), F.count_if(F.expr("split = 'test'")).alias("test")).filter("train > 0 and test > 0").select("label")
+    both = valid.groupBy("label").agg(F.count_if(F.expr("split = 'train'")).alias("train"),
+        F.count_if(F.expr("split = 'test'")).alias("test")).filter("train > 0 and test > 0").select("label")
     kept = valid.filter(~is_zero(F.col("embedding")) & F.col("split").isin("train", "test")).join(both, "label", "left_semi")
     return kept.select("idx", "split", F.col("label").alias("class"), F.col("embedding").alias("features"))
 

@@ -59,14 +59,17 @@ def severity_rank(severity: Column) -> Column:
 
 def classify(merged: DataFrame, samples: DataFrame, strong_threshold: int) -> DataFrame:
     """Findings: each merged pair with its samples, kind, severity and confidence, without group ids."""
-    side = lambda x: samples.select(F.col("idx").alias(x), *[F.col(c).alias(f"{n}_{x}") for c, n in (("sample_id", "sample"), ("split", "split"), ("label", "class"))])
+    side = lambda x: samples.select(F.col("idx").alias(x), *[F.col(c).alias(f"{n}_{x}") for c,
+        n in (("sample_id", "sample"), ("split", "split"), ("label", "class"))])
     rows = merged.join(side("a"), "a").join(side("b"), "b")
     method = F.col("method")
     strong = (method == "sha256") | ((method == "phash") & (F.col("distance") <= strong_threshold))
     cross, conflict = F.col("split_a") != F.col("split_b"), labels_conflict(F.col("class_a"), F.col("class_b"))
     return rows.select(
-        F.format_string("f_%d_%d", "a", "b").alias("finding_id"), kind_of(method, strong, cross, conflict).alias("kind"), severity_of(method, strong, cross, conflict).alias("severity"),
-        confidence_of(method, strong).alias("confidence_label"), "method", F.col("a").alias("a_idx"), F.col("b").alias("b_idx"), "sample_a", "sample_b", "split_a", "split_b", "class_a", "class_b",
+        F.format_string("f_%d_%d", "a", "b").alias("finding_id"), kind_of(method, strong, cross, conflict).alias("kind"),
+            severity_of(method, strong, cross, conflict).alias("severity"),
+        confidence_of(method, strong).alias("confidence_label"), "method", F.col("a").alias("a_idx"), F.col("b").alias("b_idx"), "sample_a", "sample_b",
+            "split_a", "split_b", "class_a", "class_b",
         "distance", "similarity", cross.alias("cross_split"), conflict.alias("conflicting_label"),
         F.struct("methods", (F.size("methods") > 1).alias("corroborated_by_multiple_methods")).alias("detail"),
     )
@@ -107,7 +110,8 @@ def cross_split_matrix(findings: DataFrame) -> DataFrame:
 def first_to_fix(findings: DataFrame, inventory: DataFrame) -> DataFrame:
     """What is worth fixing first: a fixed order of kinds with a count, corrupt samples among them; five at most."""
     order = (M.EXACT_CROSS, M.CONFLICT, M.NEAR_CROSS, M.CORRUPT, M.SEMANTIC)
-    counts = findings.groupBy("kind").agg(F.count("*").alias("n")).unionByName(inventory.select(F.lit(M.CORRUPT).alias("kind"), F.col("corrupt").cast("long").alias("n")))
+    counts = findings.groupBy("kind").agg(F.count("*").alias("n")).unionByName(inventory.select(F.lit(M.CORRUPT).alias("kind"),
+        F.col("corrupt").cast("long").alias("n")))
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("kind"))
     return counts.filter((rank > 0) & (F.col("n") > 0)).select(rank.cast("int").alias("position"), "kind", "n").orderBy("position").limit(5)
 

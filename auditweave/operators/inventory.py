@@ -35,8 +35,10 @@ def split_class(samples: DataFrame) -> DataFrame:
 
 def totals(samples: DataFrame) -> DataFrame:
     """One row: total, valid, corrupt, test, splits, classes, class_imbalance_ratio, test_fraction."""
-    own = samples.agg(F.count("*").alias("total"), F.count_if(F.expr("not corrupt")).alias("valid"), F.count_if("corrupt").alias("corrupt"), F.count_if(F.expr("not corrupt and split = 'test'")).alias("test"))
-    classes = samples.filter("not corrupt").groupBy("label").agg(F.count("*").alias("n")).agg(F.count("*").alias("classes"), F.round(F.max("n") / F.min("n"), 3).alias("class_imbalance_ratio"))
+    own = samples.agg(F.count("*").alias("total"), F.count_if(F.expr("not corrupt")).alias("valid"), F.count_if("corrupt").alias("corrupt"),
+        F.count_if(F.expr("not corrupt and split = 'test'")).alias("test"))
+    classes = samples.filter("not corrupt").groupBy("label").agg(F.count("*").alias("n")).agg(F.count("*").alias("classes"),
+        F.round(F.max("n") / F.min("n"), 3).alias("class_imbalance_ratio"))
     both = own.crossJoin(F.broadcast(classes))  # one row each
     return both.withColumn("test_fraction", F.round(F.coalesce(F.try_divide("test", "valid"), F.lit(0.0)), 4))
 
@@ -68,7 +70,8 @@ def percentiles(samples: DataFrame) -> DataFrame:
     By selection: values are counted, put in order by ranges, and what precedes a range is the sum of the counts before it; then only the two values
     about each rank are taken. No task holds a measure's values."""
     valid = samples.filter("not corrupt").withColumn("aspect_ratio", F.when((F.col("width") != 0) & (F.col("height") != 0), aspect_ratio()))
-    long = valid.select(F.inline(F.array(*[F.struct(F.lit(name).alias("measure"), F.nullif(F.col(c).cast("double"), F.lit(0.0)).alias("v")) for name, c in MEASURES.items()]))).filter("v is not null")
+    long = valid.select(F.inline(F.array(*[F.struct(F.lit(name).alias("measure"), F.nullif(F.col(c).cast("double"), F.lit(0.0)).alias("v")) for name,
+        c in MEASURES.items()]))).filter("v is not null")
     counted = long.groupBy("measure", "v").agg(F.count("*").alias("n"))
     dealt = materialize(counted.repartitionByRange("measure", "v").withColumn("part", F.spark_partition_id()), "measures")
     sizes = dealt.groupBy("measure", "part").agg(F.sum("n").alias("own"))
@@ -76,12 +79,14 @@ def percentiles(samples: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("own").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("measure", "part", before.alias("before"), F.sum("own").over(whole).alias("total"))  # a row for each measure and range
     upto = F.sum("n").over(Window.partitionBy("measure", "part").orderBy("v"))
-    ranked = dealt.withColumn("upto", upto).join(F.broadcast(offsets), ["measure", "part"]).withColumn("last", F.col("before") + F.col("upto") - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+    ranked = dealt.withColumn("upto", upto).join(F.broadcast(offsets), ["measure", "part"]).withColumn("last",
+        F.col("before") + F.col("upto") - 1).withColumn("first", F.col("last") - F.col("n") + 1)
     at = {name: (F.col("total") - 1) * p for name, p in PERCENTILES.items()}
     covers = lambda rank: (F.col("first") <= rank) & (rank <= F.col("last"))
     low = {name: F.max(F.when(covers(F.floor(x)), F.col("v"))) for name, x in at.items()}
     high = {name: F.max(F.when(covers(F.ceil(x)), F.col("v"))) for name, x in at.items()}
-    found = ranked.groupBy("measure").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.max("total").alias("total"), *[c.alias(f"low_{n}") for n, c in low.items()], *[c.alias(f"high_{n}") for n, c in high.items()])
+    found = ranked.groupBy("measure").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.max("total").alias("total"),
+        *[c.alias(f"low_{n}") for n, c in low.items()], *[c.alias(f"high_{n}") for n, c in high.items()])
     between = {name: F.col(f"low_{name}") + (F.col(f"high_{name}") - F.col(f"low_{name}")) * (x - F.floor(x)) for name, x in at.items()}
     return found.select("measure", F.round("min", 4).alias("min"), *[F.round(c, 4).alias(n) for n, c in between.items()], F.round("max", 4).alias("max"))
 
@@ -102,7 +107,8 @@ def lines(samples: DataFrame) -> DataFrame:
 def fingerprint(samples: DataFrame) -> DataFrame:
     """SHA-256 over the sorted lines split/label/digest, each with a newline; equal lines count as often as they occur.
 
-    Lines are counted and sorted by ranges, in as many tasks as there are, to files whose names are in order. The digest is sequential by definition: one task reads
+    Lines are counted and sorted by ranges, in as many tasks as there are, to files whose names are in order. The digest is sequential by definition:
+    one task reads
     those files one after another, a batch at a time, and sorts nothing. merkle_root() is an identity without that task."""
     spark, path = samples.sparkSession, fresh_path(samples.sparkSession, "lines")
     lines(samples).repartitionByRange("line").sortWithinPartitions("line").write.parquet(path)
@@ -128,7 +134,8 @@ LEAF_DIGITS = 3
 
 
 def merkle_leaves(samples: DataFrame) -> DataFrame:
-    """leaf, digest: SHA-256 over the sorted lines whose own digest begins with the leaf's digits, each as `count line` and a newline. A leaf is a task's, whatever the partitions."""
+    """leaf, digest: SHA-256 over the sorted lines whose own digest begins with the leaf's digits, each as `count line` and a newline. A leaf is a
+    task's, whatever the partitions."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, h = None, None
@@ -161,12 +168,15 @@ def issues(samples: DataFrame) -> DataFrame:
     ratio, fraction = F.col("class_imbalance_ratio"), F.col("test_fraction")
     rows = [
         (F.col("corrupt") > 0, "issue_corrupt", M.CORRUPT, F.lit("medium"), F.concat(F.col("corrupt").cast("string"), F.lit(CORRUPT_TITLE))),
-        (ratio > M.IMBALANCE_OK, "issue_class_imbalance", M.CLASS_IMBALANCE, F.when(ratio >= 5, "medium").otherwise("low"), F.format_string(IMBALANCE_TITLE, ratio)),
+        (ratio > M.IMBALANCE_OK, "issue_class_imbalance", M.CLASS_IMBALANCE, F.when(ratio >= 5, "medium").otherwise("low"),
+            F.format_string(IMBALANCE_TITLE, ratio)),
         (F.col("test") == 0, "issue_no_test_split", M.SPLIT_IMBALANCE, F.lit("medium"), F.lit(NO_TEST_TITLE)),
-        ((F.col("test") > 0) & ((fraction < M.TEST_MIN) | (fraction > M.TEST_HIGH)), "issue_split_imbalance", M.SPLIT_IMBALANCE, F.lit("low"), F.format_string(TEST_TITLE, fraction * 100)),
+        ((F.col("test") > 0) & ((fraction < M.TEST_MIN) | (fraction > M.TEST_HIGH)), "issue_split_imbalance", M.SPLIT_IMBALANCE, F.lit("low"),
+            F.format_string(TEST_TITLE, fraction * 100)),
         (F.col("missing") > 0, "issue_missing_classes", M.CLASS_IMBALANCE, F.lit("low"), F.concat(F.col("missing").cast("string"), F.lit(MISSING_TITLE))),
     ]
-    made = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(i).alias("issue_id"), F.lit(k).alias("kind"), s.alias("severity"), t_.alias("title"))) for c, i, k, s, t_ in rows])
+    made = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(i).alias("issue_id"), F.lit(k).alias("kind"), s.alias("severity"),
+        t_.alias("title"))) for c, i, k, s, t_ in rows])
     return t.select(F.inline(F.filter(made, lambda x: x.isNotNull())))
 
 

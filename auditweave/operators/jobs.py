@@ -45,8 +45,10 @@ class Conflict(RuntimeError):
 def advance(spark: SparkSession, path: str, job_id: str, stage: str, at: datetime.datetime | None = None, after: int | None = None) -> int:
     """Writes that a job is at a stage, has failed or is deleted; the event's number.
 
-    Events of a job are numbered files that are put in place only where there is none, so of two writers one wins. The other looks again, and goes on if its event may still
-    follow; with `after`, the number of the event it knows as the last, it gets Conflict. KeyError for a job that isn't there or is deleted, ValueError for an unknown stage or
+    Events of a job are numbered files that are put in place only where there is none, so of two writers one wins. The other looks again, and goes on
+    if its event may still
+    follow; with `after`, the number of the event it knows as the last, it gets Conflict. KeyError for a job that isn't there or is deleted,
+    ValueError for an unknown stage or
     one that can't follow: stages go forward, complete and failed jobs can only be deleted."""
     if stage not in [*(k for k, _ in M.STAGES), "failed", "deleted"]:
         raise ValueError(f"unknown stage: {stage}")
@@ -97,7 +99,8 @@ def _put(spark: SparkSession, path: str, job_id: str, number: int, stage: str, a
     store, folder = _folder(spark, path, job_id)
     jvm = spark.sparkContext._jvm
     at = at or datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
-    row = {"event_id": time.time_ns(), "job_id": job_id, "stage": stage, "status": "running" if stage not in ALONE else stage, "ts": at.isoformat(timespec="microseconds")}
+    row = {"event_id": time.time_ns(), "job_id": job_id, "stage": stage, "status": "running" if stage not in ALONE else stage,
+        "ts": at.isoformat(timespec="microseconds")}
     store.mkdirs(folder)
     draft = jvm.org.apache.hadoop.fs.Path(folder, f".{uuid.uuid4().hex}")
     out = store.create(draft, False)
@@ -144,7 +147,8 @@ def found(events: DataFrame, job_id: str, complete: bool = False) -> Row:
 def latest_state(events: DataFrame) -> DataFrame:
     """The last event of each job_id (columns event_id, job_id, stage, ts) with its first and last time."""
     last = F.max_by(F.struct("stage", "event_id"), F.struct("ts", "event_id"))
-    return events.groupBy("job_id").agg(last.alias("last"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.count("*").alias("n_events")).select("job_id", "last.stage", "last.event_id", "created_at", "updated_at", "n_events")
+    return events.groupBy("job_id").agg(last.alias("last"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"),
+        F.count("*").alias("n_events")).select("job_id", "last.stage", "last.event_id", "created_at", "updated_at", "n_events")
 
 
 def expires_at(created: Column, hours: int) -> Column:

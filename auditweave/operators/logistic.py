@@ -24,7 +24,8 @@ PARTS_SCHEMA = "block int, body binary"
 
 @dataclass(frozen=True)
 class Fitted:
-    """weights (class, feature and intercept), passes over the rows, the largest entry of the gradient of the minimised function, and whether that is as small as asked."""
+    """weights (class, feature and intercept), passes over the rows, the largest entry of the gradient of the minimised function, and whether that is
+    as small as asked."""
 
     weights: np.ndarray
     passes: int
@@ -41,10 +42,12 @@ class Fitted:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.record_batch([*[b.column(c) for c in kept], pa.array(self.scores(matrix(b.column("features"))).argmax(axis=1).astype(float))], names=[*kept, "prediction"])
+                yield pa.record_batch([*[b.column(c) for c in kept], pa.array(self.scores(matrix(b.column("features"))).argmax(axis=1).astype(float))],
+                    names=[*kept, "prediction"])
 
         kept = [c for c in rows.columns if c != "features"]
-        return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "features") + ", prediction double")
+        return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "features")
+            + ", prediction double")
 
 
 def matrix(column: pa.Array) -> np.ndarray:

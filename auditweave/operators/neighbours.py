@@ -71,8 +71,10 @@ def read_block(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unit_rows(table.column("embedding")), names.flatten().to_numpy(), np.repeat(np.arange(len(names)), np.diff(names.offsets.to_numpy()))
 
 
-def lists(samples: DataFrame, k: int, threshold: float, visited: tuple[Accumulator, Accumulator] | None = None, block_rows: int = BLOCK_ROWS, per_pivot: int = PER_PIVOT) -> DataFrame:
-    """a, b, similarity: for each sample the k nearest by (similarity, smaller idx), itself among them, that reach the threshold. visited counts the blocks that were read for some
+def lists(samples: DataFrame, k: int, threshold: float, visited: tuple[Accumulator, Accumulator] | None = None, block_rows: int = BLOCK_ROWS,
+    per_pivot: int = PER_PIVOT) -> DataFrame:
+    """a, b, similarity: for each sample the k nearest by (similarity, smaller idx), itself among them, that reach the threshold. visited counts the
+    blocks that were read for some
     queries, and those that there were."""
     spark = samples.sparkSession
     own = samples.filter(~F.col("corrupt") & F.col("embedding").isNotNull()).select("idx", "embedding")
@@ -93,7 +95,8 @@ def lists(samples: DataFrame, k: int, threshold: float, visited: tuple[Accumulat
         for b in batches:
             cosine = unit_rows(b.column("embedding")) @ pivots.value.T
             near = cosine.argmax(axis=1)
-            yield pa.record_batch([*b.columns, pa.array(near.astype(np.int32)), pa.array(distances(cosine[np.arange(len(near)), near]))], names=[*b.schema.names, "pivot", "distance"])
+            yield pa.record_batch([*b.columns, pa.array(near.astype(np.int32)), pa.array(distances(cosine[np.arange(len(near)), near]))],
+                names=[*b.schema.names, "pivot", "distance"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema.fields)
     assigned = materialize(groups.mapInArrow(assign, f"{fields}, pivot int, distance double"), "assigned")
@@ -122,7 +125,8 @@ def lists(samples: DataFrame, k: int, threshold: float, visited: tuple[Accumulat
                     visited[1].add(len(names))
                 best, order = Lists(len(queries), k), np.argsort(bound.min(axis=0), kind="stable")
                 for block in order:
-                    limit = np.minimum(reach, np.where(np.isfinite(best.similarity[:, -1]), distances(np.where(np.isfinite(best.similarity[:, -1]), best.similarity[:, -1], 0)), np.inf))
+                    limit = np.minimum(reach, np.where(np.isfinite(best.similarity[:, -1]),
+                        distances(np.where(np.isfinite(best.similarity[:, -1]), best.similarity[:, -1], 0)), np.inf))
                     asked = np.flatnonzero(bound[:, block] <= limit + SLACK)
                     if not len(asked):
                         continue
@@ -135,7 +139,8 @@ def lists(samples: DataFrame, k: int, threshold: float, visited: tuple[Accumulat
                     best.similarity[asked], best.name[asked] = some.similarity, some.name
                 row, place_ = np.nonzero(best.similarity >= threshold)
                 vec = part.column("vec").to_numpy()
-                yield pa.record_batch([pa.array(vec[row]), pa.array(best.name[row, place_]), pa.array(best.similarity[row, place_])], names=["vec", "b", "similarity"])
+                yield pa.record_batch([pa.array(vec[row]), pa.array(best.name[row, place_]), pa.array(best.similarity[row, place_])],
+                    names=["vec", "b", "similarity"])
 
     asked = stored.select("vec", "embedding", "block").repartition("block").sortWithinPartitions("block").select("vec", "embedding")  # neighbours ask together
     found = materialize(asked.mapInArrow(search, "vec long, b long, similarity double"), "lists")

@@ -19,4 +19,5 @@ def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__part", before.alias("__before"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(column))
-    return dealt.withColumn("__place", place).join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__place") - 1).cast("bigint")).drop("__part", "__before", "__place")
+    return dealt.withColumn("__place", place).join(F.broadcast(offsets), "__part").withColumn(name,
+        (F.col("__before") + F.col("__place") - 1).cast("bigint")).drop("__part", "__before", "__place")

@@ -31,7 +31,8 @@ def decided(findings: DataFrame, reviews: DataFrame) -> DataFrame:
 def edges(findings: DataFrame, reviews: DataFrame, include_semantic: bool = False) -> DataFrame:
     """The links that tie samples into groups: all kinds but semantic ones, and of those the confirmed or all."""
     semantic = F.col("kind") == M.SEMANTIC
-    return decided(findings, reviews).filter(~semantic | F.lit(include_semantic) | (F.col("decision") == "confirmed")).select(F.col("a_idx").alias("a"), F.col("b_idx").alias("b"))
+    return decided(findings, reviews).filter(~semantic | F.lit(include_semantic) | (F.col("decision") == "confirmed")).select(F.col("a_idx").alias("a"),
+        F.col("b_idx").alias("b"))
 
 
 def members(findings: DataFrame, reviews: DataFrame, include_semantic: bool = False) -> DataFrame:
@@ -41,24 +42,29 @@ def members(findings: DataFrame, reviews: DataFrame, include_semantic: bool = Fa
 
 def plan_groups(samples: DataFrame, findings: DataFrame, reviews: DataFrame, tied: DataFrame) -> DataFrame:
     """group_id, n, splits, labels, target, resolution, reason: a row for each group, whose members are listed by group_members()."""
-    conflicts = decided(findings, reviews).filter(F.col("kind") == M.CONFLICT).select(F.col("a_idx").alias("idx")).distinct().withColumn("conflicted", F.lit(True))
+    conflicts = decided(findings, reviews).filter(F.col("kind") == M.CONFLICT).select(F.col("a_idx").alias("idx")).distinct().withColumn("conflicted",
+        F.lit(True))
     own = tied.join(samples.select("idx", "sample_id", "split", "label"), "idx").join(conflicts, "idx", "left")
     by_split = [F.count_if(F.col("split") == s).alias(s) for s in M.SPLITS]
     g = own.groupBy("component", "group_id").agg(
-        F.count("*").alias("n"), *by_split, F.coalesce(F.bool_or("conflicted"), F.lit(False)).alias("conflicted"), F.min_by("split", "idx").alias("first_split"),
+        F.count("*").alias("n"), *by_split, F.coalesce(F.bool_or("conflicted"), F.lit(False)).alias("conflicted"),
+            F.min_by("split", "idx").alias("first_split"),
         F.count_distinct("split").alias("n_splits"), F.array_sort(F.collect_set("label")).alias("labels"),
     )
     single, majority = F.col("n_splits") == 1, F.col("test") > F.col("n") - F.col("test")
-    target = F.when(F.col("conflicted"), "excluded").when(single, F.col("first_split")).when(majority, "test").when(F.col("train") > 0, "train").otherwise(F.col("first_split"))
+    target = F.when(F.col("conflicted"), "excluded").when(single, F.col("first_split")).when(majority, "test").when(F.col("train") > 0,
+        "train").otherwise(F.col("first_split"))
     return g.withColumn("target", target).select(
         "component", "group_id", "n", *M.SPLITS, "labels", "conflicted", "target",
-        F.when(F.col("conflicted"), "exclude_pending_review").when(single, "already_single_split").otherwise(F.concat(F.lit("consolidate_to_"), "target")).alias("resolution"),
+        F.when(F.col("conflicted"), "exclude_pending_review").when(single, "already_single_split").otherwise(F.concat(F.lit("consolidate_to_"), "target"))
+            .alias("resolution"),
         F.when(F.col("conflicted"), WHY_CONFLICT).when(single, WHY_SINGLE).when(majority, WHY_TEST).otherwise(WHY_TRAIN).alias("reason"),
     )
 
 
 def group_members(samples: DataFrame, tied: DataFrame) -> DataFrame:
-    """group_id, position (from 0, by idx), idx, sample_id, split, label: the members of all groups in order. They are numbered by ranges of (group, idx), so that a group of any size is
+    """group_id, position (from 0, by idx), idx, sample_id, split, label: the members of all groups in order. They are numbered by ranges of (group,
+    idx), so that a group of any size is
     no row and no task's alone."""
     rows = tied.select("component", "group_id", "idx").join(samples.select("idx", "sample_id", "split", "label"), "idx")
     dealt = materialize(rows.repartitionByRange("component", "idx").withColumn("range", F.spark_partition_id()), "group-members")
@@ -72,7 +78,8 @@ def group_members(samples: DataFrame, tied: DataFrame) -> DataFrame:
 
 def listed(members: DataFrame) -> DataFrame:
     """group_id, members (sample ids in order): for an export that wants a group in one row."""
-    return members.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "sample_id"))), lambda x: x["sample_id"]).alias("members"))
+    return members.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "sample_id"))), lambda x: x["sample_id"])
+        .alias("members"))
 
 
 def manifest(samples: DataFrame, tied: DataFrame, plans: DataFrame) -> DataFrame:
@@ -81,8 +88,10 @@ def manifest(samples: DataFrame, tied: DataFrame, plans: DataFrame) -> DataFrame
     s = samples.join(placed, "idx", "left")  # samples of no group have no key to meet on
     corrupt, alone, excluded, stays = F.col("corrupt"), F.col("target").isNull(), F.col("target") == "excluded", F.col("target") == F.col("split")
     return s.select(
-        "idx", "sample_id", "rel_path", F.col("split").alias("original_split"), F.when(corrupt, "excluded").when(alone, F.col("split")).otherwise(F.col("target")).alias("proposed_split"), "label",
-        F.when(~corrupt, F.col("group_id")).alias("group_id"), F.when(corrupt, "exclude").when(alone, "keep").when(excluded, "exclude").when(stays, "keep").otherwise("move").alias("action"),
+        "idx", "sample_id", "rel_path", F.col("split").alias("original_split"),
+            F.when(corrupt, "excluded").when(alone, F.col("split")).otherwise(F.col("target")).alias("proposed_split"), "label",
+        F.when(~corrupt, F.col("group_id")).alias("group_id"),
+            F.when(corrupt, "exclude").when(alone, "keep").when(excluded, "exclude").when(stays, "keep").otherwise("move").alias("action"),
         F.when(corrupt, F.concat(F.lit(WHY_CORRUPT), F.coalesce(F.nullif("error", F.lit("")), F.lit("decode failure")), F.lit(").")))
         .when(alone, WHY_ALONE).when(excluded, WHY_AMBIGUOUS).when(stays, WHY_IN_PLACE).otherwise(F.col("why")).alias("reason"),
     )
@@ -93,7 +102,8 @@ def changed(entries: DataFrame) -> DataFrame:
 
 
 def action_counts(entries: DataFrame) -> DataFrame:
-    return entries.agg(F.count_if(F.expr("action = 'move'")).alias("moves"), F.count_if(F.expr("action = 'exclude'")).alias("exclusions"), F.count_if(F.expr("action = 'keep'")).alias("kept"))
+    return entries.agg(F.count_if(F.expr("action = 'move'")).alias("moves"), F.count_if(F.expr("action = 'exclude'")).alias("exclusions"),
+        F.count_if(F.expr("action = 'keep'")).alias("kept"))
 
 
 def split_delta(samples: DataFrame, entries: DataFrame) -> DataFrame:
@@ -109,5 +119,6 @@ def warnings(samples: DataFrame, findings: DataFrame, reviews: DataFrame, entrie
     after = entries.filter("proposed_split = 'test'").groupBy("label").agg(F.count("*").alias("m"))
     lost = before.join(after, "label", "left").na.fill(0).filter("n >= 3 and m < n * 0.5")
     text = F.format_string(LOST, "label", F.col("n") - F.col("m"), "n")
-    open_ = findings.filter(F.col("kind") == M.SEMANTIC).join(reviews, "finding_id", "left_anti").agg(F.count("*").alias("n")).filter((F.col("n") > 0) & F.lit(not include_semantic))
+    open_ = findings.filter(F.col("kind") == M.SEMANTIC).join(reviews, "finding_id",
+        "left_anti").agg(F.count("*").alias("n")).filter((F.col("n") > 0) & F.lit(not include_semantic))
     return lost.select(text.alias("warning")).unionByName(open_.select(F.format_string(NOT_GROUPED, "n").alias("warning")))

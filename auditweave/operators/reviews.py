@@ -11,7 +11,8 @@ from .. import model as M
 from .findings import latest
 
 
-def record(spark: SparkSession, path: str, findings: DataFrame, finding_id: str, decision: str, note: str | None = None, at: datetime.datetime | None = None) -> None:
+def record(spark: SparkSession, path: str, findings: DataFrame, finding_id: str, decision: str, note: str | None = None,
+    at: datetime.datetime | None = None) -> None:
     if decision not in M.DECISIONS:
         raise ValueError(f"decision must be one of {M.DECISIONS}")
     if note is not None and len(note) > 2000:

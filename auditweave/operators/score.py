@@ -23,7 +23,8 @@ def components(findings: DataFrame, totals: DataFrame, excluded: DataFrame | Non
 def weighed(hit: DataFrame, totals: DataFrame) -> DataFrame:
     """components() from kind and affected_samples."""
     spark = hit.sparkSession
-    order = spark.createDataFrame([(i, c, w, s) for i, (c, (w, s)) in enumerate(M.PENALTIES.items())], "position int, category string, weight double, saturation double")
+    order = spark.createDataFrame([(i, c, w, s) for i, (c, (w, s)) in enumerate(M.PENALTIES.items())],
+        "position int, category string, weight double, saturation double")
     hit = hit.withColumnRenamed("kind", "category")
     rows = F.broadcast(order).join(hit, "category", "left").crossJoin(F.broadcast(totals))  # eight rows and one
     valid = F.greatest(F.lit(1), F.col("valid"))
@@ -38,9 +39,11 @@ def weighed(hit: DataFrame, totals: DataFrame) -> DataFrame:
         F.when((F.col("test") == 0) | (part < M.TEST_MIN), 1.0).when(part < M.TEST_LOW, (M.TEST_LOW - part) / (M.TEST_LOW - M.TEST_MIN))
         .when(part > M.TEST_HIGH, F.least(F.lit(1.0), (part - M.TEST_HIGH) / M.TEST_SPAN)).otherwise(0.0)
     )
-    ramp = F.when(category == M.CLASS_IMBALANCE, class_ramp).when(category == M.SPLIT_IMBALANCE, split_ramp).otherwise(F.least(F.lit(1.0), count / valid / F.col("saturation")))
+    ramp = F.when(category == M.CLASS_IMBALANCE, class_ramp).when(category == M.SPLIT_IMBALANCE,
+        split_ramp).otherwise(F.least(F.lit(1.0), count / valid / F.col("saturation")))
     rate = F.when(category == M.CLASS_IMBALANCE, F.round(ratio, 4)).when(category == M.SPLIT_IMBALANCE, F.round(part, 4)).otherwise(F.round(count / valid, 6))
-    return rows.select("position", "category", "weight", count.cast("bigint").alias("affected_samples"), rate.alias("rate"), "saturation", F.round(F.col("weight") * ramp, 3).alias("penalty"))
+    return rows.select("position", "category", "weight", count.cast("bigint").alias("affected_samples"), rate.alias("rate"), "saturation",
+        F.round(F.col("weight") * ramp, 3).alias("penalty"))
 
 
 def integrity(parts: DataFrame) -> DataFrame:

@@ -99,7 +99,8 @@ class Audit:
         tied = R.members(self.findings, self.decisions, include_semantic)
         groups = R.plan_groups(self.samples, self.findings, self.decisions, tied)
         entries = R.manifest(self.samples, tied, groups)
-        return Repair(groups, tied, entries, R.action_counts(entries), R.split_delta(self.samples, entries), R.warnings(self.samples, self.findings, self.decisions, entries, include_semantic))
+        return Repair(groups, tied, entries, R.action_counts(entries), R.split_delta(self.samples, entries),
+            R.warnings(self.samples, self.findings, self.decisions, entries, include_semantic))
 
     def evaluation(self) -> DataFrame:
         return E.gap(self.samples, self.findings, self.decisions, self.config)
@@ -120,7 +121,8 @@ class Audit:
         return {
             "totals": self.totals.first().asDict(), "counts": by["kind"], "severity_counts": by["severity"],
             "score": self.score().first().asDict(), "score_components": [r.asDict() for r in self.score_components().orderBy("position").collect()],
-            "dataset_issues": [r.asDict() for r in self.issues.collect()], "fingerprint": I.fingerprint(self.samples).first()[0], "merkle_root": I.merkle_root(self.samples).first()[0],
+            "dataset_issues": [r.asDict() for r in self.issues.collect()], "fingerprint": I.fingerprint(self.samples).first()[0],
+                "merkle_root": I.merkle_root(self.samples).first()[0],
         }
 
 
@@ -140,8 +142,10 @@ def audit_folder(spark: SparkSession, root: str, config: M.AuditConfig | None =
     return Audit(materialize(images.samples(spark, root, files), "samples"), config or M.AuditConfig(), reviews)
 
 
-def audit_archive(spark: SparkSession, path: str, config: M.AuditConfig | None = None, reviews: DataFrame | None = None, limits: M.Limits = M.Limits()) -> tuple[Audit, DataFrame]:
-    """Audits the pictures in the archives under path; also what was rejected (path, reason). Members are read once, into the shared folder under names of our own, and decoded from there.
+def audit_archive(spark: SparkSession, path: str, config: M.AuditConfig | None = None, reviews: DataFrame | None = None,
+    limits: M.Limits = M.Limits()) -> tuple[Audit, DataFrame]:
+    """Audits the pictures in the archives under path; also what was rejected (path, reason). Members are read once, into the shared folder under
+    names of our own, and decoded from there.
 
     Raises IngestError if the upload as a whole is refused."""
     folder = fresh_path(spark, "extracted")
@@ -153,4 +157,5 @@ def audit_archive(spark: SparkSession, path: str, config: M.AuditConfig | None =
 def capabilities() -> dict:
     """Limits, defaults and what searches there are."""
     limits, config = M.Limits(), M.AuditConfig()
-    return {"limits": vars(limits), "defaults": {k: getattr(config, k) for k in config.__dataclass_fields__}, "methods": list(M.METHODS), "embedding_backend": "classical", "stages": [k for k, _ in M.STAGES]}
+    return {"limits": vars(limits), "defaults": {k: getattr(config, k) for k in config.__dataclass_fields__}, "methods": list(M.METHODS),
+        "embedding_backend": "classical", "stages": [k for k, _ in M.STAGES]}

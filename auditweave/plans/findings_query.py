@@ -63,9 +63,13 @@ class FindingsQuery:
         """One page with each side's sample as a struct; a sample that is gone has its id alone."""
         page = self.rows(findings, reviews)
         for side in "ab":
-            own = samples.select(F.col("idx").alias(f"{side}_idx"), F.struct("sample_id", "split", "label", "width", "height", "bytes", "corrupt").alias(f"found_{side}"))
+            own = samples.select(F.col("idx").alias(f"{side}_idx"),
+                F.struct("sample_id", "split", "label", "width", "height", "bytes", "corrupt").alias(f"found_{side}"))
             page = own.join(F.broadcast(page), f"{side}_idx", "right")  # the page has page_size rows at most
-            page = page.withColumn(f"side_{side}", F.coalesce(f"found_{side}", F.struct(F.col(f"sample_{side}").alias("sample_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("split", "string"), ("label", "string"), ("width", "bigint"), ("height", "bigint"), ("bytes", "bigint"), ("corrupt", "boolean"))]))).drop(f"found_{side}")
+            page = page.withColumn(f"side_{side}", F.coalesce(f"found_{side}",
+                F.struct(F.col(f"sample_{side}").alias("sample_id"),
+                *[F.lit(None).cast(t).alias(c) for c, t in (("split", "string"), ("label", "string"), ("width", "bigint"), ("height", "bigint"),
+                ("bytes", "bigint"), ("corrupt", "boolean"))]))).drop(f"found_{side}")
         return page.orderBy(*self.order())
 
     def next(self) -> FindingsQuery:

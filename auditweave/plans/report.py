@@ -14,12 +14,15 @@ from ..operators import reviews as R
 from .audit import Audit
 
 # The columns of the exports.
-FINDING_COLUMNS = ["finding_id", "kind", "severity", "confidence_label", "method", "sample_a", "sample_b", "split_a", "split_b", "class_a", "class_b", "distance", "similarity", "cross_split", "conflicting_label", "group_id", "review_decision", "review_note"]
+FINDING_COLUMNS = ["finding_id", "kind", "severity", "confidence_label", "method", "sample_a", "sample_b", "split_a", "split_b", "class_a", "class_b",
+    "distance", "similarity", "cross_split", "conflicting_label", "group_id", "review_decision", "review_note"]
 REPAIR_COLUMNS = ["sample_id", "original_split", "proposed_split", "class", "group_id", "action", "reason"]
-FINDING_FIELDS = ["kind", "severity", "confidence_label", "method", "sample_a", "sample_b", "split_a", "split_b", "class_a", "class_b", "distance", "similarity", "cross_split", "conflicting_label"]
+FINDING_FIELDS = ["kind", "severity", "confidence_label", "method", "sample_a", "sample_b", "split_a", "split_b", "class_a", "class_b", "distance",
+    "similarity", "cross_split", "conflicting_label"]
 #: Findings on the HTML page, which says how many there are.
 SHOWN = 400
-LIMITATIONS = ["Perceptual and embedding matches are candidates, not proof.", "Only what the enabled searches find is reported.", "The diagnostic classifier measures sensitivity to leaks, not a model's quality."]
+LIMITATIONS = ["Perceptual and embedding matches are candidates, not proof.", "Only what the enabled searches find is reported.",
+    "The diagnostic classifier measures sensitivity to leaks, not a model's quality."]
 RESPONSIBLE_USE = "Originals are never changed; review findings before acting on a manifest."
 
 
@@ -30,7 +33,8 @@ def findings_table(findings: DataFrame, reviews: DataFrame) -> DataFrame:
 def findings_json(findings: DataFrame, reviews: DataFrame) -> DataFrame:
     """A row for each finding in order, with its review as an object."""
     rows = F_.ordered(R.joined(findings, reviews))
-    return rows.select(F.col("finding_id").alias("id"), *FINDING_FIELDS, F.struct(F.col("review_decision").alias("decision"), F.col("review_note").alias("note")).alias("review"))
+    return rows.select(F.col("finding_id").alias("id"), *FINDING_FIELDS,
+        F.struct(F.col("review_decision").alias("decision"), F.col("review_note").alias("note")).alias("review"))
 
 
 def repair_table(entries: DataFrame) -> DataFrame:
@@ -60,7 +64,8 @@ def report(audit: Audit, name: str, created_at: str, evaluation: bool = True, jo
         "audit": {"job_id": job_id, "dataset_name": name, "created_at": created_at, "dataset_fingerprint_sha256": summary["fingerprint"]},
         "configuration": vars(audit.config), "environment": {"spark": audit.spark.version, "random_seed": audit.config.seed, "embedding_backend": "classical"},
         "summary": summary, "evaluation": audit.evaluation().first().asDict() if evaluation else None,
-        "repair_plan": {**repair.counts.first().asDict(), "delta": [r.asDict() for r in repair.delta.orderBy("split").collect()], "warnings": [r.warning for r in repair.warnings.collect()]},
+        "repair_plan": {**repair.counts.first().asDict(), "delta": [r.asDict() for r in repair.delta.orderBy("split").collect()],
+            "warnings": [r.warning for r in repair.warnings.collect()]},
         "findings": [r.asDict(recursive=True) for r in rows.collect()], "findings_total": total, "findings_path": findings_path,
         "limitations": LIMITATIONS, "responsible_use": RESPONSIBLE_USE,
     }
@@ -80,7 +85,8 @@ def to_html(parts: dict) -> str:
     return "".join([
         f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>{e(parts['audit']['dataset_name'])}</title></head><body>",
         f"<h1>{e(parts['audit']['dataset_name'])}</h1><p>Integrity score {e(score['score'])} / 100: {e(score['grade'])}</p>",
-        "<table>" + row(["category", "affected", "penalty"], "th") + "".join(row([c["category"], c["affected_samples"], c["penalty"]]) for c in parts["summary"]["score_components"]) + "</table>",
+        "<table>" + row(["category", "affected", "penalty"], "th")
+            + "".join(row([c["category"], c["affected_samples"], c["penalty"]]) for c in parts["summary"]["score_components"]) + "</table>",
         "<table>" + row(columns, "th") + "".join(row([f[c] for c in columns]) for f in found) + "</table>", note,
         "<ul>" + "".join(f"<li>{e(x)}</li>" for x in parts["limitations"]) + f"</ul><p>{e(parts['responsible_use'])}</p></body></html>",
     ])

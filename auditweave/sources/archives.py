@@ -127,7 +127,8 @@ def reject_reason(limits: M.Limits) -> F.Column:
 def scan(entries: DataFrame, limits: M.Limits = M.Limits()) -> DataFrame:
     """Entries of interest with idx, sample_id, split, label, content and reject_reason. Entries that the directory already rules out have no number.
 
-    Raises IngestError for what isn't an archive, for too many entries, too much content, or if nothing is left: all that from the directory, before a member is read.
+    Raises IngestError for what isn't an archive, for too many entries, too much content, or if nothing is left: all that from the directory, before a
+    member is read.
     Contents are read as often as the result is; extract() reads them once."""
     facts = entries.agg(F.coalesce(F.bool_or("broken"), F.lit(False)).alias("broken"), F.count("*").alias("n")).first()
     if facts.broken:
@@ -176,11 +177,13 @@ def extract(scanned: DataFrame, folder: str) -> DataFrame:
                     with store.open_output_stream(part := f"{target}.{uuid.uuid4().hex}.part") as out:
                         out.write(body)
                     store.move(part, target)
-            yield pa.record_batch([*[b.column(c) for c in names], b.column("file"), pa.array([None if p is None else len(c) for c, p in zip(content, file, strict=True)], pa.int64())],
+            yield pa.record_batch([*[b.column(c) for c in names], b.column("file"),
+                pa.array([None if p is None else len(c) for c, p in zip(content, file, strict=True)], pa.int64())],
                                   names=[*names, "file", "written"])
 
     place = F.when(F.col("reject_reason").isNull(), F.concat_ws("/", "split", F.concat("sample_id", P.extension(F.col("path")))))
-    schema = T.StructType([*[f for f in scanned.schema.fields if f.name != "content"], T.StructField("file", T.StringType()), T.StructField("written", T.LongType())])
+    schema = T.StructType([*[f for f in scanned.schema.fields if f.name != "content"], T.StructField("file", T.StringType()),
+        T.StructField("written", T.LongType())])
     done = materialize(scanned.withColumn("file", place).mapInArrow(run, schema), "extracted")
     if done.filter("file is not null").isEmpty():
         raise IngestError(NOTHING_USABLE)
@@ -197,7 +200,9 @@ def folder_entries(spark: SparkSession, root: str) -> DataFrame:
     place = P.classify_path(F.col("below"))
     suffix = F.regexp_extract(P.file_name(F.col("below")), r"[^.](\.[^.]+)$", 1)
     reason = F.when(~P.allowed_extension(F.col("below")), F.concat(F.lit(BAD_EXTENSION), suffix, F.lit("'"))).when(place.isNull(), NO_SPLIT)
-    return kept.select(F.lit(root).alias("archive"), F.col("number").alias("position"), F.col("below").alias("path"), "content", F.col("length").alias("size"), "number", P.internal_id(F.col("number")).alias("sample_id"), place["split"].alias("split"), place["label"].alias("label"), reason.alias("reject_reason"))
+    return kept.select(F.lit(root).alias("archive"), F.col("number").alias("position"), F.col("below").alias("path"), "content",
+        F.col("length").alias("size"), "number", P.internal_id(F.col("number")).alias("sample_id"), place["split"].alias("split"),
+        place["label"].alias("label"), reason.alias("reject_reason"))
 
 
 def rejected(scanned: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ TOO_MANY_PIXELS = "image of %d pixels exceeds the limit of %d"
 def facts(spark: SparkSession, root: str) -> DataFrame:
     """origin (as the file listing has it), sha256 and header of every file below root, in one pass over their bytes; written once."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return materialize(files.select(F.col("_metadata.file_path").alias("origin"), F.sha2("content", 256).alias("sha256"), H.image_header(F.col("content")).alias("header")), "headers")
+    return materialize(files.select(F.col("_metadata.file_path").alias("origin"), F.sha2("content", 256).alias("sha256"),
+        H.image_header(F.col("content")).alias("header")), "headers")
 
 
 def refusal(limits: M.Limits) -> F.Column:
@@ -51,9 +52,11 @@ def normal_path(path: F.Column) -> F.Column:
 
 
 def samples(spark: SparkSession, root: str, files: DataFrame, vectors: str = "auto", limits: M.Limits = M.Limits()) -> DataFrame:
-    """files: accepted entries of folder_entries(root), or of extract() with root their folder. One row each, numbered in their order. vectors: a provider's name.
+    """files: accepted entries of folder_entries(root), or of extract() with root their folder. One row each, numbered in their order. vectors: a
+    provider's name.
 
-    What is told of a picture and of a file is computed where each is read; only that is joined, neither pixels nor contents. A file whose header refuses it, as it is no
+    What is told of a picture and of a file is computed where each is read; only that is joined, neither pixels nor contents. A file whose header
+    refuses it, as it is no
     picture that can be read, is cut short or has more than limits.image_pixels, is not decoded: it counts as corrupt."""
     _, vectorise = I.provider(vectors)
     base = "/" + root.rstrip("/").removeprefix("file://").removeprefix("file:").lstrip("/") + "/"
@@ -65,14 +68,17 @@ def samples(spark: SparkSession, root: str, files: DataFrame, vectors: str = "au
         (vectorise(F.col("image")) if vectorise else F.lit(None).cast("array<float>")).alias("embedding"),
     ]
     pictures = decoded(spark, root, refused).select(below("origin"), *told)
-    own = files.select("sample_id", "split", "label", "path", F.coalesce("file", "path").alias("file") if "file" in files.columns else F.col("path").alias("file"), "size")
+    own = files.select("sample_id", "split", "label", "path",
+        F.coalesce("file", "path").alias("file") if "file" in files.columns else F.col("path").alias("file"), "size")
     made = own.join(known.select(below("origin"), "sha256", "header", "refusal"), "file", "left").join(pictures, "file", "left")
     made = made.withColumn("error", F.coalesce("refusal", F.when(F.coalesce("decoded", F.lit(-1)) <= 0, "cannot be decoded")))
     made = made.join(numbered(files.select("sample_id"), "sample_id", "idx"), "sample_id")
     good = lambda c, name: F.when(F.col("error").isNull(), F.col(c)).alias(name)
     return made.select(
-        "idx", "sample_id", "split", "label", F.col("path").alias("rel_path"), "sha256", good("phash", "phash"), good("header.width", "width"), good("header.height", "height"),
-        F.col("size").cast("bigint").alias("bytes"), F.col("header.format").alias("img_format"), F.col("error").isNotNull().alias("corrupt"), F.substring("error", 1, 160).alias("error"),
+        "idx", "sample_id", "split", "label", F.col("path").alias("rel_path"), "sha256", good("phash", "phash"), good("header.width", "width"),
+            good("header.height", "height"),
+        F.col("size").cast("bigint").alias("bytes"), F.col("header.format").alias("img_format"), F.col("error").isNotNull().alias("corrupt"),
+            F.substring("error", 1, 160).alias("error"),
         good("embedding", "embedding"),
     )
 

@@ -41,7 +41,8 @@ def document_samples(spark: SparkSession, sf_dir: str, label: str = "source", fi
         F.col("doc_id").alias("idx"), internal_id(F.col("doc_id")).alias("sample_id"), split_of(F.col("doc_id")).alias("split"), "label",
         F.concat_ws("/", split_of(F.col("doc_id")), "label", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("rel_path"),
         F.sha2("text", 256).alias("sha256"), (text_fingerprint(F.col("text")) if fingerprints else F.lit(None).cast("bigint")).alias("phash"),
-        F.length("text").cast("bigint").alias("width"), (F.regexp_count("text", F.lit("\n")) + 1).cast("bigint").alias("height"), F.octet_length("text").cast("bigint").alias("bytes"),
+        F.length("text").cast("bigint").alias("width"), (F.regexp_count("text", F.lit("\n")) + 1).cast("bigint").alias("height"),
+            F.octet_length("text").cast("bigint").alias("bytes"),
         F.col("lang").alias("img_format"), corrupt.alias("corrupt"), F.when(corrupt, "too short").alias("error"), vectors.alias("embedding"),
     )
     # fingerprints go through Python: computed once, whatever reads them
@@ -51,9 +52,12 @@ def document_samples(spark: SparkSession, sf_dir: str, label: str = "source", fi
 def vector_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as samples, classes by their label."""
     return read(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("idx"), internal_id(F.col("vec_id")).alias("sample_id"), split_of(F.col("vec_id")).alias("split"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"),
-        F.lit("").alias("rel_path"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("bigint").alias("phash"), F.lit(None).cast("bigint").alias("width"), F.lit(None).cast("bigint").alias("height"),
-        F.lit(0).cast("bigint").alias("bytes"), F.lit(None).cast("string").alias("img_format"), F.lit(False).alias("corrupt"), F.lit(None).cast("string").alias("error"), "embedding",
+        F.col("vec_id").alias("idx"), internal_id(F.col("vec_id")).alias("sample_id"), split_of(F.col("vec_id")).alias("split"),
+            F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"),
+        F.lit("").alias("rel_path"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("bigint").alias("phash"),
+            F.lit(None).cast("bigint").alias("width"), F.lit(None).cast("bigint").alias("height"),
+        F.lit(0).cast("bigint").alias("bytes"), F.lit(None).cast("string").alias("img_format"), F.lit(False).alias("corrupt"),
+            F.lit(None).cast("string").alias("error"), "embedding",
     )
 
 
@@ -61,7 +65,8 @@ def made_reviews(findings: DataFrame) -> DataFrame:
     """Decisions that follow from the pair's numbers, for tests and queries."""
     d = (F.col("a_idx") + F.col("b_idx")) % 7
     decision = F.when(d == 0, "confirmed").when(d == 1, "safe").when(d == 2, "uncertain")
-    return findings.select("finding_id", decision.alias("decision"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("timestamp").alias("updated_at")).filter("decision is not null")
+    return findings.select("finding_id", decision.alias("decision"), F.lit(None).cast("string").alias("note"),
+        F.lit(None).cast("timestamp").alias("updated_at")).filter("decision is not null")
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:

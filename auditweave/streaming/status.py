@@ -15,12 +15,14 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
 def latest_states(events: DataFrame) -> DataFrame:
     """The last event of each job so far; for output mode update or complete. State is a row for each job."""
     last = F.max_by(F.struct("stage", "event_id"), F.struct("ts", "event_id"))
-    return events.groupBy("job_id").agg(last.alias("last"), F.max("ts").alias("updated_at"), F.count("*").alias("n_events")).select("job_id", "last.stage", "updated_at", "n_events")
+    return events.groupBy("job_id").agg(last.alias("last"), F.max("ts").alias("updated_at"), F.count("*").alias("n_events")).select("job_id", "last.stage",
+        "updated_at", "n_events")
 
 
 def stage_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by stage and window of time; windows close, and their state goes, when the watermark has passed."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "stage").agg(F.count("*").alias("n")).select("window.start", "window.end", "stage", "n")
+    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "stage").agg(F.count("*").alias("n")).select("window.start", "window.end",
+        "stage", "n")
 
 
 def write(states: DataFrame, name: str, checkpoint: str, mode: str = "complete"):

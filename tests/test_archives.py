@@ -144,7 +144,8 @@ def test_extract_and_audit_of_an_archive(spark, tmp_path):
     assert sorted(map(tuple, audit.samples.select(*facts).collect()), key=str) == sorted(map(tuple, same.samples.select(*facts).collect()), key=str)
     taken = A.extract(A.scan(A.archive_entries(spark, str(tmp_path / "a.zip"))), str(tmp_path / "out"))
     assert all((tmp_path / "out" / r.file).stat().st_size == r.written for r in A.accepted(taken).collect())
-    assert sum(len(fs) for *_, fs in os.walk(tmp_path / "out")) - len([1 for *_, fs in os.walk(tmp_path / "out") for f in fs if f.startswith(".")]) == len(names)
+    assert sum(len(fs) for *_, fs in os.walk(tmp_path / "out")) - len([1 for *_,
+        fs in os.walk(tmp_path / "out") for f in fs if f.startswith(".")]) == len(names)
 
 
 def test_image_fetch(spark, tmp_path):
@@ -208,4 +209,5 @@ def test_what_a_header_refuses_is_never_decoded(spark, tmp_path):
 
 def test_headers_of_a_column(spark):
     df = spark.createDataFrame([(bytearray(PIXEL),), (None,), (bytearray(jpeg()),)], "c binary").repartition(1)
-    assert [tuple(r.h) for r in df.select(H.image_header(F.col("c")).alias("h")).collect()] == [("PNG", 4, 4, True), (None, None, None, False), ("JPEG", 5, 3, True)]
+    assert [tuple(r.h) for r in df.select(H.image_header(F.col("c")).alias("h")).collect()] == [("PNG", 4, 4, True), (None, None, None, False),
+        ("JPEG", 5, 3, True)]

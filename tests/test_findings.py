@@ -30,7 +30,8 @@ def signed(h):
 
 
 def test_exact_groups_skip_nulls_and_corrupt(spark):
-    s = samples(spark, [sample(i, sha=h) for i, h in enumerate(["aa", "bb", "aa", None, "bb", "bb", ""])] + [sample(7, sha="aa", corrupt=True), sample(8, sha="")])
+    s = samples(spark, [sample(i, sha=h) for i, h in enumerate(["aa", "bb", "aa", None, "bb", "bb", ""])]
+        + [sample(7, sha="aa", corrupt=True), sample(8, sha="")])
     assert pairs(C.exact_pairs(s)) == [(0, 2), (1, 4), (1, 5), (4, 5)]
 
 
@@ -79,7 +80,8 @@ def test_components_by_rounds_and_by_one_forest(spark, monkeypatch, few):
 
 def test_components_and_groups(spark):
     links = spark.createDataFrame([(0, 1), (1, 2), (4, 5)], "a long, b long")
-    assert sorted((r.node, r.component, r.group_id) for r in G.groups(links).collect()) == [(0, 0, "g0000"), (1, 0, "g0000"), (2, 0, "g0000"), (4, 4, "g0001"), (5, 4, "g0001")]
+    assert sorted((r.node, r.component, r.group_id) for r in G.groups(links).collect()) == [(0, 0, "g0000"), (1, 0, "g0000"), (2, 0, "g0000"),
+        (4, 4, "g0001"), (5, 4, "g0001")]
 
 
 def classified(spark, method, distance, split_b="test", label_b="cat"):
@@ -91,9 +93,12 @@ def classified(spark, method, distance, split_b="test", label_b="cat"):
 @pytest.mark.parametrize(
     ("case", "kind", "severity", "confidence"),
     [
-        (("sha256", 0), M.EXACT_CROSS, "critical", M.CONFIRMED), (("phash", 3), M.NEAR_CROSS, "high", M.LIKELY), (("phash", 7), M.NEAR_CROSS, "medium", M.NEEDS_REVIEW),
-        (("embedding", 0.05), M.SEMANTIC, "medium", M.POSSIBLE), (("embedding", 0.05, "train"), M.SEMANTIC, "low", M.POSSIBLE), (("sha256", 0, "train"), M.REDUNDANT, "low", M.CONFIRMED),
-        (("phash", 7, "train"), M.REDUNDANT, "low", M.NEEDS_REVIEW), (("sha256", 0, "train", "dog"), M.CONFLICT, "critical", M.CONFIRMED), (("phash", 4, "test", "dog"), M.CONFLICT, "high", M.LIKELY),
+        (("sha256", 0), M.EXACT_CROSS, "critical", M.CONFIRMED), (("phash", 3), M.NEAR_CROSS, "high", M.LIKELY),
+            (("phash", 7), M.NEAR_CROSS, "medium", M.NEEDS_REVIEW),
+        (("embedding", 0.05), M.SEMANTIC, "medium", M.POSSIBLE), (("embedding", 0.05, "train"), M.SEMANTIC, "low", M.POSSIBLE),
+            (("sha256", 0, "train"), M.REDUNDANT, "low", M.CONFIRMED),
+        (("phash", 7, "train"), M.REDUNDANT, "low", M.NEEDS_REVIEW), (("sha256", 0, "train", "dog"), M.CONFLICT, "critical", M.CONFIRMED),
+            (("phash", 4, "test", "dog"), M.CONFLICT, "high", M.LIKELY),
         (("phash", 5, "test", "dog"), M.NEAR_CROSS, "medium", M.NEEDS_REVIEW), (("sha256", 0, "test", M.UNLABELED), M.EXACT_CROSS, "critical", M.CONFIRMED),
     ],
 )
@@ -108,13 +113,16 @@ def test_a_weak_pair_with_two_labels_still_says_so(spark):
 
 def test_one_finding_for_a_pair_that_three_methods_see(spark):
     s = samples(spark, [sample(0), sample(1, split="test")])
-    c = spark.createDataFrame([(0, 1, "embedding", 0.0, 1.0), (0, 1, "phash", 0.0, 1.0), (0, 1, "sha256", 0.0, 1.0)], "a long, b long, method string, distance double, similarity double")
+    c = spark.createDataFrame([(0, 1, "embedding", 0.0, 1.0), (0, 1, "phash", 0.0, 1.0), (0, 1, "sha256", 0.0, 1.0)],
+        "a long, b long, method string, distance double, similarity double")
     (r,) = FD.build(s, c, 4).collect()
-    assert r.method == "sha256" and r.detail.methods == ["embedding", "phash", "sha256"] and r.detail.corroborated_by_multiple_methods and r.group_id == "g0000" and r.finding_id == "f_0_1"
+    assert r.method == "sha256" and r.detail.methods == ["embedding", "phash",
+        "sha256"] and r.detail.corroborated_by_multiple_methods and r.group_id == "g0000" and r.finding_id == "f_0_1"
 
 
 def audit(spark):
-    rows = [sample(0, sha="a"), sample(1, "test", sha="a"), sample(2, "val", "dog", sha="b"), sample(3, "train", "dog", sha="b"), sample(4, "test", "dog", sha="c"), sample(5, "test", "bird", sha="c"), sample(6, "train", "cat", phash=1), sample(7, "test", "cat", phash=3)]
+    rows = [sample(0, sha="a"), sample(1, "test", sha="a"), sample(2, "val", "dog", sha="b"), sample(3, "train", "dog", sha="b"),
+        sample(4, "test", "dog", sha="c"), sample(5, "test", "bird", sha="c"), sample(6, "train", "cat", phash=1), sample(7, "test", "cat", phash=3)]
     return Audit(samples(spark, rows), M.AuditConfig(enable_semantic=False))
 
 

@@ -20,7 +20,8 @@ SAMPLE = "idx long, split string, label string, sha256 string, width long, heigh
 
 def samples(spark, n=500, seed=2):
     rng = random.Random(seed)
-    rows = [(i, rng.choice(["train", "test"]), rng.choice("abc"), rng.choice([None, f"{i % 40:064x}"]), rng.choice([0, None, 7, 7, rng.randrange(1, 3000)]), rng.choice([0, 5, rng.randrange(1, 3000)]), i * i, rng.random() < 0.1) for i in range(n)]
+    rows = [(i, rng.choice(["train", "test"]), rng.choice("abc"), rng.choice([None, f"{i % 40:064x}"]),
+        rng.choice([0, None, 7, 7, rng.randrange(1, 3000)]), rng.choice([0, 5, rng.randrange(1, 3000)]), i * i, rng.random() < 0.1) for i in range(n)]
     return rows, spark.createDataFrame(rows, SAMPLE).repartition(6)
 
 
@@ -29,7 +30,8 @@ def test_percentiles_by_selection(spark, n):
     rows, df = samples(spark, n)
     got = {r.measure: r for r in I.percentiles(df).collect()}
     valid = [r for r in rows if not r[7]]
-    measures = {"width": [r[4] for r in valid], "height": [r[5] for r in valid], "file_size_bytes": [r[6] for r in valid], "aspect_ratio": [round(r[4] / r[5], 4) for r in valid if r[4] and r[5]]}
+    measures = {"width": [r[4] for r in valid], "height": [r[5] for r in valid], "file_size_bytes": [r[6] for r in valid],
+        "aspect_ratio": [round(r[4] / r[5], 4) for r in valid if r[4] and r[5]]}
     for name, values in measures.items():
         values = [v for v in values if v]
         if not values:
@@ -41,7 +43,8 @@ def test_percentiles_by_selection(spark, n):
 
 def test_no_task_sees_a_whole_column(spark):
     """Half of the rows have one value: they are one row with a count before values are put in order."""
-    df = spark.range(20_000).select(F.lit("train").alias("split"), F.lit(False).alias("corrupt"), F.when(F.col("id") < 10_000, 5).otherwise(F.col("id")).alias("width"), F.lit(0).alias("height"), F.lit(None).cast("long").alias("bytes"))
+    df = spark.range(20_000).select(F.lit("train").alias("split"), F.lit(False).alias("corrupt"),
+        F.when(F.col("id") < 10_000, 5).otherwise(F.col("id")).alias("width"), F.lit(0).alias("height"), F.lit(None).cast("long").alias("bytes"))
     r = I.percentiles(df).first()
     values = [5] * 10_000 + list(range(10_000, 20_000))
     assert (r.min, r.p25, r.median, r.p75, r.max) == (5, 5, *np.percentile(values, [50, 75]), 19_999)
@@ -88,7 +91,8 @@ def test_regression_is_the_minimum(spark, classes, most):
     df = spark.createDataFrame([(float(c), v.tolist()) for c, v in zip(label, x, strict=True)], "label double, features array<float>").repartition(5)
     own = L.fit(df, classes, 6, most_weights=most)
     assert own.converged and (own.gradient < 1e-6 or not most) and own.passes < (12 if most else 500)
-    spark_ml = LogisticRegression(regParam=1 / len(label), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-12).fit(df.withColumn("features", array_to_vector("features")))
+    spark_ml = LogisticRegression(regParam=1 / len(label), elasticNetParam=0.0, standardization=False, maxIter=2000,
+        tol=1e-12).fit(df.withColumn("features", array_to_vector("features")))
     logits = x.astype(float) @ spark_ml.coefficientMatrix.toArray().T + spark_ml.interceptVector.toArray()
     logits = np.column_stack([np.zeros(len(x)), logits]) if classes == 2 else logits - logits.mean(axis=1, keepdims=True)
     mine = own.scores(x.astype(float))

@@ -23,7 +23,8 @@ def no_reviews(spark):
 
 
 def totals(spark, valid=100, corrupt=0, test=20, ratio=1.0, classes=2, fraction=0.2):
-    return spark.createDataFrame([(valid + corrupt, valid, corrupt, test, classes, ratio, fraction)], "total long, valid long, corrupt long, test long, classes long, class_imbalance_ratio double, test_fraction double")
+    return spark.createDataFrame([(valid + corrupt, valid, corrupt, test, classes, ratio, fraction)],
+        "total long, valid long, corrupt long, test long, classes long, class_imbalance_ratio double, test_fraction double")
 
 
 def found(spark, kinds):
@@ -36,7 +37,8 @@ def test_a_clean_inventory_scores_100(spark):
 
 
 def test_published_score_of_the_demo(spark):
-    kinds = [(M.EXACT_CROSS, i, 50 + i) for i in range(3)] + [(M.CONFLICT, 10, 60)] + [(M.NEAR_CROSS, 20 + i, 70 + i) for i in range(7)] + [(M.SEMANTIC, 30, 80)]
+    kinds = [(M.EXACT_CROSS, i, 50 + i) for i in range(3)] + [(M.CONFLICT, 10, 60)] + [(M.NEAR_CROSS, 20 + i, 70 + i)
+        for i in range(7)] + [(M.SEMANTIC, 30, 80)]
     parts = S.components(found(spark, kinds), totals(spark, 115, 1, 38, 2.789, 3, 0.3304))
     r = S.integrity(parts).first()
     assert (r.score, r.grade, r.total_penalty) == (29.1, "Severe risk", 70.868)
@@ -65,7 +67,9 @@ def test_inventory_and_issues(spark):
     assert (t.total, t.valid, t.corrupt, t.class_imbalance_ratio, t.test_fraction) == (8, 7, 1, 6.0, 0.1429)
     assert sorted((r.split, r.label) for r in I.missing_classes(s).collect()) == [("test", "a"), ("train", "b")]
     got = {r.issue_id: (r.severity, r.title) for r in I.issues(s).collect()}
-    assert got == {"issue_corrupt": ("medium", "1 corrupt or unreadable image(s)"), "issue_class_imbalance": ("medium", "Class imbalance ratio 6.0x (largest class / smallest class)"), "issue_missing_classes": ("low", "2 class/split combination(s) empty")}
+    assert got == {"issue_corrupt": ("medium", "1 corrupt or unreadable image(s)"),
+        "issue_class_imbalance": ("medium", "Class imbalance ratio 6.0x (largest class / smallest class)"),
+        "issue_missing_classes": ("low", "2 class/split combination(s) empty")}
     assert {r.issue_id for r in I.issues(s.filter("split = 'train'")).collect()} == {"issue_corrupt", "issue_no_test_split"}
     empty = I.totals(s.limit(0)).first()
     assert (empty.total, empty.class_imbalance_ratio, empty.test_fraction) == (0, None, 0.0)
@@ -122,9 +126,12 @@ def test_warnings(spark):
 @pytest.mark.parametrize(
     ("rows", "start"),
     [
-        ([("test", "a", 20)], "No training split"), ([("train", "a", 20)], "No test split"), ([("train", M.UNLABELED, 20), ("test", M.UNLABELED, 20)], "The dataset has no class labels"),
-        ([("train", "a", 20), ("test", "a", 20)], "Need at least 2 classes present in both train and test; found 1."), ([("train", "a", 20), ("train", "b", 4), ("test", "a", 20), ("test", "b", 9)], "Classes with fewer than 5 training samples: b."),
-        ([("train", "a", 20), ("train", "b", 20), ("test", "a", 5), ("test", "b", 4)], "Test split has 9 samples"), ([("train", "a", 20), ("train", "b", 20), ("test", "a", 5), ("test", "b", 5)], "Dataset is eligible"),
+        ([("test", "a", 20)], "No training split"), ([("train", "a", 20)], "No test split"),
+            ([("train", M.UNLABELED, 20), ("test", M.UNLABELED, 20)], "The dataset has no class labels"),
+        ([("train", "a", 20), ("test", "a", 20)], "Need at least 2 classes present in both train and test; found 1."),
+            ([("train", "a", 20), ("train", "b", 4), ("test", "a", 20), ("test", "b", 9)], "Classes with fewer than 5 training samples: b."),
+        ([("train", "a", 20), ("train", "b", 20), ("test", "a", 5), ("test", "b", 4)], "Test split has 9 samples"),
+            ([("train", "a", 20), ("train", "b", 20), ("test", "a", 5), ("test", "b", 5)], "Dataset is eligible"),
     ],
 )
 def test_eligibility(spark, rows, start):
@@ -142,7 +149,8 @@ def separable(spark, copies=6):
         rows.append(sample(60 + c, "test", "ab"[c % 2], embedding=rows[c][13]))
         f.append((c, 60 + c))
     s = samples(spark, rows)
-    found = spark.createDataFrame([(f"f_{a}_{b}", M.EXACT_CROSS, "critical", "sha256", a, b, "train", "test", 1.0, True) for a, b in f], "finding_id string, kind string, severity string, method string, a_idx long, b_idx long, split_a string, split_b string, similarity double, cross_split boolean")
+    found = spark.createDataFrame([(f"f_{a}_{b}", M.EXACT_CROSS, "critical", "sha256", a, b, "train", "test", 1.0, True) for a, b in f],
+        "finding_id string, kind string, severity string, method string, a_idx long, b_idx long, split_a string, split_b string, similarity double, cross_split boolean")
     return s, found
 
 
@@ -198,7 +206,8 @@ def test_jobs_are_written_and_guarded(spark, tmp_path):
 
 def test_job_lifecycle(spark):
     t = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
-    log = spark.createDataFrame([(1, 7, "queued", t(0)), (2, 7, "indexing", t(1)), (3, 8, "complete", t(30))], "event_id long, job_id long, stage string, ts timestamp_ntz")
+    log = spark.createDataFrame([(1, 7, "queued", t(0)), (2, 7, "indexing", t(1)), (3, 8, "complete", t(30))],
+        "event_id long, job_id long, stage string, ts timestamp_ntz")
     state = J.latest_state(log)
     assert {r.job_id: r.stage for r in state.collect()} == {7: "indexing", 8: "complete"}
     from pyspark.sql import functions as F
@@ -207,7 +216,8 @@ def test_job_lifecycle(spark):
     assert [r.job_id for r in gone.collect()] == [7] and [r.event_id for r in J.without(log, gone).collect()] == [3]
     jobs = spark.createDataFrame([(1, "indexing", "running"), (2, "complete", "complete")], "job_id long, stage string, status string")
     states = {(r.job_id, r.key): r.state for r in J.stage_progress(jobs).collect()}
-    assert states[1, "validating"] == "pending" and states[1, "indexing"] == "active" and states[1, "scoring"] == "complete" and states[2, "scoring"] == "complete"
+    assert states[1, "validating"] == "pending" and states[1, "indexing"] == "active" and states[1, "scoring"] == "complete" and states[2,
+        "scoring"] == "complete"
 
 
 def test_exports(spark, tmp_path):
@@ -221,7 +231,8 @@ def test_exports(spark, tmp_path):
     parts = RP.report(a, "<demo>", "2024-01-01", evaluation=True)
     assert json.loads(RP.to_json(parts))["findings_total"] == 4 and parts["evaluation"]["eligible"] is False
     page = RP.to_html(parts)
-    assert "&lt;demo&gt;" in page and "<demo>" not in page and parts["generated_at"] and parts["findings"][0]["review"] == {"decision": "unreviewed", "note": None}
+    assert "&lt;demo&gt;" in page and "<demo>" not in page and parts["generated_at"] and parts["findings"][0]["review"] == {"decision": "unreviewed",
+        "note": None}
 
 
 def test_report_has_all_findings(spark, tmp_path):

@@ -36,7 +36,8 @@ def hashes(n, clusters, flips, seed=1):
 def test_bands_find_all_pairs(spark, threshold):
     own = hashes(400, 25, 14)
     values = spark.createDataFrame([(signed(h),) for h in own], "h long")
-    want = sorted((min(p), max(p), (a ^ b).bit_count()) for a, b in itertools.combinations(own, 2) if (a ^ b).bit_count() <= threshold for p in [(signed(a), signed(b))])
+    want = sorted((min(p), max(p), (a ^ b).bit_count()) for a,
+        b in itertools.combinations(own, 2) if (a ^ b).bit_count() <= threshold for p in [(signed(a), signed(b))])
     assert sorted(map(tuple, C.value_pairs(values, threshold).collect())) == want
 
 
@@ -132,9 +133,11 @@ def labelled(spark, seed=4, n=300):
 @pytest.mark.parametrize("threshold,strong", [(8, 4), (3, 0)])
 def test_classes_count_what_pairs_do(spark, exact, near, threshold, strong):
     samples = labelled(spark)
-    similar = spark.createDataFrame([(a, b, "embedding", 0.05, 0.95) for a in range(0, 290, 7) for b in (a + 1, a + 9)], "a long, b long, method string, distance double, similarity double")
+    similar = spark.createDataFrame([(a, b, "embedding", 0.05, 0.95) for a in range(0, 290, 7) for b in (a + 1, a + 9)],
+        "a long, b long, method string, distance double, similarity double")
     valid = samples.filter("not corrupt").select("idx")
-    similar = similar.join(valid.withColumnRenamed("idx", "a"), "a").join(valid.withColumnRenamed("idx", "b"), "b").select("a", "b", "method", "distance", "similarity")
+    similar = similar.join(valid.withColumnRenamed("idx", "a"), "a").join(valid.withColumnRenamed("idx", "b"), "b").select("a", "b", "method", "distance",
+        "similarity")
     found = [similar] + ([C.exact_pairs(samples)] if exact else []) + ([C.hamming_nested(samples, threshold)] if near else [])
     candidates = found[0]
     for more in found[1:]:
@@ -163,8 +166,10 @@ def test_pairs_by_rank(spark):
 
 def test_a_large_class_is_one_row(spark):
     n = 100_000
-    sample = F.col("id").alias("idx"), F.format_string("s%d", "id").alias("sample_id"), F.element_at(F.array(*map(F.lit, M.SPLITS)), (F.col("id") % 3 + 1).cast("int")).alias("split")
-    samples = spark.range(n).select(*sample, F.when(F.col("id") % 10 == 0, "dog").otherwise("cat").alias("label"), F.lit("ab" * 32).alias("sha256"), F.lit(7).cast("long").alias("phash"), F.lit(False).alias("corrupt"))
+    sample = F.col("id").alias("idx"), F.format_string("s%d", "id").alias("sample_id"), F.element_at(F.array(*map(F.lit, M.SPLITS)),
+        (F.col("id") % 3 + 1).cast("int")).alias("split")
+    samples = spark.range(n).select(*sample, F.when(F.col("id") % 10 == 0, "dog").otherwise("cat").alias("label"), F.lit("ab" * 32).alias("sha256"),
+        F.lit(7).cast("long").alias("phash"), F.lit(False).alias("corrupt"))
     classes = Classes(samples, 8, 4)
     assert classes.classes.count() == 1 and classes.relation().count() == 1
     counts = {r.kind: r.n for r in classes.counts().collect()}

@@ -35,7 +35,9 @@ def scanned(spark, path, limits=M.Limits()):
 def test_archive(spark, tmp_path):
     link = zipfile.ZipInfo("train/a/link.png")
     link.external_attr = 0o120777 << 16
-    path = archive(tmp_path, [("train/a/1.png", PIXEL), ("../evil.png", PIXEL), ("train/a/", b""), ("__MACOSX/x.png", b"x"), ("train/a/.hidden", b""), (link, b"x"), ("notes.txt", b"x"), ("train/a/fake.png", b"not an image"), ("train/a/bomb.png", b"\0" * 400_000), ("loose.png", PIXEL), ("Test/b/c/2.PNG", PIXEL), ("val/3.png", PIXEL)])
+    path = archive(tmp_path, [("train/a/1.png", PIXEL), ("../evil.png", PIXEL), ("train/a/", b""), ("__MACOSX/x.png", b"x"), ("train/a/.hidden", b""),
+        (link, b"x"), ("notes.txt", b"x"), ("train/a/fake.png", b"not an image"), ("train/a/bomb.png", b"\0" * 400_000), ("loose.png", PIXEL),
+        ("Test/b/c/2.PNG", PIXEL), ("val/3.png", PIXEL)])
     got = scanned(spark, path)
     assert got["train/a/1.png"] == (None, "train", "a", "s0000000")
     assert got["Test/b/c/2.PNG"][:3] == (None, "test", "b/c") and got["val/3.png"][:3] == (None, "val", M.UNLABELED)
@@ -94,6 +96,29 @@ def test_providers(monkeypatch):
     assert FI.provider() == ("learned", len)
 
 
+def mean_colours():
+    """A model that a worker loads: the mean of each channel, and of each half."""
+
+    def predict(images):
+        assert images.ndim == 4 and images.shape[1:] == (8, 8, 3)
+        return np.concatenate([images.mean(axis=(1, 2)), images[:, :4].mean(axis=(1, 2)), images[:, 4:].mean(axis=(1, 2))], axis=1).astype(np.float32)
+
+    return predict
+
+
+def test_a_learned_backend(spark, monkeypatch, tmp_path):
+    folder = tmp_path / "train" / "c"
+    folder.mkdir(parents=True)
+    for i in range(40):
+        (folder / f"{i:02d}.png").write_bytes(demo.png(np.full((16, 12, 3), (i * 5, 255 - i * 5, 90), np.uint8)))
+    (folder / "cut.png").write_bytes(PIXEL[:-9])
+    monkeypatch.setitem(FI.PROVIDERS, "learned", FI.learned(mean_colours, side=8, batch=16))
+    rows = {r.rel_path[-6:]: r for r in images.samples(spark, str(tmp_path), A.accepted(A.folder_entries(spark, str(tmp_path)))).collect()}
+    assert len(rows) == 41 and rows["ut.png"].embedding is None
+    for i in range(40):
+        assert np.allclose(rows[f"{i:02d}.png"].embedding, np.tile([i * 5, 255 - i * 5, 90], 3) / 255, atol=1e-5)
+
+
 @pytest.fixture(scope="module")
 def planted(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("demo"))
@@ -129,7 +154,8 @@ def test_planted_defects_are_found(audited, planted):
 
 
 def test_score_and_gap_of_the_demo(audited):
-    """3 exact, 1 two labels, 1 corrupt and an imbalance give 70.868 of penalty with seven near and one semantic pair; ours has the same parts where the defects are the same."""
+    """3 exact, 1 two labels, 1 corrupt and an imbalance give 70.868 of penalty with seven near and one semantic pair; ours has the same parts where
+    the defects are the same."""
     parts = {r.category: r for r in audited.score_components().collect()}
     assert parts[M.EXACT_CROSS].affected_samples == 6 and parts[M.CONFLICT].affected_samples == 2 and parts[M.CORRUPT].affected_samples == 1
     assert audited.score().first().score < 50
