@@ -14,10 +14,17 @@ def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
 
     Ranges of the column are sorted and numbered each on its own; what precedes a range is the sum of the sizes before
     it, a row for each partition."""
-    dealt = materialize(rows.repartitionByRange(column).sortWithinPartitions(column).withColumn("__part", F.spark_partition_id()), "ordered")
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("__part", before.alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(column))
-    return dealt.withColumn("__place", place).join(F.broadcast(offsets), "__part").withColumn(name,
-        (F.col("__before") + F.col("__place") - 1).cast("bigint")).drop("__part", "__before", "__place")
+    part, place, before = (_unused(rows, c) for c in ("part", "place", "before"))
+    dealt = materialize(rows.repartitionByRange(column).sortWithinPartitions(column).withColumn(part, F.spark_partition_id()), "ordered")
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))
+    offsets = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    own = dealt.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(column)))
+    return own.join(F.broadcast(offsets), part).withColumn(name, (F.col(before) + F.col(place) - 1).cast("bigint")).drop(part, before, place)
+
+
+def _unused(rows: DataFrame, name: str) -> str:
+    """The name, longer by underscores where rows has such a column."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

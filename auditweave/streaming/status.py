@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.jobs import EVENTS as LOG
+
 EVENTS = "event_id long, job_id long, stage string, ts timestamp"
 
 
@@ -12,6 +14,12 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def read_log(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
+    """The events of a job log as operators.jobs writes it, a small file each, as they come."""
+    files = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    return files.json(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def latest_states(events: DataFrame) -> DataFrame:
     """The last event of each job so far; for output mode update or complete. State is a row for each job."""
     last = F.max_by(F.struct("stage", "event_id"), F.struct("ts", "event_id"))

@@ -290,3 +290,21 @@ def test_stream_of_states(spark, tmp_path):
     assert {r.job_id: (r.stage, r.n_events) for r in spark.table("states").collect()} == {0: ("complete", 3), 1: ("complete", 3), 2: ("complete", 3)}
     status.write(status.stage_counts(events), "counts", str(tmp_path / "c2")).awaitTermination()
     assert sum(r.n for r in spark.table("counts").collect()) == 9
+
+
+def test_stream_of_a_job_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    jobs = [J.create(spark, path) for _ in range(3)]
+    for job in jobs[:2]:
+        J.advance(spark, path, job, "indexing")
+    J.advance(spark, path, jobs[0], "complete")
+    status.write(status.latest_states(status.read_log(spark, path, 1)), "log_states", str(tmp_path / "c")).awaitTermination()
+    assert {r.job_id: (r.stage, r.n_events) for r in spark.table("log_states").collect()} == {jobs[0]: ("complete", 3), jobs[1]: ("indexing", 2), jobs[2]: ("queued", 1)}
+
+
+def test_numbers_beside_columns_of_any_name(spark):
+    from auditweave.operators.order import numbered
+
+    rows = spark.range(50).select((F.col("id") * 3).alias("key"), F.lit("a").alias("part"), F.lit("b").alias("PLACE"), F.lit("c").alias("before")).repartition(4)
+    got = numbered(rows, "key", "n")
+    assert got.columns == ["key", "part", "PLACE", "before", "n"] and sorted((r.key, r.n) for r in got.collect()) == [(3 * i, i) for i in range(50)]
