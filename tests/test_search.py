@@ -32,7 +32,7 @@ def hashes(n, clusters, flips, seed=1):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("threshold", [0, 1, 2, 3, 5, 8, 16, 24])
+@pytest.mark.parametrize("threshold", [0, 1, 3, 8, 16, 24])
 def test_bands_find_all_pairs(spark, threshold):
     own = hashes(400, 25, 14)
     values = spark.createDataFrame([(signed(h),) for h in own], "h long")
@@ -88,8 +88,7 @@ def brute(rows, top_k, threshold):
     return sorted(out)
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.9, -1.0])
-@pytest.mark.parametrize("block_rows,per_pivot", [(4096, 256), (16, 20)])
+@pytest.mark.parametrize("threshold,block_rows,per_pivot", [(0.5, 16, 20), (0.9, 4096, 256), (0.9, 16, 20), (-1.0, 16, 20)])
 def test_neighbours_equal_all_comparisons(spark, monkeypatch, threshold, block_rows, per_pivot):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 24))
@@ -129,8 +128,7 @@ def labelled(spark, seed=4, n=300):
     return spark.createDataFrame(rows, "idx long, sample_id string, split string, label string, sha256 string, phash long, corrupt boolean").repartition(4)
 
 
-@pytest.mark.parametrize("exact,near", [(True, True), (True, False), (False, True)])
-@pytest.mark.parametrize("threshold,strong", [(8, 4), (3, 0)])
+@pytest.mark.parametrize("exact,near,threshold,strong", [(True, True, 8, 4), (True, True, 3, 0), (True, False, 8, 4), (False, True, 8, 4)])
 def test_classes_count_what_pairs_do(spark, exact, near, threshold, strong):
     samples = labelled(spark)
     similar = spark.createDataFrame([(a, b, "embedding", 0.05, 0.95) for a in range(0, 290, 7) for b in (a + 1, a + 9)],
