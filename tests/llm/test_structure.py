@@ -24,8 +24,7 @@ def result(df):
     return sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
 
 
-@pytest.mark.parametrize("batch", [structure.TURNS, 5, 1])
-@pytest.mark.parametrize("damaged", [True, False])
+@pytest.mark.parametrize("batch,damaged", [(structure.TURNS, True), (5, False), (1, True)])
 def test_equals_all_edits(spark, batch, damaged):
     df = spark.createDataFrame(made(), SCHEMA).withColumn("kind", F.lit("x")).withColumn("SHA", F.lit("y")).repartition(5)
     got = result(structure.repair(structure.damage(df) if damaged else df, batch))
