@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import model as M
@@ -60,40 +62,50 @@ def quarantine(findings: DataFrame, reviews: DataFrame) -> DataFrame:
     return ends.groupBy("idx").agg(first.alias("f")).select("idx", "f.*")
 
 
-def accuracy(predictions: DataFrame) -> DataFrame:
-    """test_samples, accuracy and macro F1 (unweighted over labels seen or predicted) of columns label, prediction."""
-    cells = predictions.groupBy("label", "prediction").agg(F.count("*").alias("n"))
-    per = cells.select("n", F.explode(F.array(F.struct(F.col("label").alias("c"), F.lit(1).alias("actual"), F.lit(0).alias("guess")),
-        F.struct(F.col("prediction").alias("c"), F.lit(0).alias("actual"), F.lit(1).alias("guess")))).alias("x"),
-        (F.col("label") == F.col("prediction")).alias("right"))
-    by_class = per.groupBy("x.c").agg(F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("twice_right"), F.sum("n").alias("seen"),
+def accuracy(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """test_samples, accuracy and macro F1 (unweighted over labels seen or predicted) of columns label, prediction; a row for each value of `by`."""
+    cells = predictions.groupBy(*by, "label", "prediction").agg(F.count("*").alias("n"))
+    ends = F.array(
+        F.struct(F.col("label").alias("c"), F.lit(1).alias("actual"), F.lit(0).alias("guess")),
+        F.struct(F.col("prediction").alias("c"), F.lit(0).alias("actual"), F.lit(1).alias("guess")))
+    per = cells.select(*by, "n", F.explode(ends).alias("x"), (F.col("label") == F.col("prediction")).alias("right"))
+    by_class = per.groupBy(*by, "x.c").agg(
+        F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("twice_right"), F.sum("n").alias("seen"),
         F.sum(F.when(F.col("x.actual") == 1, F.col("n")).otherwise(0)).alias("actual"))
-    f1 = by_class.agg(F.avg(F.col("twice_right") / F.col("seen")).alias("macro_f1"), F.sum("actual").alias("test_samples"),
+    f1 = by_class.groupBy(*by).agg(
+        F.avg(F.col("twice_right") / F.col("seen")).alias("macro_f1"), F.sum("actual").alias("test_samples"),
         (F.sum("twice_right") / 2 / F.sum("actual")).alias("accuracy"))
-    return f1.select("test_samples", "accuracy", "macro_f1")
+    return f1.select(*by, "test_samples", "accuracy", "macro_f1")
+
+
+def _ends(stats: Sequence[float]) -> list[float]:
+    return [round(float(x), 4) for x in np.percentile(stats, [2.5, 97.5])]
+
+
+def interval(n: int, right: int, config: M.AuditConfig, seed: int) -> list[float] | None:
+    """The 95 % percentile bootstrap of the accuracy of n rows of which `right` are right, as a resample's number of right rows is binomial; None
+    below min_bootstrap."""
+    if n < config.min_bootstrap:
+        return None
+    return _ends(np.random.default_rng(seed).binomial(n, right / n, config.bootstrap_iterations) / n)
 
 
 def bootstrap(predictions: DataFrame, config: M.AuditConfig, seed: int) -> DataFrame:
     """low, high of the 95 % percentile bootstrap of the accuracy of columns idx, label, prediction; no row below min_bootstrap.
 
-    The accuracy of a resample of n rows of which k are right is binomial, k / n for each of n draws: that is what `binomial` draws."""
+    `binomial` needs two counts; `sequence` draws row numbers in one task."""
     spark = predictions.sparkSession
     rows = predictions.select("idx", (F.col("label") == F.col("prediction")).cast("int").alias("right"))
-    n, k = rows.agg(F.count("*"), F.coalesce(F.sum("right"), F.lit(0))).first()
-    if n < config.min_bootstrap:
-        return spark.createDataFrame([], "low double, high double")
-
-    def ends(stats) -> list[float]:
-        return [round(float(x), 4) for x in np.percentile(stats, [2.5, 97.5])]
-
     if config.bootstrap == "binomial":
-        drawn = np.random.default_rng(seed).binomial(n, k / n, config.bootstrap_iterations) / n
-        return spark.createDataFrame([ends(drawn)], "low double, high double")
+        found = interval(*rows.agg(F.count("*"), F.coalesce(F.sum("right"), F.lit(0))).first(), config, seed)
+        return spark.createDataFrame([found] if found else [], "low double, high double")
+    if rows.count() < config.min_bootstrap:
+        return spark.createDataFrame([], "low double, high double")
 
     def draw(table: pa.Table) -> pa.Table:
         right = table.sort_by("idx").column("right").to_numpy()
         rng = np.random.RandomState(seed)
-        low, high = ends([right[rng.randint(0, len(right), size=len(right))].mean() for _ in range(config.bootstrap_iterations)])
+        low, high = _ends([right[rng.randint(0, len(right), size=len(right))].mean() for _ in range(config.bootstrap_iterations)])
         return pa.table({"low": [low], "high": [high]})
 
     return rows.groupBy().applyInArrow(draw, "low double, high double")
@@ -108,14 +120,14 @@ def embedded(samples: DataFrame) -> DataFrame:
     return kept.select("idx", "split", F.col("label").alias("class"), F.col("embedding").alias("features"))
 
 
-def predict(rows: DataFrame, classes: list[str], others: list[str], c: float = 1.0) -> tuple[DataFrame, Fitted]:
+def predict(rows: DataFrame, classes: list[str], others: list[str], width: int, c: float = 1.0) -> tuple[DataFrame, Fitted]:
     """idx, label, prediction (class numbers) for the test rows of embedded(), and the regression on its train rows that they come from.
 
-    classes: of the train rows, in the order of their numbers; others: of test rows only, which are never predicted."""
+    classes: of the train rows, in the order of their numbers; others: of test rows only, which are never predicted; width: numbers of an embedding."""
     number = F.array_position(F.array(*map(F.lit, [*classes, *others])), F.col("class")) - 1
     numbered = rows.select("idx", "split", number.cast("double").alias("label"), "features")
     train = numbered.filter("split = 'train'")
-    fitted = fit(train, len(classes), train.select(F.size("features")).first()[0], c)
+    fitted = fit(train, len(classes), width, c)
     return materialize(fitted.predict(numbered.filter("split = 'test'").select("idx", "label", "features")), "predictions"), fitted
 
 
@@ -128,25 +140,34 @@ def gap(samples: DataFrame, findings: DataFrame, reviews: DataFrame, config: M.A
     if not may.eligible:
         return spark.createDataFrame([(False, may.reason, *[None] * 17)], columns)
     rows = materialize(embedded(samples), "embedded")
-    sizes = rows.groupBy("class").agg(F.count_if(F.expr("split = 'train'")).alias("n")).orderBy("class").collect()  # a row for each class
+    # a row for each class
+    sizes = rows.groupBy("class").agg(F.count_if(F.expr("split = 'train'")).alias("n"), F.max(F.size("features")).alias("width")).orderBy("class").collect()
     n_train, known, others = sum(r.n for r in sizes), [r["class"] for r in sizes if r.n], [r["class"] for r in sizes if not r.n]
     if n_train < config.min_classes * config.min_per_class or len(known) < 2:
         return spark.createDataFrame([(False, FEW_EMBEDDED, *[None] * 17)], columns)
-    test, fitted = predict(rows, known, others)
+    test, fitted = predict(rows, known, others, sizes[0].width)
     told = (fitted.passes, fitted.gradient, fitted.converged)
-    clean = test.join(quarantine(findings, reviews), "idx", "left_anti")
+    # both measures in one pass: every test row counts before, those that aren't quarantined count after, too
+    gone = quarantine(findings, reviews).select("idx", F.lit(True).alias("gone"))
+    scopes = test.join(gone, "idx", "left").withColumn("clean",
+        F.explode(F.when(F.col("gone"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    found = {r.clean: r for r in accuracy(scopes, ["clean"]).collect()}
+    before, after = found.get(False), found.get(True)
+    if before is None:  # no test row has an embedding
+        return spark.createDataFrame([(False, FEW_EMBEDDED, *[None] * 17)], columns)
 
-    def measured(rows: DataFrame, seed: int) -> tuple:
-        m, ci = accuracy(rows).first(), bootstrap(rows, config, seed).first()
-        return m.test_samples, m.accuracy, m.macro_f1, *(tuple(ci) if ci else (None, None))
+    def measured(m: Row, seed: int) -> tuple:
+        if config.bootstrap == "binomial":
+            ci = interval(m.test_samples, round(m.accuracy * m.test_samples), config, seed)
+        else:
+            ci = bootstrap(scopes.filter("clean" if m.clean else "not clean"), config, seed).first()
+        return m.test_samples, round(m.accuracy, 4), round(m.macro_f1, 4), *(tuple(ci) if ci else (None, None))
 
-    before, left = measured(test, config.seed), clean.count()
-    removed = before[0] - left
-    show = lambda m: (m[0], round(m[1], 4), round(m[2], 4), *m[3:])
-    head = (True, may.reason, n_train, *show(before), removed)
+    left = after.test_samples if after else 0
+    removed = before.test_samples - left
+    head = (True, may.reason, n_train, *measured(before, config.seed), removed)
     if removed == 0:
         return spark.createDataFrame([(*head, *[None] * 6, NONE_IMPLICATED, *told)], columns)
     if left < 2:
         return spark.createDataFrame([(*head, *[None] * 6, NEARLY_ALL, *told)], columns)
-    after = measured(clean, config.seed + 1)
-    return spark.createDataFrame([(*head, *show(after), round(before[1] - after[1], 4), None, *told)], columns)
+    return spark.createDataFrame([(*head, *measured(after, config.seed + 1), round(before.accuracy - after.accuracy, 4), None, *told)], columns)

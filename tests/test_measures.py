@@ -112,7 +112,7 @@ def test_classes_without_train_rows_are_never_predicted_but_count(spark):
     label, x = points(3)
     rows = [(i, "train" if i % 2 else "test", "abc"[c], v.tolist()) for i, (c, v) in enumerate(zip(label, x, strict=True)) if i % 2 == 0 or c < 2]
     df = spark.createDataFrame(rows, "idx long, split string, class string, features array<float>")
-    test, fitted = E.predict(df, ["a", "b"], ["c"])
+    test, fitted = E.predict(df, ["a", "b"], ["c"], 6)
     got = test.collect()
     assert {r.prediction for r in got} == {0.0, 1.0} and {r.label for r in got} == {0.0, 1.0, 2.0} and len(got) == 200 and fitted.converged
 

@@ -153,14 +153,19 @@ def test_planted_defects_are_found(audited, planted):
     assert {r.kind for r in audited.issues.collect()} >= {M.CORRUPT, M.CLASS_IMBALANCE}
 
 
-def test_score_and_gap_of_the_demo(audited):
-    """3 exact, 1 two labels, 1 corrupt and an imbalance give 70.868 of penalty with seven near and one semantic pair; ours has the same parts where
-    the defects are the same."""
+def test_score_and_gap_of_the_demo(spark, audited):
+    """3 exact, 7 near, 1 similar, 1 under two labels, 1 corrupt and the imbalances come to the known score of 29.1."""
+    audited.findings.count()
     parts = {r.category: r for r in audited.score_components().collect()}
-    assert parts[M.EXACT_CROSS].affected_samples == 6 and parts[M.CONFLICT].affected_samples == 2 and parts[M.CORRUPT].affected_samples == 1
-    assert audited.score().first().score < 50
+    assert {k: parts[k].affected_samples for k in (M.EXACT_CROSS, M.NEAR_CROSS, M.SEMANTIC, M.CONFLICT, M.CORRUPT)} == {M.EXACT_CROSS: 6, M.NEAR_CROSS: 14,
+        M.SEMANTIC: 2, M.CONFLICT: 2, M.CORRUPT: 1}
+    score = audited.score().first()
+    assert (score.score, score.total_penalty, score.grade) == (29.1, 70.868, "Severe risk")
+    spark.sparkContext.setJobGroup("gap of the demo", "")
     gap = audited.evaluation().first()
-    assert gap.eligible and gap.converged and gap.gradient < 1e-5 and gap.quarantined >= 3 and gap.test_samples == 38
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("gap of the demo"))
+    assert gap.eligible and gap.converged and gap.gradient < 1e-5 and gap.quarantined == 8 and (gap.test_samples, gap.clean_samples) == (38, 30)
+    assert jobs < 45, jobs
 
 
 def test_generator_repeats_itself(spark, planted, tmp_path):
