@@ -31,7 +31,8 @@ def members(samples: DataFrame) -> DataFrame:
     """idx, cls (the smallest idx of its digest), h (its hash), split, label of valid samples; written once."""
     own = samples.filter("not corrupt").select("idx", F.nullif("sha256", F.lit("")).alias("sha256"), F.col("phash").alias("h"), "split", "label")
     first = own.filter("sha256 is not null").groupBy("sha256").agg(F.min("idx").alias("cls"), F.min("h").alias("value"))
-    known = own.join(first, "sha256", "left")
+    first = materialize(first.withColumnRenamed("sha256", "key"), "digests")  # two plain exchanges meet then, of which a hot digest's can be split
+    known = own.withColumn("key", F.coalesce("sha256", F.concat(F.lit("#"), "idx"))).join(first.hint("merge"), "key", "left")
     return materialize(known.select("idx", F.coalesce("cls", "idx").alias("cls"), F.coalesce("value", "h").alias("h"), "split", "label"), "members")
 
 
