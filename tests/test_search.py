@@ -14,6 +14,7 @@ from auditweave.operators import findings as FD
 from auditweave.operators import neighbours as N
 from auditweave.operators.classes import Classes
 from auditweave.operators.components import groups
+from auditweave.storage import materialize
 
 
 def signed(x):
@@ -72,6 +73,31 @@ def test_bands_shun_bits_that_all_hashes_share(spark):
     assert all(b.shift >= 16 or b.shift + b.width > 20 for b in chosen) and cost < 0.1 * 3000**2 / 2
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1024])
+def test_chunks_of_a_hot_band_value_meet_all(spark, monkeypatch, chunk):
+    """All hashes share the low 32 bits, so a band has one value; groups of near copies beside them."""
+    monkeypatch.setattr(B, "CHUNK", chunk)
+    own = sorted({h & ~0xFFFFFFFF for h in hashes(300, 12, 9)})
+    values = spark.createDataFrame([(signed(h),) for h in own], "h long")
+    bands = [B.Band(shift, 16, 2) for shift in (0, 16, 48)]
+    want = sorted((min(p), max(p), (a ^ b).bit_count()) for a, b in itertools.combinations(own, 2)
+        if (a ^ b).bit_count() <= 8 for p in [(signed(a), signed(b))])
+    assert sorted(map(tuple, B.pairs(values, bands, 8).collect())) == want
+
+
+@pytest.mark.parametrize("threshold", [8, 16])
+def test_enumerated_rows_are_never_broadcast(spark, threshold):
+    """What Spark expects of an explode leaves out how many rows it makes: a small table of hashes became a broadcast of a thousand times its rows."""
+    values = materialize(spark.createDataFrame([(signed(h),) for h in hashes(500, 500, 0)], "h long"), "hashes")
+    tree = C.value_pairs(values, threshold)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in tree]
+    for i, line in enumerate(tree):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda k: depth[k] > depth[i], range(i + 1, len(tree)))  # noqa: B023
+            assert not any("Generate" in tree[k] for k in below)
+    assert any("Generate" in line for line in tree)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, False, [float(x) for x in v]) for i, v in rows], "idx long, corrupt boolean, embedding array<float>").repartition(5)
 
