@@ -126,6 +126,29 @@ def test_neighbours_equal_all_comparisons(spark, monkeypatch, threshold, block_r
     assert sorted((r.a, r.b, round(r.similarity, 6)) for r in got.collect()) == brute(rows, 6, threshold)
 
 
+def test_a_batch_of_queries_grows_with_the_vectors(spark):
+    """Blocks are read for many queries at once: with 128 at a time each block of 20,000 vectors was read 160 times."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(20_000, 8)))]
+    visited = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    N.lists(vectors(spark, rows), 4, 0.35, visited).collect()
+    assert visited[1].value <= 120 * (20_000 // 256 + 1)
+
+
+def test_neighbours_that_single_precision_cannot_tell_apart():
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=8) + 1e-8 * rng.normal(size=(200, 8))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    queries = np.eye(8)[:3] + rows[:3]
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    best = N.Lists(3, 5)
+    for at in range(0, 200, 50):
+        best.search(np.arange(3), queries, rows[at : at + 50], np.arange(at, at + 50), np.arange(51), 0.1)
+    exact = np.round(queries @ rows.T, 12)
+    want = [sorted(zip((-x).tolist(), range(200), strict=True))[:5] for x in exact]
+    assert best.name.tolist() == [[i for _, i in w] for w in want]
+
+
 def test_blocks_that_cannot_matter_are_not_read(spark):
     rng = np.random.default_rng(3)
     centres = np.eye(16)
