@@ -29,6 +29,25 @@ def test_settings_are_put_back(spark):
     assert spark.conf.get(storage.CLEANUP, None) == was
 
 
+def test_large_sides_are_not_broadcast_for_a_table(spark):
+    """Two megabytes on disk, which Spark's own threshold would have broadcast."""
+    assert [storage.size_in_bytes(x) for x in ("-1", "10485760b", "256k", "10MB", "1g")] == [-1, 10 << 20, 256 << 10, 10 << 20, 1 << 30]
+    side = storage.materialize(spark.range(250_000).selectExpr("id", "xxhash64(id) AS x"), "side")
+    was = spark.conf.get(storage.BROADCAST)
+
+    def plan(df):
+        store = spark._jsparkSession.sharedState().statusStore()
+        storage.materialize(df, "joined")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        runs = store.executionsList()
+        return runs.apply(runs.size() - 1).physicalPlanDescription()
+
+    joined = plan(side.join(side.withColumnRenamed("x", "y").filter("y > 0"), "id"))
+    assert "SortMergeJoin" in joined and "BroadcastHashJoin" not in joined
+    assert "BroadcastHashJoin" in plan(side.join(spark.range(9), "id"))  # small ones are
+    assert spark.conf.get(storage.BROADCAST) == was
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     class Elsewhere:
         class conf:
