@@ -1,15 +1,18 @@
-"""Near duplicates by word shingles: one document of each group stays.
+"""Near duplicates by SimHash and word shingles: one document of each group stays.
 
-Fingerprints of a few bits lose pairs whose similarity is just enough (see the README), so this stage decides on whole shingle sets
-and finds its candidates exactly. All sets stand in one order of shingles; two sets with a Jaccard similarity of 0.8 have one in
+Each set of shingles has a fingerprint of 64 bits, set where most of its shingles' hashes are. Multi-index hashing (`simhash`) finds all
+fingerprints within DISTANCE bits, and pairs of their sets that whole shingle sets confirm are tied: these are most near copies. Fingerprints
+of a few bits lose pairs whose similarity is just enough (see the README), so an exact check follows that finds what they can't tell.
+All sets stand in one order of shingles; two sets with a Jaccard similarity of 0.8 have one in
 common among their first n - ceil(0.8 n) + 1, so an equi-join on these finds every pair. What can't be alike leaves by bounds that
 never err: sizes, the place of the first common shingle, and parities (a bit for each of some values of a hash: the number of the
 set's shingles there, modulo 2), which never differ in more bits than the sets do in shingles.
 
-1. Dense groups are tied first: nodes are compared with one member of each bucket (the nodes with a shingle), each tie verified. The
+1. Fingerprints within DISTANCE bits are linked; of the links of a task those that connect something new go on to be verified and tied.
+2. While buckets (the nodes with a shingle) hold many pairs of different groups, nodes are compared with one member of each, each tie verified. The
    first turn takes the member whose buckets are largest, as copies with few edits share them with their source.
-2. Then all pairs of different groups are searched. In each bucket the largest group's members meet the others only.
-3. Candidates that the bounds leave are verified on their texts' whole shingle sets.
+3. Then all pairs of different groups are searched. In each bucket the largest group's members meet the others only.
+4. Candidates of all steps that the bounds leave are verified on their texts' whole shingle sets.
 
 Defined results: texts with equal shingle sets are one node, whatever their case and white space and however often a passage repeats;
 a text of fewer words than a shingle is one shingle of all its words, null and empty texts are equal to each other and to nothing
@@ -28,10 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import components
+from ..operators.components import HELD, components
 from .common import KEY, PART_BYTES, arrow_limits, chunks, id_and_text, mark, materialize, only_rows, parts, release, signed, with_key, without_rows
+from .simhash import bit_counts, links, majority, stars
 from .wordhash import BLANK_SEPARATED, LOWER, mix, run_hash, run_sums, word_hashes, words
 
+#: Bits that the fingerprints of near copies differ in at most. More need balls that are several times as large; the pairs beyond are found all the same.
+DISTANCE = 5
 #: Bits of the parities that go with a bucket's entries; a node's own have twice as many bits as it has shingles or more.
 PARITY_BITS = 512
 PARITY = [f"s{i}" for i in range(PARITY_BITS // 64)]
@@ -83,6 +89,11 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], size: int, most: int = PART_
             yield rows, own
 
 
+def fingerprint(shingles: np.ndarray) -> bytes:
+    """The SimHash of a set of shingle hashes."""
+    return majority(bit_counts(mix(shingles.view(np.uint64)).tobytes()), len(shingles))
+
+
 def node_of(shingles: list[np.ndarray]) -> np.ndarray:
     """A hash of each set."""
     return signed(np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in shingles], np.uint64))
@@ -115,7 +126,7 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray
 
 
 def _prints(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """(doc, row, node, n, tokens, bits, s0, s1 ...): the number of a text's shingles, their prefix and parities."""
+    """(doc, row, node, fp, n, tokens, bits, s0, s1 ...): the fingerprint and number of a text's shingles, their prefix and parities."""
     frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, size))
 
     def run(batches):
@@ -131,12 +142,54 @@ def _prints(texts: DataFrame, size: int, least: float) -> DataFrame:
             own = [parities(x, max(PARITY_BITS, 1 << (2 * len(x)).bit_length())) for x in shingles]
             short = np.array([folded(x, len(PARITY)) for x in own]).reshape(len(own), -1)
             columns = [
-                *[rows.column(c) for c in KEY], pa.array(node_of(shingles)), pa.array(n, pa.int32()), pa.array(tokens, pa.list_(pa.int64())),
+                *[rows.column(c) for c in KEY], pa.array(node_of(shingles)),
+                pa.array(np.frombuffer(b"".join(map(fingerprint, shingles)), ">i8").astype(np.int64)), pa.array(n, pa.int32()),
+                pa.array(tokens, pa.list_(pa.int64())),
                 pa.array([x.tobytes() for x in own], pa.binary()), *[pa.array(short[:, i]) for i in range(len(PARITY))],
             ]
-            yield pa.record_batch(columns, names=[*KEY, "node", "n", "tokens", "bits", *PARITY])
+            yield pa.record_batch(columns, names=[*KEY, "node", "fp", "n", "tokens", "bits", *PARITY])
+
+    return texts.mapInArrow(run, "doc long, row long, node long, fp long, n int, tokens array<long>, bits binary, " + ", ".join(f"{c} long" for c in PARITY))
 
-    return texts.mapInArrow(run, "doc long, row long, node long, n int, tokens array<long>, bits binary, " + ", ".join(f"{c} long" for c in PARITY))
+
+def connecting(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) without those whose ends others of the same task connect: as many as a task has nodes at most."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            new = []
+            for x, y in zip(a, b, strict=True):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+                new.append(x != y)
+            yield batch.filter(pa.array(new, pa.bool_()))
+            if len(root) > HELD:
+                root.clear()
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def _by_fingerprints(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by multi-index hashing: nodes of one fingerprint, with the first of them, and the first ones of fingerprints within
+    DISTANCE bits. Pairs connect what all such pairs do."""
+    nodes = prints.select("node", "fp").distinct()
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    n, values = first.count(), first.select(F.col("fp").alias("node"), "fp")
+    ties = stars(values, DISTANCE, n)
+    found = links(values, DISTANCE, n, ties and ties[1:])
+    found = materialize(connecting(found if ties is None else found.unionByName(ties[0])), "links").distinct()
+    of = lambda x: first.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_first")).hint("merge")
+    pairs = found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    equal = nodes.join(first.hint("merge"), "fp").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return pairs.unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _may_be(x: str, y: str, least: float) -> F.Column:
@@ -235,7 +288,7 @@ def _merged(groups: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(groups.join(to, "group", "left").select("node", "weight", F.coalesce("component", "group").alias("group")), "groups")
 
 
-#: Turns of stars go on while the search would look at so many pairs for each entry, and one in FEW_TIED pairs of the turn was tied.
+#: Turns of stars go on while the search would look at so many pairs for each entry, and one in FEW_TIED pairs of the last turn was tied.
 #: Both bear on the work alone.
 WORK, FEW_TIED = 32, 100
 
@@ -268,15 +321,20 @@ def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -
         return found, found.count()
 
     groups, n = near.select("node", "weight", F.col("node").alias("group")), entries.count()
+    if n:
+        found, tied = alike(materialize(_by_fingerprints(prints), "near-fingerprints"))
+        if tied:
+            groups = _merged(groups, found)
+        mixed, work = _mixed(entries, groups)
     turn = 0
-    while n:
+    while n and work > WORK * n:
         pairs = materialize(_stars(entries, groups, turn, similarity), "stars")
         found, tied = alike(pairs)
         if tied:
             groups = _merged(groups, found)
-        mixed, work = _mixed(entries, groups)
+            mixed, work = _mixed(entries, groups)
         turn += 1
-        if work <= WORK * n or tied * FEW_TIED < pairs.count():
+        if tied * FEW_TIED < pairs.count():
             break
     if n and work:
         found, tied = alike(materialize(_pairs(entries, groups, mixed, nodes, similarity), "pairs"))
