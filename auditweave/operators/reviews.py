@@ -33,9 +33,11 @@ def toggled(existing: F.Column, clicked: F.Column) -> F.Column:
 
 
 def joined(findings: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Findings with review_decision (unreviewed where there is none) and review_note."""
+    """Findings with review_decision (unreviewed where there is none) and review_note.
+
+    A merge: there can be a decision for every finding, and files tell little of what a broadcast of them would take."""
     own = reviews.select("finding_id", F.col("decision").alias("review_decision"), F.col("note").alias("review_note"))
-    return findings.join(own, "finding_id", "left").withColumn("review_decision", F.coalesce("review_decision", F.lit("unreviewed")))
+    return findings.join(own.hint("merge"), "finding_id", "left").withColumn("review_decision", F.coalesce("review_decision", F.lit("unreviewed")))
 
 
 def counts(reviews: DataFrame) -> DataFrame:
