@@ -200,6 +200,14 @@ def test_classes_count_what_pairs_do(spark, exact, near, threshold, strong):
         assert classes.classes.count() < 60
 
 
+def test_counts_of_partners_are_never_broadcast(spark):
+    """They grow with the samples, and a caller's plan had sixteen broadcasts of them."""
+    found = Classes(labelled(spark), 8, 4).affected()
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_pairs_by_rank(spark):
     samples = labelled(spark)
     classes = Classes(samples, 8, 4)
